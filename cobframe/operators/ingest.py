@@ -23,13 +23,17 @@ OUTCOMES = ["posted", "skipped", "incomplete", "errors"]
 
 
 class IngestResult(NamedTuple):
-    snapshots: DataFrame      # accepted headers + data_hash
+    snapshots: DataFrame      # accepted headers (agreement, market_data, exposure)
     trades: DataFrame         # long trades of accepted snapshots
     rejects: DataFrame        # KEY, reject_reason, detail
     matrices: DataFrame       # verified matrix files (status per path)
     completeness: DataFrame   # KEY, n_expected, n_missing, status
     outcomes: DataFrame       # KEY, outcome (one row per staged key copy)
 
+    def hashed(self) -> DataFrame:
+        """Accepted headers with their v1 ``data_hash`` (H2)."""
+        return attach_hash(self.snapshots, self.trades)
+
 
 def matrix_refs_from_files(verified: DataFrame) -> DataFrame:
     """Verified files -> refs usable by snapshots (status OK only)."""
@@ -96,7 +100,6 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
     headers = fin.good
     rejects = rejects.unionByName(fin.rejects)
     good_trades = asm.trades.join(headers.select(*KEY), KEY, "left_semi")
-    hashed_headers = attach_hash(headers, good_trades)
 
     outcome = (headers.select(*KEY, F.lit("posted").alias("outcome"))
                .unionByName(rejects.select(*KEY, F.when(
@@ -104,11 +107,7 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
                    .otherwise(F.lit("errors")).alias("outcome")))
                .unionByName(complete.where(F.col("status") == "INCOMPLETE")
                             .select(*KEY, F.lit("incomplete").alias("outcome"))))
-    if verified is None:
-        verified_out = None
-    else:
-        verified_out = verified
-    return IngestResult(hashed_headers, good_trades, rejects, verified_out, complete, outcome)
+    return IngestResult(headers, good_trades, rejects, verified, complete, outcome)
 
 
 def ingest_outcomes(result: IngestResult) -> DataFrame:

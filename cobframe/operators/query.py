@@ -141,8 +141,10 @@ def exposure_history(exposure_index: DataFrame, counterparty_id=None, netting_se
             .orderBy("counterparty_id", "cob_date", "netting_set_id"))
 
 
-RANK_ORDER = [F.desc("exposure_total"), F.asc("ingested_at"), F.asc("counterparty_id"),
-              F.asc("netting_set_id")]
+def rank_order() -> list:
+    """Descending exposure; ties by ingest time, then key (total order)."""
+    return [F.desc("exposure_total"), F.asc("ingested_at"), F.asc("counterparty_id"),
+            F.asc("netting_set_id")]
 
 
 def portfolio(exposure_index: DataFrame, cob_date=None, threshold: float | None = None,
@@ -158,14 +160,11 @@ def portfolio(exposure_index: DataFrame, cob_date=None, threshold: float | None
         raise ValueError("top_n must be >= 1")
     e = threshold_filter(key_filter(exposure_index, cob_date=cob_date), threshold)
     cols = ["cob_date", "counterparty_id", "netting_set_id", "exposure_total"]
-    if cob_date is not None:
-        ranked = e.orderBy(*RANK_ORDER)
-        if top_n is not None:
-            ranked = ranked.limit(top_n)
-        return ranked.withColumn("rank", F.row_number().over(
-            Window.partitionBy("cob_date").orderBy(*RANK_ORDER))).select(*cols, "rank") \
-            if top_n is not None else ranked.select(*cols)
-    w = Window.partitionBy("cob_date").orderBy(*RANK_ORDER)
+    if cob_date is not None and top_n is not None:
+        top = e.orderBy(*rank_order()).limit(top_n)
+        w = Window.partitionBy("cob_date").orderBy(*rank_order())
+        return top.withColumn("rank", F.row_number().over(w)).select(*cols, "rank")
+    w = Window.partitionBy("cob_date").orderBy(*rank_order())
     ranked = e.withColumn("rank", F.row_number().over(w))
     if top_n is not None:
         ranked = ranked.where(F.col("rank") <= top_n)

@@ -49,7 +49,7 @@ def append_snapshots(result: IngestResult, root: str) -> None:
     ``repartition('cob_date')`` gives one writer per date; on very large
     dates AQE splits the skewed partition.
     """
-    snaps = result.snapshots
+    snaps = result.hashed()
     if "ingested_at" not in snaps.columns:
         snaps = snaps.withColumn("ingested_at", F.current_timestamp())
     snaps = snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",

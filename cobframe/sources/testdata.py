@@ -41,7 +41,7 @@ def staging_agreements(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     status = F.col("o_orderstatus")
-    rounding = (k % 7).cast(NUM) * F.lit(1e-10).cast(NUM) if rounding_noise else F.lit(0).cast(NUM)
+    rounding = ((k % 7) * F.lit(1e-10)).cast(NUM) if rounding_noise else F.lit(0).cast(NUM)
     return o.select(
         F.concat(F.lit("CP-"), F.col("o_custkey").cast("string")).alias("counterparty_id"),
         _ns(clean_ids).alias("netting_set_id"),
