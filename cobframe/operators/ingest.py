@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from cobframe.operators.assemble import assemble_snapshots, parse_matrix_key
 from cobframe.operators.integrity import attach_hash, hash_matrices, verify_matrices
-from cobframe.operators.validate import (reject_duplicates, validate_finite, validate_ids,
+from cobframe.functions.columns import is_finite
+from cobframe.operators.validate import (header_finite, reject_duplicates, validate_ids,
                                          validate_matrix_refs)
 from cobframe.schema import KEY
 
@@ -63,51 +64,68 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
                  matrix_files: DataFrame | None = None, manifest: DataFrame | None = None,
                  existing_keys: DataFrame | None = None, exposure: DataFrame | None = None,
                  arrival: list[str] | None = None, trade_arrival: list[str] | None = None,
-                 stored_matrix_paths: DataFrame | None = None) -> IngestResult:
-    """A10 over any set of dates.  Inputs are the S1-S3 projections."""
+                 matrix_refs: DataFrame | None = None,
+                 matrix_inventory: DataFrame | None = None) -> IngestResult:
+    """A10 over any set of dates.  Inputs are the S1-S3 projections.
+
+    The lineage is linear: each rule is a column flag or one aggregate joined
+    back 1:1, so the accepted rows never re-derive their own input.
+
+    * ``matrix_files`` (+ ``manifest``): files received for the batch; verified
+      files become the snapshots' matrix refs (A7/A8, H4-H6, A9)
+    * ``matrix_refs`` / ``matrix_inventory``: refs supplied by the caller and
+      the set of existing matrix paths, checked by V4
+    """
     arrival = arrival or ["ingested_at"]
     ids = validate_ids(agreements)
     dup = reject_duplicates(ids.good, arrival, existing_keys)
     good_ag = dup.good
+    rejects = ids.rejects.unionByName(dup.rejects)
 
+    verified = None
+    refs = matrix_refs
     if matrix_files is not None:
         hashed = hash_matrices(matrix_files)
         verified = verify_matrices(hashed, manifest if manifest is not None
                                    else hashed.select("path", F.lit("").alias("expected_hash")))
         refs = matrix_refs_from_files(verified)
         complete = completeness_check(good_ag, verified)
-        inventory = verified.where(F.col("status") == "OK").select("path")
-        if stored_matrix_paths is not None:
-            inventory = inventory.unionByName(stored_matrix_paths.select("path"))
+        incomplete_keys = (parse_matrix_key(verified)
+                           .where(F.col("parsed") & (F.col("status") != "OK"))
+                           .select(*KEY).distinct())
+        ready = good_ag.join(incomplete_keys, KEY, "left_anti")
     else:
-        verified = None
-        refs = None
         complete = good_ag.select(*KEY, F.lit(0).cast("long").alias("n_expected"),
                                   F.lit(0).cast("long").alias("n_missing"),
                                   F.lit("COMPLETE").alias("status"))
-        inventory = None
+        ready = good_ag
 
-    ready = good_ag.join(complete.where(F.col("status") == "INCOMPLETE").select(*KEY), KEY,
-                         "left_anti")
     asm = assemble_snapshots(ready, trades, market, refs, exposure, trade_arrival)
     headers = asm.headers
-    rejects = ids.rejects.unionByName(dup.rejects)
-    if inventory is not None:
-        mref = validate_matrix_refs(headers, inventory)
+    if matrix_refs is not None and matrix_inventory is not None:
+        mref = validate_matrix_refs(headers, matrix_inventory)
         headers = mref.good
         rejects = rejects.unionByName(mref.rejects)
-    fin = validate_finite(headers, asm.trades)
-    headers = fin.good
-    rejects = rejects.unionByName(fin.rejects)
-    good_trades = asm.trades.join(headers.select(*KEY), KEY, "left_semi")
 
-    outcome = (headers.select(*KEY, F.lit("posted").alias("outcome"))
+    # V2: header values by expression, trades by one partial aggregate
+    bad_trades = (asm.trades.groupBy(*KEY)
+                  .agg(F.max(F.when(~is_finite("notional"), F.col("trade_id"))).alias("_bad_trade")))
+    flagged = (headers.join(bad_trades, KEY, "left")
+               .withColumn("_finite", header_finite(headers) & F.col("_bad_trade").isNull()))
+    accepted = flagged.where(F.col("_finite")).drop("_finite", "_bad_trade")
+    rejects = rejects.unionByName(
+        flagged.where(~F.col("_finite")).select(
+            *KEY, F.lit("NON_FINITE").alias("reject_reason"),
+            F.coalesce("_bad_trade", F.lit("agreement/market")).alias("detail")))
+    good_trades = asm.trades.join(accepted.select(*KEY), KEY, "left_semi")
+
+    outcome = (accepted.select(*KEY, F.lit("posted").alias("outcome"))
                .unionByName(rejects.select(*KEY, F.when(
                    (F.col("reject_reason") == "DUPLICATE"), F.lit("skipped"))
                    .otherwise(F.lit("errors")).alias("outcome")))
                .unionByName(complete.where(F.col("status") == "INCOMPLETE")
                             .select(*KEY, F.lit("incomplete").alias("outcome"))))
-    return IngestResult(headers, good_trades, rejects, verified, complete, outcome)
+    return IngestResult(accepted, good_trades, rejects, verified, complete, outcome)
 
 
 def ingest_outcomes(result: IngestResult) -> DataFrame:

@@ -40,7 +40,11 @@ def snapshot_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
     document.
     """
     parts = document_parts(headers, trades)
-    ordered = parts.repartition(*KEY).sortWithinPartitions(*KEY, "part", "trade_id")
+    # Partition on an expression of the key: a plain repartition(*KEY) may be
+    # dropped when the union's children already claim that partitioning, and
+    # then one key's header and trades can sit in different partitions.
+    ordered = (parts.repartition(F.xxhash64(*KEY))
+               .sortWithinPartitions(*KEY, "part", "trade_id"))
     return ordered.mapInPandas(stream_hashes, HASH_SCHEMA)
 
 

@@ -10,12 +10,15 @@ regenerate them from ``snapshots`` for any dates.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobframe.operators.ingest import IngestResult
 from cobframe.schema import KEY
-from cobframe.sources.stores import read_snapshot_trades, read_snapshots, table_path
+from cobframe.sources.stores import (PARTITION_COL, month_of, read_snapshot_trades,
+                                     read_snapshots, table_path)
 
 
 def snapshot_pointer() -> F.Column:
@@ -37,50 +40,73 @@ def build_trade_index(trades: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, mode: str, sort_cols: list[str]) -> None:
-    (df.repartition("cob_date").sortWithinPartitions("cob_date", *sort_cols)
-       .write.mode(mode).partitionBy("cob_date").parquet(path))
+    """Month-partitioned, date/key-sorted parquet (see ``sources.stores``)."""
+    (df.withColumn(PARTITION_COL, month_of(F.col("cob_date")))
+       .repartition(PARTITION_COL).sortWithinPartitions("cob_date", *sort_cols)
+       .write.mode(mode).partitionBy(PARTITION_COL).parquet(path))
 
 
-def append_snapshots(result: IngestResult, root: str) -> None:
+def append_snapshots(result: IngestResult, root: str, batch_id: str | None = None) -> str:
     """K1-K3: append accepted snapshots, their trades, both indexes and the
-    rejects of a batch.  Keys must have been checked against the store
-    (``existing_keys`` of ``ingest_batch``) to keep the store write-once.
-
-    ``repartition('cob_date')`` gives one writer per date; on very large
-    dates AQE splits the skewed partition.
+    rejects of a batch; returns the batch id.  Keys must have been checked
+    against the store (``existing_keys`` of ``ingest_batch``) to keep the
+    store write-once.
+
+    Lineage is cut at each written table: trades are restricted to the keys
+    of the snapshots just written (found by ``batch_id``, a pushed-down
+    filter), and both indexes are projections of the written tables, so the
+    ingest job runs once for the snapshots and once for the trades instead of
+    once per output.  ``repartition('cob_date')`` gives one writer per date;
+    AQE splits a skewed (very large) date.
     """
+    spark = result.snapshots.sparkSession
+    batch_id = batch_id or uuid.uuid4().hex
     snaps = result.hashed()
     if "ingested_at" not in snaps.columns:
         snaps = snaps.withColumn("ingested_at", F.current_timestamp())
     snaps = snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
-                         "ingested_at")
+                         "ingested_at", F.lit(batch_id).alias("batch_id"))
     _write(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
-    _write(result.trades, table_path(root, "snapshot_trades"), "append",
+    written = read_snapshots(spark, root).where(F.col("batch_id") == batch_id)
+    trades = (result.trades.join(written.select(*KEY), KEY, "left_semi")
+              .withColumn("batch_id", F.lit(batch_id)))
+    _write(trades, table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
-    _write(build_exposure_index(snaps), table_path(root, "exposure_index"), "append",
+    _write(build_exposure_index(written), table_path(root, "exposure_index"), "append",
            ["counterparty_id", "netting_set_id"])
-    _write(build_trade_index(result.trades), table_path(root, "trade_index"), "append",
+    written_trades = read_snapshot_trades(spark, root).where(F.col("batch_id") == batch_id)
+    _write(build_trade_index(written_trades), table_path(root, "trade_index"), "append",
            ["trade_id"])
-    _write(result.rejects, table_path(root, "rejects"), "append", ["counterparty_id"])
+    _write(result.rejects.withColumn("batch_id", F.lit(batch_id)), table_path(root, "rejects"),
+           "append", ["counterparty_id"])
+    return batch_id
 
 
 def rebuild_indexes(spark: SparkSession, root: str, from_date=None, to_date=None) -> None:
-    """K4: regenerate both index tables for a date range from ``snapshots``
-    (dynamic partition overwrite: other dates are untouched).  Repairs a
-    crash between writing snapshots and writing the index.
+    """K4: regenerate both index tables from ``snapshots`` for the months
+    covering a date range (dynamic partition overwrite: other months are
+    untouched).  Repairs a crash between writing snapshots and writing the
+    index.
 
     The index is written to a staging folder first, then moved in with a
     second overwrite, since a job cannot overwrite the table it reads.
     """
-    snaps = read_snapshots(spark, root, from_date, to_date)
-    trades = read_snapshot_trades(spark, root, from_date, to_date)
+    from cobframe.functions.columns import as_date
+    lo = None if from_date is None else F.trunc(as_date(from_date), "month")
+    hi = None if to_date is None else F.last_day(as_date(to_date))
+    snaps = read_snapshots(spark, root)
+    trades = read_snapshot_trades(spark, root)
+    if lo is not None:
+        snaps, trades = snaps.where(F.col("cob_date") >= lo), trades.where(F.col("cob_date") >= lo)
+    if hi is not None:
+        snaps, trades = snaps.where(F.col("cob_date") <= hi), trades.where(F.col("cob_date") <= hi)
     for name, df, sort in (("exposure_index", build_exposure_index(snaps),
                             ["counterparty_id", "netting_set_id"]),
                            ("trade_index", build_trade_index(trades), ["trade_id"])):
         tmp = table_path(root, f"_rebuild_{name}")
         _write(df, tmp, "overwrite", sort)
-        fresh = spark.read.parquet(tmp).withColumn("cob_date", F.col("cob_date").cast("date"))
-        (fresh.write.mode("overwrite").partitionBy("cob_date")
+        fresh = spark.read.parquet(tmp)
+        (fresh.write.mode("overwrite").partitionBy(PARTITION_COL)
          .option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name)))
 
 

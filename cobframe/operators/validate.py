@@ -69,9 +69,11 @@ def reject_duplicates(agreements: DataFrame, order: list[str],
         df = df.join(stored, KEY, "left_anti")
     else:
         old = None
-    first = df.groupBy(*KEY).agg(F.min("_ord").alias("_ord"))
-    good = df.join(first, KEY + ["_ord"], "left_semi").drop("_ord")
-    later = df.join(first, KEY + ["_ord"], "left_anti")
+    others = [c for c in df.columns if c not in KEY]
+    winners = (df.groupBy(*KEY).agg(F.min_by(F.struct(*others), F.col("_ord")).alias("_w"))
+               .select(*KEY, "_w.*"))
+    good = winners.drop("_ord")
+    later = df.join(winners.select(*KEY, "_ord"), KEY + ["_ord"], "left_anti")
     bad = _rejects(later, "DUPLICATE", F.lit("later copy in batch"))
     if old is not None:
         bad = bad.unionByName(_rejects(old, "DUPLICATE", F.lit("already stored")))

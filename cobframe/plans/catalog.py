@@ -228,7 +228,7 @@ docs AS (
 @register("snapshot_hash", O.store(with_market=True).rstrip() + _hash_doc_sql() + """
 SELECT counterparty_id, netting_set_id, cob_date, 'sha256-v1:' || sha256(doc) AS data_hash FROM docs""")
 def q_snapshot_hash(spark, sf):
-    return domain.order_store(spark, sf)["result"].hashed().select(*KEY, "data_hash")
+    return domain.ingest_orders(spark, sf).hashed().select(*KEY, "data_hash")
 
 
 @register("integrity_audit", None)
@@ -236,10 +236,9 @@ def q_integrity_audit(spark, sf):
     """Stored hashes (clean ingest) audited against a copy whose rounding
     amounts were altered below the diff epsilon: the hash must notice."""
     clean = domain.order_store(spark, sf)
-    tampered = domain.order_store(spark, sf, rounding_noise=True)
-    stored = tampered["snapshots"].join(
-        clean["result"].hashed().select(*KEY, "data_hash"), KEY)
-    return H.audit_integrity(stored, tampered["trades"]).select(
+    tampered = domain.ingest_orders(spark, sf, rounding_noise=True)
+    stored = tampered.snapshots.join(clean["snapshots"].select(*KEY, "data_hash"), KEY)
+    return H.audit_integrity(stored, tampered.trades).select(
         *KEY, "stored_hash", "computed_hash", "status")
 
 
@@ -876,7 +875,7 @@ def q_extra_json_query(spark, sf):
 @register("export_snapshots_json", None)
 def q_export_snapshots_json(spark, sf):
     st = domain.order_store(spark, sf)
-    return K.export_snapshots_json(st["result"].hashed(), st["trades"])
+    return K.export_snapshots_json(st["snapshots"], st["trades"])
 
 
 def queries() -> dict[str, QueryFn]:

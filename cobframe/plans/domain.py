@@ -6,17 +6,24 @@ mapping B (events) is a daily exposure feed indexed directly.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobframe.operators.ingest import IngestResult, ingest_batch
-from cobframe.operators.store import build_exposure_index, build_trade_index
+from cobframe.operators.store import append_snapshots, build_exposure_index
+from cobframe.session import ensure_checkpoint_dir
 from cobframe.sources import testdata as td
+from cobframe.sources.stores import path_exists, read_store_table, read_text, write_text
 from cobframe.sources.staging import (read_staging_agreements, read_staging_market_data,
                                       read_staging_trades)
 
 AGREEMENT_ARRIVAL = ["arrival_seq"]
 TRADE_ARRIVAL = ["arrival"]
+STORE_VERSION = "2"
 
 
 def staged(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
@@ -38,12 +45,38 @@ def ingest_orders(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
                         arrival=AGREEMENT_ARRIVAL, trade_arrival=TRADE_ARRIVAL)
 
 
+def store_root(spark: SparkSession, sf_dir: str, rounding_noise: bool = False) -> str:
+    """Folder of the mapping-A store inside the session's shared checkpoint folder."""
+    tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{rounding_noise}|{STORE_VERSION}".encode())
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobframe-store-{tag.hexdigest()[:16]}"
+
+
 def order_store(spark: SparkSession, sf_dir: str, rounding_noise: bool = False) -> dict[str, DataFrame]:
-    """Stored tables of mapping A as lazy DataFrames."""
-    r = ingest_orders(spark, sf_dir, True, rounding_noise)
-    return {"snapshots": r.snapshots, "trades": r.trades,
-            "exposure_index": build_exposure_index(r.snapshots),
-            "trade_index": build_trade_index(r.trades), "result": r}
+    """Stored tables of mapping A: the ingest job (K1-K3) runs once per
+    session folder and source, later calls read the written tables."""
+    root = store_root(spark, sf_dir, rounding_noise)
+    done = f"{root}/_COMPLETE"
+    if not path_exists(spark, done):
+        attempt = f"{root}/attempt-{uuid.uuid4().hex}"
+        # a crashed attempt leaves its own folder behind; only a finished one
+        # is named in the marker
+        append_snapshots(ingest_orders(spark, sf_dir, True, rounding_noise), attempt)
+        write_text(spark, done, attempt)
+    return StoredTables(spark, read_text(spark, done).strip())
+
+
+class StoredTables:
+    """Lazy access to the written tables (a table is listed only when used)."""
+    NAMES = {"snapshots": "snapshots", "trades": "snapshot_trades",
+             "snapshot_trades": "snapshot_trades", "exposure_index": "exposure_index",
+             "trade_index": "trade_index", "rejects": "rejects"}
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def __getitem__(self, name: str) -> DataFrame:
+        df = read_store_table(self.spark, self.root, self.NAMES[name])
+        return df.drop("batch_id") if "batch_id" in df.columns else df
 
 
 def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:

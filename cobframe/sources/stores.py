@@ -1,13 +1,20 @@
 """Stored tables (S6-S9) and matrix files.
 
-Layout under a store root (all date-partitioned, so date bounds prune
-directories; ``cob_date`` is read as a real date):
-
-    {root}/snapshots/cob_date=YYYY-MM-DD/part-*.parquet
-    {root}/snapshot_trades/cob_date=.../
-    {root}/exposure_index/cob_date=.../
-    {root}/trade_index/cob_date=.../
-    {root}/rejects/cob_date=.../
+Layout under a store root: every table is partitioned by month of the COB
+date and sorted by date and key inside its files, so a date range prunes
+month directories (partition filter derived from the date bounds) and
+row groups (min/max of ``cob_date``):
+
+    {root}/snapshots/cob_month=YYYY-MM-01/part-*.parquet
+    {root}/snapshot_trades/cob_month=.../
+    {root}/exposure_index/cob_month=.../
+    {root}/trade_index/cob_month=.../
+    {root}/rejects/cob_month=.../
+
+Months rather than days: a daily directory holds one day of every
+counterparty, which is large in production but makes thousands of tiny
+files when a store spans many sparse dates; monthly directories keep files
+large in both cases.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobframe.functions.columns import date_range
+from cobframe.functions.columns import as_date, date_range
 
 TABLES = ("snapshots", "snapshot_trades", "exposure_index", "trade_index", "rejects")
 
@@ -24,16 +31,27 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+PARTITION_COL = "cob_month"
+
+
+def month_of(c):
+    return F.trunc(c, "month")
+
+
 def read_store_table(spark: SparkSession, root: str, name: str, from_date=None,
                      to_date=None) -> DataFrame:
-    """Read one stored table; date bounds become partition filters (S9:
-    only ``cob_date=`` directories with a valid date are discovered)."""
-    df = (spark.read.option("basePath", table_path(root, name))
-          .parquet(table_path(root, name)))
-    df = df.withColumn("cob_date", F.col("cob_date").cast("date"))
+    """Read one stored table.  Date bounds become a partition filter on
+    the month directories plus a pushed filter on ``cob_date`` (S9: only
+    ``cob_month=`` directories holding a valid date are discovered)."""
+    df = spark.read.option("basePath", table_path(root, name)).parquet(table_path(root, name))
     if from_date is not None or to_date is not None:
-        df = df.where(date_range("cob_date", from_date, to_date))
-    return df
+        cond = date_range("cob_date", from_date, to_date)
+        if from_date is not None:
+            cond = cond & (F.col(PARTITION_COL) >= month_of(as_date(from_date)))
+        if to_date is not None:
+            cond = cond & (F.col(PARTITION_COL) <= as_date(to_date))
+        df = df.where(cond)
+    return df.drop(PARTITION_COL)
 
 
 def read_snapshots(spark, root, from_date=None, to_date=None) -> DataFrame:
@@ -73,3 +91,36 @@ def read_matrix_manifest(spark: SparkSession, path: str, fmt: str = "csv") -> Da
     hash is the empty string."""
     df = spark.read.format(fmt).option("header", True).load(path)
     return df.select("path", F.coalesce(F.col("expected_hash"), F.lit("")).alias("expected_hash"))
+
+
+# ---------------------------------------------------------------- file system
+# Hadoop FileSystem calls through the session, so the same code works on the
+# shared folder of a cluster (HDFS, object stores) and on a local disk.
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Small marker file (overwritten), e.g. the folder of a finished attempt."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
