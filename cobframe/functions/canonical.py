@@ -14,10 +14,12 @@ gathered into one array or one pandas frame.
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import math
 from collections.abc import Iterator
+from json.encoder import encode_basestring_ascii as _quote
 
 import pandas as pd
 
@@ -72,19 +74,59 @@ def trade_text(trade_json: str) -> str:
     return canonical_text(_with_extra_object(json.loads(trade_json)))
 
 
+def _number(x) -> str:
+    if x is None:
+        return "null"
+    x = float(x)
+    if not math.isfinite(x):
+        raise ValueError(f"Non-finite float in snapshot: {x}")
+    return repr(round(x, HASH_ROUND_DIGITS))
+
+
+def _text(s) -> str:
+    return "null" if s is None else _quote(s)
+
+
+def trade_text_from_fields(trade_id, product_type, notional, currency, maturity_date,
+                           direction, extra, extra_cache: dict) -> str:
+    """Canonical text of one trade straight from its typed fields (keys in
+    sorted order: currency, direction, extra, maturity_date, notional,
+    product_type, trade_id)."""
+    canon_extra = extra_cache.get(extra)
+    if canon_extra is None:
+        canon_extra = canonical_text(json.loads(extra) if extra else {})
+        extra_cache[extra] = canon_extra
+    if maturity_date is None or (isinstance(maturity_date, float) and math.isnan(maturity_date)):
+        mdate = "null"
+    else:
+        d = maturity_date.date() if isinstance(maturity_date, dt.datetime) else maturity_date
+        mdate = '"' + d.isoformat() + '"'
+    return ('{"currency":' + _text(currency) + ',"direction":' + _text(direction)
+            + ',"extra":' + canon_extra + ',"maturity_date":' + mdate
+            + ',"notional":' + _number(notional) + ',"product_type":' + _text(product_type)
+            + ',"trade_id":' + _text(trade_id) + "}")
+
+
+TRADE_PART_FIELDS = ["product_type", "notional", "currency", "maturity_date", "direction",
+                     "extra"]
+
+
 def stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body.  Input rows: key columns, ``part`` (0 = header,
-    1 = trade) and ``doc`` (Spark JSON of the part), sorted by key, part,
-    trade order within each partition.  Output: one row per key with its hash.
+    """mapInPandas body.  Input rows: key columns, ``part`` (0 = header with
+    its Spark JSON in ``doc``; 1 = trade with typed trade fields), sorted by
+    key, part, trade_id within each partition.  Output: one row per key.
     """
     key_cols = ["counterparty_id", "netting_set_id", "cob_date"]
     current = None
     digest = None
     n_trades = 0
+    cache: dict = {}
     for pdf in batches:
         out = []
+        pdf = pdf.astype(object).where(pdf.notna(), None)
         keys = list(zip(*(pdf[c] for c in key_cols)))
-        for key, part, doc in zip(keys, pdf["part"], pdf["doc"]):
+        fields = zip(pdf["trade_id"], *(pdf[c] for c in TRADE_PART_FIELDS))
+        for key, part, doc, tf in zip(keys, pdf["part"], pdf["doc"], fields):
             if key != current:
                 if current is not None:
                     digest.update(b"]}")
@@ -95,7 +137,7 @@ def stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 if n_trades:
                     digest.update(b",")
-                digest.update(trade_text(doc).encode())
+                digest.update(trade_text_from_fields(*tf, cache).encode())
                 n_trades += 1
         if out:
             yield pd.DataFrame(out, columns=key_cols + ["data_hash"])

@@ -130,7 +130,7 @@ def collect_matrix_refs(refs: DataFrame) -> DataFrame:
 
 def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFrame | None = None,
                        matrix_refs: DataFrame | None = None, exposure: DataFrame | None = None,
-                       trade_order: list[str] | None = None) -> Assembled:
+                       trade_order: list[str] | None = None, stage=None) -> Assembled:
     """A2: one snapshot per agreement row.
 
     * trades of a key without agreement are dropped (semi-join), an agreement
@@ -141,6 +141,8 @@ def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFra
       an ``exposure_total`` column already on ``agreements`` is used otherwise
 
     ``agreements`` must hold one row per key (see ``validate``).
+    ``stage(name, df)`` may materialise the deduplicated trades (a written
+    table) so that later steps do not recompute them.
     """
     ag = agreements
     exp_col = F.lit(0.0)
@@ -171,6 +173,8 @@ def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFra
          .alias("market_data"),
         "exposure_total", *extra_cols)
     tr = apply_trade_defaults(group_trades(trades, trade_order))
+    if stage is not None:
+        tr = stage("trades", tr)
     tr = tr.join(headers.select(*KEY), KEY, "left_semi")
     return Assembled(headers, tr)
 

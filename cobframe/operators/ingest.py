@@ -65,7 +65,7 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
                  existing_keys: DataFrame | None = None, exposure: DataFrame | None = None,
                  arrival: list[str] | None = None, trade_arrival: list[str] | None = None,
                  matrix_refs: DataFrame | None = None,
-                 matrix_inventory: DataFrame | None = None) -> IngestResult:
+                 matrix_inventory: DataFrame | None = None, stage=None) -> IngestResult:
     """A10 over any set of dates.  Inputs are the S1-S3 projections.
 
     The lineage is linear: each rule is a column flag or one aggregate joined
@@ -75,6 +75,9 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
       files become the snapshots' matrix refs (A7/A8, H4-H6, A9)
     * ``matrix_refs`` / ``matrix_inventory``: refs supplied by the caller and
       the set of existing matrix paths, checked by V4
+    * ``stage(name, df) -> df``: optional materialisation of the deduplicated
+      trades and the accepted snapshots (write + read back), used by the
+      store job so that each is computed once
     """
     arrival = arrival or ["ingested_at"]
     ids = validate_ids(agreements)
@@ -100,7 +103,7 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
                                   F.lit("COMPLETE").alias("status"))
         ready = good_ag
 
-    asm = assemble_snapshots(ready, trades, market, refs, exposure, trade_arrival)
+    asm = assemble_snapshots(ready, trades, market, refs, exposure, trade_arrival, stage)
     headers = asm.headers
     if matrix_refs is not None and matrix_inventory is not None:
         mref = validate_matrix_refs(headers, matrix_inventory)
@@ -113,6 +116,8 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
     flagged = (headers.join(bad_trades, KEY, "left")
                .withColumn("_finite", header_finite(headers) & F.col("_bad_trade").isNull()))
     accepted = flagged.where(F.col("_finite")).drop("_finite", "_bad_trade")
+    if stage is not None:
+        accepted = stage("snapshots", accepted)
     rejects = rejects.unionByName(
         flagged.where(~F.col("_finite")).select(
             *KEY, F.lit("NON_FINITE").alias("reject_reason"),

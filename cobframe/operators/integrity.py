@@ -19,15 +19,18 @@ HASH_SCHEMA = "counterparty_id string, netting_set_id string, cob_date date, dat
 
 
 def document_parts(headers: DataFrame, trades: DataFrame) -> DataFrame:
-    """H1 input: one header part and one part per trade, as Spark JSON text."""
+    """H1 input: one header part (Spark JSON text of the non-trade fields) and
+    one part per trade (typed fields, rendered in Python)."""
+    null_fields = [F.lit(None).cast(t).alias(c) for c, t in
+                   (("product_type", "string"), ("notional", "double"), ("currency", "string"),
+                    ("maturity_date", "date"), ("direction", "string"), ("extra", "string"))]
     head = headers.select(
         *KEY, F.lit(0).alias("part"), F.lit("").alias("trade_id"),
         F.to_json(F.struct("agreement", "cob_date", "counterparty_id", "market_data",
-                           "netting_set_id"), _JSON_OPTS).alias("doc"))
+                           "netting_set_id"), _JSON_OPTS).alias("doc"), *null_fields)
     body = trades.select(
-        *KEY, F.lit(1).alias("part"), "trade_id",
-        F.to_json(F.struct("trade_id", "product_type", "notional", "currency", "maturity_date",
-                           "direction", "extra"), _JSON_OPTS).alias("doc"))
+        *KEY, F.lit(1).alias("part"), "trade_id", F.lit(None).cast("string").alias("doc"),
+        "product_type", "notional", "currency", "maturity_date", "direction", "extra")
     return head.unionByName(body)
 
 

@@ -663,9 +663,9 @@ JOIN snap t ON t.counterparty_id = p.counterparty_id AND t.netting_set_id = p.ne
 
 @register("diff_agreement", _pairs_store(noise=True) + _agreement_changes_sql())
 def q_diff_agreement(spark, sf):
-    st = domain.order_store(spark, sf, rounding_noise=True)
-    pairs = D.consecutive_pairs(st["snapshots"])
-    return D.agreement_changes(pairs, st["snapshots"])
+    snaps = domain.ingest_orders(spark, sf, rounding_noise=True).snapshots
+    pairs = D.consecutive_pairs(snaps)
+    return D.agreement_changes(pairs, snaps)
 
 
 def _rate_changes_sql(data_type: str, key_name: str) -> str:

@@ -39,10 +39,21 @@ def staged(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
 
 
 def ingest_orders(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
-                  rounding_noise: bool = False) -> IngestResult:
+                  rounding_noise: bool = False, stage=None) -> IngestResult:
     s = staged(spark, sf_dir, clean_ids, rounding_noise)
     return ingest_batch(s["agreements"], s["trades"], s["market"], s["files"], s["manifest"],
-                        arrival=AGREEMENT_ARRIVAL, trade_arrival=TRADE_ARRIVAL)
+                        arrival=AGREEMENT_ARRIVAL, trade_arrival=TRADE_ARRIVAL, stage=stage)
+
+
+def work_stage(spark: SparkSession, folder: str):
+    """``stage`` callback writing each intermediate to ``folder/name`` and
+    reading it back: the written table cuts the lineage (and survives the
+    loss of executors, unlike cached blocks)."""
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        path = f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    return stage
 
 
 def store_root(spark: SparkSession, sf_dir: str, rounding_noise: bool = False) -> str:
@@ -60,7 +71,9 @@ def order_store(spark: SparkSession, sf_dir: str, rounding_noise: bool = False)
         attempt = f"{root}/attempt-{uuid.uuid4().hex}"
         # a crashed attempt leaves its own folder behind; only a finished one
         # is named in the marker
-        append_snapshots(ingest_orders(spark, sf_dir, True, rounding_noise), attempt)
+        result = ingest_orders(spark, sf_dir, True, rounding_noise,
+                               stage=work_stage(spark, f"{attempt}/_work"))
+        append_snapshots(result, attempt)
         write_text(spark, done, attempt)
     return StoredTables(spark, read_text(spark, done).strip())
 
