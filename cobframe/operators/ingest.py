@@ -163,7 +163,7 @@ def backfill_counts(result: IngestResult, from_date, to_date) -> DataFrame:
         "cob_date", *[F.coalesce(F.col(o), F.lit(0)).cast("long").alias(o) for o in OUTCOMES])
     total = days.agg(*[F.sum(o).cast("long").alias(o) for o in OUTCOMES]) \
                 .select(F.lit(None).cast("date").alias("cob_date"), *OUTCOMES)
-    return days.unionByName(total)
+    return days.unionByName(total).orderBy(F.col("cob_date").asc_nulls_last())
 
 
 def ingest_status(staged_agreements: DataFrame, stored_snapshots: DataFrame,
