@@ -20,13 +20,8 @@ from cobframe.schema import KEY, PORTFOLIO_DEFAULT_TOP
 TRADE_COLUMNS = ["trade_id", "product_type", "notional", "currency", "direction", "maturity_date"]
 
 
-def snapshot(snapshots: DataFrame, trades: DataFrame, counterparty_id=None, netting_set_id=None,
-             cob_date=None, wanted: DataFrame | None = None) -> DataFrame:
-    """Q1: snapshot documents (trades nested) for one key or a set of keys.
-
-    Filters are applied before nesting, so only the requested snapshots are
-    assembled.  Combine with ``integrity.verify_on_read`` to check hashes.
-    """
+def _select_keys(snapshots: DataFrame, trades: DataFrame, counterparty_id, netting_set_id,
+                 cob_date, wanted: DataFrame | None):
     s = key_filter(snapshots, counterparty_id=counterparty_id, netting_set_id=netting_set_id,
                    cob_date=cob_date)
     t = key_filter(trades, counterparty_id=counterparty_id, netting_set_id=netting_set_id,
@@ -34,6 +29,27 @@ def snapshot(snapshots: DataFrame, trades: DataFrame, counterparty_id=None, nett
     if wanted is not None:
         s = s.join(wanted.select(*KEY), KEY, "left_semi")
         t = t.join(wanted.select(*KEY), KEY, "left_semi")
+    return s, t
+
+
+def snapshot(snapshots: DataFrame, trades: DataFrame, counterparty_id=None, netting_set_id=None,
+             cob_date=None, wanted: DataFrame | None = None) -> DataFrame:
+    """Q1 (set form): the content of the selected snapshots as rows: the
+    snapshot fields repeated on each of its trades, one row with NULL trade
+    fields for a snapshot without trades.  Nothing is gathered per snapshot,
+    so a netting set with very many trades stays spread over tasks.
+    Combine with ``integrity.verify_on_read`` to check hashes on read."""
+    s, t = _select_keys(snapshots, trades, counterparty_id, netting_set_id, cob_date, wanted)
+    return s.join(t, KEY, "left")
+
+
+def snapshot_document(snapshots: DataFrame, trades: DataFrame, counterparty_id=None,
+                      netting_set_id=None, cob_date=None,
+                      wanted: DataFrame | None = None) -> DataFrame:
+    """Q1 (document form): one row per snapshot with ``trades`` nested, for a
+    point lookup or a bounded selection.  Filters apply before nesting; the
+    array of one snapshot is built in one task."""
+    s, t = _select_keys(snapshots, trades, counterparty_id, netting_set_id, cob_date, wanted)
     return nest_trades(s, t)
 
 
@@ -154,7 +170,8 @@ def portfolio(exposure_index: DataFrame, cob_date=None, threshold: float | None
     One date: ``orderBy(..).limit(n)`` (TakeOrderedAndProject, top-k kept per
     task).  All dates: ``row_number() <= n`` per date, which Spark plans as a
     partial WindowGroupLimit before the shuffle, so no date ships more than
-    n rows per task.
+    n rows per task.  Without ``top_n`` the result is the ranking order itself
+    (sorted by date, then rank order) with no rank column.
     """
     if top_n is not None and top_n < 1:
         raise ValueError("top_n must be >= 1")
@@ -164,10 +181,12 @@ def portfolio(exposure_index: DataFrame, cob_date=None, threshold: float | None
         top = e.orderBy(*rank_order()).limit(top_n)
         w = Window.partitionBy("cob_date").orderBy(*rank_order())
         return top.withColumn("rank", F.row_number().over(w)).select(*cols, "rank")
+    if top_n is None:
+        # the full ranking of a date is its sort order: a global range-partitioned
+        # sort splits a very large date over many tasks (no per-date window)
+        return e.select(*cols, "ingested_at").orderBy("cob_date", *rank_order()).select(*cols)
     w = Window.partitionBy("cob_date").orderBy(*rank_order())
-    ranked = e.withColumn("rank", F.row_number().over(w))
-    if top_n is not None:
-        ranked = ranked.where(F.col("rank") <= top_n)
+    ranked = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return ranked.select(*cols, "rank")
 
 

@@ -442,18 +442,13 @@ def q_ingest_status(spark, sf):
 # =========================================================== lookups Q1-Q5
 
 @register("snapshot", O.store() + """
-SELECT s.counterparty_id, s.netting_set_id, s.cob_date, s.agreement_id,
-       CAST(count(t.trade_id) AS BIGINT) AS n_trades,
-       coalesce(string_agg(t.trade_id, ',' ORDER BY t.trade_id), '') AS trade_ids
-FROM snap s LEFT JOIN tr t USING (counterparty_id, netting_set_id, cob_date)
-GROUP BY ALL""")
+SELECT s.counterparty_id, s.netting_set_id, s.cob_date, s.agreement_id, s.exposure_total,
+       t.trade_id, t.notional
+FROM snap s LEFT JOIN tr t USING (counterparty_id, netting_set_id, cob_date)""")
 def q_snapshot(spark, sf):
     st = domain.order_store(spark, sf)
-    doc = Q.snapshot(st["snapshots"], st["trades"])
-    return doc.select(*KEY, "agreement.agreement_id",
-                      F.size("trades").cast("long").alias("n_trades"),
-                      F.array_join(F.transform("trades", lambda t: t["trade_id"]), ",")
-                      .alias("trade_ids"))
+    rows = Q.snapshot(st["snapshots"], st["trades"])
+    return rows.select(*KEY, "agreement.agreement_id", "exposure_total", "trade_id", "notional")
 
 
 @register("by_counterparty", O.store(with_trades=False) + """
@@ -555,8 +550,9 @@ def q_portfolio_topn(spark, sf):
     return Q.portfolio(domain.event_index(spark, sf), top_n=PORTFOLIO_TOP)
 
 
-@register("portfolio_threshold", "WITH " + O.feed() + _rank_sql(
-    "feed", where=f"WHERE exposure_total >= {PORTFOLIO_THRESHOLD}"))
+@register("portfolio_threshold", "WITH " + O.feed() + f"""
+SELECT cob_date, counterparty_id, netting_set_id, exposure_total FROM feed
+WHERE exposure_total >= {PORTFOLIO_THRESHOLD}""")
 def q_portfolio_threshold(spark, sf):
     return Q.portfolio(domain.event_index(spark, sf), threshold=PORTFOLIO_THRESHOLD)
 

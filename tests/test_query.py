@@ -29,11 +29,18 @@ def test_by_trade_set_form_and_scan_agree(store):
 
 
 def test_snapshot_document(store):
-    doc = Q.snapshot(store["snapshots"], store["trades"], "ACME-CORP", "RATES-USD", D16).collect()
+    doc = Q.snapshot_document(store["snapshots"], store["trades"], "ACME-CORP", "RATES-USD",
+                              D16).collect()
     assert len(doc) == 1
     assert [t.trade_id for t in doc[0].trades] == ["T-001", "T-003"]
-    assert Q.snapshot(store["snapshots"], store["trades"], "ACME-CORP", "RATES-USD",
-                      dt.date(2000, 1, 1)).count() == 0
+    assert Q.snapshot_document(store["snapshots"], store["trades"], "ACME-CORP", "RATES-USD",
+                               dt.date(2000, 1, 1)).count() == 0
+
+
+def test_snapshot_rows(store):
+    rows = Q.snapshot(store["snapshots"], store["trades"], "ACME-CORP", cob_date=D15).collect()
+    got = sorted((r.netting_set_id, r.trade_id) for r in rows)
+    assert got == [("FX-EUR", None), ("RATES-USD", "T-001"), ("RATES-USD", "T-002")]
 
 
 def test_by_counterparty(store):
