@@ -115,9 +115,9 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
                   .agg(F.max(F.when(~is_finite("notional"), F.col("trade_id"))).alias("_bad_trade")))
     flagged = (headers.join(bad_trades, KEY, "left")
                .withColumn("_finite", header_finite(headers) & F.col("_bad_trade").isNull()))
-    accepted = flagged.where(F.col("_finite")).drop("_finite", "_bad_trade")
     if stage is not None:
-        accepted = stage("snapshots", accepted)
+        flagged = stage("snapshots", flagged)
+    accepted = flagged.where(F.col("_finite")).drop("_finite", "_bad_trade")
     rejects = rejects.unionByName(
         flagged.where(~F.col("_finite")).select(
             *KEY, F.lit("NON_FINITE").alias("reject_reason"),
