@@ -123,6 +123,7 @@ def stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache: dict = {}
     for pdf in batches:
         out = []
+        pdf = pdf.drop(columns=["position"], errors="ignore")
         pdf = pdf.astype(object).where(pdf.notna(), None)
         keys = list(zip(*(pdf[c] for c in key_cols)))
         fields = zip(pdf["trade_id"], *(pdf[c] for c in TRADE_PART_FIELDS))

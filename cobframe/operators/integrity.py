@@ -28,26 +28,30 @@ def document_parts(headers: DataFrame, trades: DataFrame) -> DataFrame:
         *KEY, F.lit(0).alias("part"), F.lit("").alias("trade_id"),
         F.to_json(F.struct("agreement", "cob_date", "counterparty_id", "market_data",
                            "netting_set_id"), _JSON_OPTS).alias("doc"), *null_fields)
+    seq = (F.col("position").cast("long") if "position" in trades.columns
+           else F.lit(None).cast("long"))
+    head = head.withColumn("position", F.lit(None).cast("long"))
     body = trades.select(
         *KEY, F.lit(1).alias("part"), "trade_id", F.lit(None).cast("string").alias("doc"),
-        "product_type", "notional", "currency", "maturity_date", "direction", "extra")
+        "product_type", "notional", "currency", "maturity_date", "direction", "extra",
+        seq.alias("position"))
     return head.unionByName(body)
 
 
 def snapshot_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
     """H2: ``sha256-v1:`` hash per snapshot key.
 
-    Parts are hash-partitioned by key and sorted (header first, trades by
-    trade_id); one streaming pass per partition feeds SHA-256 incrementally,
-    holding one Arrow batch at a time.  Trades are ordered by trade_id in the
-    document.
+    Parts are hash-partitioned by key and sorted (header first, then trades
+    by their stored ``position`` when the table has one, else by trade_id);
+    one streaming pass per partition feeds SHA-256 incrementally, holding one
+    Arrow batch at a time.
     """
     parts = document_parts(headers, trades)
     # Partition on an expression of the key: a plain repartition(*KEY) may be
     # dropped when the union's children already claim that partitioning, and
     # then one key's header and trades can sit in different partitions.
     ordered = (parts.repartition(F.xxhash64(*KEY))
-               .sortWithinPartitions(*KEY, "part", "trade_id"))
+               .sortWithinPartitions(*KEY, "part", "position", "trade_id"))
     return ordered.mapInPandas(stream_hashes, HASH_SCHEMA)
 
 

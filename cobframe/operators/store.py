@@ -68,8 +68,10 @@ def append_snapshots(result: IngestResult, root: str, batch_id: str | None = Non
                          "ingested_at", F.lit(batch_id).alias("batch_id"))
     _write(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
     written = read_snapshots(spark, root).where(F.col("batch_id") == batch_id)
-    trades = (result.trades.join(written.select(*KEY), KEY, "left_semi")
-              .withColumn("batch_id", F.lit(batch_id)))
+    trades = result.trades.join(written.select(*KEY), KEY, "left_semi")
+    if "position" not in trades.columns:
+        trades = trades.withColumn("position", F.lit(None).cast("long"))
+    trades = trades.withColumn("batch_id", F.lit(batch_id))
     _write(trades, table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
     _write(build_exposure_index(written), table_path(root, "exposure_index"), "append",

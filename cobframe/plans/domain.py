@@ -23,7 +23,7 @@ from cobframe.sources.staging import (read_staging_agreements, read_staging_mark
 
 AGREEMENT_ARRIVAL = ["arrival_seq"]
 TRADE_ARRIVAL = ["arrival"]
-STORE_VERSION = "2"
+STORE_VERSION = "3"
 
 
 def staged(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
@@ -89,7 +89,7 @@ class StoredTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         df = read_store_table(self.spark, self.root, self.NAMES[name])
-        return df.drop("batch_id") if "batch_id" in df.columns else df
+        return df.drop("batch_id", "position")
 
 
 def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
