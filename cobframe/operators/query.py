@@ -148,6 +148,19 @@ def inflation_rate_index(snapshots: DataFrame, index: str, cob_date=None,
     return m.select("cob_date", F.lit(index).alias("index_name"), val.alias("rate"))
 
 
+def market_consistency(snapshots: DataFrame) -> DataFrame:
+    """Audit for the first-snapshot rule of Q6/Q8: per date, how many distinct
+    FX and inflation sets the snapshots carry (more than one means the lookup
+    depends on key order).  Maps are compared by their sorted entries."""
+    def canon(m):
+        return F.to_json(F.array_sort(F.map_entries(F.col(m))))
+    return (snapshots.groupBy("cob_date")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_snapshots"),
+                 F.count_distinct(canon("market_data.fx_rates")).cast("long").alias("n_fx_sets"),
+                 F.count_distinct(canon("market_data.inflation_rates")).cast("long")
+                 .alias("n_inflation_sets")))
+
+
 def exposure_history(exposure_index: DataFrame, counterparty_id=None, netting_set_id=None,
                      from_date=None, to_date=None) -> DataFrame:
     """Q10/Q11: exposure series from the index, ascending by date."""

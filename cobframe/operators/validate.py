@@ -120,6 +120,16 @@ def validate_finite(headers: DataFrame, trades: DataFrame) -> Checked:
     return Checked(good, bad)
 
 
+def null_numeric_counts(staged_agreements: DataFrame) -> DataFrame:
+    """Per date, staging agreement rows whose NUMERIC terms are NULL and are
+    read as 0.0 (a NULL threshold silently means "no threshold")."""
+    terms = ["threshold_amount", "minimum_transfer_amount", "independent_amount",
+             "rounding_amount"]
+    return (staged_agreements.groupBy("cob_date")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                 *[F.count_if(F.col(t).isNull()).cast("long").alias(f"null_{t}") for t in terms]))
+
+
 def rejects_by_reason(rejects: DataFrame) -> DataFrame:
     """Counts of rejected rows per date and reason."""
     return (rejects.groupBy("cob_date", "reject_reason")

@@ -320,6 +320,16 @@ def q_validate_matrix_refs(spark, sf):
     return V.validate_matrix_refs(asm.headers, inventory).rejects
 
 
+@register("null_numeric_counts", "WITH " + O.agreements_raw(clean=False) + """
+SELECT cob_date, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(count(*) FILTER (WHERE threshold_raw IS NULL) AS BIGINT) AS null_threshold_amount,
+       CAST(0 AS BIGINT) AS null_minimum_transfer_amount,
+       CAST(0 AS BIGINT) AS null_independent_amount, CAST(0 AS BIGINT) AS null_rounding_amount
+FROM ag_raw GROUP BY cob_date""")
+def q_null_numeric_counts(spark, sf):
+    return V.null_numeric_counts(td.staging_agreements(spark, sf, clean_ids=False))
+
+
 def _raw_ingest(spark, sf):
     return domain.ingest_orders(spark, sf, clean_ids=False)
 
@@ -521,6 +531,14 @@ def q_inflation_rate_index(spark, sf):
     return Q.inflation_rate_index(domain.order_store(spark, sf)["snapshots"], "O3")
 
 
+@register("market_consistency", O.store(with_trades=False) + """
+SELECT cob_date, CAST(count(*) AS BIGINT) AS n_snapshots, CAST(1 AS BIGINT) AS n_fx_sets,
+       CAST(1 AS BIGINT) AS n_inflation_sets
+FROM snap GROUP BY cob_date""")
+def q_market_consistency(spark, sf):
+    return Q.market_consistency(domain.order_store(spark, sf)["snapshots"])
+
+
 # =========================================================== exposure Q10-Q13
 
 HIST_FROM, HIST_TO = "2024-01-05", "2024-01-25"

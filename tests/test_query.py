@@ -135,3 +135,9 @@ def test_index_staleness(spark, store):
     rows = {r.cob_date: r for r in Q.index_staleness(store["snapshots"], idx).collect()}
     assert rows[D15].stale is False and rows[D16].stale is True
     assert rows[D16].n_unindexed == 1
+
+
+def test_market_consistency(store):
+    rows = {r.cob_date: r for r in Q.market_consistency(store["snapshots"]).collect()}
+    assert (rows[D15].n_snapshots, rows[D15].n_fx_sets, rows[D15].n_inflation_sets) == (3, 2, 2)
+    assert rows[D16].n_fx_sets == 1
