@@ -488,13 +488,16 @@ FROM tr WHERE cob_date BETWEEN DATE '{BY_TRADE_FROM}' AND DATE '{BY_TRADE_TO}'""
 @register("by_trade", _BY_TRADE_SQL)
 def q_by_trade(spark, sf):
     st = domain.order_store(spark, sf)
-    return Q.by_trade(st["trade_index"], st["trades"], None, BY_TRADE_FROM, BY_TRADE_TO)
+    return Q.by_trade(st.read("trade_index", BY_TRADE_FROM, BY_TRADE_TO),
+                      st.read("trades", BY_TRADE_FROM, BY_TRADE_TO), None, BY_TRADE_FROM,
+                      BY_TRADE_TO)
 
 
 @register("by_trade_scan", _BY_TRADE_SQL)
 def q_by_trade_scan(spark, sf):
     st = domain.order_store(spark, sf)
-    return Q.by_trade_scan(st["trades"], None, BY_TRADE_FROM, BY_TRADE_TO)
+    return Q.by_trade_scan(st.read("trades", BY_TRADE_FROM, BY_TRADE_TO), None, BY_TRADE_FROM,
+                           BY_TRADE_TO)
 
 
 # =========================================================== market data Q6-Q9

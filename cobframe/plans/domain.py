@@ -56,9 +56,25 @@ def work_stage(spark: SparkSession, folder: str):
     return stage
 
 
+def _code_version() -> str:
+    """Fingerprint of the library's source: a store written by other code is
+    never reused from a shared checkpoint folder."""
+    h = hashlib.sha1(STORE_VERSION.encode())
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for folder, _, files in sorted(os.walk(pkg)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(folder, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()[:12]
+
+
+CODE_VERSION = _code_version()
+
+
 def store_root(spark: SparkSession, sf_dir: str, rounding_noise: bool = False) -> str:
     """Folder of the mapping-A store inside the session's shared checkpoint folder."""
-    tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{rounding_noise}|{STORE_VERSION}".encode())
+    tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{rounding_noise}|{CODE_VERSION}".encode())
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobframe-store-{tag.hexdigest()[:16]}"
 
 
@@ -88,7 +104,11 @@ class StoredTables:
         self.spark, self.root = spark, root
 
     def __getitem__(self, name: str) -> DataFrame:
-        df = read_store_table(self.spark, self.root, self.NAMES[name])
+        return self.read(name)
+
+    def read(self, name: str, from_date=None, to_date=None) -> DataFrame:
+        """A stored table; date bounds prune month directories and row groups."""
+        df = read_store_table(self.spark, self.root, self.NAMES[name], from_date, to_date)
         return df.drop("batch_id", "position")
 
 
@@ -100,5 +120,6 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_by_cutoff(feed: DataFrame, cutoff_hour: int = 23) -> DataFrame:
     """Index rows written by a daily index job running at ``cutoff_hour`` UTC:
     snapshots whose last input arrived later are not indexed yet."""
-    run_at = F.col("cob_date").cast("timestamp") + F.make_interval(hours=F.lit(cutoff_hour))
+    # wall-clock times without zone (like the feed's ``ts``): independent of the session zone
+    run_at = F.col("cob_date").cast("timestamp_ntz") + F.make_interval(hours=F.lit(cutoff_hour))
     return feed.where(F.col("ingested_at") <= run_at)
