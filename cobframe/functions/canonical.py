@@ -49,6 +49,27 @@ def document_hash(doc: dict) -> str:
     return HASH_PREFIX + hashlib.sha256(canonical_text(body).encode()).hexdigest()
 
 
+def _rounded_float(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"Non-finite float in snapshot: {text}")
+    return round(value, HASH_ROUND_DIGITS)
+
+
+def _no_constant(text: str):
+    raise ValueError(f"Non-finite float in snapshot: {text}")
+
+
+def loads_rounded(text: str):
+    """``json.loads`` that rounds every float while parsing (integers stay
+    integers), so parsed text needs no second walk before canonical dumping."""
+    return json.loads(text, parse_float=_rounded_float, parse_constant=_no_constant)
+
+
+def _dumps(obj) -> str:
+    return json.dumps(obj, sort_keys=True, separators=(",", ":"))
+
+
 def _with_extra_object(obj: dict) -> dict:
     extra = obj.get("extra")
     obj["extra"] = json.loads(extra) if isinstance(extra, str) and extra else (extra or {})
@@ -56,18 +77,35 @@ def _with_extra_object(obj: dict) -> dict:
 
 
 def header_prefix(header_json: str) -> str:
-    """Canonical text of the document up to and including ``"trades":[``.
+    """Canonical text of the document up to and including ``"trades":[``
+    from the Spark JSON of the non-trade fields.
 
     ``trades`` sorts after every other top-level key, so the document is
     ``prefix + ",".join(trade texts) + "]}"``.
     """
-    head = json.loads(header_json)
+    head = loads_rounded(header_json)
     head.pop("data_hash", None)
     head.pop("trades", None)
-    if head.get("agreement") is not None:
-        _with_extra_object(head["agreement"])
-    text = canonical_text(head)
-    return text[:-1] + ',"trades":['
+    agreement = head.get("agreement")
+    if agreement is not None:
+        extra = agreement.get("extra")
+        agreement["extra"] = loads_rounded(extra) if extra else {}
+    return _dumps(head)[:-1] + ',"trades":['
+
+
+def header_prefix_parts(counterparty_id: str, netting_set_id: str, cob_date, agreement_json: str,
+                        market_text: str) -> str:
+    """Same text as :func:`header_prefix`, assembled from the key, the
+    agreement JSON and the (already canonical) market-data text, which is
+    shared by every snapshot of a date and so rendered once per batch."""
+    agreement = loads_rounded(agreement_json) if agreement_json else None
+    if agreement is not None:
+        extra = agreement.get("extra")
+        agreement["extra"] = loads_rounded(extra) if extra else {}
+    d = cob_date.isoformat() if cob_date is not None else None
+    return ('{"agreement":' + _dumps(agreement) + ',"cob_date":' + _text(d)
+            + ',"counterparty_id":' + _text(counterparty_id) + ',"market_data":' + market_text
+            + ',"netting_set_id":' + _text(netting_set_id) + ',"trades":[')
 
 
 def trade_text(trade_json: str) -> str:
@@ -94,7 +132,7 @@ def trade_text_from_fields(trade_id, product_type, notional, currency, maturity_
     product_type, trade_id)."""
     canon_extra = extra_cache.get(extra)
     if canon_extra is None:
-        canon_extra = canonical_text(json.loads(extra) if extra else {})
+        canon_extra = _dumps(loads_rounded(extra) if extra else {})
         extra_cache[extra] = canon_extra
     if maturity_date is None or (isinstance(maturity_date, float) and math.isnan(maturity_date)):
         mdate = "null"
@@ -113,28 +151,39 @@ TRADE_PART_FIELDS = ["product_type", "notional", "currency", "maturity_date", "d
 
 def stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """mapInPandas body.  Input rows: key columns, ``part`` (0 = header with
-    its Spark JSON in ``doc``; 1 = trade with typed trade fields), sorted by
-    key, part, trade_id within each partition.  Output: one row per key.
+    the Spark JSON of the agreement in ``doc`` and of the market data in
+    ``market``; 1 = trade with typed trade fields), sorted by key, part and
+    trade order within each partition.  Output: one row per key.
     """
     key_cols = ["counterparty_id", "netting_set_id", "cob_date"]
     current = None
     digest = None
     n_trades = 0
     cache: dict = {}
+    market_cache: dict = {}
     for pdf in batches:
         out = []
-        pdf = pdf.drop(columns=["position"], errors="ignore")
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        keys = list(zip(*(pdf[c] for c in key_cols)))
-        fields = zip(pdf["trade_id"], *(pdf[c] for c in TRADE_PART_FIELDS))
-        for key, part, doc, tf in zip(keys, pdf["part"], pdf["doc"], fields):
+        cols = {c: pdf[c].tolist() for c in key_cols + ["part", "doc", "market", "trade_id"]
+                + TRADE_PART_FIELDS}
+        keys = list(zip(*(cols[c] for c in key_cols)))
+        fields = zip(cols["trade_id"], *(cols[c] for c in TRADE_PART_FIELDS))
+        if len(cache) > 100000:
+            cache.clear()
+        if len(market_cache) > 10000:
+            market_cache.clear()
+        for key, part, doc, market, tf in zip(keys, cols["part"], cols["doc"], cols["market"],
+                                              fields):
             if key != current:
                 if current is not None:
                     digest.update(b"]}")
                     out.append((*current, HASH_PREFIX + digest.hexdigest()))
                 current, digest, n_trades = key, hashlib.sha256(), 0
             if part == 0:
-                digest.update(header_prefix(doc).encode())
+                market_text = market_cache.get(market)
+                if market_text is None:
+                    market_text = _dumps(loads_rounded(market)) if market else "null"
+                    market_cache[market] = market_text
+                digest.update(header_prefix_parts(*key, doc, market_text).encode())
             else:
                 if n_trades:
                     digest.update(b",")

@@ -19,22 +19,22 @@ HASH_SCHEMA = "counterparty_id string, netting_set_id string, cob_date date, dat
 
 
 def document_parts(headers: DataFrame, trades: DataFrame) -> DataFrame:
-    """H1 input: one header part (Spark JSON text of the non-trade fields) and
-    one part per trade (typed fields, rendered in Python)."""
+    """H1 input: one header part (Spark JSON of the agreement and of the
+    market data) and one part per trade (typed fields, rendered in Python)."""
     null_fields = [F.lit(None).cast(t).alias(c) for c, t in
                    (("product_type", "string"), ("notional", "double"), ("currency", "string"),
                     ("maturity_date", "date"), ("direction", "string"), ("extra", "string"))]
     head = headers.select(
         *KEY, F.lit(0).alias("part"), F.lit("").alias("trade_id"),
-        F.to_json(F.struct("agreement", "cob_date", "counterparty_id", "market_data",
-                           "netting_set_id"), _JSON_OPTS).alias("doc"), *null_fields)
+        F.to_json("agreement", _JSON_OPTS).alias("doc"),
+        F.to_json("market_data", _JSON_OPTS).alias("market"), *null_fields)
     seq = (F.col("position").cast("long") if "position" in trades.columns
            else F.lit(None).cast("long"))
     head = head.withColumn("position", F.lit(None).cast("long"))
     body = trades.select(
         *KEY, F.lit(1).alias("part"), "trade_id", F.lit(None).cast("string").alias("doc"),
-        "product_type", "notional", "currency", "maturity_date", "direction", "extra",
-        seq.alias("position"))
+        F.lit(None).cast("string").alias("market"), "product_type", "notional", "currency",
+        "maturity_date", "direction", "extra", seq.alias("position"))
     return head.unionByName(body)
 
 
