@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cobframe.operators.ingest import IngestResult
 from cobframe.schema import KEY
 from cobframe.sources.stores import (PARTITION_COL, month_of, read_snapshot_trades,
-                                     read_snapshots, table_path)
+                                     read_snapshots, read_store_table, table_path, write_text)
 
 
 def snapshot_pointer() -> F.Column:
@@ -28,15 +28,17 @@ def snapshot_pointer() -> F.Column:
 
 
 def build_exposure_index(snapshots: DataFrame) -> DataFrame:
-    """K2: narrow ranking rows per snapshot."""
+    """K2: narrow ranking rows per snapshot (batch id kept when present)."""
     ing = F.col("ingested_at") if "ingested_at" in snapshots.columns else F.current_timestamp()
+    batch = ["batch_id"] if "batch_id" in snapshots.columns else []
     return snapshots.select(*KEY, "exposure_total", snapshot_pointer().alias("snapshot_path"),
-                            ing.alias("ingested_at"))
+                            ing.alias("ingested_at"), *batch)
 
 
 def build_trade_index(trades: DataFrame) -> DataFrame:
     """K3: one row per (trade, snapshot); snapshots without trades have none."""
-    return trades.select("trade_id", *KEY).distinct()
+    batch = ["batch_id"] if "batch_id" in trades.columns else []
+    return trades.select("trade_id", *KEY, *batch).distinct()
 
 
 def _write(df: DataFrame, path: str, mode: str, sort_cols: list[str]) -> None:
@@ -67,7 +69,7 @@ def append_snapshots(result: IngestResult, root: str, batch_id: str | None = Non
     snaps = snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
                          "ingested_at", F.lit(batch_id).alias("batch_id"))
     _write(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
-    written = read_snapshots(spark, root).where(F.col("batch_id") == batch_id)
+    written = read_store_table(spark, root, "snapshots", batch_id=batch_id)
     trades = result.trades.join(written.select(*KEY), KEY, "left_semi")
     if "position" not in trades.columns:
         trades = trades.withColumn("position", F.lit(None).cast("long"))
@@ -76,11 +78,13 @@ def append_snapshots(result: IngestResult, root: str, batch_id: str | None = Non
            ["counterparty_id", "netting_set_id", "trade_id"])
     _write(build_exposure_index(written), table_path(root, "exposure_index"), "append",
            ["counterparty_id", "netting_set_id"])
-    written_trades = read_snapshot_trades(spark, root).where(F.col("batch_id") == batch_id)
+    written_trades = read_store_table(spark, root, "snapshot_trades", batch_id=batch_id)
     _write(build_trade_index(written_trades), table_path(root, "trade_index"), "append",
            ["trade_id"])
     _write(result.rejects.withColumn("batch_id", F.lit(batch_id)), table_path(root, "rejects"),
            "append", ["counterparty_id"])
+    # commit: from here on readers see the batch in every table at once
+    write_text(spark, f"{root.rstrip('/')}/_batches/{batch_id}", "committed")
     return batch_id
 
 

@@ -64,7 +64,7 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
     keep their document ``position`` so recomputed hashes follow the stored
     order."""
     from cobframe.operators.store import _write, build_exposure_index, build_trade_index
-    from cobframe.sources.stores import read_snapshot_trades, read_snapshots, table_path
+    from cobframe.sources.stores import read_store_table, table_path, write_text
     src = read_json_layout(spark, data_dir)
     exposure = src["exposure_index"].select(*KEY, "exposure_total")
     snaps = (src["snapshots"].join(exposure, KEY, "left")
@@ -77,8 +77,10 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
            .withColumn("batch_id", F.lit("migrated")),
            table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
-    _write(build_exposure_index(read_snapshots(spark, root)), table_path(root, "exposure_index"),
-           "append", ["counterparty_id", "netting_set_id"])
-    _write(build_trade_index(read_snapshot_trades(spark, root)), table_path(root, "trade_index"),
-           "append", ["trade_id"])
+    _write(build_exposure_index(read_store_table(spark, root, "snapshots", batch_id="migrated")),
+           table_path(root, "exposure_index"), "append", ["counterparty_id", "netting_set_id"])
+    _write(build_trade_index(read_store_table(spark, root, "snapshot_trades",
+                                              batch_id="migrated")),
+           table_path(root, "trade_index"), "append", ["trade_id"])
+    write_text(spark, f"{root.rstrip('/')}/_batches/migrated", "committed")
     return root

@@ -38,12 +38,33 @@ def month_of(c):
     return F.trunc(c, "month")
 
 
+def committed_batches(spark: SparkSession, root: str) -> list[str] | None:
+    """Ids of the batches whose append finished (one marker file each under
+    ``{root}/_batches``); None for a store written without markers."""
+    fs, p = _fs(spark, f"{root.rstrip('/')}/_batches")
+    if not fs.exists(p):
+        return None
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)
+                  if not st.getPath().getName().startswith("."))
+
+
 def read_store_table(spark: SparkSession, root: str, name: str, from_date=None,
-                     to_date=None) -> DataFrame:
+                     to_date=None, batch_id: str | None = None) -> DataFrame:
     """Read one stored table.  Date bounds become a partition filter on
     the month directories plus a pushed filter on ``cob_date`` (S9: only
-    ``cob_month=`` directories holding a valid date are discovered)."""
+    ``cob_month=`` directories holding a valid date are discovered).
+
+    Only rows of committed batches are visible (a batch whose job died half
+    way stays invisible); ``batch_id`` reads one batch, committed or not,
+    which the writer itself uses before committing."""
     df = spark.read.option("basePath", table_path(root, name)).parquet(table_path(root, name))
+    if "batch_id" in df.columns:
+        if batch_id is not None:
+            df = df.where(F.col("batch_id") == batch_id)
+        else:
+            done = committed_batches(spark, root)
+            if done is not None:
+                df = df.where(F.col("batch_id").isin(done))
     if from_date is not None or to_date is not None:
         cond = date_range("cob_date", from_date, to_date)
         if from_date is not None:
