@@ -233,14 +233,20 @@ def q_snapshot_hash(spark, sf):
     return H.snapshot_hashes(st["snapshots"].drop("data_hash"), st["trades"])
 
 
+def _tampered(snapshots: DataFrame) -> DataFrame:
+    """Stored snapshots whose rounding amounts were altered after hashing
+    (by less than the diff epsilon)."""
+    noise = td.tamper_rounding(F.col("exposure_total")).cast("decimal(38,10)").cast("double")
+    return snapshots.withColumn("agreement",
+                                F.col("agreement").withField("rounding_amount", noise))
+
+
 @register("integrity_audit", None)
 def q_integrity_audit(spark, sf):
-    """Stored hashes (clean ingest) audited against a copy whose rounding
-    amounts were altered below the diff epsilon: the hash must notice."""
-    clean = domain.order_store(spark, sf)
-    tampered = domain.ingest_orders(spark, sf, rounding_noise=True)
-    stored = tampered.snapshots.join(clean["snapshots"].select(*KEY, "data_hash"), KEY)
-    return H.audit_integrity(stored, tampered.trades).select(
+    """H3 over the store after a tampering: every stored hash is recomputed
+    from the altered rows and must flag exactly those rows."""
+    st = domain.order_store(spark, sf)
+    return H.audit_integrity(_tampered(st["snapshots"]), st["trades"]).select(
         *KEY, "stored_hash", "computed_hash", "status")
 
 
@@ -682,7 +688,7 @@ JOIN snap t ON t.counterparty_id = p.counterparty_id AND t.netting_set_id = p.ne
 
 @register("diff_agreement", _pairs_store(noise=True) + _agreement_changes_sql())
 def q_diff_agreement(spark, sf):
-    snaps = domain.ingest_orders(spark, sf, rounding_noise=True).snapshots
+    snaps = _tampered(domain.order_store(spark, sf)["snapshots"])
     pairs = D.consecutive_pairs(snaps)
     return D.agreement_changes(pairs, snaps)
 

@@ -17,7 +17,7 @@ def _ns(clean: bool, alias: str = "") -> str:
 
 
 def agreements_raw(clean: bool = True, noise: bool = False) -> str:
-    rounding = "(o_orderkey % 7) * 1e-10" if noise else "0.0"
+    rounding = "(CAST(floor(o_totalprice) AS BIGINT) % 7) * 1e-10" if noise else "0.0"
     return f"""ag_raw AS (
   SELECT 'CP-' || o_custkey AS counterparty_id,
          {_ns(clean)} AS netting_set_id,

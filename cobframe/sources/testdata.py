@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tamper_rounding(exposure) -> F.Column:
+    """Sub-epsilon rounding amounts (0 to 6e-10) derived from the exposure:
+    the diff must ignore them, the v1 hash must notice them."""
+    return (F.floor(exposure) % 7) * F.lit(1e-10)
+
+
 def _ns(clean: bool):
     raw = F.col("o_orderpriority")
     return F.regexp_replace(raw, " ", "_") if clean else raw
@@ -41,7 +47,8 @@ def staging_agreements(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     status = F.col("o_orderstatus")
-    rounding = ((k % 7) * F.lit(1e-10)).cast(NUM) if rounding_noise else F.lit(0).cast(NUM)
+    rounding = (tamper_rounding(F.col("o_totalprice")).cast(NUM) if rounding_noise
+                else F.lit(0).cast(NUM))
     return o.select(
         F.concat(F.lit("CP-"), F.col("o_custkey").cast("string")).alias("counterparty_id"),
         _ns(clean_ids).alias("netting_set_id"),
