@@ -70,12 +70,6 @@ def _dumps(obj) -> str:
     return json.dumps(obj, sort_keys=True, separators=(",", ":"))
 
 
-def _with_extra_object(obj: dict) -> dict:
-    extra = obj.get("extra")
-    obj["extra"] = json.loads(extra) if isinstance(extra, str) and extra else (extra or {})
-    return obj
-
-
 def header_prefix(header_json: str) -> str:
     """Canonical text of the document up to and including ``"trades":[``
     from the Spark JSON of the non-trade fields.
@@ -108,9 +102,6 @@ def header_prefix_parts(counterparty_id: str, netting_set_id: str, cob_date, agr
             + ',"netting_set_id":' + _text(netting_set_id) + ',"trades":[')
 
 
-def trade_text(trade_json: str) -> str:
-    return canonical_text(_with_extra_object(json.loads(trade_json)))
-
 
 def _number(x) -> str:
     if x is None:

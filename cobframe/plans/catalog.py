@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobframe.functions.columns import date_range
 from cobframe.operators import assemble as A
 from cobframe.operators import diff as D
 from cobframe.operators import history as E

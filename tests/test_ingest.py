@@ -5,16 +5,14 @@ import os
 import tempfile
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cobframe.functions.canonical import document_hash
 from cobframe.operators import assemble as A
 from cobframe.operators import integrity as H
 from cobframe.operators import store as K
 from cobframe.operators import validate as V
-from cobframe.operators.ingest import (backfill_counts, completeness_check, ingest_batch,
-                                       ingest_outcomes, ingest_status)
-from cobframe.schema import KEY
+from cobframe.operators.ingest import (backfill_counts, ingest_batch, ingest_outcomes,
+                                       ingest_status)
 from cobframe.sources.staging import (load_landing_csv, read_staging_agreements,
                                       read_staging_market_data, read_staging_trades)
 from cobframe.sources.stores import read_exposure_index, read_snapshots, read_trade_index, \
