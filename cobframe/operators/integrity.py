@@ -73,11 +73,14 @@ def audit_integrity(snapshots: DataFrame, trades: DataFrame) -> DataFrame:
 def verify_on_read(snapshots: DataFrame, trades: DataFrame) -> DataFrame:
     """H3 strict form: the snapshots, failing the job on the first mismatch."""
     audit = audit_integrity(snapshots, trades)
-    checked = audit.select(*KEY, F.when(F.col("status") == "OK", F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("IntegrityError: stored "), F.col("stored_hash"),
-                               F.lit(" computed "), F.coalesce("computed_hash", F.lit("none")))))
-        .alias("_ok"))
-    return snapshots.join(checked, KEY).drop("_ok")
+    # the check is a filter predicate: a computed column that is dropped
+    # afterwards would be pruned by the optimizer and never evaluated
+    failure = F.raise_error(F.concat(F.lit("IntegrityError: stored "), F.col("stored_hash"),
+                                     F.lit(" computed "),
+                                     F.coalesce("computed_hash", F.lit("none"))))
+    checked = audit.where(F.when(F.col("status") == "OK", F.lit(True))
+                          .otherwise(failure.cast("boolean")))
+    return snapshots.join(checked.select(*KEY), KEY, "left_semi")
 
 
 # ---------------------------------------------------------------- matrices
