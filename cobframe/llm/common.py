@@ -56,7 +56,7 @@ def text_or_empty(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows holding about ``max_bytes`` of text each, one row at least."""
     start = held = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):

@@ -6,7 +6,8 @@ Windows of eight template words are hashed and joined with those of the
 benchmark.  Along one alignment of a document with an item, every slot value of
 the item must go to one value of the document (a re-parameterised question
 replaces 5 by 7 everywhere); alignments that break this are dropped.  A pair is
-a finding when its alignments cover the wanted share of the item's windows.
+a finding when its alignments cover the wanted share of the item's windows, or
+one of them as many windows as a passage of 13 words has.
 
 Defined results: null and empty texts have no windows; an item of fewer words
 than a window is one window as a whole, one of fewer than ``least_words`` takes
@@ -19,6 +20,7 @@ with a null doc_id; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ UNITS = frozenset(
     "liters gallon gallons second seconds s minute minutes min hour hours h day days week weeks month months year years "
     "percent degrees celsius fahrenheit mph kmh km/h dollar dollars usd euro euros eur pound pounds cents watts w kw v "
     "volts amps hz khz mhz ghz kb mb gb tb joules newton newtons pa bar".split())
+WORD = re.compile(r"\n|[^\s]+")
 LITERAL, NUM, UNIT, NAME, BREAK, NONE = range(6)
 MARKS = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65], np.uint64)  # hashes of the placeholders
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -69,26 +72,26 @@ class Templates:
         self.capital = np.append(self.capital, np.array(capital, bool))
         self.ends = np.append(self.ends, np.array(ends, bool))
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, kind and code of every template word."""
+    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hash, kind and code of every template word of each text."""
         if len(self.seen) > self.remember:
             self.clear()
-        words = text.replace("\n", " \0 ").split(" ") if "\n" in text else text.split(" ")
-        words = [p for w in words for p in (w.split() if w != "\0" else ("\n",))] if not text.isascii() or "\t" in text else \
-            ["\n" if w == "\0" else w for w in words if w]
-        code = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        new = self.seen.take()
-        if new:
-            self.learn(new)
-        code = code[self.kind[code] != NONE]
-        kind = self.kind[code].copy()
-        before = np.append(True, self.ends[code][:-1])
-        kind[(kind == LITERAL) & self.capital[code] & ~before] = NAME
-        solid = kind != BREAK
-        code, kind = code[solid], kind[solid]
-        after_number = np.append(False, kind[:-1] == NUM)
-        kind[(kind == UNIT) & ~after_number] = LITERAL
-        return np.where(kind == LITERAL, self.hash[code], MARKS[np.where(kind == LITERAL, 0, kind)]), kind, code
+        look = self.seen.__getitem__
+        coded = []
+        for text in texts:
+            words = WORD.findall(text)
+            coded.append(np.fromiter(map(look, words), np.int64, len(words)))
+        self.learn(self.seen.take())
+        for code in coded:
+            code = code[self.kind[code] != NONE]
+            kind = self.kind[code].copy()
+            before = np.append(True, self.ends[code][:-1])
+            kind[(kind == LITERAL) & self.capital[code] & ~before] = NAME
+            solid = kind != BREAK
+            code, kind = code[solid], kind[solid]
+            after_number = np.append(False, kind[:-1] == NUM)
+            kind[(kind == UNIT) & ~after_number] = LITERAL
+            yield np.where(kind == LITERAL, self.hash[code], MARKS[np.where(kind == LITERAL, 0, kind)]), kind, code
 
     def slots(self, kind: np.ndarray, code: np.ndarray) -> list[str]:
         return [f"{k}:{self.core[c].lower()}" for k, c in zip(kind.tolist(), code.tolist(), strict=True) if k != LITERAL]
@@ -112,8 +115,8 @@ def _item_windows(window: int, least_words: int):
         templates = Templates()
         for batch in batches:
             out = []
-            for item, text in zip(batch.column("item_id").to_pylist(), common.text_or_empty(batch, "text"), strict=True):
-                words, kind, code = templates.of(text)
+            for item, (words, kind, code) in zip(batch.column("item_id").to_pylist(),
+                                                 templates.of(common.text_or_empty(batch, "text")), strict=True):
                 n = min(window, len(words))
                 if n < least_words:
                     continue
@@ -127,8 +130,8 @@ def _item_windows(window: int, least_words: int):
     return run
 
 
-def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.3, least_words: int = 5,
-             small_windows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
+def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.3, passage_windows: int = 6,
+             least_words: int = 5, small_windows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_key, doc_id, item_id, n_windows, item_windows, share, exact`` of every
     document and item that share template windows enough.
@@ -152,11 +155,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: floa
     def run(batches):
         templates = Templates()
         wanted = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text")):
             out = []
-            for key, doc, text in zip(batch.column("doc_key").to_pylist(), batch.column("doc_id").to_pylist(),
-                                      common.text_or_empty(batch, "text"), strict=True):
-                words, kind, code = templates.of(text)
+            for key, doc, (words, kind, code) in zip(batch.column("doc_key").to_pylist(), batch.column("doc_id").to_pylist(),
+                                                     templates.of(common.text_or_empty(batch, "text")), strict=True):
                 for n in sizes:
                     at, h = window_hashes(words, kind, n)
                     h = h.view(np.int64)
@@ -189,9 +191,11 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: floa
     same = F.forall("pairs", lambda p: p["islots"] == p["slots"])
     found = steady.withColumn("same", same).groupBy("doc_key", "doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_windows"),
+        F.max(F.size("covered")).alias("longest"),
         F.max("windows").alias("item_windows"), F.every("same").alias("exact"))
-    return found.where(F.col("n_windows") >= F.greatest(F.lit(1.0), F.lit(share) * F.col("item_windows"))).withColumn(
-        "share", F.col("n_windows") / F.col("item_windows"))
+    enough = ((F.col("n_windows") >= F.greatest(F.lit(1.0), F.lit(share) * F.col("item_windows")))
+              | (F.col("longest") >= passage_windows))
+    return found.where(enough).drop("longest").withColumn("share", F.col("n_windows") / F.col("item_windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -42,10 +42,11 @@ SCOPE = frozenset("ul ol dl table html body article section div main aside nav t
 DROPPED = frozenset("head script style noscript template nav footer aside form iframe svg canvas object button select textarea "
                     "input dialog menu audio video map math".split())
 ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|footer|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|masthead|footer|"
     r"comments?|reply|replies|disqus|notice|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags?|search|copyright|"
     r"complementary|contentinfo|navigation|skip)(?:$|[\s_-])", re.IGNORECASE)
+HEADER = re.compile(r"(?:^| )(?:class|id)=(?:[^=]*[\s_-])?header(?:$|[\s_-])", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 
@@ -229,6 +230,11 @@ def dropped(node: Node) -> bool:
         ROLES.search(m.split("=", 1)[1]) for m in re.split(r" (?=(?:class|id|role)=)", node.mark) if m.startswith(("class=", "id=", "role=")))
 
 
+def titled(node: Node) -> bool:
+    """Whether a header holds a heading, and so may be the article's own."""
+    return any(c.tag in ("h1", "h2", "h3") or any(g.tag in ("h1", "h2", "h3") for g in c.below) for c in node.below)
+
+
 def mains(root: Node) -> list[Node]:
     """The outermost article or main elements outside dropped ones; the root without any."""
     found, stack = [], [root]
@@ -264,7 +270,7 @@ def text_of(root: Node, template: set[int]) -> str:
             continue
         if dropped(n):
             continue
-        if n.tag == "header" and not any(c.tag in ("h1", "h2", "h3") for c in n.below):
+        if (n.tag == "header" or n.mark and HEADER.search(n.mark)) and not titled(n):
             continue
         if n.tag == "br":
             line.append(" ")
