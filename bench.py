@@ -23,9 +23,10 @@ HEADLINE = [
     # ingest-side operators (lazy over the staging tables)
     "assemble_snapshots", "snapshot_hash", "integrity_audit", "validate_ids",
     "reject_duplicates", "completeness_check", "matrix_verify", "ingest_outcomes",
-    "pivot_market_data", "landing_dedupe",
+    "pivot_market_data", "landing_dedupe", "landing_rejects", "backfill_counts", "ingest_status",
+    "rejects_by_reason", "validate_matrix_refs",
     # query operators over the stored tables
-    "snapshot", "by_trade", "by_trade_scan", "fx_rates", "portfolio_topn", "who_matters",
+    "snapshot", "snapshot_lookup", "by_trade_scan", "by_trade", "by_trade_ids", "fx_rates", "portfolio_topn", "who_matters",
     "exposure_history", "product_notional", "trade_notional_series",
     # diff and history
     "diff_trades_added", "diff_agreement", "diff_fx", "diff_summary", "change_log",

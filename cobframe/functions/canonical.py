@@ -6,10 +6,10 @@ decimals and printed the way Python prints them; lists in order; compact
 separators; non-ASCII escaped.  NaN / Inf are not allowed.
 
 Spark's own JSON writer prints doubles differently (``1.0E7``), so the text
-is re-rendered in Python.  The expensive part (rendering each trade) runs as
-a vectorised pass over the long trades table; the per-snapshot SHA-256 is
-streamed over key-sorted partitions, so a snapshot's trades are never
-gathered into one array or one pandas frame.
+is re-rendered in Python: headers and trades where they lie, before the
+shuffle by snapshot, so a large snapshot's trades are rendered by many tasks.
+The keyed stage streams the texts of key-sorted partitions into SHA-256; a
+snapshot's trades are never gathered into one array or one pandas frame.
 """
 
 from __future__ import annotations
@@ -23,30 +23,7 @@ from json.encoder import encode_basestring_ascii as _quote
 
 import pandas as pd
 
-from cobframe.schema import HASH_PREFIX, HASH_ROUND_DIGITS
-
-
-def _prepare(value):
-    """Round floats (rejecting non-finite ones); walk dicts and lists."""
-    if type(value) is float:
-        if not math.isfinite(value):
-            raise ValueError(f"Non-finite float in snapshot: {value}")
-        return round(value, HASH_ROUND_DIGITS)
-    if type(value) is dict:
-        return {k: _prepare(v) for k, v in value.items()}
-    if type(value) is list:
-        return [_prepare(v) for v in value]
-    return value
-
-
-def canonical_text(doc) -> str:
-    return json.dumps(_prepare(doc), sort_keys=True, separators=(",", ":"))
-
-
-def document_hash(doc: dict) -> str:
-    """Hash of a whole document given as a Python dict (used by tests and K5 checks)."""
-    body = {k: v for k, v in doc.items() if k != "data_hash"}
-    return HASH_PREFIX + hashlib.sha256(canonical_text(body).encode()).hexdigest()
+from cobframe.schema import HASH_PREFIX, HASH_ROUND_DIGITS, KEY
 
 
 def _rounded_float(text: str) -> float:
@@ -70,28 +47,13 @@ def _dumps(obj) -> str:
     return json.dumps(obj, sort_keys=True, separators=(",", ":"))
 
 
-def header_prefix(header_json: str) -> str:
-    """Canonical text of the document up to and including ``"trades":[``
-    from the Spark JSON of the non-trade fields.
-
-    ``trades`` sorts after every other top-level key, so the document is
-    ``prefix + ",".join(trade texts) + "]}"``.
-    """
-    head = loads_rounded(header_json)
-    head.pop("data_hash", None)
-    head.pop("trades", None)
-    agreement = head.get("agreement")
-    if agreement is not None:
-        extra = agreement.get("extra")
-        agreement["extra"] = loads_rounded(extra) if extra else {}
-    return _dumps(head)[:-1] + ',"trades":['
-
-
 def header_prefix_parts(counterparty_id: str, netting_set_id: str, cob_date, agreement_json: str,
                         market_text: str) -> str:
-    """Same text as :func:`header_prefix`, assembled from the key, the
-    agreement JSON and the (already canonical) market-data text, which is
-    shared by every snapshot of a date and so rendered once per batch."""
+    """Canonical text of a document up to and including ``"trades":[``, from
+    the key, the agreement's JSON and the (already canonical) market-data text.
+
+    ``trades`` sorts after every other top-level key, so the document is this
+    text, the trade texts joined by commas, and ``]}``."""
     agreement = loads_rounded(agreement_json) if agreement_json else None
     if agreement is not None:
         extra = agreement.get("extra")
@@ -117,14 +79,11 @@ def _text(s) -> str:
 
 
 def trade_text_from_fields(trade_id, product_type, notional, currency, maturity_date,
-                           direction, extra, extra_cache: dict) -> str:
+                           direction, extra, extra_cache: TextCache) -> str:
     """Canonical text of one trade straight from its typed fields (keys in
     sorted order: currency, direction, extra, maturity_date, notional,
     product_type, trade_id)."""
-    canon_extra = extra_cache.get(extra)
-    if canon_extra is None:
-        canon_extra = _dumps(loads_rounded(extra) if extra else {})
-        extra_cache[extra] = canon_extra
+    canon_extra = extra_cache.get(extra, lambda e: _dumps(loads_rounded(e) if e else {}))
     if maturity_date is None or (isinstance(maturity_date, float) and math.isnan(maturity_date)):
         mdate = "null"
     else:
@@ -136,53 +95,70 @@ def trade_text_from_fields(trade_id, product_type, notional, currency, maturity_
             + ',"trade_id":' + _text(trade_id) + "}")
 
 
-TRADE_PART_FIELDS = ["product_type", "notional", "currency", "maturity_date", "direction",
+TRADE_PART_FIELDS = ["trade_id", "product_type", "notional", "currency", "maturity_date", "direction",
                      "extra"]
 
 
+class TextCache:
+    """Remembers rendered texts up to a number of characters, then starts afresh."""
+
+    def __init__(self, most_chars: int = 32_000_000):
+        self.most, self.held, self.texts = most_chars, 0, {}
+
+    def get(self, key, render):
+        text = self.texts.get(key)
+        if text is None:
+            text = render(key)
+            size = len(text) + len(key or "")
+            if self.held + size > self.most:
+                self.texts, self.held = {}, 0
+            self.texts[key] = text
+            self.held += size
+        return text
+
+
+def render_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas body: key, ``doc`` (Spark JSON of the agreement) and
+    ``market`` (of the market data, shared by a date's snapshots) -> key, ``text``."""
+    cache = TextCache()
+    for pdf in batches:
+        out = pdf[KEY].copy()
+        out["text"] = [header_prefix_parts(*key, doc, cache.get(market, lambda m: _dumps(loads_rounded(m)) if m else "null"))
+                       for *key, doc, market in pdf[[*KEY, "doc", "market"]].itertuples(index=False, name=None)]
+        yield out
+
+
+def render_trades(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas body: typed trade fields -> key, order columns, ``text``."""
+    cache = TextCache()
+    for pdf in batches:
+        out = pdf[[*KEY, "position", "trade_id"]].copy()
+        columns = zip(*(pdf[c].tolist() for c in TRADE_PART_FIELDS), strict=True)
+        out["text"] = [trade_text_from_fields(*fields, cache) for fields in columns]
+        yield out
+
+
 def stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body.  Input rows: key columns, ``part`` (0 = header with
-    the Spark JSON of the agreement in ``doc`` and of the market data in
-    ``market``; 1 = trade with typed trade fields), sorted by key, part and
-    trade order within each partition.  Output: one row per key.
+    """mapInPandas body.  Input: key columns, ``part`` (0 = header, 1 = trade)
+    and the rendered ``text``, sorted by key, part and trade order within each
+    partition.  Output: one row per key.  Only feeds bytes to the digest.
     """
-    key_cols = ["counterparty_id", "netting_set_id", "cob_date"]
-    current = None
-    digest = None
+    current = digest = None
     n_trades = 0
-    cache: dict = {}
-    market_cache: dict = {}
     for pdf in batches:
         out = []
-        cols = {c: pdf[c].tolist() for c in key_cols + ["part", "doc", "market", "trade_id"]
-                + TRADE_PART_FIELDS}
-        keys = list(zip(*(cols[c] for c in key_cols)))
-        fields = zip(cols["trade_id"], *(cols[c] for c in TRADE_PART_FIELDS))
-        if len(cache) > 100000:
-            cache.clear()
-        if len(market_cache) > 10000:
-            market_cache.clear()
-        for key, part, doc, market, tf in zip(keys, cols["part"], cols["doc"], cols["market"],
-                                              fields):
+        for *key, part, text in pdf[[*KEY, "part", "text"]].itertuples(index=False, name=None):
             if key != current:
                 if current is not None:
                     digest.update(b"]}")
                     out.append((*current, HASH_PREFIX + digest.hexdigest()))
                 current, digest, n_trades = key, hashlib.sha256(), 0
-            if part == 0:
-                market_text = market_cache.get(market)
-                if market_text is None:
-                    market_text = _dumps(loads_rounded(market)) if market else "null"
-                    market_cache[market] = market_text
-                digest.update(header_prefix_parts(*key, doc, market_text).encode())
-            else:
-                if n_trades:
-                    digest.update(b",")
-                digest.update(trade_text_from_fields(*tf, cache).encode())
-                n_trades += 1
+            if part and n_trades:
+                digest.update(b",")
+            n_trades += part
+            digest.update(text.encode())
         if out:
-            yield pd.DataFrame(out, columns=key_cols + ["data_hash"])
+            yield pd.DataFrame(out, columns=[*KEY, "data_hash"])
     if current is not None:
         digest.update(b"]}")
-        yield pd.DataFrame([(*current, HASH_PREFIX + digest.hexdigest())],
-                           columns=key_cols + ["data_hash"])
+        yield pd.DataFrame([(*current, HASH_PREFIX + digest.hexdigest())], columns=[*KEY, "data_hash"])

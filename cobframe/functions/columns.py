@@ -55,15 +55,25 @@ def as_date(d) -> Column:
     return F.lit(d)
 
 
-def date_range(col: str, from_date=None, to_date=None) -> Column:
-    """Inclusive optional date bounds (partition-prunable when ``col`` is a partition)."""
+def date_range(col: str, from_date=None, to_date=None, month_col: str | None = None) -> Column:
+    """Inclusive optional date bounds.  ``month_col``: the partition column
+    holding the month of ``col``, bounded as well so that directories prune."""
     cond = F.lit(True)
     if from_date is not None:
         cond = cond & (F.col(col) >= as_date(from_date))
+        if month_col:
+            cond = cond & (F.col(month_col) >= F.trunc(as_date(from_date), "month"))
     if to_date is not None:
         cond = cond & (F.col(col) <= as_date(to_date))
+        if month_col:
+            cond = cond & (F.col(month_col) <= as_date(to_date))
     return cond
 
 
+def month_col_of(df) -> str | None:
+    """The month partition column, where a stored table still carries it."""
+    return "cob_month" if "cob_month" in df.columns else None
+
+
 def typed_empty_map(key_type: str, value_type: str) -> Column:
     return F.create_map().cast(f"map<{key_type},{value_type}>")

@@ -12,10 +12,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cobframe.functions.columns import or_default, typed_empty_map
 from cobframe.schema import (DEFAULT_CURRENCY, DEFAULT_DIRECTION, DEFAULT_PRODUCT_TYPE, KEY,
-                             MARKET_FX, MARKET_INFLATION)
+                             MARKET_FX, MARKET_INFLATION, TRADE, TRADE_FIELDS)
 from cobframe.sources.staging import dedupe_first
 
 
@@ -81,9 +82,10 @@ def pivot_market_data(market: DataFrame) -> DataFrame:
            .agg(F.min_by("value", F.struct(F.col(order), F.col("value"))).alias("value")))
     entry = F.struct("key", "value")
     return (one.groupBy("cob_date").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("data_type") == MARKET_FX, entry)))
+        # sorted entries: equal sets of a date are equal values and equal texts
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("data_type") == MARKET_FX, entry))))
          .alias("fx_rates"),
-        F.map_from_entries(F.collect_list(F.when(F.col("data_type") == MARKET_INFLATION, entry)))
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("data_type") == MARKET_INFLATION, entry))))
          .alias("inflation_rates")))
 
 
@@ -124,11 +126,11 @@ def collect_matrix_refs(refs: DataFrame) -> DataFrame:
     one = (refs.groupBy(*KEY, "instrument")
            .agg(F.max_by(F.struct("path", "hash"), F.col("path")).alias("ref")))
     return (one.groupBy(*KEY)
-            .agg(F.map_from_entries(F.collect_list(F.struct("instrument", "ref")))
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("instrument", "ref"))))
                  .alias("price_matrices")))
 
 
-def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFrame | None = None,
+def assemble_snapshots(agreements: DataFrame, trades: DataFrame | None = None, market: DataFrame | None = None,
                        matrix_refs: DataFrame | None = None, exposure: DataFrame | None = None,
                        trade_order: list[str] | None = None, stage=None) -> Assembled:
     """A2: one snapshot per agreement row.
@@ -137,6 +139,7 @@ def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFra
       without trades has none
     * the date's market data is attached to every snapshot of that date
     * matrix refs attach per key
+    * without ``trades`` the headers alone are assembled
     * ``exposure`` (A15): optional (key, exposure_total) feed, default 0.0;
       an ``exposure_total`` column already on ``agreements`` is used otherwise
 
@@ -172,6 +175,9 @@ def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFra
                  F.coalesce(F.col("price_matrices"), empty_refs).alias("price_matrices"))
          .alias("market_data"),
         "exposure_total", *extra_cols)
+    if trades is None:
+        return Assembled(headers, headers.select(*KEY, *[F.lit(None).cast(f.dataType).alias(f.name) for f in TRADE.fields])
+                         .where(F.lit(False)))
     tr = apply_trade_defaults(group_trades(trades, trade_order))
     if stage is not None:
         tr = stage("trades", tr)
@@ -180,26 +186,16 @@ def assemble_snapshots(agreements: DataFrame, trades: DataFrame, market: DataFra
 
 
 def nest_trades(headers: DataFrame, trades: DataFrame) -> DataFrame:
-    """Document form: ``trades`` as an array of structs ordered by trade_id.
+    """Document form: ``trades`` as an array of structs in stored ``position``
+    order where the table has one, else by trade_id.
 
-    Use only on a selection whose documents are the output (a point lookup,
-    an export): the array of one snapshot is built in one task.
+    Use only on a selection whose documents are the output (a point lookup):
+    the array of one snapshot is built in one task.
     """
-    tstruct = F.struct("trade_id", "product_type", "notional", "currency", "maturity_date",
-                       "direction", "extra")
+    tstruct = F.struct(*TRADE_FIELDS)
+    position = F.col("position") if "position" in trades.columns else F.lit(None).cast("long")
     nested = (trades.groupBy(*KEY)
-              .agg(F.array_sort(F.collect_list(tstruct)).alias("trades")))
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct(position.alias("p"), "trade_id", tstruct.alias("t")))),
+                               lambda x: x["t"]).alias("trades")))
     return (headers.join(nested, KEY, "left")
-            .withColumn("trades", F.coalesce("trades", F.array().cast(
-                "array<struct<trade_id:string,product_type:string,notional:double,"
-                "currency:string,maturity_date:date,direction:string,extra:string>>"))))
-
-
-def snapshot_stats(headers: DataFrame, trades: DataFrame) -> DataFrame:
-    """Per-snapshot trade count and notional (partial aggregation, then a
-    1:1 join to headers)."""
-    stats = trades.groupBy(*KEY).agg(F.count(F.lit(1)).cast("long").alias("n_trades"),
-                                     F.sum("notional").alias("total_notional"))
-    return (headers.join(stats, KEY, "left")
-            .withColumn("n_trades", F.coalesce("n_trades", F.lit(0).cast("long")))
-            .withColumn("total_notional", F.coalesce("total_notional", F.lit(0.0))))
+            .withColumn("trades", F.coalesce("trades", F.array().cast(T.ArrayType(TRADE)))))

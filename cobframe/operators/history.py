@@ -27,34 +27,38 @@ def agreement_history(snapshots: DataFrame) -> DataFrame:
     changed = F.col("prev").isNull()
     for f in terms:
         a, b = F.col(f"prev.{f}"), F.col(f"agreement.{f}")
-        changed = changed | (floats_differ(a, b) if f in FLOAT_TERMS else ~a.eqNullSafe(b))
+        # two missing amounts are the same term
+        changed = changed | (floats_differ(a, b) & ~(a.isNull() & b.isNull()) if f in FLOAT_TERMS
+                             else ~a.eqNullSafe(b))
     starts = s.where(changed)
     return (starts.withColumn("valid_to", F.lead("cob_date").over(w))
             .select(*NS_KEY, F.col("cob_date").alias("valid_from"), "valid_to",
                     *[F.col(f"agreement.{f}").alias(f) for f in AGREEMENT_FIELDS]))
 
 
-def exposure_anomalies(exposure_index: DataFrame, window_days: int = 30, min_periods: int = 30,
+def exposure_anomalies(exposure_index: DataFrame, window_days: int = 30, min_history: int = 30,
                        n_sigma: float = 2.0) -> DataFrame:
     """Counterparty exposure against its trailing window.
 
     Exposure is first summed per (counterparty, date) (partial aggregation),
     so the window sees one row per counterparty-day.  The window is the
-    previous ``window_days`` calendar days (today excluded); a day is
-    eligible with at least ``min_periods`` observations and flagged when it
-    lies more than ``n_sigma`` sample standard deviations from the mean.
+    previous ``window_days`` calendar days (today excluded).  A day is
+    eligible when the counterparty has at least ``min_history`` dates of
+    history, that day included, wherever they lie; it is flagged when it lies
+    more than ``n_sigma`` sample standard deviations from the window's mean.
     """
     daily = (exposure_index.groupBy("counterparty_id", "cob_date")
              .agg(F.sum("exposure_total").alias("exposure_total"))
              .withColumn("_day", F.unix_date("cob_date").cast("long")))
-    w = (Window.partitionBy("counterparty_id").orderBy("_day")
-         .rangeBetween(-window_days, -1))
+    by = Window.partitionBy("counterparty_id").orderBy("_day")
+    w = by.rangeBetween(-window_days, -1)
     stats = daily.select(
         "counterparty_id", "cob_date", "exposure_total",
+        F.row_number().over(by).alias("n_history"),
         F.count(F.lit(1)).over(w).cast("long").alias("n_obs"),
         F.avg("exposure_total").over(w).alias("mean"),
         F.stddev_samp("exposure_total").over(w).alias("std"))
-    eligible = stats.where(F.col("n_obs") >= min_periods)
+    eligible = stats.where(F.col("n_history") >= min_history)
     flag = F.coalesce(F.abs(F.col("exposure_total") - F.col("mean")) > F.lit(n_sigma) * F.col("std"),
                       F.lit(False))
     return eligible.select("counterparty_id", "cob_date", "exposure_total", "n_obs",

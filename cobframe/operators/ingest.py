@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from cobframe.operators.assemble import assemble_snapshots, parse_matrix_key
 from cobframe.operators.integrity import attach_hash, hash_matrices, verify_matrices
 from cobframe.functions.columns import is_finite
-from cobframe.operators.validate import (header_finite, reject_duplicates, validate_ids,
-                                         validate_matrix_refs)
+from cobframe.operators.validate import header_finite, mark_agreements, validate_matrix_refs
 from cobframe.schema import KEY
 
 OUTCOMES = ["posted", "skipped", "incomplete", "errors"]
@@ -44,8 +43,8 @@ def matrix_refs_from_files(verified: DataFrame) -> DataFrame:
 
 
 def completeness_check(agreements: DataFrame, verified: DataFrame) -> DataFrame:
-    """A snapshot key is COMPLETE when every matrix listed for it is
-    present and verified; otherwise INCOMPLETE (and skipped)."""
+    """A snapshot key is COMPLETE when every matrix listed for it has
+    arrived and is verified; otherwise INCOMPLETE (and skipped)."""
     parsed = parse_matrix_key(verified).where(F.col("parsed"))
     per_key = (parsed.groupBy(*KEY)
                .agg(F.count(F.lit(1)).cast("long").alias("n_expected"),
@@ -68,29 +67,32 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
                  matrix_inventory: DataFrame | None = None, stage=None) -> IngestResult:
     """A10 over any set of dates.  Inputs are the S1-S3 projections.
 
-    The lineage is linear: each rule is a column flag or one aggregate joined
-    back 1:1, so the accepted rows never re-derive their own input.
+    Every staged agreement row gets one status (``mark_agreements``); good
+    rows, rejects and outcomes are selections of it.  File bytes are hashed
+    once, in the verified inventory.
 
     * ``matrix_files`` (+ ``manifest``): files received for the batch; verified
       files become the snapshots' matrix refs (A7/A8, H4-H6, A9)
     * ``matrix_refs`` / ``matrix_inventory``: refs supplied by the caller and
       the set of existing matrix paths, checked by V4
-    * ``stage(name, df) -> df``: optional materialisation of the deduplicated
-      trades and the accepted snapshots (write + read back), used by the
-      store job so that each is computed once
+    * ``stage(name, df) -> df``: optional materialisation (write + read back)
+      of the marked rows, the verified inventory, the deduplicated trades and
+      the flagged snapshots, so that each is computed once however many
+      results are read
     """
-    arrival = arrival or ["ingested_at"]
-    ids = validate_ids(agreements)
-    dup = reject_duplicates(ids.good, arrival, existing_keys)
-    good_ag = dup.good
-    rejects = ids.rejects.unionByName(dup.rejects)
+    stage = stage or (lambda name, df: df)
+    marked = stage("agreements", mark_agreements(agreements, arrival or ["ingested_at"], existing_keys))
+    good_ag = marked.where(F.col("reject_reason").isNull()).drop("reject_reason", "detail")
+    rejects = marked.where(F.col("reject_reason").isNotNull()).select(*KEY, "reject_reason", "detail")
 
     verified = None
     refs = matrix_refs
     if matrix_files is not None:
         hashed = hash_matrices(matrix_files)
-        verified = verify_matrices(hashed, manifest if manifest is not None
-                                   else hashed.select("path", F.lit("").alias("expected_hash")))
+        if manifest is None:
+            hashed = stage("hashed", hashed)
+            manifest = hashed.select("path", F.lit("").alias("expected_hash"))
+        verified = stage("verified", verify_matrices(hashed, manifest))
         refs = matrix_refs_from_files(verified)
         complete = completeness_check(good_ag, verified)
         incomplete_keys = (parse_matrix_key(verified)
@@ -113,10 +115,8 @@ def ingest_batch(agreements: DataFrame, trades: DataFrame, market: DataFrame,
     # V2: header values by expression, trades by one partial aggregate
     bad_trades = (asm.trades.groupBy(*KEY)
                   .agg(F.max(F.when(~is_finite("notional"), F.col("trade_id"))).alias("_bad_trade")))
-    flagged = (headers.join(bad_trades, KEY, "left")
-               .withColumn("_finite", header_finite(headers) & F.col("_bad_trade").isNull()))
-    if stage is not None:
-        flagged = stage("snapshots", flagged)
+    flagged = stage("snapshots", headers.join(bad_trades, KEY, "left")
+                    .withColumn("_finite", header_finite(headers) & F.col("_bad_trade").isNull()))
     accepted = flagged.where(F.col("_finite")).drop("_finite", "_bad_trade")
     rejects = rejects.unionByName(
         flagged.where(~F.col("_finite")).select(
@@ -161,9 +161,9 @@ def backfill_counts(result: IngestResult, from_date, to_date) -> DataFrame:
     counts = ingest_outcomes(result).where(date_range("cob_date", from_date, to_date))
     days = spine.join(counts, "cob_date", "left").select(
         "cob_date", *[F.coalesce(F.col(o), F.lit(0)).cast("long").alias(o) for o in OUTCOMES])
-    total = days.agg(*[F.sum(o).cast("long").alias(o) for o in OUTCOMES]) \
-                .select(F.lit(None).cast("date").alias("cob_date"), *OUTCOMES)
-    return days.unionByName(total).orderBy(F.col("cob_date").asc_nulls_last())
+    # the rollup adds the total row from the same rows
+    return (days.rollup("cob_date").agg(*[F.sum(o).cast("long").alias(o) for o in OUTCOMES])
+            .orderBy(F.col("cob_date").asc_nulls_last()))
 
 
 def ingest_status(staged_agreements: DataFrame, stored_snapshots: DataFrame,

@@ -11,37 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cobframe.functions.canonical import stream_hashes
+from cobframe.functions.canonical import (TRADE_PART_FIELDS, render_headers, render_trades,
+                                           stream_hashes)
 from cobframe.schema import HASH_PREFIX, KEY
 
 _JSON_OPTS = {"ignoreNullFields": "false"}
-HASH_SCHEMA = "counterparty_id string, netting_set_id string, cob_date date, data_hash string"
+KEY_SCHEMA = "counterparty_id string, netting_set_id string, cob_date date"
+HASH_SCHEMA = KEY_SCHEMA + ", data_hash string"
 
 
 def document_parts(headers: DataFrame, trades: DataFrame) -> DataFrame:
-    """H1 input: one header part (Spark JSON of the agreement and of the
-    market data) and one part per trade (typed fields, rendered in Python)."""
-    null_fields = [F.lit(None).cast(t).alias(c) for c, t in
-                   (("product_type", "string"), ("notional", "double"), ("currency", "string"),
-                    ("maturity_date", "date"), ("direction", "string"), ("extra", "string"))]
-    head = headers.select(
-        *KEY, F.lit(0).alias("part"), F.lit("").alias("trade_id"),
-        F.to_json("agreement", _JSON_OPTS).alias("doc"),
-        F.to_json("market_data", _JSON_OPTS).alias("market"), *null_fields)
-    seq = (F.col("position").cast("long") if "position" in trades.columns
-           else F.lit(None).cast("long"))
-    head = head.withColumn("position", F.lit(None).cast("long"))
-    body = trades.select(
-        *KEY, F.lit(1).alias("part"), "trade_id", F.lit(None).cast("string").alias("doc"),
-        F.lit(None).cast("string").alias("market"), "product_type", "notional", "currency",
-        "maturity_date", "direction", "extra", seq.alias("position"))
+    """H1: canonical texts of every document: one header part and one part per
+    trade, rendered by the tasks that hold the rows."""
+    head = headers.select(*KEY, F.to_json("agreement", _JSON_OPTS).alias("doc"),
+                          F.to_json("market_data", _JSON_OPTS).alias("market"))
+    head = head.mapInPandas(render_headers, KEY_SCHEMA + ", text string").select(
+        *KEY, F.lit(0).alias("part"), F.lit(None).cast("long").alias("position"),
+        F.lit("").alias("trade_id"), "text")
+    position = (F.col("position").cast("long") if "position" in trades.columns
+                else F.lit(None).cast("long"))
+    body = trades.select(*KEY, *TRADE_PART_FIELDS, position.alias("position"))
+    body = body.mapInPandas(render_trades, KEY_SCHEMA + ", position long, trade_id string, text string").select(
+        *KEY, F.lit(1).alias("part"), "position", "trade_id", "text")
     return head.unionByName(body)
 
 
 def snapshot_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
     """H2: ``sha256-v1:`` hash per snapshot key.
 
-    Parts are hash-partitioned by key and sorted (header first, then trades
+    Texts are hash-partitioned by key and sorted (header first, then trades
     by their stored ``position`` when the table has one, else by trade_id);
     one streaming pass per partition feeds SHA-256 incrementally, holding one
     Arrow batch at a time.
@@ -52,7 +50,7 @@ def snapshot_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
     # then one key's header and trades can sit in different partitions.
     ordered = (parts.repartition(F.xxhash64(*KEY))
                .sortWithinPartitions(*KEY, "part", "position", "trade_id"))
-    return ordered.mapInPandas(stream_hashes, HASH_SCHEMA)
+    return ordered.select(*KEY, "part", "text").mapInPandas(stream_hashes, HASH_SCHEMA)
 
 
 def attach_hash(headers: DataFrame, trades: DataFrame) -> DataFrame:
@@ -97,13 +95,15 @@ def hash_matrices(files: DataFrame) -> DataFrame:
 def verify_matrices(hashed: DataFrame, manifest: DataFrame) -> DataFrame:
     """H5/H6: compare each file's bytes hash with the sender's hash.
 
-    ``status``: NO_HASH (no expected hash: skipped), MISMATCH (rejected,
-    counted as an error), OK.  A file already present is compared too.
+    ``status``: MISSING (listed, but no such file arrived), NO_HASH (no
+    expected hash: skipped), MISMATCH (rejected, counted as an error), OK.
+    A file already present is compared too.
     """
-    j = hashed.join(manifest.select("path", "expected_hash"), "path", "left")
+    j = hashed.join(manifest.select("path", "expected_hash"), "path", "full")
     exp = F.coalesce(F.col("expected_hash"), F.lit(""))
     return j.select("path", "length", exp.alias("expected_hash"), "actual_hash",
-                    F.when(exp == "", F.lit("NO_HASH"))
+                    F.when(F.col("actual_hash").isNull(), F.lit("MISSING"))
+                     .when(exp == "", F.lit("NO_HASH"))
                      .when(F.col("actual_hash") != exp, F.lit("MISMATCH"))
                      .otherwise(F.lit("OK")).alias("status"))
 

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cobframe.functions.columns import date_range
+from cobframe.functions.columns import month_col_of
 from cobframe.operators.assemble import nest_trades
-from cobframe.operators.validate import key_filter, threshold_filter
+from cobframe.operators.validate import date_range_filter, key_filter, threshold_filter
 from cobframe.schema import KEY, PORTFOLIO_DEFAULT_TOP
 
 TRADE_COLUMNS = ["trade_id", "product_type", "notional", "currency", "direction", "maturity_date"]
@@ -27,30 +27,52 @@ def _select_keys(snapshots: DataFrame, trades: DataFrame, counterparty_id, netti
     t = key_filter(trades, counterparty_id=counterparty_id, netting_set_id=netting_set_id,
                    cob_date=cob_date)
     if wanted is not None:
-        s = s.join(wanted.select(*KEY), KEY, "left_semi")
-        t = t.join(wanted.select(*KEY), KEY, "left_semi")
-    return s, t
+        s, t = _wanted(s, wanted), _wanted(t, wanted)
+    return s.drop("cob_month"), t.drop("cob_month")
+
+
+def _wanted(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of given keys; a stored table is also joined on its month, so
+    that the months of a small key set prune directories at run time."""
+    on, k = KEY, keys.select(*KEY).distinct()
+    if month_col_of(df):
+        on, k = [*KEY, "cob_month"], k.withColumn("cob_month", F.trunc("cob_date", "month"))
+    return df.join(k, on, "left_semi")
+
+
+def require_found(df: DataFrame, what: str, of: DataFrame | None = None) -> DataFrame:
+    """Strict form: ``df``, failing the job with ``NotFound`` when the selection
+    ``of`` (``df`` itself, if not given) is empty.  The check is one row (found
+    or not) beside the result."""
+    found = (df if of is None else of).select(F.lit(1).alias("_x")).limit(1).agg(F.count("_x").alias("_n"))
+    missing = found.where(F.when(F.col("_n") > 0, F.lit(False)).otherwise(
+        F.raise_error(F.lit(f"NotFound: {what}")).cast("boolean")))
+    none = missing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return df.unionByName(none)
 
 
 def snapshot(snapshots: DataFrame, trades: DataFrame, counterparty_id=None, netting_set_id=None,
-             cob_date=None, wanted: DataFrame | None = None) -> DataFrame:
+             cob_date=None, wanted: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Q1 (set form): the content of the selected snapshots as rows: the
     snapshot fields repeated on each of its trades, one row with NULL trade
     fields for a snapshot without trades.  Nothing is gathered per snapshot,
     so a netting set with very many trades stays spread over tasks.
+    ``strict``: a selection without any snapshot fails.
     Combine with ``integrity.verify_on_read`` to check hashes on read."""
     s, t = _select_keys(snapshots, trades, counterparty_id, netting_set_id, cob_date, wanted)
-    return s.join(t, KEY, "left")
+    rows = s.join(t, KEY, "left")
+    return require_found(rows, f"snapshot {counterparty_id}/{netting_set_id}/{cob_date}") if strict else rows
 
 
 def snapshot_document(snapshots: DataFrame, trades: DataFrame, counterparty_id=None,
                       netting_set_id=None, cob_date=None,
-                      wanted: DataFrame | None = None) -> DataFrame:
+                      wanted: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Q1 (document form): one row per snapshot with ``trades`` nested, for a
     point lookup or a bounded selection.  Filters apply before nesting; the
     array of one snapshot is built in one task."""
     s, t = _select_keys(snapshots, trades, counterparty_id, netting_set_id, cob_date, wanted)
-    return nest_trades(s, t)
+    rows = nest_trades(s, t)
+    return require_found(rows, f"snapshot {counterparty_id}/{netting_set_id}/{cob_date}") if strict else rows
 
 
 def by_counterparty(snapshots: DataFrame, counterparty_id=None, cob_date=None) -> DataFrame:
@@ -61,10 +83,13 @@ def by_counterparty(snapshots: DataFrame, counterparty_id=None, cob_date=None) -
 
 def trades_table(trades: DataFrame, counterparty_id=None, netting_set_id=None,
                  cob_date=None) -> DataFrame:
-    """Q3: trade positions as a table (``extra`` dropped), in document order."""
+    """Q3: trade positions as a table (``extra`` dropped), in document order:
+    by stored ``position`` where there is one, else by trade_id."""
     t = key_filter(trades, counterparty_id=counterparty_id, netting_set_id=netting_set_id,
                    cob_date=cob_date)
-    return t.select(*KEY, *TRADE_COLUMNS).orderBy(*KEY, "trade_id")
+    order = [*KEY, "position", "trade_id"] if "position" in t.columns else [*KEY, "trade_id"]
+    return t.select(*order, *[c for c in TRADE_COLUMNS if c not in order]).orderBy(*order) \
+            .select(*KEY, *TRADE_COLUMNS)
 
 
 def by_trade(trade_index: DataFrame, trades: DataFrame, trade_ids=None, from_date=None,
@@ -72,34 +97,32 @@ def by_trade(trade_index: DataFrame, trades: DataFrame, trade_ids=None, from_dat
     """Q4: every (date, cp, ns) holding the wanted trade ids, via the index.
 
     ``trade_ids``: a string, a list, a DataFrame with ``trade_id`` or None
-    (all).  A list or DataFrame is a semi-join, broadcast by AQE when small.
-    Output columns follow the reference's 9-column table, date order.
+    (all).  The index names the months and snapshot keys that hold the ids;
+    with them the scan of the trades prunes directories at run time.  The
+    trades carry their id, so they are filtered by it as well, and without
+    ids the index is not read at all.  Output: the nine trade columns, date
+    order.
     """
-    idx = trade_index.where(date_range("cob_date", from_date, to_date))
-    tr = trades.where(date_range("cob_date", from_date, to_date))
+    tr = _of_ids(date_range_filter(trades, from_date, to_date), trade_ids)
+    if trade_ids is not None:
+        tr = _wanted(tr, _of_ids(date_range_filter(trade_index, from_date, to_date), trade_ids))
+    return tr.select("cob_date", "counterparty_id", "netting_set_id", *TRADE_COLUMNS) \
+             .orderBy("cob_date", "counterparty_id", "netting_set_id", "trade_id")
+
+
+def _of_ids(df: DataFrame, trade_ids) -> DataFrame:
+    if trade_ids is None:
+        return df
     if isinstance(trade_ids, str):
-        idx = idx.where(F.col("trade_id") == trade_ids)
-        tr = tr.where(F.col("trade_id") == trade_ids)
-    elif isinstance(trade_ids, (list, tuple)):
-        idx = idx.where(F.col("trade_id").isin(list(trade_ids)))
-        tr = tr.where(F.col("trade_id").isin(list(trade_ids)))
-    elif trade_ids is not None:
-        idx = idx.join(trade_ids.select("trade_id").distinct(), "trade_id", "left_semi")
-    hits = idx.select(*KEY, "trade_id").distinct()
-    out = hits.join(tr, KEY + ["trade_id"])
-    return out.select("cob_date", "counterparty_id", "netting_set_id", *TRADE_COLUMNS) \
-              .orderBy("cob_date", "counterparty_id", "netting_set_id", "trade_id")
+        return df.where(F.col("trade_id") == trade_ids)
+    if isinstance(trade_ids, (list, tuple)):
+        return df.where(F.col("trade_id").isin(list(trade_ids)))
+    return df.join(trade_ids.select("trade_id").distinct(), "trade_id", "left_semi")
 
 
 def by_trade_scan(trades: DataFrame, trade_ids=None, from_date=None, to_date=None) -> DataFrame:
     """Q5: same rows without the index (scan of all trades), ordered cp, ns, date."""
-    tr = trades.where(date_range("cob_date", from_date, to_date))
-    if isinstance(trade_ids, str):
-        tr = tr.where(F.col("trade_id") == trade_ids)
-    elif isinstance(trade_ids, (list, tuple)):
-        tr = tr.where(F.col("trade_id").isin(list(trade_ids)))
-    elif trade_ids is not None:
-        tr = tr.join(trade_ids.select("trade_id").distinct(), "trade_id", "left_semi")
+    tr = _of_ids(date_range_filter(trades, from_date, to_date), trade_ids)
     return tr.select("cob_date", "counterparty_id", "netting_set_id", *TRADE_COLUMNS) \
              .orderBy("counterparty_id", "netting_set_id", "cob_date", "trade_id")
 
@@ -107,19 +130,26 @@ def by_trade_scan(trades: DataFrame, trade_ids=None, from_date=None, to_date=Non
 def _first_market(snapshots: DataFrame, field: str, cob_date=None) -> DataFrame:
     """Market map of the first snapshot (cp, ns order) of each date.
 
-    ``min_by`` is an aggregate, combined map-side: a date with many
-    snapshots never gathers them in one task.
+    The first key of each date is found on the key columns alone (combined
+    map-side); only that snapshot's map is then read.
     """
     s = key_filter(snapshots, cob_date=cob_date)
-    return (s.groupBy("cob_date")
-            .agg(F.min_by(F.col(f"market_data.{field}"),
-                          F.struct("counterparty_id", "netting_set_id")).alias("rates")))
+    first = (s.groupBy("cob_date").agg(F.min(F.struct("counterparty_id", "netting_set_id")).alias("k"))
+             .select("cob_date", "k.counterparty_id", "k.netting_set_id"))
+    return s.select(*KEY, F.col(f"market_data.{field}").alias("rates")).join(first, KEY).select("cob_date", "rates")
+
+
+def _rate_rows(snapshots: DataFrame, field: str, name: str, cob_date, strict: bool) -> DataFrame:
+    rows = _first_market(snapshots, field, cob_date).select("cob_date", F.explode("rates").alias(name, "rate"))
+    if not strict:
+        return rows
+    return require_found(rows, f"snapshot on {cob_date}", of=key_filter(snapshots, cob_date=cob_date))
 
 
-def fx_rates(snapshots: DataFrame, cob_date=None) -> DataFrame:
-    """Q6: (cob_date, pair, rate) read from the first snapshot of each date."""
-    return (_first_market(snapshots, "fx_rates", cob_date)
-            .select("cob_date", F.explode("rates").alias("pair", "rate")))
+def fx_rates(snapshots: DataFrame, cob_date=None, strict: bool = False) -> DataFrame:
+    """Q6: (cob_date, pair, rate) read from the first snapshot of each date
+    (``strict``: no snapshot at all fails)."""
+    return _rate_rows(snapshots, "fx_rates", "pair", cob_date, strict)
 
 
 def fx_rate_pair(snapshots: DataFrame, pair: str, cob_date=None, strict: bool = False) -> DataFrame:
@@ -132,10 +162,9 @@ def fx_rate_pair(snapshots: DataFrame, pair: str, cob_date=None, strict: bool =
     return m.select("cob_date", F.lit(pair).alias("pair"), val.alias("rate"))
 
 
-def inflation_rates(snapshots: DataFrame, cob_date=None) -> DataFrame:
+def inflation_rates(snapshots: DataFrame, cob_date=None, strict: bool = False) -> DataFrame:
     """Q8."""
-    return (_first_market(snapshots, "inflation_rates", cob_date)
-            .select("cob_date", F.explode("rates").alias("index_name", "rate")))
+    return _rate_rows(snapshots, "inflation_rates", "index_name", cob_date, strict)
 
 
 def inflation_rate_index(snapshots: DataFrame, index: str, cob_date=None,
@@ -151,9 +180,9 @@ def inflation_rate_index(snapshots: DataFrame, index: str, cob_date=None,
 def market_consistency(snapshots: DataFrame) -> DataFrame:
     """Audit for the first-snapshot rule of Q6/Q8: per date, how many distinct
     FX and inflation sets the snapshots carry (more than one means the lookup
-    depends on key order).  Maps are compared by their sorted entries."""
+    depends on key order).  Sets are compared by the digest of their sorted entries."""
     def canon(m):
-        return F.to_json(F.array_sort(F.map_entries(F.col(m))))
+        return F.md5(F.to_json(F.array_sort(F.map_entries(F.col(m)))))
     return (snapshots.groupBy("cob_date")
             .agg(F.count(F.lit(1)).cast("long").alias("n_snapshots"),
                  F.count_distinct(canon("market_data.fx_rates")).cast("long").alias("n_fx_sets"),
@@ -165,7 +194,7 @@ def exposure_history(exposure_index: DataFrame, counterparty_id=None, netting_se
                      from_date=None, to_date=None) -> DataFrame:
     """Q10/Q11: exposure series from the index, ascending by date."""
     e = key_filter(exposure_index, counterparty_id=counterparty_id, netting_set_id=netting_set_id)
-    e = e.where(date_range("cob_date", from_date, to_date))
+    e = date_range_filter(e, from_date, to_date)
     return (e.select("counterparty_id", "cob_date", "netting_set_id", "exposure_total")
             .orderBy("counterparty_id", "cob_date", "netting_set_id"))
 
@@ -252,10 +281,10 @@ def list_counterparties(snapshots: DataFrame) -> DataFrame:
 
 
 def product_notional(trades: DataFrame, product_type=None) -> DataFrame:
-    """Q18: notional per (date, product type), exact in decimal(18,2)."""
+    """Q18: notional per (date, product type), summed as the doubles that are stored."""
     t = key_filter(trades, product_type=product_type)
     return (t.groupBy("cob_date", "product_type")
-            .agg(F.sum(F.col("notional").cast("decimal(18,2)")).alias("total_notional"),
+            .agg(F.sum("notional").alias("total_notional"),
                  F.count(F.lit(1)).cast("long").alias("n_trades")))
 
 

@@ -2,8 +2,8 @@
 
 Write-once store without transactions: a batch is validated and hashed
 (``ingest.ingest_batch``), keys already stored are rejected by an anti-join
-(V3), and accepted rows are appended partitioned by ``cob_date`` and sorted
-by key inside files (row-group min/max skipping on point lookups).  Both
+(V3), and accepted rows are appended partitioned by month and sorted
+by date and key inside files (row-group min/max skipping on point lookups).  Both
 indexes are projections of the accepted rows, so ``rebuild_indexes`` can
 regenerate them from ``snapshots`` for any dates.
 """
@@ -12,16 +12,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobframe.functions.columns import as_date
 from cobframe.operators.ingest import IngestResult
-from cobframe.schema import KEY
-from cobframe.sources.stores import (PARTITION_COL, month_of, read_snapshot_trades,
-                                     read_snapshots, read_store_table, table_path, write_text)
+from cobframe.schema import AGREEMENT_FIELDS, KEY, TRADE_FIELDS
+from cobframe.sources.stores import (PARTITION_COL, SCHEMAS, begin_attempt, commit_attempt,
+                                     is_committed, month_of, read_snapshot_trades, read_snapshots,
+                                     read_store_table, table_path)
 
 
-def snapshot_pointer() -> F.Column:
+def snapshot_pointer() -> Column:
     """Logical location of a snapshot (key path), kept in the exposure index."""
     return F.concat_ws("/", F.lit("snapshots"), "counterparty_id", "netting_set_id",
                        F.col("cob_date").cast("string"))
@@ -42,9 +44,12 @@ def build_trade_index(trades: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, mode: str, sort_cols: list[str]) -> None:
-    """Month-partitioned, date/key-sorted parquet (see ``sources.stores``)."""
+    """Month-partitioned, date/key-sorted parquet (see ``sources.stores``).
+
+    The rebalance shuffle deals rows by month and lets AQE cut a large month
+    into tasks (and files) of the advisory size, and join small ones."""
     (df.withColumn(PARTITION_COL, month_of(F.col("cob_date")))
-       .repartition(PARTITION_COL).sortWithinPartitions("cob_date", *sort_cols)
+       .hint("rebalance", PARTITION_COL).sortWithinPartitions(PARTITION_COL, "cob_date", *sort_cols)
        .write.mode(mode).partitionBy(PARTITION_COL).parquet(path))
 
 
@@ -54,80 +59,119 @@ def append_snapshots(result: IngestResult, root: str, batch_id: str | None = Non
     against the store (``existing_keys`` of ``ingest_batch``) to keep the
     store write-once.
 
+    ``batch_id`` names the logical batch: a batch that is committed already is
+    not written again.  Every call writes under an attempt id of its own, so a
+    call that died leaves rows nobody reads, and its replay starts afresh.
+
     Lineage is cut at each written table: trades are restricted to the keys
-    of the snapshots just written (found by ``batch_id``, a pushed-down
+    of the snapshots just written (found by the attempt id, a pushed-down
     filter), and both indexes are projections of the written tables, so the
     ingest job runs once for the snapshots and once for the trades instead of
-    once per output.  ``repartition('cob_date')`` gives one writer per date;
-    AQE splits a skewed (very large) date.
+    once per output.
     """
     spark = result.snapshots.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
+    if is_committed(spark, root, batch_id):
+        return batch_id
+    attempt = uuid.uuid4().hex
+    begin_attempt(spark, root, attempt, batch_id)
     snaps = result.hashed()
     if "ingested_at" not in snaps.columns:
         snaps = snaps.withColumn("ingested_at", F.current_timestamp())
     snaps = snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
-                         "ingested_at", F.lit(batch_id).alias("batch_id"))
+                         "ingested_at", F.lit(attempt).alias("batch_id"))
     _write(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
-    written = read_store_table(spark, root, "snapshots", batch_id=batch_id)
+    written = read_store_table(spark, root, "snapshots", attempt=attempt)
     trades = result.trades.join(written.select(*KEY), KEY, "left_semi")
     if "position" not in trades.columns:
         trades = trades.withColumn("position", F.lit(None).cast("long"))
-    trades = trades.withColumn("batch_id", F.lit(batch_id))
+    trades = trades.select(*KEY, *TRADE_FIELDS, "position", F.lit(attempt).alias("batch_id"))
     _write(trades, table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
     _write(build_exposure_index(written), table_path(root, "exposure_index"), "append",
            ["counterparty_id", "netting_set_id"])
-    written_trades = read_store_table(spark, root, "snapshot_trades", batch_id=batch_id)
+    written_trades = read_store_table(spark, root, "snapshot_trades", attempt=attempt)
     _write(build_trade_index(written_trades), table_path(root, "trade_index"), "append",
            ["trade_id"])
-    _write(result.rejects.withColumn("batch_id", F.lit(batch_id)), table_path(root, "rejects"),
+    _write(result.rejects.withColumn("batch_id", F.lit(attempt)), table_path(root, "rejects"),
            "append", ["counterparty_id"])
-    # commit: from here on readers see the batch in every table at once
-    write_text(spark, f"{root.rstrip('/')}/_batches/{batch_id}", "committed")
+    # from here on readers see the batch in every table at once
+    commit_attempt(spark, root, attempt, batch_id)
     return batch_id
 
 
 def rebuild_indexes(spark: SparkSession, root: str, from_date=None, to_date=None) -> None:
     """K4: regenerate both index tables from ``snapshots`` for the months
     covering a date range (dynamic partition overwrite: other months are
-    untouched).  Repairs a crash between writing snapshots and writing the
-    index.
+    untouched, and not read).  Run it while no ingest is running: rows that an
+    open attempt has put into the same months of the indexes are replaced too.
 
     The index is written to a staging folder first, then moved in with a
     second overwrite, since a job cannot overwrite the table it reads.
     """
-    from cobframe.functions.columns import as_date
     lo = None if from_date is None else F.trunc(as_date(from_date), "month")
     hi = None if to_date is None else F.last_day(as_date(to_date))
-    snaps = read_snapshots(spark, root)
-    trades = read_snapshot_trades(spark, root)
-    if lo is not None:
-        snaps, trades = snaps.where(F.col("cob_date") >= lo), trades.where(F.col("cob_date") >= lo)
-    if hi is not None:
-        snaps, trades = snaps.where(F.col("cob_date") <= hi), trades.where(F.col("cob_date") <= hi)
+    snaps = read_snapshots(spark, root, lo, hi)
+    trades = read_snapshot_trades(spark, root, lo, hi)
     for name, df, sort in (("exposure_index", build_exposure_index(snaps),
                             ["counterparty_id", "netting_set_id"]),
                            ("trade_index", build_trade_index(trades), ["trade_id"])):
-        tmp = table_path(root, f"_rebuild_{name}")
+        tmp = table_path(root, f"_rebuild_{name}_{uuid.uuid4().hex}")
         _write(df, tmp, "overwrite", sort)
-        fresh = spark.read.parquet(tmp)
+        fresh = spark.read.schema(SCHEMAS[name]).parquet(tmp)
         (fresh.write.mode("overwrite").partitionBy(PARTITION_COL)
          .option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name)))
 
 
+def _quoted(c: str | Column) -> Column:
+    """JSON text of one value: a quoted string, or null."""
+    c = F.col(c) if isinstance(c, str) else c
+    # a one-element array renders the value with JSON's own escaping
+    body = F.to_json(F.array(c))
+    return F.when(c.isNull(), "null").otherwise(F.substring(body, F.lit(2), F.length(body) - 2))
+
+
+def _members(pairs: list[tuple[str, Column]]) -> Column:
+    """``{"name":value,...}`` from names and JSON texts."""
+    parts = []
+    for i, (name, text) in enumerate(pairs):
+        parts += [F.lit(("," if i else "{") + f'"{name}":'), text]
+    return F.concat(*parts, F.lit("}"))
+
+
+def _raw_object(c: str) -> Column:
+    """The stored object text as it is: parsing would change its numbers."""
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("{}"))
+
+
+def trade_json(trades: DataFrame) -> DataFrame:
+    """Key, ``position``, ``trade_id`` and the JSON text of each trade, ``extra`` spliced in unchanged."""
+    position = F.col("position") if "position" in trades.columns else F.lit(None).cast("long")
+    pairs = [(c, _quoted(F.col(c).cast("string") if c == "maturity_date" else c)) for c in TRADE_FIELDS if c != "extra"]
+    return trades.select(*KEY, position.alias("position"), "trade_id",
+                         _members([*pairs, ("extra", _raw_object("extra"))]).alias("text"))
+
+
 def export_snapshots_json(snapshots: DataFrame, trades: DataFrame) -> DataFrame:
     """K5: one JSON document per snapshot (``value`` column), nulls kept,
-    ``extra`` embedded as a JSON object.  Write with ``df.write.text``."""
-    from cobframe.operators.assemble import nest_trades
-    doc = nest_trades(snapshots.select(*KEY, "agreement", "market_data", "data_hash"), trades)
-    obj = F.struct(
-        "counterparty_id", "netting_set_id", "cob_date",
-        F.col("agreement").withField("extra", F.parse_json("agreement.extra")).alias("agreement"),
-        F.transform("trades", lambda t: t.withField("extra", F.parse_json(t["extra"])))
-         .alias("trades"),
-        "market_data", "data_hash")
-    return doc.select(*KEY, F.to_json(obj, {"ignoreNullFields": "false"}).alias("value"))
+    ``extra`` embedded as the object text that was stored, trades in stored
+    ``position`` order (trade_id where none is stored).  Write with
+    ``df.write.text``.
+
+    Each trade is rendered before the shuffle; a document is one value, so its
+    trade texts meet in one place."""
+    listed = trade_json(trades).groupBy(*KEY).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "trade_id", "text"))),
+                                 lambda t: t["text"]), ",").alias("_trades"))
+    agreement = _members([(c, _raw_object("agreement.extra") if c == "extra" else _quoted(f"agreement.{c}"))
+                          for c in AGREEMENT_FIELDS])
+    market = F.to_json("market_data", {"ignoreNullFields": "false"})
+    doc = _members([("counterparty_id", _quoted("counterparty_id")), ("netting_set_id", _quoted("netting_set_id")),
+                    ("cob_date", _quoted(F.col("cob_date").cast("string"))),
+                    ("agreement", F.when(F.col("agreement").isNull(), "null").otherwise(agreement)),
+                    ("trades", F.concat(F.lit("["), F.coalesce("_trades", F.lit("")), F.lit("]"))),
+                    ("market_data", F.coalesce(market, F.lit("null"))), ("data_hash", _quoted("data_hash"))])
+    return snapshots.join(listed, KEY, "left").select(*KEY, doc.alias("value"))
 
 
 def export_format(fmt: str) -> str:

@@ -2,7 +2,7 @@
 exception: every check returns (good, rejects) or a reason column.
 
 Order of checks of one write, first failing rule reported:
-INVALID_ID -> MISSING_FIELD -> DUPLICATE -> MISSING_MATRIX -> NON_FINITE.
+MISSING_FIELD (an id) -> INVALID_ID -> MISSING_FIELD -> DUPLICATE -> MISSING_MATRIX -> NON_FINITE.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobframe.functions.columns import date_range, is_finite, map_values_finite, safe_id
+from cobframe.functions.columns import (date_range, is_finite, map_values_finite, month_col_of,
+                                        safe_id)
 from cobframe.schema import KEY
 
 
@@ -21,9 +22,6 @@ class Checked(NamedTuple):
     rejects: DataFrame
 
 
-REJECT_COLUMNS = KEY + ["reject_reason", "detail"]
-
-
 def _rejects(df: DataFrame, reason: Column | str, detail: Column | None = None) -> DataFrame:
     reason = F.lit(reason) if isinstance(reason, str) else reason
     return df.select(*KEY, reason.alias("reject_reason"),
@@ -39,7 +37,9 @@ def id_reason(df: DataFrame) -> Column:
     missing = required[0]
     for r in required[1:]:
         missing = missing | r
-    return (F.when(~safe_id("counterparty_id") | ~safe_id("netting_set_id"), F.lit("INVALID_ID"))
+    absent_id = F.col("counterparty_id").isNull() | F.col("netting_set_id").isNull()
+    return (F.when(absent_id, F.lit("MISSING_FIELD"))
+            .when(~safe_id("counterparty_id") | ~safe_id("netting_set_id"), F.lit("INVALID_ID"))
             .when(missing, F.lit("MISSING_FIELD")))
 
 
@@ -52,32 +52,55 @@ def validate_ids(agreements: DataFrame) -> Checked:
     return Checked(good, bad)
 
 
+def _mark_copies(agreements: DataFrame, order: list[str], existing: DataFrame | None) -> DataFrame:
+    """V3 as columns ``reject_reason`` and ``detail`` on every row, NULL for
+    the first copy of a key that is not stored yet.
+
+    Per distinct row and its number of copies: ``min`` finds the first of each
+    key (combined map-side), and a row is repeated once per copy."""
+    others = [c for c in agreements.columns if c not in KEY and c not in order]
+    kinds = dict(agreements.dtypes)
+    # maps have no order; everything else sorts as it is
+    rest = [F.to_json(c) if "map<" in kinds[c] else F.col(c) for c in others]
+    row = F.struct(*[F.col(c) for c in order], *[r.alias(f"_{i}") for i, r in enumerate(rest)])
+    copies = agreements.withColumn("_ord", row).groupBy(*KEY, "_ord").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.first(F.struct(*[F.col(c) for c in agreements.columns if c not in KEY])).alias("_row"))
+    first = copies.groupBy(*KEY).agg(F.min("_ord").alias("_first"))
+    ranked = copies.join(first, KEY)
+    stored = F.lit(False)
+    if existing is not None:
+        ranked = ranked.join(existing.select(*KEY).distinct().withColumn("_stored", F.lit(True)), KEY, "left")
+        stored = F.coalesce("_stored", F.lit(False))
+    each = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    wins = (F.col("_ord") == F.col("_first")) & (F.col("_copy") == 1)
+    detail = (F.when(stored, F.lit("already stored"))
+              .when(~wins, F.lit("later copy in batch")))
+    return each.select(*KEY, "_row.*", F.when(stored | ~wins, F.lit("DUPLICATE")).alias("reject_reason"),
+                       detail.alias("detail")).select(*agreements.columns, "reject_reason", "detail")
+
+
+def mark_agreements(agreements: DataFrame, order: list[str],
+                    existing: DataFrame | None = None) -> DataFrame:
+    """V1, V6 and V3 in one pass: every staged row with the first rule it
+    fails in ``reject_reason`` (NULL: accepted) and its ``detail``."""
+    flagged = agreements.withColumn("reject_reason", id_reason(agreements))
+    bad = flagged.where(F.col("reject_reason").isNotNull()).withColumn(
+        "detail", F.concat_ws("/", "counterparty_id", "netting_set_id"))
+    good = flagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return _mark_copies(good, order, existing).unionByName(bad)
+
+
 def reject_duplicates(agreements: DataFrame, order: list[str],
                       existing: DataFrame | None = None) -> Checked:
     """V3: a key already stored, or a later copy of a key in the batch, is
-    rejected; the first copy (by ``order``) wins.
-
-    The winner per key is found with ``min`` over the order columns, an
-    aggregate that combines map-side; copies are then matched with an equi
-    join on (key, order), which AQE splits when one key is hot.
-    """
-    ordkey = F.struct(*[F.col(c) for c in order])
-    df = agreements.withColumn("_ord", ordkey)
-    if existing is not None:
-        stored = existing.select(*KEY).distinct()
-        old = df.join(stored, KEY, "left_semi")
-        df = df.join(stored, KEY, "left_anti")
-    else:
-        old = None
-    others = [c for c in df.columns if c not in KEY]
-    winners = (df.groupBy(*KEY).agg(F.min_by(F.struct(*others), F.col("_ord")).alias("_w"))
-               .select(*KEY, "_w.*"))
-    good = winners.drop("_ord")
-    later = df.join(winners.select(*KEY, "_ord"), KEY + ["_ord"], "left_anti")
-    bad = _rejects(later, "DUPLICATE", F.lit("later copy in batch"))
-    if old is not None:
-        bad = bad.unionByName(_rejects(old, "DUPLICATE", F.lit("already stored")))
-    return Checked(good, bad)
+    rejected; the first copy wins, by ``order`` and, among equals, by the
+    smallest of all other columns.  Of copies equal in every column all but
+    one are rejected."""
+    marked = _mark_copies(agreements, order, existing)
+    good = marked.where(F.col("reject_reason").isNull()).drop("reject_reason", "detail")
+    return Checked(good, marked.where(F.col("reject_reason").isNotNull())
+                   .select(*KEY, "reject_reason", "detail"))
 
 
 def validate_matrix_refs(headers: DataFrame, inventory: DataFrame) -> Checked:
@@ -138,9 +161,9 @@ def rejects_by_reason(rejects: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- filters
 
-def date_range_filter(df: DataFrame, from_date=None, to_date=None, col: str = "cob_date") -> DataFrame:
-    """V7: inclusive optional bounds."""
-    return df.where(date_range(col, from_date, to_date))
+def date_range_filter(df: DataFrame, from_date=None, to_date=None) -> DataFrame:
+    """V7: inclusive optional bounds; a stored table's month directories prune too."""
+    return df.where(date_range("cob_date", from_date, to_date, month_col_of(df)))
 
 
 def threshold_filter(df: DataFrame, threshold: float | None) -> DataFrame:
@@ -149,9 +172,12 @@ def threshold_filter(df: DataFrame, threshold: float | None) -> DataFrame:
 
 
 def key_filter(df: DataFrame, **equals) -> DataFrame:
-    """V9: equality on any given key columns (None means no filter)."""
+    """V9: equality on any given key columns (None means no filter); a date
+    also names its month directory."""
     for c, v in equals.items():
-        if v is not None:
+        if v is not None and c == "cob_date":
+            df = date_range_filter(df, v, v)
+        elif v is not None:
             df = df.where(F.col(c) == F.lit(v))
     return df
 

@@ -26,7 +26,7 @@ from cobframe.plans import oracle as O
 from cobframe.schema import KEY
 from cobframe.sources import testdata as td
 from cobframe.sources.staging import (dedupe_first, read_staging_agreements,
-                                      read_staging_market_data, read_staging_trades)
+                                      read_staging_market_data, read_staging_trades, type_landing)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -92,11 +92,42 @@ def q_landing_dedupe(spark, sf):
                         "maturity_date")
 
 
+# Trade rows as text, some spoilt by a rule over their own columns: a notional
+# that is no number, a date in another order, an absent id.
+@register("landing_rejects", "WITH " + O.trades_raw(clean=False) + """,
+texts AS (
+  SELECT counterparty_id, netting_set_id,
+         CASE WHEN l_linenumber = 3 AND l_partkey % 17 = 0 THEN strftime(cob_date, '%d/%m/%Y')
+              ELSE CAST(cob_date AS VARCHAR) END AS cob_date,
+         CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE trade_id END AS trade_id,
+         CASE l_partkey % 13 WHEN 0 THEN '1.000.000' WHEN 1 THEN '1e6x' WHEN 2 THEN 'n/a' WHEN 3 THEN ''
+              WHEN 4 THEN '4e-11' ELSE CAST(l_quantity AS VARCHAR) END AS notional
+  FROM tr_raw),
+marked AS (
+  SELECT *, CASE WHEN trade_id IS NULL THEN 'MISSING_FIELD|trade_id'
+                 WHEN cob_date LIKE '%/%' THEN 'UNPARSEABLE|cob_date=' || cob_date
+                 WHEN notional IN ('1.000.000', '1e6x', 'n/a') THEN 'UNPARSEABLE|notional=' || notional END AS p
+  FROM texts)
+SELECT counterparty_id, netting_set_id, cob_date, coalesce(split_part(p, '|', 1), 'OK') AS status,
+       split_part(p, '|', 2) AS detail, CAST(count(*) AS BIGINT) AS n_rows,
+       round(sum(CASE WHEN p IS NULL THEN CAST(nullif(notional, '') AS DOUBLE) END), 6) AS total_notional
+FROM marked GROUP BY ALL""")
+def q_landing_rejects(spark, sf):
+    raw = td.landing_trade_texts(spark, sf)
+    good, bad = type_landing(raw, "staging_trades")
+    typed = good.select("counterparty_id", "netting_set_id", F.col("cob_date").cast("string").alias("cob_date"),
+                        F.lit("OK").alias("status"), F.lit(None).cast("string").alias("detail"), "notional")
+    spoilt = bad.select("counterparty_id", "netting_set_id", "cob_date", F.col("reject_reason").alias("status"),
+                        "detail", F.lit(None).cast("double").alias("notional"))
+    return (typed.unionByName(spoilt).groupBy("counterparty_id", "netting_set_id", "cob_date", "status", "detail")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("notional"), 6).alias("total_notional")))
+
+
 # =========================================================== assembly A1-A8
 
 @register("assemble_snapshots", O.store(with_market=True) + """,
 tstats AS (SELECT counterparty_id, netting_set_id, cob_date, count(*) AS n,
-                  sum(CAST(notional AS DECIMAL(18,2))) AS s FROM tr GROUP BY ALL),
+                  sum(notional) AS s FROM tr GROUP BY ALL),
 mstats AS (SELECT cob_date, count(*) FILTER (WHERE data_type = 'fx_rate') AS n_fx,
                   count(*) FILTER (WHERE data_type = 'inflation_rate') AS n_inf FROM md GROUP BY ALL),
 rstats AS (SELECT counterparty_id, netting_set_id, cob_date, count(*) AS n_mx FROM refs GROUP BY ALL)
@@ -104,7 +135,7 @@ SELECT s.counterparty_id, s.netting_set_id, s.cob_date, s.agreement_id, s.curren
        s.threshold_amount, array_to_string(s.eligible_collateral, ',') AS eligible_collateral,
        s.extra, s.exposure_total,
        CAST(coalesce(t.n, 0) AS BIGINT) AS n_trades,
-       CAST(coalesce(t.s, 0) AS DECIMAL(18,2)) AS total_notional,
+       round(coalesce(t.s, 0.0), 6) AS total_notional,
        CAST(coalesce(m.n_fx, 0) AS BIGINT) AS n_fx_rates,
        CAST(coalesce(m.n_inf, 0) AS BIGINT) AS n_inflation_rates,
        CAST(coalesce(r.n_mx, 0) AS BIGINT) AS n_matrices
@@ -115,14 +146,15 @@ def q_assemble_snapshots(spark, sf):
     st = domain.order_store(spark, sf)
     stats = (st["trades"].groupBy(*KEY)
              .agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.col("notional").cast("decimal(18,2)")).alias("s")))
+                  F.sum("notional").alias("s")))
     h = st["snapshots"].join(stats, KEY, "left")
     return h.select(*KEY, "agreement.agreement_id", "agreement.currency",
                     "agreement.threshold_amount",
                     F.array_join("agreement.eligible_collateral", ",").alias("eligible_collateral"),
                     "agreement.extra", "exposure_total",
                     F.coalesce("n", F.lit(0)).cast("long").alias("n_trades"),
-                    F.coalesce("s", F.lit(0)).cast("decimal(18,2)").alias("total_notional"),
+                    # sums of doubles differ in the last digits by their order
+                    F.round(F.coalesce("s", F.lit(0.0)), 6).alias("total_notional"),
                     F.size("market_data.fx_rates").cast("long").alias("n_fx_rates"),
                     F.size("market_data.inflation_rates").cast("long").alias("n_inflation_rates"),
                     F.size("market_data.price_matrices").cast("long").alias("n_matrices"))
@@ -149,9 +181,23 @@ def q_unknown_market_types(spark, sf):
 
 @register("matrix_key_parse", "WITH " + O.agreements_raw() + ",\n" + O.agreements_good() + ",\n"
           + O.matrices() + """
-SELECT path, cob_date, counterparty_id, netting_set_id, instrument, true AS parsed FROM mx""")
+,
+keys AS (
+  SELECT path, CAST(cob_date AS VARCHAR) AS d, counterparty_id, netting_set_id, instrument, true AS parsed FROM mx
+  UNION ALL  -- too few parts
+  SELECT 'matrices/' || CAST(cob_date AS VARCHAR) || '/' || instrument || '.npy', NULL, NULL, NULL, NULL, false FROM mx
+  UNION ALL  -- a folder more, and no date
+  SELECT 'matrices/undated/' || counterparty_id || '/' || netting_set_id || '/v2/' || instrument || '.a.npy',
+         NULL, counterparty_id, netting_set_id, 'v2.' || instrument || '.a', true FROM mx)
+SELECT path, CAST(d AS DATE) AS cob_date, counterparty_id, netting_set_id, instrument, parsed FROM keys""")
 def q_matrix_key_parse(spark, sf):
+    """Keys of the files, and two malformed spellings of each."""
     files = td.matrix_objects(spark, sf).select("path")
+    p = F.split("path", "/")
+    name, whole = p[4], F.substring_index(p[4], ".", 1)
+    files = files.select(F.explode(F.array(
+        F.col("path"), F.concat_ws("/", p[0], p[1], name),
+        F.concat_ws("/", p[0], F.lit("undated"), p[2], p[3], F.lit("v2"), F.concat(whole, F.lit(".a.npy"))))).alias("path"))
     return A.parse_matrix_key(files).select("path", "cob_date", "counterparty_id",
                                             "netting_set_id", "instrument", "parsed")
 
@@ -159,16 +205,17 @@ def q_matrix_key_parse(spark, sf):
 # =========================================================== integrity H1-H7
 
 @register("matrix_inventory", "WITH " + O.agreements_raw() + ",\n" + O.agreements_good() + ",\n"
-          + O.matrices() + "\nSELECT path, length, actual_hash FROM mx")
+          + O.matrices() + "\nSELECT path, length, actual_hash FROM mx WHERE arrived")
 def q_matrix_inventory(spark, sf):
-    return H.hash_matrices(td.matrix_objects(spark, sf))
+    return H.hash_matrices(domain.staged(spark, sf)["files"])
 
 
 @register("matrix_verify", "WITH " + O.agreements_raw() + ",\n" + O.agreements_good() + ",\n"
-          + O.matrices() + "\nSELECT path, expected_hash, actual_hash, status FROM mxv")
+          + O.matrices() + """
+SELECT path, expected_hash, CASE WHEN arrived THEN actual_hash END AS actual_hash, status FROM mxv""")
 def q_matrix_verify(spark, sf):
-    files = td.matrix_objects(spark, sf)
-    v = H.verify_matrices(H.hash_matrices(files), files.select("path", "expected_hash"))
+    s = domain.staged(spark, sf)
+    v = H.verify_matrices(H.hash_matrices(s["files"]), s["manifest"])
     return v.select("path", "expected_hash", "actual_hash", "status")
 
 
@@ -288,19 +335,23 @@ def q_reject_duplicates(spark, sf):
 
 
 @register("validate_finite", O.store() + """
-SELECT counterparty_id, netting_set_id, cob_date,
-       isfinite(threshold_amount) AND isfinite(minimum_transfer_amount)
-       AND isfinite(independent_amount) AND isfinite(rounding_amount)
-       AND coalesce((SELECT bool_and(isfinite(t.notional)) FROM tr t
-                     WHERE t.counterparty_id = s.counterparty_id
-                       AND t.netting_set_id = s.netting_set_id AND t.cob_date = s.cob_date), true)
-       AS finite
-FROM snap s""")
+, bad AS (SELECT DISTINCT counterparty_id, netting_set_id, cob_date FROM tr
+          WHERE CAST(floor(notional) AS BIGINT) % 53 IN (0, 1)
+          UNION SELECT counterparty_id, netting_set_id, cob_date FROM snap
+          WHERE CAST(floor(exposure_total) AS BIGINT) % 31 = 0)
+SELECT s.counterparty_id, s.netting_set_id, s.cob_date, b.counterparty_id IS NULL AS finite
+FROM snap s LEFT JOIN bad b USING (counterparty_id, netting_set_id, cob_date)""")
 def q_validate_finite(spark, sf):
+    """The store with values made NaN, infinite or overflowing by a rule over its own amounts."""
     st = domain.order_store(spark, sf)
-    checked = V.validate_finite(st["snapshots"], st["trades"])
-    bad = checked.rejects.select(*KEY, F.lit(False).alias("_bad"))
-    return (st["snapshots"].select(*KEY).join(bad, KEY, "left")
+    whole = F.floor("notional") % 53
+    trades = st["trades"].withColumn("notional", F.when(whole == 0, F.lit(float("nan")))
+                                     .when(whole == 1, F.lit(float("-inf"))).otherwise(F.col("notional")))
+    terms = F.col("agreement").withField("threshold_amount", F.when(
+        F.floor("exposure_total") % 31 == 0, F.lit(float("inf"))).otherwise(F.col("agreement.threshold_amount")))
+    snaps = st["snapshots"].withColumn("agreement", terms)
+    bad = V.validate_finite(snaps, trades).rejects.select(*KEY, F.lit(False).alias("_bad"))
+    return (snaps.select(*KEY).join(bad, KEY, "left")
             .select(*KEY, F.coalesce("_bad", F.lit(True)).alias("finite")))
 
 
@@ -319,8 +370,8 @@ def q_validate_matrix_refs(spark, sf):
     hashed = H.hash_matrices(s["files"])
     verified = H.verify_matrices(hashed, s["manifest"])
     all_refs = (A.parse_matrix_key(verified).where("parsed")
-                .select(*KEY, "instrument", "path", F.col("actual_hash").alias("hash")))
-    asm = A.assemble_snapshots(good, s["trades"].limit(0), None, all_refs)
+                .select(*KEY, "instrument", "path", F.col("expected_hash").alias("hash")))
+    asm = A.assemble_snapshots(good, market=None, matrix_refs=all_refs)
     inventory = verified.where(F.col("status") == "OK").select("path")
     return V.validate_matrix_refs(asm.headers, inventory).rejects
 
@@ -328,11 +379,16 @@ def q_validate_matrix_refs(spark, sf):
 @register("null_numeric_counts", "WITH " + O.agreements_raw(clean=False) + """
 SELECT cob_date, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count(*) FILTER (WHERE threshold_raw IS NULL) AS BIGINT) AS null_threshold_amount,
-       CAST(0 AS BIGINT) AS null_minimum_transfer_amount,
-       CAST(0 AS BIGINT) AS null_independent_amount, CAST(0 AS BIGINT) AS null_rounding_amount
+       CAST(count(*) FILTER (WHERE arrival_seq % 7 = 0) AS BIGINT) AS null_minimum_transfer_amount,
+       CAST(count(*) FILTER (WHERE arrival_seq % 11 = 0) AS BIGINT) AS null_independent_amount,
+       CAST(count(*) FILTER (WHERE arrival_seq % 13 = 0) AS BIGINT) AS null_rounding_amount
 FROM ag_raw GROUP BY cob_date""")
 def q_null_numeric_counts(spark, sf):
-    return V.null_numeric_counts(td.staging_agreements(spark, sf, clean_ids=False))
+    """Staged rows with further amounts made NULL by a rule over the load order."""
+    ag = td.staging_agreements(spark, sf, clean_ids=False)
+    for every, c in ((7, "minimum_transfer_amount"), (11, "independent_amount"), (13, "rounding_amount")):
+        ag = ag.withColumn(c, F.when(F.col("arrival_seq") % every != 0, F.col(c)))
+    return V.null_numeric_counts(ag)
 
 
 def _raw_ingest(spark, sf):
@@ -366,7 +422,7 @@ def q_exposure_index(spark, sf):
 
 @register("trade_index", O.store() + "SELECT DISTINCT trade_id, " + KEYS_SQL + " FROM tr")
 def q_trade_index(spark, sf):
-    return domain.order_store(spark, sf)["trade_index"]
+    return domain.order_store(spark, sf)["trade_index"].select("trade_id", *KEY)
 
 
 @register("index_staleness", "WITH " + O.feed() + """,
@@ -444,7 +500,8 @@ UNION ALL
 SELECT NULL, CAST(sum(posted) AS BIGINT), CAST(sum(skipped) AS BIGINT),
        CAST(sum(incomplete) AS BIGINT), CAST(sum(errors) AS BIGINT) FROM per""")
 def q_backfill_counts(spark, sf):
-    return I.backfill_counts(_raw_ingest(spark, sf), BACKFILL_FROM, BACKFILL_TO)
+    result = domain.ingest_orders(spark, sf, clean_ids=False, from_date=BACKFILL_FROM, to_date=BACKFILL_TO)
+    return I.backfill_counts(result, BACKFILL_FROM, BACKFILL_TO)
 
 
 @register("ingest_status", "WITH " + O.agreements_raw(clean=False) + ",\n" + O.agreements_good()
@@ -505,6 +562,41 @@ def q_by_trade_scan(spark, sf):
                            BY_TRADE_TO)
 
 
+# the snapshots of a wanted set of keys: each counterparty's first stored date
+@register("snapshot_lookup", O.store() + """,
+wanted AS (SELECT counterparty_id, netting_set_id, cob_date FROM snap
+           QUALIFY cob_date = min(cob_date) OVER (PARTITION BY counterparty_id))
+SELECT s.counterparty_id, s.netting_set_id, s.cob_date, s.agreement_id, t.trade_id, t.notional
+FROM snap s JOIN wanted USING (counterparty_id, netting_set_id, cob_date)
+LEFT JOIN tr t USING (counterparty_id, netting_set_id, cob_date)""")
+def q_snapshot_lookup(spark, sf):
+    st = domain.order_store(spark, sf)
+    first = st["exposure_index"].groupBy("counterparty_id").agg(F.min("cob_date").alias("cob_date"))
+    wanted = st["exposure_index"].select(*KEY).join(first, ["counterparty_id", "cob_date"])
+    return Q.snapshot(st["snapshots"], st["trades"], wanted=wanted).select(
+        *KEY, "agreement.agreement_id", "trade_id", "notional")
+
+
+# the ids that were traded on the first stored date, wherever they occur
+@register("by_trade_ids", O.store() + """
+SELECT cob_date, counterparty_id, netting_set_id, trade_id, product_type, notional, currency,
+       direction, maturity_date
+FROM tr WHERE trade_id IN (SELECT trade_id FROM tr WHERE cob_date = (SELECT min(cob_date) FROM tr))""")
+def q_by_trade_ids(spark, sf):
+    st = domain.order_store(spark, sf)
+    start = st["trade_index"].agg(F.min("cob_date").alias("cob_date"))
+    ids = st["trade_index"].join(start, "cob_date").select("trade_id").distinct()
+    return Q.by_trade(st["trade_index"], st["trades"], ids)
+
+
+@register("by_trade_all", O.store() + """
+SELECT cob_date, counterparty_id, netting_set_id, trade_id, product_type, notional, currency,
+       direction, maturity_date FROM tr""")
+def q_by_trade_all(spark, sf):
+    st = domain.order_store(spark, sf)
+    return Q.by_trade(st["trade_index"], st["trades"])
+
+
 # =========================================================== market data Q6-Q9
 
 def _first_market_sql(data_type: str, key_name: str, only: str | None = None) -> str:
@@ -539,12 +631,25 @@ def q_inflation_rate_index(spark, sf):
     return Q.inflation_rate_index(domain.order_store(spark, sf)["snapshots"], "O3")
 
 
-@register("market_consistency", O.store(with_trades=False) + """
-SELECT cob_date, CAST(count(*) AS BIGINT) AS n_snapshots, CAST(1 AS BIGINT) AS n_fx_sets,
-       CAST(1 AS BIGINT) AS n_inflation_sets
-FROM snap GROUP BY cob_date""")
+@register("market_consistency", O.store(with_trades=False, with_market=True) + """
+, sets AS (SELECT s.cob_date, CAST(floor(s.exposure_total) AS BIGINT) % 5 = 0 AS no_fx,
+                  CAST(floor(s.exposure_total) AS BIGINT) % 7 = 0 AS other_inf,
+                  EXISTS (SELECT 1 FROM md WHERE md.cob_date = s.cob_date AND data_type = 'fx_rate') AS has_fx
+           FROM snap s)
+SELECT cob_date, CAST(count(*) AS BIGINT) AS n_snapshots,
+       CAST(count(DISTINCT no_fx OR NOT has_fx) AS BIGINT) AS n_fx_sets,
+       CAST(count(DISTINCT other_inf) AS BIGINT) AS n_inflation_sets
+FROM sets GROUP BY cob_date""")
 def q_market_consistency(spark, sf):
-    return Q.market_consistency(domain.order_store(spark, sf)["snapshots"])
+    """The store with some snapshots' rates altered by a rule over their exposure."""
+    whole = F.floor("exposure_total")
+    md = F.col("market_data")
+    md = md.withField("fx_rates", F.when(whole % 5 == 0, F.create_map().cast("map<string,double>"))
+                      .otherwise(F.col("market_data.fx_rates")))
+    md = md.withField("inflation_rates", F.when(whole % 7 == 0, F.map_concat(
+        "market_data.inflation_rates", F.create_map(F.lit("ALTERED"), F.lit(1.0))))
+        .otherwise(F.col("market_data.inflation_rates")))
+    return Q.market_consistency(domain.order_store(spark, sf)["snapshots"].withColumn("market_data", md))
 
 
 # =========================================================== exposure Q10-Q13
@@ -559,6 +664,12 @@ def q_exposure_history(spark, sf):
     return Q.exposure_history(domain.event_index(spark, sf), from_date=HIST_FROM, to_date=HIST_TO)
 
 
+@register("exposure_history_all", "WITH " + O.feed() + """
+SELECT counterparty_id, cob_date, netting_set_id, exposure_total FROM feed""")
+def q_exposure_history_all(spark, sf):
+    return Q.exposure_history(domain.event_index(spark, sf))
+
+
 def _rank_sql(source: str, where: str = "", limit: int | None = None) -> str:
     lim = f"WHERE rank <= {limit}" if limit else ""
     return f"""
@@ -611,12 +722,12 @@ def q_list_counterparties(spark, sf):
 
 
 @register("product_notional", O.store() + """
-SELECT cob_date, product_type, CAST(sum(CAST(notional AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_notional,
+SELECT cob_date, product_type, round(sum(notional), 6) AS total_notional,
        CAST(count(*) AS BIGINT) AS n_trades
 FROM tr GROUP BY ALL""")
 def q_product_notional(spark, sf):
     p = Q.product_notional(domain.order_store(spark, sf)["trades"])
-    return p.withColumn("total_notional", F.col("total_notional").cast("decimal(18,2)"))
+    return p.withColumn("total_notional", F.round("total_notional", 6))
 
 
 @register("trade_notional_series", O.store() + """
@@ -816,13 +927,61 @@ def q_diff_summary(spark, sf):
     return D.snapshot_diff(pairs, st["snapshots"], st["trades"])
 
 
-@register("change_log", None)
+def _change_log_sql() -> str:
+    """The parts of the diff as one list; amounts as text the way both engines print them."""
+    def rates(kind):
+        body = _rate_changes_sql(kind, "item").split("\n", 1)[1]
+        return f"""SELECT {PAIR_SQL}, '{kind}' AS kind, item, CAST(old_value AS VARCHAR) AS old_value,
+       CAST(new_value AS VARCHAR) AS new_value FROM (WITH {body})"""
+    matrix = _MATRIX_CHANGES_SQL.split("\n", 1)[1]
+    trades = "\nUNION ALL\n".join(f"""SELECT p.counterparty_id, p.netting_set_id, p.from_date, p.to_date,
+       'trade_{change}' AS kind, t.trade_id AS item,
+       {"NULL" if change == "added" else "CAST(t.notional AS VARCHAR)"} AS old_value,
+       {"CAST(t.notional AS VARCHAR)" if change == "added" else "NULL"} AS new_value
+FROM pairs p JOIN tr t ON t.counterparty_id = p.counterparty_id AND t.netting_set_id = p.netting_set_id
+  AND t.cob_date = p.{mine}
+WHERE NOT EXISTS (SELECT 1 FROM tr o WHERE o.counterparty_id = p.counterparty_id
+  AND o.netting_set_id = p.netting_set_id AND o.cob_date = p.{other} AND o.trade_id = t.trade_id)"""
+                                   for change, mine, other in (("added", "to_date", "from_date"),
+                                                               ("removed", "from_date", "to_date")))
+    agreement = f"""SELECT {PAIR_SQL}, 'agreement' AS kind, field AS item,
+       coalesce(CAST(old_number AS VARCHAR), old_text) AS old_value,
+       coalesce(CAST(new_number AS VARCHAR), new_text) AS new_value FROM ({_agreement_changes_sql()})"""
+    return (_pairs_store(market=True) + trades + "\nUNION ALL\n" + agreement + "\nUNION ALL\n" + rates("fx_rate")
+            + "\nUNION ALL\n" + rates("inflation_rate")
+            + f"\nUNION ALL\nSELECT {PAIR_SQL}, 'matrix', instrument, old_hash, new_hash FROM (WITH {matrix})")
+
+
+@register("change_log", _change_log_sql())
 def q_change_log(spark, sf):
     st = domain.order_store(spark, sf)
     pairs = D.consecutive_pairs(st["snapshots"])
     return D.change_log(pairs, st["snapshots"], st["trades"])
 
 
+# caller-given pairs: every consecutive pair, its reverse, and a pair that ends a day late
+@register("diff_given_pairs", _pairs_store() + """,
+given AS (SELECT * FROM pairs
+          UNION ALL SELECT counterparty_id, netting_set_id, to_date, from_date FROM pairs
+          UNION ALL SELECT counterparty_id, netting_set_id, from_date, CAST(to_date + INTERVAL 1 DAY AS DATE) FROM pairs)
+SELECT g.counterparty_id, g.netting_set_id, g.from_date, g.to_date,
+       CASE WHEN NOT g.from_date < g.to_date THEN 'INVALID_RANGE'
+            WHEN NOT EXISTS (SELECT 1 FROM snap s WHERE s.counterparty_id = g.counterparty_id
+              AND s.netting_set_id = g.netting_set_id AND s.cob_date = g.from_date) THEN 'MISSING_FROM'
+            WHEN NOT EXISTS (SELECT 1 FROM snap s WHERE s.counterparty_id = g.counterparty_id
+              AND s.netting_set_id = g.netting_set_id AND s.cob_date = g.to_date) THEN 'MISSING_TO'
+            ELSE 'OK' END AS status
+FROM given g""")
+def q_diff_given_pairs(spark, sf):
+    snaps = domain.order_store(spark, sf)["snapshots"]
+    pairs = D.consecutive_pairs(snaps)
+    given = pairs.unionByName(pairs.select("counterparty_id", "netting_set_id", F.col("to_date").alias("from_date"),
+                                           F.col("from_date").alias("to_date")))
+    given = given.unionByName(pairs.withColumn("to_date", F.date_add("to_date", 1)))
+    good = D.given_pairs(given, snaps).withColumn("status", F.lit("OK"))
+    return good.unionByName(D.rejected_pairs(given, snaps).withColumnRenamed("reason", "status"))
+
+
 # =========================================================== history E1-E4
 
 @register("agreement_history", O.store(with_trades=False) + """,
@@ -851,23 +1010,24 @@ def q_agreement_history(spark, sf):
     return h.withColumn("eligible_collateral", F.array_join("eligible_collateral", ","))
 
 
-ANOMALY_MIN_PERIODS = 10
+ANOMALY_MIN_HISTORY = 10
 
 
 @register("exposure_anomalies", "WITH " + O.feed() + f""",
 daily AS (SELECT counterparty_id, cob_date,
                  CAST(sum(CAST(exposure_total AS DECIMAL(38,2))) AS DOUBLE) AS exposure_total
           FROM feed GROUP BY ALL),
-st AS (SELECT *, count(*) OVER w AS n_obs, avg(exposure_total) OVER w AS mean,
+st AS (SELECT *, row_number() OVER (PARTITION BY counterparty_id ORDER BY cob_date) AS n_history,
+              count(*) OVER w AS n_obs, avg(exposure_total) OVER w AS mean,
               stddev_samp(exposure_total) OVER w AS std
        FROM daily WINDOW w AS (PARTITION BY counterparty_id ORDER BY cob_date
             RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
 SELECT counterparty_id, cob_date, exposure_total, CAST(n_obs AS BIGINT) AS n_obs,
        round(mean, 6) AS mean, round(std, 6) AS std,
        coalesce(abs(exposure_total - mean) > 2 * std, false) AS is_anomaly
-FROM st WHERE n_obs >= {ANOMALY_MIN_PERIODS}""")
+FROM st WHERE n_history >= {ANOMALY_MIN_HISTORY}""")
 def q_exposure_anomalies(spark, sf):
-    return E.exposure_anomalies(domain.event_index(spark, sf), min_periods=ANOMALY_MIN_PERIODS)
+    return E.exposure_anomalies(domain.event_index(spark, sf), min_history=ANOMALY_MIN_HISTORY)
 
 
 @register("snapshots_with_matrices", O.store(with_trades=False) + """
@@ -896,7 +1056,38 @@ def q_extra_json_query(spark, sf):
 
 # =========================================================== export K5
 
-@register("export_snapshots_json", None)
+def _export_sql() -> str:
+    """The exported documents: stored column order, nulls kept, ``extra`` as stored."""
+    return O.store(with_market=True).rstrip() + _hash_doc_sql() + """,
+ptr AS (SELECT counterparty_id, netting_set_id, cob_date,
+               string_agg('{"trade_id":"' || trade_id || '","product_type":"' || product_type
+                          || '","notional":' || CAST(notional AS VARCHAR) || ',"currency":"' || currency
+                          || '","maturity_date":' || coalesce('"' || CAST(maturity_date AS VARCHAR) || '"', 'null')
+                          || ',"direction":"' || direction || '","extra":' || extra || '}', ',' ORDER BY trade_id) AS j
+        FROM tr GROUP BY ALL),
+pmx AS (SELECT counterparty_id, netting_set_id, cob_date,
+               '{' || string_agg('"' || instrument || '":{"path":"' || path || '","hash":"' || hash || '"}', ','
+                                 ORDER BY instrument) || '}' AS j
+        FROM refs GROUP BY ALL)
+SELECT s.counterparty_id, s.netting_set_id, s.cob_date,
+       '{"counterparty_id":"' || s.counterparty_id || '","netting_set_id":"' || s.netting_set_id
+       || '","cob_date":"' || CAST(s.cob_date AS VARCHAR) || '","agreement":{"agreement_id":"' || s.agreement_id
+       || '","threshold_amount":' || CAST(s.threshold_amount AS VARCHAR)
+       || ',"minimum_transfer_amount":' || CAST(s.minimum_transfer_amount AS VARCHAR)
+       || ',"independent_amount":' || CAST(s.independent_amount AS VARCHAR) || ',"currency":"' || s.currency
+       || '","eligible_collateral":' || CAST(to_json(s.eligible_collateral) AS VARCHAR)
+       || ',"rounding_amount":' || CAST(s.rounding_amount AS VARCHAR)
+       || ',"valuation_agent":' || coalesce('"' || s.valuation_agent || '"', 'null') || ',"extra":' || s.extra
+       || '},"trades":[' || coalesce(t.j, '') || '],"market_data":{"fx_rates":' || coalesce(f.j, '{}')
+       || ',"inflation_rates":' || coalesce(i.j, '{}') || ',"price_matrices":' || coalesce(p.j, '{}')
+       || '},"data_hash":"sha256-v1:' || sha256(d.doc) || '"}' AS value
+FROM snap s JOIN docs d USING (counterparty_id, netting_set_id, cob_date)
+LEFT JOIN fxm f USING (cob_date) LEFT JOIN infm i USING (cob_date)
+LEFT JOIN pmx p USING (counterparty_id, netting_set_id, cob_date)
+LEFT JOIN ptr t USING (counterparty_id, netting_set_id, cob_date)"""
+
+
+@register("export_snapshots_json", _export_sql())
 def q_export_snapshots_json(spark, sf):
     st = domain.order_store(spark, sf)
     return K.export_snapshots_json(st["snapshots"], st["trades"])

@@ -17,30 +17,36 @@ from cobframe.operators.ingest import IngestResult, ingest_batch
 from cobframe.operators.store import append_snapshots, build_exposure_index
 from cobframe.session import ensure_checkpoint_dir
 from cobframe.sources import testdata as td
-from cobframe.sources.stores import path_exists, read_store_table, read_text, write_text
+from cobframe.sources.files import path_exists, read_text, write_text
+from cobframe.sources.stores import read_store_table
 from cobframe.sources.staging import (read_staging_agreements, read_staging_market_data,
                                       read_staging_trades)
 
 AGREEMENT_ARRIVAL = ["arrival_seq"]
 TRADE_ARRIVAL = ["arrival"]
-STORE_VERSION = "3"
+STORE_VERSION = "4"
 
 
 def staged(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
-           rounding_noise: bool = False) -> dict[str, DataFrame]:
+           rounding_noise: bool = False, from_date=None, to_date=None) -> dict[str, DataFrame]:
+    dates = {"from_date": from_date, "to_date": to_date}
     ag = read_staging_agreements(td.staging_agreements(spark, sf_dir, clean_ids, rounding_noise),
-                                 keep=("ingested_at", "arrival_seq", "exposure_total"))
-    tr = read_staging_trades(td.staging_trades(spark, sf_dir, clean_ids))
-    md = read_staging_market_data(td.staging_market_data(spark, sf_dir))
-    files = td.matrix_objects(spark, sf_dir, clean_ids)
+                                 keep=("ingested_at", "arrival_seq", "exposure_total"), **dates)
+    tr = read_staging_trades(td.staging_trades(spark, sf_dir, clean_ids), **dates)
+    md = read_staging_market_data(td.staging_market_data(spark, sf_dir), **dates)
+    listed = td.matrix_objects(spark, sf_dir, clean_ids)
+    files = listed.where("arrived")
     return {"agreements": ag, "trades": tr, "market": md,
             "files": files.select("path", "length", "content"),
-            "manifest": files.select("path", "expected_hash")}
+            "manifest": listed.select("path", "expected_hash")}
 
 
 def ingest_orders(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
-                  rounding_noise: bool = False, stage=None) -> IngestResult:
-    s = staged(spark, sf_dir, clean_ids, rounding_noise)
+                  rounding_noise: bool = False, stage=None, from_date=None, to_date=None) -> IngestResult:
+    """The ingest job; ``stage`` None writes its intermediates (marked rows,
+    verified inventory, trades, snapshots) to a new shared folder."""
+    stage = stage or work_stage(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobframe-work-{uuid.uuid4().hex}")
+    s = staged(spark, sf_dir, clean_ids, rounding_noise, from_date, to_date)
     return ingest_batch(s["agreements"], s["trades"], s["market"], s["files"], s["manifest"],
                         arrival=AGREEMENT_ARRIVAL, trade_arrival=TRADE_ARRIVAL, stage=stage)
 
@@ -52,7 +58,7 @@ def work_stage(spark: SparkSession, folder: str):
     def stage(name: str, df: DataFrame) -> DataFrame:
         path = f"{folder}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     return stage
 
 
@@ -108,8 +114,7 @@ class StoredTables:
 
     def read(self, name: str, from_date=None, to_date=None) -> DataFrame:
         """A stored table; date bounds prune month directories and row groups."""
-        df = read_store_table(self.spark, self.root, self.NAMES[name], from_date, to_date)
-        return df.drop("batch_id", "position")
+        return read_store_table(self.spark, self.root, self.NAMES[name], from_date, to_date).drop("batch_id")
 
 
 def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,10 +68,11 @@ def matrices(clean: bool = True) -> str:
          'CP-' || o.o_custkey AS counterparty_id,
          {_ns(clean, 'o.')} AS netting_set_id,
          CAST(o.o_orderdate AS DATE) AS cob_date,
-         d.source AS instrument
+         d.source AS instrument, d.doc_id % 41 <> 0 AS arrived
   FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey),
 mxv AS (
-  SELECT *, CASE WHEN expected_hash = '' THEN 'NO_HASH'
+  SELECT *, CASE WHEN NOT arrived THEN 'MISSING'
+                 WHEN expected_hash = '' THEN 'NO_HASH'
                  WHEN actual_hash <> expected_hash THEN 'MISMATCH' ELSE 'OK' END AS status
   FROM mx),
 completeness AS (

@@ -37,10 +37,6 @@ MARKET_INFLATION = "inflation_rate"
 PORTFOLIO_DEFAULT_TOP = 20              # default row count of the exposure ranking report
 # ---------------------------------------------------------------------------
 
-# Reject reasons in the order the write path checks them; the first failing
-# rule is the reported one.
-REJECT_ORDER = ["INVALID_ID", "MISSING_FIELD", "DUPLICATE", "MISSING_MATRIX", "NON_FINITE"]
-
 AGREEMENT = T.StructType([
     T.StructField("agreement_id", T.StringType()),
     T.StructField("threshold_amount", T.DoubleType()),
@@ -76,46 +72,6 @@ MARKET_DATA = T.StructType([
     T.StructField("price_matrices", T.MapType(T.StringType(), MATRIX_REF)),
 ])
 
-# Staging tables (flat sources).  Numerics arrive as decimals from databases
-# and as text from CSV; readers coerce them to double.
-STAGING_AGREEMENTS = T.StructType([
-    T.StructField("counterparty_id", T.StringType(), False),
-    T.StructField("netting_set_id", T.StringType(), False),
-    T.StructField("cob_date", T.DateType(), False),
-    T.StructField("agreement_id", T.StringType(), False),
-    T.StructField("threshold_amount", T.DecimalType(38, 10)),
-    T.StructField("minimum_transfer_amount", T.DecimalType(38, 10)),
-    T.StructField("independent_amount", T.DecimalType(38, 10)),
-    T.StructField("currency", T.StringType()),
-    T.StructField("eligible_collateral", T.ArrayType(T.StringType())),
-    T.StructField("rounding_amount", T.DecimalType(38, 10)),
-    T.StructField("valuation_agent", T.StringType()),
-    T.StructField("extra", T.StringType()),
-    T.StructField("ingested_at", T.TimestampType()),
-])
-
-STAGING_TRADES = T.StructType([
-    T.StructField("counterparty_id", T.StringType(), False),
-    T.StructField("netting_set_id", T.StringType(), False),
-    T.StructField("cob_date", T.DateType(), False),
-    T.StructField("trade_id", T.StringType(), False),
-    T.StructField("product_type", T.StringType()),
-    T.StructField("notional", T.DecimalType(38, 10)),
-    T.StructField("currency", T.StringType()),
-    T.StructField("direction", T.StringType()),
-    T.StructField("maturity_date", T.DateType()),
-    T.StructField("extra", T.StringType()),
-    T.StructField("ingested_at", T.TimestampType()),
-])
-
-STAGING_MARKET_DATA = T.StructType([
-    T.StructField("cob_date", T.DateType(), False),
-    T.StructField("data_type", T.StringType(), False),
-    T.StructField("key", T.StringType(), False),
-    T.StructField("value", T.DecimalType(38, 10), False),
-    T.StructField("ingested_at", T.TimestampType()),
-])
-
 # Column lists of the landing CSV files (one directory per date/cp/ns).
 # The agreement file carries no independent_amount, rounding_amount or extra;
 # those take the staging defaults 0, 0 and {}.

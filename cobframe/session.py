@@ -47,11 +47,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when unset.
+    """The shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
 
-    On a cluster ``spark.checkpoint.dir`` is configured by the platform and is
-    used as is.  Only a local test session without that setting gets a fresh
-    scratch folder.
+    Only a session whose executors are this very process (``local[...]``) may
+    go without the setting; it gets a scratch folder.  Elsewhere a folder of
+    one machine would be written by every executor on its own disk, so a
+    missing setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -61,9 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    scratch = tempfile.mkdtemp(prefix="cobframe-ckpt-")
-    spark.sparkContext.setCheckpointDir(scratch)
-    return spark.sparkContext.getCheckpointDir() or scratch
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cobframe-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 _SHIPPED: set[str] = set()

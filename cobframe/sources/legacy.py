@@ -15,6 +15,8 @@ ISO date; other files are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,23 +66,27 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
     keep their document ``position`` so recomputed hashes follow the stored
     order."""
     from cobframe.operators.store import _write, build_exposure_index, build_trade_index
-    from cobframe.sources.stores import read_store_table, table_path, write_text
+    from cobframe.sources.stores import (begin_attempt, commit_attempt, is_committed,
+                                         read_store_table, table_path)
+    if is_committed(spark, root, "migrated"):
+        return root
+    attempt = uuid.uuid4().hex
+    begin_attempt(spark, root, attempt, "migrated")
     src = read_json_layout(spark, data_dir)
     exposure = src["exposure_index"].select(*KEY, "exposure_total")
     snaps = (src["snapshots"].join(exposure, KEY, "left")
              .withColumn("exposure_total", F.coalesce("exposure_total", F.lit(0.0)))
-             .withColumn("batch_id", F.lit("migrated")))
+             .withColumn("batch_id", F.lit(attempt)))
     _write(snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
                         "ingested_at", "batch_id"),
            table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
     _write(src["trades"].withColumn("position", F.col("position").cast("long"))
-           .withColumn("batch_id", F.lit("migrated")),
+           .withColumn("batch_id", F.lit(attempt)),
            table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
-    _write(build_exposure_index(read_store_table(spark, root, "snapshots", batch_id="migrated")),
+    _write(build_exposure_index(read_store_table(spark, root, "snapshots", attempt=attempt)),
            table_path(root, "exposure_index"), "append", ["counterparty_id", "netting_set_id"])
-    _write(build_trade_index(read_store_table(spark, root, "snapshot_trades",
-                                              batch_id="migrated")),
+    _write(build_trade_index(read_store_table(spark, root, "snapshot_trades", attempt=attempt)),
            table_path(root, "trade_index"), "append", ["trade_id"])
-    write_text(spark, f"{root.rstrip('/')}/_batches/migrated", "committed")
+    commit_attempt(spark, root, attempt, "migrated")
     return root

@@ -7,21 +7,13 @@ to double.  Date bounds become partition / pushed filters on the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobframe.functions.columns import date_range, to_double
-from cobframe.schema import (LANDING_AGREEMENT_COLUMNS, LANDING_MARKET_COLUMNS,
+from cobframe.schema import (KEY, LANDING_AGREEMENT_COLUMNS, LANDING_MARKET_COLUMNS,
                              LANDING_TRADE_COLUMNS, landing_csv_schema)
-
-
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
-               **options) -> DataFrame:
-    """Generic scan: parquet (default), csv, json, orc, or ``jdbc`` (options carry url/dbtable)."""
-    reader = spark.read.format(fmt).options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load(path) if path else reader.load()
+from cobframe.sources.files import paths_match
 
 
 def _dated(df: DataFrame, cob_date=None, from_date=None, to_date=None) -> DataFrame:
@@ -72,83 +64,146 @@ def read_staging_market_data(df: DataFrame, cob_date=None, from_date=None,
 # Landing CSV files -> staging, insert-if-absent
 # ---------------------------------------------------------------------------
 
-def _read_landing(spark: SparkSession, root: str, file_name: str, columns: list[str]) -> DataFrame:
-    return (spark.read.schema(landing_csv_schema(columns)).option("header", True)
-            .option("recursiveFileLookup", False)
-            .csv(f"{root.rstrip('/')}/*/*/*/{file_name}")
-            .withColumn("source_file", F.input_file_name()))
-
-
-def _typed_landing_agreements(raw: DataFrame) -> DataFrame:
-    coll = F.col("eligible_collateral")
-    return raw.select(
-        "counterparty_id", "netting_set_id",
-        F.expr("try_cast(cob_date AS DATE)").alias("cob_date"),
-        "agreement_id",
-        F.expr("try_cast(threshold_amount AS DECIMAL(38,10))").alias("threshold_amount"),
-        F.expr("try_cast(minimum_transfer_amount AS DECIMAL(38,10))").alias("minimum_transfer_amount"),
-        F.lit(0).cast("decimal(38,10)").alias("independent_amount"),
-        "currency",
-        # Postgres array literal {A,B} or a plain comma list
-        F.when(coll.isNull() | (F.trim(coll) == ""), F.lit(None).cast("array<string>"))
-         .otherwise(F.split(F.regexp_replace(coll, r"^\{|\}$", ""), ","))
-         .alias("eligible_collateral"),
-        F.lit(0).cast("decimal(38,10)").alias("rounding_amount"),
-        "valuation_agent",
-        F.lit("{}").alias("extra"),
-        "source_file")
+# What a value's text must look like before it is cast.
+NUMBER_TEXT = r"(?i)^[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf(?:inity)?)$"
+DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+# table -> (file, columns, key, required columns, typed columns)
+LANDING = {
+    "staging_agreements": ("agreement.csv", LANDING_AGREEMENT_COLUMNS, KEY,
+                           [*KEY, "agreement_id"],
+                           {"cob_date": "date", "threshold_amount": "double",
+                            "minimum_transfer_amount": "double"}),
+    "staging_trades": ("trades.csv", LANDING_TRADE_COLUMNS, [*KEY, "trade_id"],
+                       [*KEY, "trade_id"],
+                       {"cob_date": "date", "notional": "double", "maturity_date": "date"}),
+    "staging_market_data": ("market_data.csv", LANDING_MARKET_COLUMNS,
+                            ["cob_date", "data_type", "key"],
+                            ["cob_date", "data_type", "key", "value"],
+                            {"cob_date": "date", "value": "double"}),
+}
+# A row's place in the landed files: file, block and row number, all known at
+# the scan, so the order does not depend on any shuffle.
+ARRIVAL = ["_file", "_block", "_row"]
+
+
+def read_landing(spark: SparkSession, root: str, table: str,
+                 folders: list[str] | None = None) -> DataFrame:
+    """Text columns of one kind of landing file with each row's place.
+
+    ``folders``: only these ``{date}/{cp}/{ns}`` folders below ``root``."""
+    file_name, columns = LANDING[table][:2]
+    base = root.rstrip("/")
+    paths = [f"{base}/{f}/{file_name}" for f in folders] if folders is not None else [f"{base}/*/*/*/{file_name}"]
+    paths = [p for p in paths if paths_match(spark, p)]
+    schema = landing_csv_schema(columns)
+    if not paths:
+        empty = ", ".join([f"{c} string" for c in columns] + ["_file string", "_block long", "_row long"])
+        return spark.createDataFrame([], empty)
+    return (spark.read.schema(schema).option("header", True).option("escape", '"').csv(paths)
+            .select(*columns, F.col("_metadata.file_path").alias("_file"),
+                    F.col("_metadata.file_block_start").alias("_block"),
+                    F.monotonically_increasing_id().alias("_row")))
+
+
+def _parsed(column: str, kind: str) -> Column:
+    """The typed value of a text, NULL when the text does not spell one."""
+    text = F.trim(column)
+    shape = DATE_TEXT if kind == "date" else NUMBER_TEXT
+    return F.when(text.rlike(shape), text.try_cast(kind))
+
+
+def _present(column: str) -> Column:
+    return F.coalesce(F.trim(column) != "", F.lit(False))
+
+
+def parse_collateral(column: str = "eligible_collateral") -> Column:
+    """An array literal (``{A,"B, C"}``, ``{}``) or a plain comma list."""
+    text = F.trim(column)
+    inner = F.regexp_replace(text, r"(?s)^\{(.*)\}$", "$1")
+    items = F.regexp_extract_all(inner, F.lit(r'"((?:[^"\\]|\\.)*)"|([^,"]+)'), F.lit(0))
+    plain = F.transform(items, lambda x: F.when(
+        F.startswith(F.trim(x), F.lit('"')),
+        F.regexp_replace(F.substring(F.trim(x), F.lit(2), F.length(F.trim(x)) - 2), r"\\(.)", "$1"))
+        .otherwise(F.trim(x)))
+    return (F.when(column_is_empty(text), F.lit(None).cast("array<string>"))
+            .when(text.rlike(r"(?s)^\{.*\}$"), F.filter(plain, lambda x: x != ""))
+            .otherwise(F.split(text, ",")))
+
+
+def column_is_empty(text: Column) -> Column:
+    return F.coalesce(text == "", F.lit(True))
+
+
+def type_landing(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows, and the rows that cannot be typed: key columns as text,
+    ``reject_reason`` (UNPARSEABLE or MISSING_FIELD), ``detail`` (the column
+    and its text).  Only a value that is absent is NULL in a typed row."""
+    _, columns, _, required, typed = LANDING[table]
+    problem = F.lit(None).cast("string")
+    for c in reversed(columns):
+        if c in typed:
+            bad = _present(c) & _parsed(c, typed[c]).isNull()
+            problem = F.when(bad, F.concat(F.lit(f"UNPARSEABLE|{c}="), F.col(c))).otherwise(problem)
+    for c in reversed(required):
+        problem = F.when(~_present(c), F.lit(f"MISSING_FIELD|{c}")).otherwise(problem)
+    marked = raw.withColumn("_problem", problem)
+
+    def value(c):
+        if c in typed:
+            return _parsed(c, typed[c]).alias(c)
+        return (parse_collateral(c) if c == "eligible_collateral" else F.col(c)).alias(c)
+
+    good = marked.where(F.col("_problem").isNull()).select(*[value(c) for c in columns], *ARRIVAL)
+    if table == "staging_agreements":
+        good = good.withColumns({"independent_amount": F.lit(0.0), "rounding_amount": F.lit(0.0)})
+    if table != "staging_market_data":
+        good = good.withColumn("extra", F.lit("{}"))
+    keys = [(F.col(c) if c in columns else F.lit(None).cast("string")).alias(c)
+            for c in ("counterparty_id", "netting_set_id", "cob_date")]
+    rejects = marked.where(F.col("_problem").isNotNull()).select(
+        F.lit(table).alias("table_name"), *keys,
+        F.substring_index("_problem", "|", 1).alias("reject_reason"),
+        F.expr("substring(_problem, instr(_problem, '|') + 1)").alias("detail"), F.col("_file").alias("source_file"))
+    return good, rejects
 
 
 def _first_per_key(df: DataFrame, key: list[str], existing: DataFrame | None) -> DataFrame:
     """Insert-if-absent: keys already stored are dropped, then the first row
-    (by source file and line) of each key wins.  The winner is chosen with a
-    ``min_by`` aggregate, which combines map-side, so many copies of one key
-    never meet in one task."""
+    (by its place in the files) of each key wins."""
     if existing is not None:
         df = df.join(existing.select(*key).distinct(), key, "left_anti")
-    others = [c for c in df.columns if c not in key and c != "_ord"]
-    ordered = df.withColumn("_ord", F.struct("source_file", F.monotonically_increasing_id()))
-    winners = (ordered.groupBy(*key)
-               .agg(F.min_by(F.struct(*others), F.col("_ord")).alias("_row")))
-    return winners.select(*key, "_row.*")
+    return dedupe_first(df, key, ARRIVAL)
 
 
 def load_landing_csv(spark: SparkSession, root: str, existing_agreements: DataFrame | None = None,
                      existing_trades: DataFrame | None = None,
-                     existing_market: DataFrame | None = None) -> dict[str, DataFrame]:
+                     existing_market: DataFrame | None = None,
+                     folders: list[str] | None = None) -> dict[str, DataFrame]:
     """Read ``{root}/{date}/{cp}/{ns}/{agreement,trades,market_data}.csv``.
 
-    Returns the rows to append to each staging table: typed with ``try_cast``
-    (dirty values become NULL instead of failing the job), keys already in the
-    staging tables skipped, first row per primary key kept.
+    Returns the rows to append to each staging table (typed, keys already in
+    the staging tables skipped, first row per primary key kept) and, as
+    ``landing_rejects``, every row with a missing key or a value that does
+    not parse.
     """
-    ag = _typed_landing_agreements(_read_landing(spark, root, "agreement.csv",
-                                                 LANDING_AGREEMENT_COLUMNS))
-    tr_raw = _read_landing(spark, root, "trades.csv", LANDING_TRADE_COLUMNS)
-    tr = tr_raw.select(
-        "counterparty_id", "netting_set_id",
-        F.expr("try_cast(cob_date AS DATE)").alias("cob_date"), "trade_id", "product_type",
-        F.expr("try_cast(notional AS DECIMAL(38,10))").alias("notional"), "currency", "direction",
-        F.expr("try_cast(maturity_date AS DATE)").alias("maturity_date"),
-        F.lit("{}").alias("extra"), "source_file")
-    md_raw = _read_landing(spark, root, "market_data.csv", LANDING_MARKET_COLUMNS)
-    md = md_raw.select(F.expr("try_cast(cob_date AS DATE)").alias("cob_date"), "data_type", "key",
-                       F.expr("try_cast(value AS DECIMAL(38,10))").alias("value"), "source_file")
-    now = F.current_timestamp()
-    out = {
-        "staging_agreements": _first_per_key(ag, ["counterparty_id", "netting_set_id", "cob_date"],
-                                             existing_agreements),
-        "staging_trades": _first_per_key(tr, ["counterparty_id", "netting_set_id", "cob_date",
-                                              "trade_id"], existing_trades),
-        "staging_market_data": _first_per_key(md, ["cob_date", "data_type", "key"], existing_market),
-    }
-    return {k: v.drop("source_file").withColumn("ingested_at", now) for k, v in out.items()}
+    existing = {"staging_agreements": existing_agreements, "staging_trades": existing_trades,
+                "staging_market_data": existing_market}
+    out, rejected = {}, None
+    for table, (_, _, key, _, _) in LANDING.items():
+        good, bad = type_landing(read_landing(spark, root, table, folders), table)
+        first = _first_per_key(good, key, existing[table])
+        out[table] = first.drop(*ARRIVAL).withColumn("ingested_at", F.current_timestamp())
+        rejected = bad if rejected is None else rejected.unionByName(bad)
+    out["landing_rejects"] = rejected
+    return out
 
 
 def dedupe_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Keep the first row per key by ``order`` (total order expected).
 
-    Implemented as ``min_by`` so the choice is combined map-side.
+    ``min_by`` combines map-side, so many copies of one key never meet in one
+    task; a key's rows cross the shuffle once per task that holds any.
     """
     others = [c for c in df.columns if c not in key]
     return (df.groupBy(*key)

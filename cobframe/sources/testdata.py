@@ -103,6 +103,25 @@ def staging_trades(spark: SparkSession, sf_dir: str, clean_ids: bool = True) ->
     )
 
 
+def landing_trade_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade rows as the text columns of a landing file with their place in
+    it, some spoilt by a rule over their own columns."""
+    t = staging_trades(spark, sf_dir, clean_ids=False)
+    part, line = F.col("arrival.l_partkey"), F.col("arrival.l_linenumber")
+    kind = part % 13
+    return t.select(
+        "counterparty_id", "netting_set_id",
+        F.when((line == 3) & (part % 17 == 0), F.date_format("cob_date", "dd/MM/yyyy"))
+         .otherwise(F.col("cob_date").cast("string")).alias("cob_date"),
+        F.when(part % 29 != 0, F.col("trade_id")).alias("trade_id"), "product_type",
+        F.when(kind == 0, F.lit("1.000.000")).when(kind == 1, F.lit("1e6x")).when(kind == 2, F.lit("n/a"))
+         .when(kind == 3, F.lit("")).when(kind == 4, F.lit("4e-11"))
+         .otherwise(F.col("arrival.l_quantity").cast("string")).alias("notional"),
+        "currency", "direction", F.col("maturity_date").cast("string").alias("maturity_date"),
+        F.lit("lineitem").alias("_file"), F.lit(0).cast("long").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"))
+
+
 def staging_market_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long market data keyed (cob_date, data_type, key); the primary key keeps
     the smallest value of repeated rows."""
@@ -153,7 +172,8 @@ def matrix_objects(spark: SparkSession, sf_dir: str, clean_ids: bool = True) ->
 
     Columns mirror an object listing joined to its metadata: ``path``,
     ``length``, ``content`` (file bytes) and ``expected_hash`` (sender's hash;
-    empty when the sender gave none, a wrong value for some files).
+    empty when the sender gave none, a wrong value for some files), and
+    ``arrived`` (false for files that are listed but never came).
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
@@ -171,4 +191,5 @@ def matrix_objects(spark: SparkSession, sf_dir: str, clean_ids: bool = True) ->
         F.when(F.col("doc_id") % 50 == 0, F.lit(""))
          .when(F.col("doc_id") % 37 == 0, F.lit(ZERO_HASH))
          .otherwise(actual).alias("expected_hash"),
+        (F.col("doc_id") % 41 != 0).alias("arrived"),
     )

@@ -1,55 +1,85 @@
 """Push-based landing zone as a Structured Streaming job.
 
-New ``{root}/{date}/{cp}/{ns}/agreement.csv`` files trigger micro-batches.
-Each batch reads the trades and market data of its dates from the landing
-folder, runs the ordinary ingest (validation, assembly, hashing) with the
-already stored keys as ``existing_keys`` and appends to the store.  The
+A folder ``{root}/{date}/{cp}/{ns}`` is ingested when its sender has put the
+marker file ``READY`` into it (any text; Spark's file scan passes over files
+without a byte), after all other files: the agreement, the trades, the market
+data, the matrix files and their list ``matrices.csv``.
+Each micro-batch reads the folders it was told of and no others, runs the
+ordinary ingest (validation, matrix verification, assembly, hashing) with the
+already stored keys as ``existing_keys``, and appends to the store.  The
 write-once rule is the anti-join against stored keys, not a watermark (a
-watermark would forget old keys), so a replayed batch after a failure
-writes nothing twice.
+watermark would forget old keys).  A micro-batch's logical id follows from the
+markers it holds, so a replay of the same batch after a crash is the same
+batch to the store, whatever checkpoint it runs under.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cobframe.operators.ingest import ingest_batch
 from cobframe.operators.store import append_snapshots
-from cobframe.schema import KEY, LANDING_AGREEMENT_COLUMNS, landing_csv_schema
-from cobframe.sources.staging import (_typed_landing_agreements, load_landing_csv,
-                                      read_staging_agreements, read_staging_market_data,
-                                      read_staging_trades)
-from cobframe.sources.stores import path_exists, read_snapshots, table_path
+from cobframe.sources.files import paths_match
+from cobframe.sources.staging import (load_landing_csv, read_staging_agreements,
+                                      read_staging_market_data, read_staging_trades)
+from cobframe.sources.stores import read_matrix_manifest, read_snapshots
+
+READY = "READY"
+MARKER_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def landing_stream(spark: SparkSession, landing_root: str, max_folders: int = 1000) -> DataFrame:
+    """Streaming DataFrame of ready folders (``folder``: ``{date}/{cp}/{ns}``),
+    ``max_folders`` to a micro-batch."""
+    markers = (spark.readStream.format("binaryFile").schema(MARKER_SCHEMA)
+               .option("maxFilesPerTrigger", max_folders)
+               .load(f"{landing_root.rstrip('/')}/*/*/*/{READY}"))
+    return markers.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)/[^/]+$", 1).alias("folder"),
+                          "modificationTime")
 
 
-def landing_stream(spark: SparkSession, landing_root: str) -> DataFrame:
-    """Streaming DataFrame of newly landed agreement rows (typed)."""
-    raw = (spark.readStream.schema(landing_csv_schema(LANDING_AGREEMENT_COLUMNS))
-           .option("header", True)
-           .csv(f"{landing_root.rstrip('/')}/*/*/*/agreement.csv")
-           .withColumn("source_file", F.input_file_name()))
-    return _typed_landing_agreements(raw)
+def matrix_inputs(spark: SparkSession, landing_root: str, folders: list[str]):
+    """The matrix files that have arrived in ready folders (named by their
+    store path ``matrices/{date}/{cp}/{ns}/{file}``) and the senders' lists."""
+    base = landing_root.rstrip("/")
+    lists = [p for p in (f"{base}/{f}/matrices.csv" for f in folders) if paths_match(spark, p)]
+    if not lists:
+        return None, None
+    manifest = read_matrix_manifest(spark, lists)
+    files = [p for p in (f"{base}/{f}/*.npy" for f in folders) if paths_match(spark, p)]
+    if files:
+        found = spark.read.format("binaryFile").load(files)
+    else:
+        found = spark.createDataFrame([], MARKER_SCHEMA)
+    path = F.concat(F.lit("matrices/"), F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+/[^/]+)$", 1))
+    return found.select(path.alias("path"), "length", "content"), manifest
 
 
 def ingest_micro_batch(spark: SparkSession, landing_root: str, store_root: str):
-    """foreachBatch body: ingest the netting sets announced by the batch."""
+    """foreachBatch body: ingest the ready folders of the batch (their names,
+    ``max_folders`` at most, come to the driver)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        ready = sorted((r["folder"], str(r["modificationTime"])) for r in batch.collect())
+        if not ready:
             return
-        keys = batch.select(*KEY).distinct()
-        dates = keys.select("cob_date").distinct()
-        stored = (read_snapshots(spark, store_root).select(*KEY)
-                  if path_exists(spark, table_path(store_root, "snapshots")) else None)
-        staged = load_landing_csv(spark, landing_root)
-        ag = read_staging_agreements(
-            staged["staging_agreements"].join(keys, KEY, "left_semi"))
-        tr = read_staging_trades(staged["staging_trades"].join(dates, "cob_date", "left_semi"))
-        md = read_staging_market_data(
-            staged["staging_market_data"].join(dates, "cob_date", "left_semi"))
-        result = ingest_batch(ag, tr, md, existing_keys=stored)
-        append_snapshots(result, store_root, batch_id=f"stream-{batch_id}")
+        name = hashlib.sha1("\n".join(map("|".join, ready)).encode()).hexdigest()
+        folders = sorted({f for f, _ in ready})
+        staged = load_landing_csv(spark, landing_root, folders=folders)
+        files, manifest = matrix_inputs(spark, landing_root, folders)
+        result = ingest_batch(read_staging_agreements(staged["staging_agreements"]),
+                              read_staging_trades(staged["staging_trades"]),
+                              read_staging_market_data(staged["staging_market_data"]),
+                              matrix_files=files, manifest=manifest,
+                              existing_keys=read_snapshots(spark, store_root))
+        unread = staged["landing_rejects"].select(
+            "counterparty_id", "netting_set_id", F.col("cob_date").try_cast("date").alias("cob_date"),
+            "reject_reason", F.concat_ws(" ", "table_name", "detail").alias("detail"))
+        result = result._replace(rejects=result.rejects.unionByName(unread))
+        append_snapshots(result, store_root, batch_id=f"stream-{name}")
     return run
 
 

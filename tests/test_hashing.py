@@ -6,68 +6,77 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cobframe.functions.canonical import canonical_text, document_hash
 from cobframe.operators.integrity import audit_integrity, snapshot_hashes
-from tests.conftest import GOLDEN, HEADER_SCHEMA, TRADE_SCHEMA, agreement, market, populated, \
-    sample_document, trade
+from tests.conftest import (GOLDEN, HEADER_SCHEMA, TRADE_SCHEMA, agreement, frames_of, market, populated,
+                            sample_document, trade, whole_hash)
 
 
-def test_golden_vector_python():
-    assert document_hash(sample_document()) == GOLDEN
+def spark_hash(spark, doc):
+    headers, trades = frames_of(spark, doc)
+    rows = snapshot_hashes(headers, trades).collect()
+    assert len(rows) == 1
+    return rows[0].data_hash
 
 
-def test_golden_vector_spark(spark):
-    headers, trades = populated(spark)
-    key = (F.col("counterparty_id") == "ACME-CORP") & (F.col("netting_set_id") == "RATES-USD") \
-        & (F.col("cob_date") == dt.date(2024, 3, 15))
-    h = snapshot_hashes(headers.where(key), trades.where(key)).collect()
-    assert [r.data_hash for r in h] == [GOLDEN]
+def test_golden_vector(spark):
+    assert whole_hash(sample_document()) == GOLDEN
+    assert spark_hash(spark, sample_document()) == GOLDEN
 
 
-def test_key_order_irrelevant():
-    doc = sample_document()
-    shuffled = dict(reversed(list(doc.items())))
-    shuffled["agreement"] = dict(reversed(list(doc["agreement"].items())))
-    assert document_hash(shuffled) == document_hash(doc)
+def _nested_hash_key(doc):
+    doc["agreement"]["extra"] = {"data_hash": "x"}
 
 
-def test_data_hash_excluded():
-    doc = sample_document()
-    other = copy.deepcopy(doc)
-    other["data_hash"] = "sha256-v1:anything"
-    assert document_hash(doc) == document_hash(other)
+def _amended(doc):
+    doc["trades"][0]["notional"] = 10000000.5
 
 
-def test_nested_data_hash_is_hashed():
-    doc = sample_document()
-    other = copy.deepcopy(doc)
-    other["agreement"]["extra"] = {"data_hash": "x"}
-    assert document_hash(doc) != document_hash(other)
+def _integer(doc):
+    doc["trades"][1]["extra"] = {"a": 1, "b": [1.5, {"c": None}], "ü": "\u2028"}
 
 
-@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
-def test_non_finite_raises(bad):
-    doc = sample_document()
-    doc["trades"][0]["notional"] = bad
-    with pytest.raises(ValueError):
-        document_hash(doc)
+def _float(doc):
+    doc["trades"][1]["extra"] = {"a": 1.0, "b": [1.5, {"c": None}], "ü": "\u2028"}
 
 
-def test_sensitive_to_change():
-    doc = sample_document()
-    other = copy.deepcopy(doc)
-    other["trades"][0]["notional"] = 10000000.5
-    assert document_hash(doc) != document_hash(other)
+def _digits(doc):
+    doc["agreement"]["threshold_amount"] = 0.12345678901234
+    doc["agreement"]["rounding_amount"] = 1e-11
+    doc["trades"][0]["notional"] = 1e16
+    doc["trades"][1]["notional"] = -1e-7
 
 
-def test_int_and_float_differ_in_extra():
-    assert canonical_text({"a": 1}) != canonical_text({"a": 1.0})
+def test_every_change_tells_and_equals_the_whole_document_hash(spark):
+    seen = {GOLDEN}
+    for change in (_nested_hash_key, _amended, _integer, _float, _digits):
+        doc = copy.deepcopy(sample_document())
+        change(doc)
+        got = spark_hash(spark, doc)
+        assert got == whole_hash(doc)
+        seen.add(got)
+    assert len(seen) == 6
+
+
+def test_data_hash_itself_is_left_out():
+    assert whole_hash(dict(sample_document(), data_hash="sha256-v1:anything")) == GOLDEN
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_non_finite_has_no_hash(spark, bad):
+    doc = sample_document()
+    doc["trades"][0]["notional"] = bad
+    with pytest.raises(ValueError):
+        whole_hash(doc)
+    with pytest.raises(Exception, match="Non-finite"):
+        spark_hash(spark, doc)
 
 
-def test_rounding_to_ten_decimals():
-    assert canonical_text({"x": 0.12345678901234}) == '{"x":0.123456789}'
-    assert canonical_text({"x": 1e-11}) == '{"x":0.0}'
-    assert canonical_text({"x": 1e16}) == '{"x":1e+16}'
+def test_cached_texts_are_bounded_by_their_size():
+    from cobframe.functions.canonical import TextCache
+    cache = TextCache(most_chars=100)
+    for i in range(50):
+        assert cache.get(str(i), lambda k: k * 10) == str(i) * 10
+        assert cache.held <= 100
 
 
 def _python_docs(headers, trades):
@@ -87,7 +96,7 @@ def _python_docs(headers, trades):
         d["extra"] = json.loads(d["extra"])
         d["maturity_date"] = d["maturity_date"].isoformat() if d["maturity_date"] else None
         docs[key]["trades"].append(d)
-    return {k: document_hash(v) for k, v in docs.items()}
+    return {k: whole_hash(v) for k, v in docs.items()}
 
 
 def test_streamed_hash_matches_brute_force_many_partitions(spark):
@@ -120,8 +129,8 @@ def test_audit_detects_tampering(spark):
                           ["counterparty_id", "netting_set_id", "cob_date"])
     ok = audit_integrity(hashed, trades).collect()
     assert {r.status for r in ok} == {"OK"}
-    tampered = trades.withColumn("notional", F.when(F.col("trade_id") == "T-003", 1.0)
+    tampered = trades.withColumn("notional", F.when(F.col("trade_id") == "FW-5", 1.0)
                                  .otherwise(F.col("notional")))
     bad = {(r.cob_date.isoformat(), r.status) for r in audit_integrity(hashed, tampered).collect()
            if r.status != "OK"}
-    assert bad == {("2024-03-16", "MISMATCH")}
+    assert bad == {("2023-11-07", "MISMATCH")}

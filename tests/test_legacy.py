@@ -5,18 +5,17 @@ import tempfile
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from cobframe.functions.canonical import document_hash
 from cobframe.operators.integrity import audit_integrity
 from cobframe.sources.legacy import migrate_json_layout, read_json_layout
 from cobframe.sources.stores import read_exposure_index, read_snapshots
-from tests.conftest import sample_document
+from tests.conftest import sample_document, whole_hash
 
 
 def _write_layout(root, reverse=False):
     doc = sample_document()
     if reverse:
         doc["trades"] = doc["trades"][::-1]
-    doc["data_hash"] = document_hash(doc)
+    doc["data_hash"] = whole_hash(doc)
     d = os.path.join(root, "snapshots", doc["counterparty_id"], doc["netting_set_id"])
     os.makedirs(d)
     pq.write_table(pa.table({
@@ -65,5 +64,6 @@ def test_migrate_json_layout(spark):
     root = tempfile.mkdtemp(prefix="json-layout-")
     _write_layout(root)
     store = migrate_json_layout(spark, root, tempfile.mkdtemp(prefix="migrated-"))
+    migrate_json_layout(spark, root, store)  # once committed, done
     assert read_snapshots(spark, store).count() == 1
     assert read_exposure_index(spark, store).collect()[0].exposure_total == 1000000.0

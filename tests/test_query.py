@@ -3,141 +3,159 @@ import datetime as dt
 import pytest
 
 from cobframe.operators import query as Q
-from tests.conftest import D15, D16
+from tests.conftest import MON, TRADE_SCHEMA, TUE, trade
 
 
 def test_by_trade_via_index(store):
-    rows = Q.by_trade(store["trade_index"], store["trades"], "T-001").collect()
-    assert len(rows) == 3
-    assert [r.cob_date for r in rows] == [D15, D15, D16]
+    rows = Q.by_trade(store["trade_index"], store["trades"], "SW-9").collect()
+    assert len(rows) == 4
+    assert [r.cob_date for r in rows] == [MON, MON, TUE, TUE]
     assert rows[0].asDict().keys() >= {"cob_date", "counterparty_id", "netting_set_id", "trade_id",
                                        "product_type", "notional", "currency", "direction",
                                        "maturity_date"}
 
 
 def test_by_trade_inclusive_bounds(store):
-    assert Q.by_trade(store["trade_index"], store["trades"], "T-001", to_date=D15).count() == 2
-    assert Q.by_trade(store["trade_index"], store["trades"], "T-002", from_date=D16).count() == 0
+    assert Q.by_trade(store["trade_index"], store["trades"], "SW-9", to_date=MON).count() == 2
+    assert Q.by_trade(store["trade_index"], store["trades"], "OP-3", from_date=TUE).count() == 0
     assert Q.by_trade(store["trade_index"], store["trades"], "NOPE").count() == 0
 
 
 def test_by_trade_set_form_and_scan_agree(store):
-    ids = ["T-001", "T-002", "T-003"]
+    ids = ["SW-9", "OP-3", "FW-5"]
     a = sorted(map(tuple, Q.by_trade(store["trade_index"], store["trades"], ids).collect()))
     b = sorted(map(tuple, Q.by_trade_scan(store["trades"], ids).collect()))
     assert a == b and len(a) == 6
+    frame = store["trades"].sparkSession.createDataFrame([("SW-9",), ("FW-5",), ("NONE",)], "trade_id string")
+    assert Q.by_trade(store["trade_index"], store["trades"], frame).count() == 5
+    assert Q.by_trade(store["trade_index"], store["trades"]).count() == 6
 
 
 def test_snapshot_document(store):
-    doc = Q.snapshot_document(store["snapshots"], store["trades"], "ACME-CORP", "RATES-USD",
-                              D16).collect()
+    doc = Q.snapshot_document(store["snapshots"], store["trades"], "NORDBANK", "SWAPS",
+                              TUE).collect()
     assert len(doc) == 1
-    assert [t.trade_id for t in doc[0].trades] == ["T-001", "T-003"]
-    assert Q.snapshot_document(store["snapshots"], store["trades"], "ACME-CORP", "RATES-USD",
+    assert [t.trade_id for t in doc[0].trades] == ["FW-5", "SW-9"]
+    assert Q.snapshot_document(store["snapshots"], store["trades"], "NORDBANK", "SWAPS",
                                dt.date(2000, 1, 1)).count() == 0
 
 
 def test_snapshot_rows(store):
-    rows = Q.snapshot(store["snapshots"], store["trades"], "ACME-CORP", cob_date=D15).collect()
-    got = sorted((r.netting_set_id, r.trade_id) for r in rows)
-    assert got == [("FX-EUR", None), ("RATES-USD", "T-001"), ("RATES-USD", "T-002")]
+    rows = Q.snapshot(store["snapshots"], store["trades"], "NORDBANK", cob_date=MON).collect()
+    got = sorted(((r.netting_set_id, r.trade_id) for r in rows), key=str)
+    assert got == [("BONDS", None), ("SWAPS", "OP-3"), ("SWAPS", "SW-9")]
 
 
 def test_by_counterparty(store):
-    rows = Q.by_counterparty(store["snapshots"], "ACME-CORP", D15).collect()
-    assert [r.netting_set_id for r in rows] == ["FX-EUR", "RATES-USD"]
-    assert Q.by_counterparty(store["snapshots"], "ACME-CORP", D16).count() == 1
-    assert Q.by_counterparty(store["snapshots"], "UNKNOWN", D15).count() == 0
+    rows = Q.by_counterparty(store["snapshots"], "NORDBANK", MON).collect()
+    assert [r.netting_set_id for r in rows] == ["BONDS", "SWAPS"]
+    assert Q.by_counterparty(store["snapshots"], "NORDBANK", TUE).count() == 1
+    assert Q.by_counterparty(store["snapshots"], "UNKNOWN", MON).count() == 0
 
 
 def test_trades_table(store):
-    rows = Q.trades_table(store["trades"], "ACME-CORP", "RATES-USD", D15).collect()
-    assert [r.trade_id for r in rows] == ["T-001", "T-002"]
+    rows = Q.trades_table(store["trades"], "NORDBANK", "SWAPS", MON).collect()
+    assert [r.trade_id for r in rows] == ["OP-3", "SW-9"]
     assert "extra" not in rows[0].asDict()
-    assert Q.trades_table(store["trades"], "ACME-CORP", "FX-EUR", D15).count() == 0
+    assert Q.trades_table(store["trades"], "NORDBANK", "BONDS", MON).count() == 0
 
 
 def test_fx_rates_first_snapshot_semantics(store):
-    # FX-EUR sorts before RATES-USD for ACME-CORP, so its single pair wins
-    rows = {r.pair: r.rate for r in Q.fx_rates(store["snapshots"], D15).collect()}
-    assert rows == {"USD/EUR": 0.92}
-    rows16 = {r.pair: r.rate for r in Q.fx_rates(store["snapshots"], D16).collect()}
-    assert rows16 == {"USD/GBP": 0.79, "USD/EUR": 0.92}
+    # BONDS sorts before SWAPS, so its single pair wins on the first day
+    rows = {r.pair: r.rate for r in Q.fx_rates(store["snapshots"], MON).collect()}
+    assert rows == {"EUR/SEK": 11.62}
+    later = {r.pair: r.rate for r in Q.fx_rates(store["snapshots"], TUE).collect()}
+    assert later == {"EUR/NOK": 11.85, "EUR/SEK": 11.62}
 
 
 def test_fx_rate_pair_and_missing(spark, store):
-    assert Q.fx_rate_pair(store["snapshots"], "USD/GBP", D16).collect()[0].rate == 0.79
-    assert Q.fx_rate_pair(store["snapshots"], "USD/GBP", D15).collect()[0].rate is None
+    assert Q.fx_rate_pair(store["snapshots"], "EUR/NOK", TUE).collect()[0].rate == 11.85
+    assert Q.fx_rate_pair(store["snapshots"], "EUR/NOK", MON).collect()[0].rate is None
     with pytest.raises(Exception):
-        Q.fx_rate_pair(store["snapshots"], "USD/JPY", D16, strict=True).collect()
+        Q.fx_rate_pair(store["snapshots"], "EUR/DKK", TUE, strict=True).collect()
     assert Q.fx_rates(store["snapshots"], dt.date(2000, 1, 1)).count() == 0
 
 
 def test_inflation(store):
-    assert {r.index_name: r.rate for r in Q.inflation_rates(store["snapshots"], D16).collect()} \
-        == {"UK_RPI": 0.031}
-    assert Q.inflation_rate_index(store["snapshots"], "UK_RPI", D16).collect()[0].rate == 0.031
+    assert {r.index_name: r.rate for r in Q.inflation_rates(store["snapshots"], TUE).collect()} \
+        == {"NO_CPI": 0.045}
+    assert Q.inflation_rate_index(store["snapshots"], "NO_CPI", TUE).collect()[0].rate == 0.045
 
 
 def test_exposure_history(store):
     e = store["exposure_index"]
-    rows = Q.exposure_history(e, "ACME-CORP").collect()
+    rows = Q.exposure_history(e, "NORDBANK").collect()
     assert len(rows) == 3
     assert [r.cob_date for r in rows] == sorted(r.cob_date for r in rows)
-    assert Q.exposure_history(e, "ACME-CORP", netting_set_id="RATES-USD").count() == 2
-    assert Q.exposure_history(e, "ACME-CORP", from_date=D16).count() == 1
+    assert Q.exposure_history(e, "NORDBANK", netting_set_id="SWAPS").count() == 2
+    assert Q.exposure_history(e, "NORDBANK", from_date=TUE).count() == 1
     assert Q.exposure_history(e, "UNKNOWN").count() == 0
 
 
 def test_portfolio_ranking(store):
     e = store["exposure_index"]
-    rows = Q.portfolio(e, D15).collect()
-    assert [r.counterparty_id for r in rows] == ["FOO-BANK", "ACME-CORP", "ACME-CORP"]
-    assert [r.exposure_total for r in rows] == [5000000.0, 1000000.0, 500000.0]
-    assert Q.portfolio(e, D15, threshold=1000000.0).count() == 2
-    assert [r.rank for r in Q.portfolio(e, D15, top_n=1).collect()] == [1]
+    rows = Q.portfolio(e, MON).collect()
+    assert [r.counterparty_id for r in rows] == ["ZEPHYR", "NORDBANK", "NORDBANK"]
+    assert [r.exposure_total for r in rows] == [820000.0, 310000.0, 90000.0]
+    assert Q.portfolio(e, MON, threshold=310000.0).count() == 2
+    assert [r.rank for r in Q.portfolio(e, MON, top_n=1).collect()] == [1]
     assert Q.portfolio(e, dt.date(2000, 1, 1)).count() == 0
     with pytest.raises(ValueError):
-        Q.portfolio(e, D15, top_n=0)
+        Q.portfolio(e, MON, top_n=0)
 
 
 def test_portfolio_all_dates_uses_group_limit(store):
     df = Q.portfolio(store["exposure_index"], top_n=2)
-    assert {(r.cob_date, r.rank) for r in df.collect()} == {(D15, 1), (D15, 2), (D16, 1)}
+    assert {(r.cob_date, r.rank) for r in df.collect()} == {(MON, 1), (MON, 2), (TUE, 1), (TUE, 2)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
 def test_who_matters_format(store):
-    rows = Q.who_matters(store["exposure_index"], D15).collect()
-    assert rows[0].exposure == "5,000,000"
+    rows = Q.who_matters(store["exposure_index"], MON).collect()
+    assert rows[0].exposure == "820,000"
 
 
 def test_listings(store):
     s = store["snapshots"]
-    assert [r.cob_date for r in Q.list_cob_dates(s, "ACME-CORP", "RATES-USD").collect()] == [D15, D16]
-    assert Q.list_cob_dates(s, "ACME-CORP", "NOPE").count() == 0
-    assert [r.netting_set_id for r in Q.list_netting_sets(s, "ACME-CORP").collect()] == \
-        ["FX-EUR", "RATES-USD"]
-    assert [r.counterparty_id for r in Q.list_counterparties(s).collect()] == ["ACME-CORP", "FOO-BANK"]
+    assert [r.cob_date for r in Q.list_cob_dates(s, "NORDBANK", "SWAPS").collect()] == [MON, TUE]
+    assert Q.list_cob_dates(s, "NORDBANK", "NOPE").count() == 0
+    assert [r.netting_set_id for r in Q.list_netting_sets(s, "NORDBANK").collect()] == \
+        ["BONDS", "SWAPS"]
+    assert [r.counterparty_id for r in Q.list_counterparties(s).collect()] == ["NORDBANK", "ZEPHYR"]
+
+
+def test_product_notional_and_series(spark, store):
+    swaps = Q.product_notional(store["trades"], "BASIS_SWAP").collect()
+    assert sum(r.total_notional for r in swaps) == 10160000.0
+    series = {r.cob_date: r.notional for r in Q.trade_notional_series(store["trades"], "SW-9").collect()}
+    assert series == {MON: 4200000.0, TUE: 4200000.0}
 
 
-def test_product_notional_and_series(store):
-    irs = Q.product_notional(store["trades"], "IRS").collect()
-    assert sum(float(r.total_notional) for r in irs) == 30000000.0
-    series = {r.cob_date: r.notional for r in Q.trade_notional_series(store["trades"], "T-001").collect()}
-    assert series == {D15: 10000000.0, D16: 10000000.0}
+def test_notionals_are_summed_as_stored(spark):
+    rows = [trade("A", "N", MON, f"S{i}", "SMALL", 0.004, "NOK", "PAY") for i in range(2)]
+    rows += [trade("A", "N", MON, "L", "LARGE", 2e16, "NOK", "PAY"), trade("A", "N", MON, "X", "HUGE", 1e29, "NOK", "PAY")]
+    got = {r.product_type: r.total_notional for r in Q.product_notional(spark.createDataFrame(rows, TRADE_SCHEMA)).collect()}
+    assert got == {"SMALL": 0.008, "LARGE": 2e16, "HUGE": 1e29}
 
 
 def test_index_staleness(spark, store):
     from pyspark.sql import functions as F
-    idx = store["exposure_index"].where(F.col("cob_date") == D15)
+    idx = store["exposure_index"].where(F.col("cob_date") == MON)
     rows = {r.cob_date: r for r in Q.index_staleness(store["snapshots"], idx).collect()}
-    assert rows[D15].stale is False and rows[D16].stale is True
-    assert rows[D16].n_unindexed == 1
+    assert rows[MON].stale is False and rows[TUE].stale is True
+    assert rows[TUE].n_unindexed == 2
 
 
 def test_market_consistency(store):
     rows = {r.cob_date: r for r in Q.market_consistency(store["snapshots"]).collect()}
-    assert (rows[D15].n_snapshots, rows[D15].n_fx_sets, rows[D15].n_inflation_sets) == (3, 2, 2)
-    assert rows[D16].n_fx_sets == 1
+    assert (rows[MON].n_snapshots, rows[MON].n_fx_sets, rows[MON].n_inflation_sets) == (3, 2, 2)
+    assert rows[TUE].n_fx_sets == 1
+
+
+def test_document_order_is_the_stored_position(spark, store):
+    from pyspark.sql import functions as F
+    placed = store["trades"].withColumn("position", F.when(F.col("trade_id") == "SW-9", 0).otherwise(1).cast("long"))
+    doc = Q.snapshot_document(store["snapshots"], placed, "NORDBANK", "SWAPS", TUE).collect()[0]
+    assert [t.trade_id for t in doc.trades] == ["SW-9", "FW-5"]
+    assert [r.trade_id for r in Q.trades_table(placed, "NORDBANK", "SWAPS", MON).collect()] == ["SW-9", "OP-3"]

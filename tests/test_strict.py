@@ -10,15 +10,15 @@ from cobframe.operators import query as Q
 from cobframe.operators.store import export_format
 from cobframe.operators.validate import require_range
 from cobframe.schema import KEY
-from tests.conftest import populated
+from tests.conftest import MON, TUE, populated
 
 
 def test_verify_on_read_passes_and_raises(spark):
     headers, trades = populated(spark)
     hashed = headers.join(H.snapshot_hashes(headers, trades), KEY)
-    assert H.verify_on_read(hashed, trades).count() == 4
+    assert H.verify_on_read(hashed, trades).count() == 5
     tampered = hashed.withColumn("exposure_total", F.lit(1.0))  # outside the document
-    assert H.verify_on_read(tampered, trades).count() == 4
+    assert H.verify_on_read(tampered, trades).count() == 5
     changed = trades.withColumn("currency", F.lit("JPY"))
     with pytest.raises(Exception, match="IntegrityError"):
         H.verify_on_read(hashed, changed).collect()
@@ -43,4 +43,16 @@ def test_export_format_only_json():
 def test_strict_inflation_index_raises(spark):
     headers, _ = populated(spark)
     with pytest.raises(Exception, match="KeyError"):
-        Q.inflation_rate_index(headers, "US_CPI", dt.date(2024, 3, 16), strict=True).collect()
+        Q.inflation_rate_index(headers, "US_CPI", TUE, strict=True).collect()
+
+
+def test_missing_snapshots_fail_in_strict_form(spark):
+    headers, trades = populated(spark)
+    never = dt.date(2000, 1, 1)
+    assert Q.snapshot(headers, trades, "NORDBANK", "SWAPS", MON, strict=True).count() == 2
+    assert Q.fx_rates(headers, MON, strict=True).count() == 1
+    for strict in (lambda: Q.snapshot(headers, trades, "NORDBANK", "SWAPS", never, strict=True),
+                   lambda: Q.snapshot_document(headers, trades, "NOBODY", strict=True),
+                   lambda: Q.fx_rates(headers, never, strict=True), lambda: Q.inflation_rates(headers, never, strict=True)):
+        with pytest.raises(Exception, match="NotFound"):
+            strict().collect()
