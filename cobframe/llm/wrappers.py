@@ -1,9 +1,8 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
 Each host's page of middling length is its pattern.  Every page's DOM tree is
-aligned with the pattern by simple tree matching; a pattern node that almost
-all differing pages match with the very same content is template, the rest are
-slots.  A page's text is then what lies in slots, without elements whose role
+aligned with the pattern by simple tree matching; a pattern text whose block
+says the same in almost all differing pages is template, the rest are slots.  A page's text is then what lies in slots, without elements whose role
 (by tag, class or id) is not the article's; where a page has an ``article`` or
 ``main`` element, only what lies in it.
 
@@ -52,10 +51,10 @@ SPACE = re.compile(r"\s+")
 
 class Node:
     """An element (``tag``) or a piece of text (``tag`` None)."""
-    __slots__ = ("tag", "mark", "text", "below", "print", "number")
+    __slots__ = ("tag", "mark", "text", "below", "print", "shape", "count", "number", "home", "said")
 
     def __init__(self, tag, mark="", text=""):
-        self.tag, self.mark, self.text, self.below, self.print, self.number = tag, mark, text, [], 0, -1
+        self.tag, self.mark, self.text, self.below = tag, mark, text, []
 
 
 def parse(html: str) -> Node:
@@ -81,7 +80,8 @@ def parse(html: str) -> Node:
     size = len(html)
     while at < size:
         m = TOKEN.search(html, at)
-        put(unescape(html[at:m.start() if m else size]))
+        text = html[at:m.start() if m else size]
+        put(unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -113,19 +113,38 @@ def parse(html: str) -> Node:
 
 
 def number(root: Node) -> Node:
-    """Number the nodes in order and give each a fingerprint of what it holds."""
-    order, stack = [], [root]
+    """Number the nodes in order; give each a fingerprint of what it holds, one
+    of its elements alone, and its count of nodes; give each text the block
+    whose line it belongs to, and each block what its line says.  Fingerprints
+    are compared within one process only."""
+    order, stack = [], [(root, root)]
     while stack:
-        node = stack.pop()
+        node, home = stack.pop()
         node.number = len(order)
         order.append(node)
-        stack.extend(reversed(node.below))
+        if node.tag is None:
+            node.home = home
+            home.said += node.text.split()
+        else:
+            if node is root or node.tag in BLOCK:
+                home, node.said = node, []
+            stack.extend([(c, home) for c in reversed(node.below)])
     for node in reversed(order):
-        said = node.tag + "\0" + node.mark if node.tag else SPACE.sub(" ", node.text).strip()
-        node.print = zlib.crc32(" ".join([said, *(str(c.print) for c in node.below)]).encode("utf-8", "surrogatepass"))
+        if node.tag is None:
+            node.print, node.shape, node.count = hash(tuple(node.text.split())), 1, 1
+        else:
+            own = (node.tag, node.mark)
+            node.print = hash((own, *[c.print for c in node.below]))
+            node.shape = hash((own, *[c.shape for c in node.below]))
+            node.count = 1 + sum([c.count for c in node.below])
     return root
 
 
+def same_line(a: Node, b: Node) -> bool:
+    """Whether two texts stand in blocks that say the same."""
+    return a.home.said == b.home.said
+
+
 def alike(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.mark == b.mark
 
@@ -139,12 +158,13 @@ def match(a: Node, b: Node, cells: int = 40_000) -> list[tuple[Node, Node]]:
     choice: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
 
     def size(a, b):
+        if a.shape == b.shape:  # the whole of both, place by place, is a largest match
+            return a.count
+        if not a.below or not b.below:
+            return 1
         key = (a.number, b.number)
         if key in memo:
             return memo[key]
-        if not a.below or not b.below:
-            memo[key], choice[key] = 1, []
-            return 1
         x, y = a.below, b.below
         if len(x) * len(y) > cells:
             picked, j = [], 0
@@ -184,9 +204,9 @@ def match(a: Node, b: Node, cells: int = 40_000) -> list[tuple[Node, Node]]:
     size(a, b)
     out, stack = [], [(a, b)]
     while stack:
-        pair = stack.pop()
+        a, b = pair = stack.pop()
         out.append(pair)
-        stack.extend(choice.get((pair[0].number, pair[1].number), ()))
+        stack.extend(zip(a.below, b.below, strict=True) if a.shape == b.shape else choice.get((a.number, b.number), ()))
     return out
 
 
@@ -218,6 +238,11 @@ def pattern_tree(html: str) -> Node:
     return tree(html)
 
 
+@lru_cache(maxsize=64)
+def pattern_texts(html: str) -> set[int]:
+    return open_texts(pattern_tree(html))
+
+
 def dropped(node: Node) -> bool:
     """Whether an element's role is not the article's."""
     if node.tag in DROPPED:
@@ -283,11 +308,24 @@ def text_of(root: Node, template: set[int]) -> str:
 
 
 def template_of(root: Node, pattern: str | None, constant: list[int] | None) -> set[int]:
-    """Nodes of a page that hold what a constant node of the pattern holds."""
+    """Texts of a page that are a constant text of the pattern, in its place."""
     if not pattern or not constant:
         return set()
     fixed = set(constant)
-    return {b.number for a, b in match(pattern_tree(pattern), root) if a.number in fixed and a.print == b.print}
+    return {b.number for a, b in match(pattern_tree(pattern), root) if a.number in fixed and same_line(a, b)}
+
+
+def open_texts(root: Node) -> set[int]:
+    """Numbers of the texts that no element's role drops."""
+    out, stack = set(), [root]
+    while stack:
+        n = stack.pop()
+        if n.tag is None:
+            if not n.text.isspace():
+                out.add(n.number)
+        elif not dropped(n):
+            stack.extend(n.below)
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -295,30 +333,35 @@ def host_of(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, least_pages: int = 5, share: float = 0.9) -> DataFrame:
-    """``host, pattern, constant`` for every host: its pattern page and the
-    numbers of the pattern's template nodes."""
+    """``host, pattern, constant`` for every host that has any: its pattern page
+    and the numbers of the pattern's template texts.  Texts that an element's
+    role drops anyway are not looked at."""
     sized = pages.select("host", F.length("html").alias("n"), F.xxhash64("html").alias("k")).where("n > 0").distinct()
     middle = sized.groupBy("host").agg(F.percentile_approx("n", 0.5).alias("m"), F.count("*").alias("pages"))
     middle = middle.where(F.col("pages") >= least_pages)
     chosen = sized.join(middle, "host").groupBy("host").agg(
         F.min(F.struct(F.abs(F.col("n") - F.col("m")), "k"))["k"].alias("k"))
-    pattern = pages.select("host", F.xxhash64("html").alias("k"), "html").join(chosen, ["host", "k"]).groupBy("host").agg(
-        F.min("html").alias("pattern"))
+    pattern = pages.select("host", F.xxhash64("html").alias("k"), "html").join(chosen, ["host", "k"]).groupBy("host", "k").agg(
+        F.min("html").alias("pattern")).drop("k")
     pattern = common.staged(pattern, "patterns")
 
     def align(batch: pa.RecordBatch):
         found: dict[tuple[str, int], list[int]] = {}
         for host, html, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "pattern")), strict=True):
-            for a, b in match(pattern_tree(model), tree(html)):
-                n = found.setdefault((host, a.number), [0, 0])
-                n[0] += 1
-                n[1] += a.print == b.print
+            watched = pattern_texts(model)
+            if watched:
+                for a, b in match(pattern_tree(model), tree(html)):
+                    if a.number in watched:
+                        n = found.setdefault((host, a.number), [0, 0])
+                        n[0] += 1
+                        n[1] += same_line(a, b)
         rows = [(h, i, n, same) for (h, i), (n, same) in found.items()]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "met", "same"])
 
-    differing = pages.select("host", "html").join(pattern, "host").withColumn("k", F.xxhash64("html")).dropDuplicates(["host", "k"])
+    # equal pages first, dealt by content; the join is then free to split a large host
+    differing = pages.select("host", "html").dropDuplicates(["html", "host"]).join(pattern, "host")
     met = common.map_batches(differing.select("host", "html", "pattern"), align, "host string, node int, met long, same long")
     fixed = met.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).where(
         (F.col("met") >= least_pages) & (F.col("same") >= share * F.col("met")))
