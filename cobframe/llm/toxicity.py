@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ class Terms:
         self.seen, self.rows = Codes(), np.zeros((0, 3), np.int64)
 
     def learn(self, words: list[str]) -> None:
+        if not words:
+            return
         fresh = np.full((len(words), 3), -1, np.int64)
         for i, w in enumerate(words):
             t = word_terms(w)
@@ -59,15 +62,24 @@ class Terms:
             fresh = np.where(self.keep[at] == fresh, at, -1) if len(self.keep) else np.full_like(fresh, -1)
         self.rows = np.concatenate([self.rows, fresh])
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The distinct terms of each text."""
         if len(self.seen) > self.remember:
             self.clear()
-        codes = np.fromiter(map(self.seen.__getitem__, set(WORD.findall(text.lower()))), np.int64)
-        new = self.seen.take()
-        if new:
-            self.learn(new)
-        found = self.rows[codes].ravel()
-        return np.unique(found[found >= 0])
+        look = self.seen.__getitem__
+        coded = [np.fromiter(map(look, set(WORD.findall(t.lower()))), np.int64) for t in texts]
+        self.learn(self.seen.take())
+        out = []
+        for codes in coded:
+            found = self.rows[codes].ravel()
+            out.append(np.unique(found[found >= 0]))
+        return out
+
+
+@lru_cache(maxsize=1)
+def kept_terms(blob: bytes) -> Terms:
+    """One worker's memory of words, for the model whose terms these are."""
+    return Terms(np.frombuffer(blob, np.int64))
 
 
 @dataclass
@@ -103,7 +115,7 @@ def select_terms(rows: list[np.ndarray], y: np.ndarray, most: int, least_docs: i
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, threshold: float = 0.3, most_terms: int = 1024, rank: int = 8,
-        epochs: int = 30, step: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+        epochs: int = 30, step: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Train on ``rows`` of distinct hashed terms with labels ``y`` (0 or 1)."""
     share = float(y.mean()) if len(y) else 0.0
     none = np.zeros(0, np.int64)
@@ -143,17 +155,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, threshold: float = 0.3, most_term
     machine = Machine(terms, float(bias), w, v)
     held = back if back.any() else np.ones(len(y), bool)
     raw = np.array([machine.logit(np.flatnonzero(r)) for r in x[held]])
-    machine.bias += float(np.log(threshold / (1 - threshold))) - best_cut(raw, y[held])
+    if raw.max() > raw.min():  # scores that do not tell rows apart have no cut
+        machine.bias += float(np.log(threshold / (1 - threshold))) - best_cut(raw, y[held])
     return machine
 
 
 def best_cut(raw: np.ndarray, y: np.ndarray) -> float:
     """The logit between two scores that gives the best F1; of equal ones, the
-    middle of the widest gap."""
+    middle of the widest gap.  Both sides hold rows."""
     order = np.argsort(-raw, kind="stable")
     s, hit = raw[order], np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    gap = np.append(s[:-1] - s[1:], 1.0)
+    gap = np.append(s[:-1] - s[1:], 0.0)
     f1 = np.where(gap > 0, f1, -1)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     at = best[np.argmax(gap[best])]
@@ -171,14 +184,16 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_row
         known = known.where(use)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # the sample is ids and labels, ``sample_rows`` of them at most: every task may hold it
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
-        sample, "doc_id").select("text", "y")
+        F.broadcast(sample), "doc_id").select("text", "y")
 
     def run(batches):
         terms = Terms()
         for batch in batches:
-            found = [terms.of(t).astype("<i4").tobytes() for t in common.text_or_empty(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], ["terms", "y"])
+            for part in common.slices(batch, "text"):
+                found = [t.astype("<i4").tobytes() for t in terms.of(common.text_or_empty(part, "text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), part.column("y")], ["terms", "y"])
 
     got = texts.mapInArrow(run, "terms binary, y int").toArrow()
     rows = sorted(zip(got.column("terms").to_pylist(), got.column("y").to_pylist(), strict=True))
@@ -192,12 +207,13 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str
     common.prepare(docs.sparkSession)
 
     def run(batches):
-        terms = Terms(machine.terms)
+        terms = kept_terms(machine.terms.astype(np.int64).tobytes())
         for batch in batches:
-            s = [float(sigmoid(machine.logit(terms.of(t)))) for t in common.text_or_empty(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())],
-                ["doc_id", "score", "predicted"])
+            for part in common.slices(batch, "text"):
+                s = [float(sigmoid(machine.logit(t))) for t in terms.of(common.text_or_empty(part, "text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(s, pa.float64()),
+                     pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -211,10 +227,11 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_row
     place = docs.columns.index(text_col)
 
     def run(batches):
-        terms = Terms(machine.terms)
+        terms = kept_terms(machine.terms.astype(np.int64).tobytes())
         for batch in batches:
-            keep = [sigmoid(machine.logit(terms.of(t or ""))) < threshold for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in common.slices(batch, place):
+                found = terms.of([t or "" for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([sigmoid(machine.logit(t)) < threshold for t in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
