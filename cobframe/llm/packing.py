@@ -39,7 +39,7 @@ class Encoder:
     distinct word goes through the tokenizer library once; a text with characters
     outside the safe set goes through the library as it is."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.remember = remember
