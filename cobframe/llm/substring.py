@@ -1,7 +1,8 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of three consecutive sentences with ten words or more is hashed, and
-so is every run of one or two that has forty.  The hashes meet in one global
+From every sentence on, the run of three consecutive sentences, or as many more
+as it takes to hold ten words, is hashed; so is every run of one or two that
+has forty.  The hashes meet in one global
 aggregation; a run's first place is its smallest ``(doc_id, sentence)``.  Every
 sentence that lies in a run at any other place is removed.
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from cobframe.llm import common
 
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+(?=\s)|$)|[^\n]+", re.MULTILINE)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse among 64-bit numbers
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def sentences(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
@@ -42,20 +44,23 @@ def sentences(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]
 
 def runs(words: np.ndarray, hashes: np.ndarray, length: int = 3, least: int = 10, alone: int = 40):
     """``(first sentence, sentences, hash)`` of every run."""
-    out = []
-    for n in range(1, length + 1):
-        if len(words) < n:
-            break
-        held = sum(words[k:len(words) - n + 1 + k] for k in range(n))
-        mixed = np.full(len(held), n, np.uint64)
-        for k in range(n):
-            mixed = (mixed ^ hashes[k:len(words) - n + 1 + k]) * FACTOR
-            mixed ^= mixed >> np.uint64(29)
-        at = np.flatnonzero(held >= (least if n == length else alone))
-        out.append((at, np.full(len(at), n), mixed[at]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    count = len(words)
+    held = np.append(0, np.cumsum(words))
+    first = np.arange(count)
+    enough = np.searchsorted(held, held[:-1] + least)  # one past the run that has words enough
+    end = np.maximum(first + length, enough)
+    spans = [(first[end <= count], end[end <= count])]
+    for n in range(1, length):
+        at = first[:max(0, count - n + 1)]
+        at = at[held[at + n] - held[at] >= alone]
+        spans.append((at, at + n))
+    at, end = (np.concatenate(c) for c in zip(*spans, strict=True))
+    # sums of hash times base to the minus place: any run's is a difference
+    powers = np.cumprod(np.append(np.uint64(1), np.full(count, BASE, np.uint64)))
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(count, INVERSE, np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(hashes * inverse[:-1]))
+    mixed = ((sums[end] - sums[at]) * powers[at]) ^ ((end - at).astype(np.uint64) * np.uint64(BASE))
+    return at, end - at, mixed
 
 
 def cut(text: str, removed: list[tuple[int, int]], length: int = 3, least: int = 10, alone: int = 40) -> tuple[str, int, int]:

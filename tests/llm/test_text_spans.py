@@ -13,10 +13,13 @@ def plain_repeats(rows):
     def runs(text):
         bounds, words, hashes = substring.sentences(text)
         said = [" ".join(text[a:b].lower().split()) for a, b in bounds]
-        for n in (1, 2, 3):
-            for i in range(len(said) - n + 1):
-                if sum(words[i:i + n]) >= (10 if n == 3 else 40):
+        for i in range(len(said)):
+            for n in (1, 2):
+                if i + n <= len(said) and sum(words[i:i + n]) >= 40:
                     yield i, n, tuple(said[i:i + n])
+            n = next((n for n in range(3, len(said) - i + 1) if sum(words[i:i + n]) >= 10), None)
+            if n:
+                yield i, n, tuple(said[i:i + n])
     order = [(i is not None, i or 0, t or "") for i, t in rows]
     first = {}
     for some, i, t in order:
@@ -35,11 +38,14 @@ def plain_repeats(rows):
 def test_repeats_equal_brute_force(spark):
     rows = [(i, prose(i, 80)) for i in range(20)]
     rows += [(30 + i, prose(100 + i, 40) + "\n" + PASSAGE + "\n" + prose(200 + i, 40)) for i in range(6)]
+    shouted = " ".join(w.strip(".") + "!!" for w in prose(77, 60).split(" "))  # a sentence a word
+    rows += [(60, shouted), (61, prose(301, 20) + "\n" + shouted + "\n" + prose(302, 20))]
     rows += [(50, PASSAGE + " " + PASSAGE), (51, "Short one. Short two."), (52, "Short one. Short two.")] + AWKWARD
     got = substring.remove_repeats(docs_frame(spark, rows, clash=True)).collect()
     assert sorted(((r["doc_id"], r["n_removed"]) for r in got), key=str) == plain_repeats(rows)
     by = {r["doc_id"]: r["text"] for r in got}
     assert PASSAGE in by[30] and all(PASSAGE.split(". ")[1] not in by[31 + i] for i in range(5))
+    assert by[60] == shouted and shouted[:80] not in by[61] and prose(302, 20) in by[61]
     assert by[31] == prose(101, 40) + "\n" + prose(201, 40)
     assert all(by[i] == prose(i, 80) for i in range(20) if i not in (1, 2, 3, 4, 5, 6, 7, 8))
     assert by[52] == "Short one. Short two." and by[2] in ("", prose(2, 80))
