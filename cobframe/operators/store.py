@@ -43,7 +43,7 @@ def build_trade_index(trades: DataFrame) -> DataFrame:
     return trades.select("trade_id", *KEY, *batch).distinct()
 
 
-def _write(df: DataFrame, path: str, mode: str, sort_cols: list[str]) -> None:
+def write_table(df: DataFrame, path: str, mode: str, sort_cols: list[str]) -> None:
     """Month-partitioned, date/key-sorted parquet (see ``sources.stores``).
 
     The rebalance shuffle deals rows by month and lets AQE cut a large month
@@ -80,20 +80,20 @@ def append_snapshots(result: IngestResult, root: str, batch_id: str | None = Non
         snaps = snaps.withColumn("ingested_at", F.current_timestamp())
     snaps = snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
                          "ingested_at", F.lit(attempt).alias("batch_id"))
-    _write(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
+    write_table(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
     written = read_store_table(spark, root, "snapshots", attempt=attempt)
     trades = result.trades.join(written.select(*KEY), KEY, "left_semi")
     if "position" not in trades.columns:
         trades = trades.withColumn("position", F.lit(None).cast("long"))
     trades = trades.select(*KEY, *TRADE_FIELDS, "position", F.lit(attempt).alias("batch_id"))
-    _write(trades, table_path(root, "snapshot_trades"), "append",
+    write_table(trades, table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
-    _write(build_exposure_index(written), table_path(root, "exposure_index"), "append",
+    write_table(build_exposure_index(written), table_path(root, "exposure_index"), "append",
            ["counterparty_id", "netting_set_id"])
     written_trades = read_store_table(spark, root, "snapshot_trades", attempt=attempt)
-    _write(build_trade_index(written_trades), table_path(root, "trade_index"), "append",
+    write_table(build_trade_index(written_trades), table_path(root, "trade_index"), "append",
            ["trade_id"])
-    _write(result.rejects.withColumn("batch_id", F.lit(attempt)), table_path(root, "rejects"),
+    write_table(result.rejects.withColumn("batch_id", F.lit(attempt)), table_path(root, "rejects"),
            "append", ["counterparty_id"])
     # from here on readers see the batch in every table at once
     commit_attempt(spark, root, attempt, batch_id)
@@ -117,7 +117,7 @@ def rebuild_indexes(spark: SparkSession, root: str, from_date=None, to_date=None
                             ["counterparty_id", "netting_set_id"]),
                            ("trade_index", build_trade_index(trades), ["trade_id"])):
         tmp = table_path(root, f"_rebuild_{name}_{uuid.uuid4().hex}")
-        _write(df, tmp, "overwrite", sort)
+        write_table(df, tmp, "overwrite", sort)
         fresh = spark.read.schema(SCHEMAS[name]).parquet(tmp)
         (fresh.write.mode("overwrite").partitionBy(PARTITION_COL)
          .option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name)))

@@ -27,6 +27,7 @@ from cobframe.schema import KEY
 from cobframe.sources import testdata as td
 from cobframe.sources.staging import (dedupe_first, read_staging_agreements,
                                       read_staging_market_data, read_staging_trades, type_landing)
+from cobframe.sources.stores import read_store_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -334,6 +335,22 @@ def q_reject_duplicates(spark, sf):
         *KEY, "arrival_seq")
 
 
+@register("stored_duplicates", "WITH " + O.agreements_raw(clean=True) + ",\n" + O.agreements_good() + ",\n"
+          + O.matrices() + ",\n" + O.snapshots_cte() + """,
+v AS (SELECT a.*, s.counterparty_id IS NOT NULL AS stored,
+             row_number() OVER (PARTITION BY a.counterparty_id, a.netting_set_id, a.cob_date
+                                ORDER BY a.arrival_seq) AS copy
+      FROM ag_valid a LEFT JOIN snap s USING (counterparty_id, netting_set_id, cob_date))
+SELECT counterparty_id, netting_set_id, cob_date, 'DUPLICATE' AS reject_reason,
+       CASE WHEN stored THEN 'already stored' ELSE 'later copy in batch' END AS detail
+FROM v WHERE stored OR copy > 1""")
+def q_stored_duplicates(spark, sf):
+    """V3 of a second load of everything against the store the first one wrote."""
+    good = V.validate_ids(domain.staged(spark, sf)["agreements"]).good
+    stored = domain.order_store(spark, sf)["snapshots"]
+    return V.reject_duplicates(good, domain.AGREEMENT_ARRIVAL, stored).rejects
+
+
 @register("validate_finite", O.store() + """
 , bad AS (SELECT DISTINCT counterparty_id, netting_set_id, cob_date FROM tr
           WHERE CAST(floor(notional) AS BIGINT) % 53 IN (0, 1)
@@ -425,6 +442,20 @@ def q_trade_index(spark, sf):
     return domain.order_store(spark, sf)["trade_index"].select("trade_id", *KEY)
 
 
+@register("rebuilt_indexes", O.store() + """
+SELECT s.counterparty_id, s.netting_set_id, s.cob_date, s.exposure_total,
+       CAST(count(DISTINCT t.trade_id) AS BIGINT) AS n_trade_ids
+FROM snap s LEFT JOIN tr t USING (counterparty_id, netting_set_id, cob_date)
+GROUP BY ALL""")
+def q_rebuilt_indexes(spark, sf):
+    """K4: both indexes regenerated in a store that has lost them."""
+    root = domain.store_without_indexes(spark, sf)
+    K.rebuild_indexes(spark, root)
+    ids = read_store_table(spark, root, "trade_index").groupBy(*KEY).agg(F.count_distinct("trade_id").alias("n"))
+    return read_store_table(spark, root, "exposure_index").join(ids, KEY, "left").select(
+        *KEY, "exposure_total", F.coalesce("n", F.lit(0)).cast("long").alias("n_trade_ids"))
+
+
 @register("index_staleness", "WITH " + O.feed() + """,
 idx AS (SELECT * FROM feed WHERE ingested_at <= CAST(cob_date AS TIMESTAMP) + INTERVAL 23 HOUR),
 s AS (SELECT cob_date, count(*) AS n_snapshots, max(ingested_at) AS sl FROM feed GROUP BY ALL),
@@ -1041,6 +1072,17 @@ def q_snapshots_with_matrices(spark, sf):
         *KEY, "instrument", "path", "hash", "length")
 
 
+@register("matrix_contents", O.store(with_trades=False) + """
+SELECT r.counterparty_id, r.netting_set_id, r.cob_date, r.instrument, r.hash, m.length, m.actual_hash AS content_hash
+FROM refs r JOIN snap s USING (counterparty_id, netting_set_id, cob_date)
+LEFT JOIN (SELECT * FROM mx WHERE arrived) m USING (path)""")
+def q_matrix_contents(spark, sf):
+    """E3 with the files' bytes attached, which must hash to the stored refs."""
+    rows = E.snapshots_with_matrices(domain.order_store(spark, sf)["snapshots"], domain.staged(spark, sf)["files"],
+                                     with_content=True)
+    return rows.select(*KEY, "instrument", "hash", "length", H.file_hash().alias("content_hash"))
+
+
 @register("extra_json_query", """
 SELECT 'CP-' || user_id AS counterparty_id, event_type AS netting_set_id, CAST(ts AS DATE) AS cob_date,
        CAST(count(*) AS BIGINT) AS n_events,

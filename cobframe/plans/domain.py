@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobframe.operators.ingest import IngestResult, ingest_batch
-from cobframe.operators.store import append_snapshots, build_exposure_index
+from cobframe.operators.store import append_snapshots, build_exposure_index, write_table
 from cobframe.session import ensure_checkpoint_dir
 from cobframe.sources import testdata as td
 from cobframe.sources.files import path_exists, read_text, write_text
-from cobframe.sources.stores import read_store_table
+from cobframe.sources.stores import begin_attempt, commit_attempt, read_store_table, table_path
 from cobframe.sources.staging import (read_staging_agreements, read_staging_market_data,
                                       read_staging_trades)
 
@@ -100,6 +100,18 @@ def order_store(spark: SparkSession, sf_dir: str, rounding_noise: bool = False)
     return StoredTables(spark, read_text(spark, done).strip())
 
 
+def store_without_indexes(spark: SparkSession, sf_dir: str) -> str:
+    """A new store holding the snapshots and trades of the mapping-A store only."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobframe-bare-{uuid.uuid4().hex}"
+    stored = order_store(spark, sf_dir)
+    begin_attempt(spark, root, "copy", "copy")
+    for name in ("snapshots", "snapshot_trades"):
+        write_table(stored[name].withColumn("batch_id", F.lit("copy")), table_path(root, name), "append",
+                    ["counterparty_id", "netting_set_id"])
+    commit_attempt(spark, root, "copy", "copy")
+    return root
+
+
 class StoredTables:
     """Lazy access to the written tables (a table is listed only when used)."""
     NAMES = {"snapshots": "snapshots", "trades": "snapshot_trades",

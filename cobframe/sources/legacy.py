@@ -65,7 +65,7 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
     audit them with ``integrity.audit_integrity`` after the move).  Trades
     keep their document ``position`` so recomputed hashes follow the stored
     order."""
-    from cobframe.operators.store import _write, build_exposure_index, build_trade_index
+    from cobframe.operators.store import write_table, build_exposure_index, build_trade_index
     from cobframe.sources.stores import (begin_attempt, commit_attempt, is_committed,
                                          read_store_table, table_path)
     if is_committed(spark, root, "migrated"):
@@ -77,16 +77,16 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
     snaps = (src["snapshots"].join(exposure, KEY, "left")
              .withColumn("exposure_total", F.coalesce("exposure_total", F.lit(0.0)))
              .withColumn("batch_id", F.lit(attempt)))
-    _write(snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
+    write_table(snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
                         "ingested_at", "batch_id"),
            table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
-    _write(src["trades"].withColumn("position", F.col("position").cast("long"))
+    write_table(src["trades"].withColumn("position", F.col("position").cast("long"))
            .withColumn("batch_id", F.lit(attempt)),
            table_path(root, "snapshot_trades"), "append",
            ["counterparty_id", "netting_set_id", "trade_id"])
-    _write(build_exposure_index(read_store_table(spark, root, "snapshots", attempt=attempt)),
+    write_table(build_exposure_index(read_store_table(spark, root, "snapshots", attempt=attempt)),
            table_path(root, "exposure_index"), "append", ["counterparty_id", "netting_set_id"])
-    _write(build_trade_index(read_store_table(spark, root, "snapshot_trades", attempt=attempt)),
+    write_table(build_trade_index(read_store_table(spark, root, "snapshot_trades", attempt=attempt)),
            table_path(root, "trade_index"), "append", ["trade_id"])
     commit_attempt(spark, root, attempt, "migrated")
     return root

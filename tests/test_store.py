@@ -45,17 +45,17 @@ def test_crash_after_any_write_then_replay(spark, monkeypatch, last, earlier):
     if earlier:
         K.append_snapshots(ingest(spark, root), root, "first")
     before = counts(spark, root)
-    write, done = K._write, []
+    write, done = K.write_table, []
 
     def dying(*args):
         write(*args)
         done.append(args)
         if len(done) > last:
             raise RuntimeError("executor lost")
-    monkeypatch.setattr(K, "_write", dying)
+    monkeypatch.setattr(K, "write_table", dying)
     with pytest.raises(RuntimeError):
         K.append_snapshots(ingest(spark, root, 1), root, "second")
-    monkeypatch.setattr(K, "_write", write)
+    monkeypatch.setattr(K, "write_table", write)
     assert counts(spark, root) == before  # nothing of it shows
     K.append_snapshots(ingest(spark, root, 1), root, "second")
     assert counts(spark, root) == {n: before[n] + COUNTS[n] for n in COUNTS}
@@ -119,7 +119,7 @@ def test_large_month_is_many_files(spark):
     old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
     try:
-        K._write(wide, f"{root}/t", "append", ["counterparty_id"])
+        K.write_table(wide, f"{root}/t", "append", ["counterparty_id"])
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     assert len(spark.read.parquet(f"{root}/t").inputFiles()) > 1
