@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cobframe.llm import common
 
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+(?=\s)|$)|[^\n]+", re.MULTILINE)
+END = re.compile(r"[.!?…]+(?=\s)|\n")
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse among 64-bit numbers
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -33,33 +33,51 @@ INVERSE = pow(BASE, -1, 1 << 64)
 def sentences(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Bounds, word counts and hashes of the sentences that have words."""
     bounds, words, hashes = [], [], []
-    for m in SENTENCE.finditer(text):
-        parts = m[0].lower().split()
+    cuts = [m.span() for m in END.finditer(text)]
+    cuts.append((len(text), len(text)))
+    start = 0
+    for at, end in cuts:
+        if text[at:end] != "\n":
+            at = end
+        parts = text[start:at].lower().split()
         if parts:
-            bounds.append(m.span())
+            bounds.append((start, at))
             words.append(len(parts))
             hashes.append(xxhash.xxh64_intdigest(" ".join(parts).encode("utf-8", "surrogatepass")))
+        start = end
     return bounds, np.array(words, np.int64), np.array(hashes, np.uint64)
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``count`` powers of the base and of its inverse."""
+    if len(_POWERS[0]) < count:
+        for i, step in enumerate((BASE, INVERSE)):
+            _POWERS[i] = np.cumprod(np.append(np.uint64(1), np.full(2 * count, step, np.uint64)))
+    return _POWERS[0][:count], _POWERS[1][:count]
+
+
 def runs(words: np.ndarray, hashes: np.ndarray, length: int = 3, least: int = 10, alone: int = 40):
     """``(first sentence, sentences, hash)`` of every run."""
     count = len(words)
-    held = np.append(0, np.cumsum(words))
+    held = np.zeros(count + 1, np.int64)
+    np.cumsum(words, out=held[1:])
     first = np.arange(count)
-    enough = np.searchsorted(held, held[:-1] + least)  # one past the run that has words enough
-    end = np.maximum(first + length, enough)
-    spans = [(first[end <= count], end[end <= count])]
-    for n in range(1, length):
-        at = first[:max(0, count - n + 1)]
-        at = at[held[at + n] - held[at] >= alone]
-        spans.append((at, at + n))
-    at, end = (np.concatenate(c) for c in zip(*spans, strict=True))
+    end = np.maximum(first + length, np.searchsorted(held, held[:-1] + least))  # the run that has words enough
+    inside = end <= count
+    spans = [(first[inside], end[inside])]
+    for n in range(1, min(length, count + 1)):
+        at = np.flatnonzero(held[n:] - held[:-n] >= alone)
+        if len(at):
+            spans.append((at, at + n))
+    at, end = (np.concatenate(c) for c in zip(*spans, strict=True)) if len(spans) > 1 else spans[0]
     # sums of hash times base to the minus place: any run's is a difference
-    powers = np.cumprod(np.append(np.uint64(1), np.full(count, BASE, np.uint64)))
-    inverse = np.cumprod(np.append(np.uint64(1), np.full(count, INVERSE, np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(hashes * inverse[:-1]))
-    mixed = ((sums[end] - sums[at]) * powers[at]) ^ ((end - at).astype(np.uint64) * np.uint64(BASE))
+    up, down = powers(count + 1)
+    sums = np.zeros(count + 1, np.uint64)
+    np.cumsum(hashes * down[:-1], out=sums[1:])
+    mixed = ((sums[end] - sums[at]) * up[at]) ^ ((end - at).astype(np.uint64) * np.uint64(BASE))
     return at, end - at, mixed
 
 
