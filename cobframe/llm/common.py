@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 from cobframe.session import ensure_checkpoint_dir, ship_package
 
 
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the executors and settle the shared folder."""
+    """Ship the package to the executors, settle the shared folder, and bound
+    the Arrow batches by bytes: rows here are whole texts, and the default of
+    64 MB is held several times over in each task, on either side of the pipe."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if int(spark.conf.get(BATCH_SETTING, "64m").lower().replace("m", "0" * 6).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +49,19 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(key, make: Callable):
+    """What a Python worker remembers between tasks (words it has met): one
+    thing at a time, so that a worker passed from one operator to the next does
+    not carry the memories of all."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""

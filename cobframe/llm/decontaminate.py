@@ -153,7 +153,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: floa
         np.sort(distinct.toArrow().column("h").to_numpy()) if few else None)
 
     def run(batches):
-        templates = Templates()
+        templates = common.remembered("templates", Templates)
         wanted = held.value
         for batch in (part for whole in batches for part in common.slices(whole, "text")):
             out = []

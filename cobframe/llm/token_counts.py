@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,9 +184,8 @@ class Counter:
         return (total[ends] - total[begins] + np.array(extra, np.int64)).tolist()
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return common.remembered(("counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",

@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +75,9 @@ class Terms:
         return out
 
 
-@lru_cache(maxsize=1)
-def kept_terms(blob: bytes) -> Terms:
-    """One worker's memory of words, for the model whose terms these are."""
-    return Terms(np.frombuffer(blob, np.int64))
+def kept_terms(terms: np.ndarray) -> Terms:
+    """A worker's memory of words, for the model whose terms these are."""
+    return common.remembered(("terms", terms.tobytes()), lambda: Terms(terms))
 
 
 @dataclass
@@ -207,7 +205,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str
     common.prepare(docs.sparkSession)
 
     def run(batches):
-        terms = kept_terms(machine.terms.astype(np.int64).tobytes())
+        terms = kept_terms(machine.terms)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 s = [float(sigmoid(machine.logit(t))) for t in terms.of(common.text_or_empty(part, "text"))]
@@ -227,7 +225,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_row
     place = docs.columns.index(text_col)
 
     def run(batches):
-        terms = kept_terms(machine.terms.astype(np.int64).tobytes())
+        terms = kept_terms(machine.terms)
         for batch in batches:
             for part in common.slices(batch, place):
                 found = terms.of([t or "" for t in part.column(place).to_pylist()])
