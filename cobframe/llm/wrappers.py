@@ -43,8 +43,9 @@ DROPPED = frozenset("head script style noscript template nav footer aside form i
 ROLES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|masthead|footer|"
     r"comments?|reply|replies|disqus|notice|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags?|search|copyright|"
+    r"signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|"
     r"complementary|contentinfo|navigation|skip)(?:$|[\s_-])", re.IGNORECASE)
+READERS = re.compile(r"(?:^|[\s_=-])(?:comments?|reply|replies)(?:$|[\s_-])", re.IGNORECASE)
 HEADER = re.compile(r"(?:^| )(?:class|id)=(?:[^=]*[\s_-])?header(?:$|[\s_-])", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
@@ -251,7 +252,9 @@ def dropped(node: Node) -> bool:
         return False
     if re.search(r"(?:^| )(?:hidden=|aria-hidden=true|style=[^=]*display:\s*none)", node.mark):
         return True
-    return node.tag not in ("html", "body", "article", "main") and any(
+    if node.tag == "article":
+        return bool(READERS.search(node.mark))
+    return node.tag not in ("html", "body", "main") and any(
         ROLES.search(m.split("=", 1)[1]) for m in re.split(r" (?=(?:class|id|role)=)", node.mark) if m.startswith(("class=", "id=", "role=")))
 
 
@@ -265,7 +268,7 @@ def mains(root: Node) -> list[Node]:
     found, stack = [], [root]
     while stack:
         n = stack.pop()
-        if n.tag in ("article", "main") or n.mark and re.search(r"(?:^| )role=(?:main|article)(?: |$)", n.mark):
+        if n.tag in ("article", "main") and not dropped(n) or n.mark and re.search(r"(?:^| )role=(?:main|article)(?: |$)", n.mark):
             found.append(n)
             continue
         stack.extend(c for c in reversed(n.below) if c.tag and not dropped(c))

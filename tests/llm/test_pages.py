@@ -39,7 +39,9 @@ def test_article_element_bounds_the_text(spark):
     (None, ""), ("", ""), ("<p>", ""), ("plain words", "plain words"), ("<p>a<!-- no <p>b --></p>c", "a\nc"),
     ("<script>never ended <p>x", ""), ("a<br/>b", "a b"), ("<div hidden>x</div>y", "y"), ("</div></p>x", "x"),
     ("<p>&nbsp;a&nbsp;&nbsp;b </p>", "a b"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("2 < 3 > 1", "2 < 3 > 1"),
-    ("<p><b>open<br><p>next</b> on", "open\nnext on")])
+    ("<p><b>open<br><p>next</b> on", "open\nnext on"),
+    ("<article class='post tag-news'><p>story</article><article class=comment><p>first!</article>", "story"),
+    ("<div class='post tag-search-news'>story</div><div class='nav-bar'>x</div>", "story")])
 def test_awkward_html(spark, html, text):
     assert wrappers.text_of(wrappers.tree(html or ""), set()) == text
 
