@@ -123,3 +123,12 @@ def test_large_month_is_many_files(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     assert len(spark.read.parquet(f"{root}/t").inputFiles()) > 1
+
+
+def test_dry_run_writes_nothing(spark):
+    """The job's result is lazy; without the append the store stays as it was."""
+    import os
+    root = tempfile.mkdtemp(prefix="store-")
+    result = ingest(spark, root)
+    assert result.snapshots.count() == 2 and result.rejects.count() == 3
+    assert os.listdir(root) == []
