@@ -14,9 +14,9 @@ partition); other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ class Encoder:
     distinct word goes through the tokenizer library once; a text with characters
     outside the safe set goes through the library as it is."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.remember = remember
@@ -87,11 +87,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return common.remembered(("ids", path), lambda: Encoder(path))
 
 
 class Bins:
