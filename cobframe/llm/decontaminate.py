@@ -5,9 +5,11 @@ number, and capitalised words inside a sentence give typed placeholders.
 Windows of eight template words are hashed and joined with those of the
 benchmark.  Along one alignment of a document with an item, every slot value of
 the item must go to one value of the document (a re-parameterised question
-replaces 5 by 7 everywhere); alignments that break this are dropped.  A pair is
-a finding when its alignments cover the wanted share of the item's windows, or
-one of them as many windows as a passage of 13 words has.
+replaces 5 by 7 everywhere), the one that more than half of its places take;
+windows with a slot that neither does so nor keeps the item's value are dropped.
+A pair is a finding when its alignments cover the wanted share of the item's
+windows, or one of them as many windows as a passage of 13 words has; it is
+exact when no slot differs along them.
 
 Defined results: null and empty texts have no windows; an item of fewer words
 than a window is one window as a whole, one of fewer than ``least_words`` takes
@@ -20,6 +22,7 @@ with a null doc_id; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,14 +125,34 @@ def _item_windows(window: int, least_words: int):
                     continue
                 at, h = window_hashes(words, kind, n)
                 for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    out.append((item, p, x, n, len(at), templates.slots(kind[p:p + n], code[p:p + n])))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                    places = p + np.flatnonzero(kind[p:p + n] != LITERAL)
+                    out.append((item, p, x, n, len(at), templates.slots(kind[p:p + n], code[p:p + n]), places.tolist()))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                             ["item_id", "ipos", "h", "n", "windows", "islots"])
+                                             ["item_id", "ipos", "h", "n", "windows", "islots", "places"])
     return run
 
 
+def agreeing(met: list[dict]) -> list[int]:
+    """Item positions of an alignment's windows whose slots all keep the item's
+    value or go to the one that most places of that value take."""
+    pairs = {p: (a, b) for w in met for p, a, b in zip(w["places"], w["islots"], w["slots"], strict=True)}
+    value, pair = Counter(a for a, _ in pairs.values()), Counter(pairs.values())
+    good = {(a, b) for (a, b), n in pair.items() if a == b or 2 * n > value[a]}
+    return [w["ipos"] for w in met if all(x in good for x in zip(w["islots"], w["slots"], strict=True))]
+
+
+def _judged(batch: pa.RecordBatch):
+    """Every alignment's windows that count."""
+    met = batch.column("met").to_pylist()
+    yield pa.RecordBatch.from_arrays(
+        [*(batch.column(c) for c in ("doc_key", "doc_id", "item_id", "windows")),
+         pa.array([agreeing(m) for m in met], pa.list_(pa.int32())),
+         pa.array([all(w["islots"] == w["slots"] for w in m) for m in met], pa.bool_())],
+        ["doc_key", "doc_id", "item_id", "windows", "covered", "same"])
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.3, passage_windows: int = 6,
              least_words: int = 5, small_windows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -145,7 +168,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: floa
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     known = common.staged(items.mapInArrow(
         _item_windows(window, least_words),
-        "item_id long, ipos int, h long, n int, windows int, islots array<string>"), "items")
+        "item_id long, ipos int, h long, n int, windows int, islots array<string>, places array<int>"), "items")
     sizes = [r["n"] for r in known.select("n").distinct().collect()] or [window]  # at most ``window`` of them
     distinct = known.select("h").distinct()
     few = distinct.limit(small_windows + 1).count() <= small_windows
@@ -183,13 +206,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: floa
     rows = docs.select(common.doc_key(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
     hits = rows.mapInArrow(run, HIT_SCHEMA).join(known, "h").where(F.size("slots") == F.size("islots"))
-    # along one alignment: does each value of the item go to one value of the document?
     aligned = hits.groupBy("doc_key", "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.collect_set("ipos").alias("covered"), F.max("windows").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "slots")))).alias("pairs"))
-    steady = aligned.where(F.size(F.array_distinct(F.col("pairs.islots"))) == F.size("pairs"))
-    same = F.forall("pairs", lambda p: p["islots"] == p["slots"])
-    found = steady.withColumn("same", same).groupBy("doc_key", "doc_id", "item_id").agg(
+        F.max("windows").alias("windows"), F.collect_set(F.struct("ipos", "places", "islots", "slots")).alias("met"))
+    steady = common.map_batches(aligned, _judged, "doc_key long, doc_id long, item_id long, windows int, covered array<int>, same boolean")
+    found = steady.where(F.size("covered") > 0).groupBy("doc_key", "doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_windows"),
         F.max(F.size("covered")).alias("longest"),
         F.max("windows").alias("item_windows"), F.every("same").alias("exact"))

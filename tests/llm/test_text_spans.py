@@ -145,6 +145,16 @@ def test_slots_must_agree(spark):
     assert [r["doc_id"] for r in got] == [1]
 
 
+def test_one_edited_slot_does_not_hide_a_copy(spark):
+    """A number of the item edited at one of its places, the same name misspelt at one of two."""
+    rows = [(1, QUESTION.replace("12 baskets away", "99 baskets away")), (2, QUESTION.replace("then Ruth", "then Rhut")),
+            (3, QUESTION.replace("sells 12", "sells 31").replace("gives 12", "gives 30").replace("5 kg", "7 lb")), (4, prose(3))]
+    assert found(spark, rows) == [(1, 1, False), (2, 1, False)]
+    met = [{"ipos": i, "places": [i, i + 1], "islots": ["1:5", "1:6"], "slots": s}
+           for i, s in ((0, ["1:7", "1:6"]), (10, ["1:7", "1:8"]), (20, ["1:9", "1:8"]), (30, ["1:5", "1:8"]), (40, ["1:7", "1:8"]))]
+    assert decontaminate.agreeing(met) == [0, 10, 30, 40]  # 5 goes to 7 at three of five places
+
+
 def test_clean_keeps_the_rest_whole(spark):
     bench = spark.createDataFrame(BENCH[:2], "item_id long, text string")
     rows = [(1, QUESTION), (2, prose(2)), (2, prose(2)), (None, QUESTION), (None, prose(4)), (3, None)]
