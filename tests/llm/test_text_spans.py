@@ -155,6 +155,21 @@ def test_one_edited_slot_does_not_hide_a_copy(spark):
     assert decontaminate.agreeing(met) == [0, 10, 30, 40]  # 5 goes to 7 at three of five places
 
 
+@pytest.mark.parametrize("small", [2_000_000, 0])
+def test_what_templates_cannot_carry_is_found_verbatim(spark, small):
+    items = ["Compute 17 + 25 - 31 + 48 - 56 + 63", "WHO WROTE THE SECOND LETTER OF PETER TO THE ROMANS",
+             "Did Anna Lena Marta Olga Petra Rosa Sofia visit Berlin Hamburg Bremen", "Who wrote Hamlet?", "What is 9 times 8?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"{prose(i, 30)}\n{t}\n{prose(50 + i, 30)}") for i, t in enumerate(items)]
+    rows += [(10 + i, f"{prose(i, 30)} {t.lower()} {prose(50 + i, 30)}") for i, t in enumerate(items)]
+    rows += [(20, "Compute 18 + 26 - 32 + 49 - 57 + 64"), (21, "Who wrote it? Hamlet wrote"), (22, "What is 9 times 7?")] + AWKWARD
+    got = decontaminate.findings(docs_frame(spark, rows, clash=True), bench, small_windows=small).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got if r["doc_id"] < 20) == [
+        (i, i % 10) for i in (0, 1, 2, 3, 4, 10, 11, 12, 13, 14)]
+    assert [r["doc_id"] for r in got if r["doc_id"] > 19] == [22]  # five words, one parameter: by its template
+    assert all(0 < r["share"] <= 1 and r["share"] == r["n_windows"] / r["item_windows"] for r in got)
+
+
 def test_clean_keeps_the_rest_whole(spark):
     bench = spark.createDataFrame(BENCH[:2], "item_id long, text string")
     rows = [(1, QUESTION), (2, prose(2)), (2, prose(2)), (None, QUESTION), (None, prose(4)), (3, None)]
