@@ -1,13 +1,17 @@
 """Substring dedup over sliding sentence spans.
 
 From every sentence on, the run of three consecutive sentences, or as many more
-as it takes to hold ten words, is hashed; so is every run of one or two that
-has forty.  The hashes meet in one global
+as it takes to hold ten words, is a run; so are every two sentences that have
+ten, and every one that has sixteen, a third of a passage of fifty, as the outer
+sentences of a passage planted inside others are not whole.  Runs are hashed but
+for those whose sentences all lie in shorter ones: these repeat wherever they
+do.  The hashes meet in one global
 aggregation; a run's first place is its smallest ``(doc_id, sentence)``.  Every
 sentence that lies in a run at any other place is removed.
 
 Defined results: a null text stays null and an empty one empty; sentences end at
-a line end or at ``. ! ? …`` before white space, and differences of case and
+a line end or at ``. ! ? …``, quotes and brackets closed after it, before white
+space, and differences of case and
 white space do not count; sentences without words are no part of runs and stay;
 rows of equal doc_id and equal text are one document and keep the same
 sentences; a null doc_id sorts first; other columns are ignored.
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cobframe.llm import common
 
-END = re.compile(r"[.!?…]+(?=\s)|\n")
+END = re.compile(r"[.!?…]+[\"'»”’)\]}]*(?=\s)|\n")
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse among 64-bit numbers
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -59,20 +63,26 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:count], _POWERS[1][:count]
 
 
-def runs(words: np.ndarray, hashes: np.ndarray, length: int = 3, least: int = 10, alone: int = 40):
-    """``(first sentence, sentences, hash)`` of every run."""
+def runs(words: np.ndarray, hashes: np.ndarray, length: int = 3, least: int = 10, alone: int = 16):
+    """``(first sentence, sentences, hash)`` of the runs."""
     count = len(words)
     held = np.zeros(count + 1, np.int64)
     np.cumsum(words, out=held[1:])
     first = np.arange(count)
     end = np.maximum(first + length, np.searchsorted(held, held[:-1] + least))  # the run that has words enough
     inside = end <= count
-    spans = [(first[inside], end[inside])]
-    for n in range(1, min(length, count + 1)):
-        at = np.flatnonzero(held[n:] - held[:-n] >= alone)
-        if len(at):
-            spans.append((at, at + n))
-    at, end = (np.concatenate(c) for c in zip(*spans, strict=True)) if len(spans) > 1 else spans[0]
+    whole = words >= alone  # runs of n sentences, each of which lies in a run
+    spans = [(first[whole], first[whole] + 1)]
+    for n in range(2, min(length, count + 1)):
+        both = whole[:-1] & whole[1:]
+        enough = held[n:] - held[:-n] >= least
+        at = np.flatnonzero(enough & ~both)
+        spans.append((at, at + n))
+        whole = both | enough
+    if length > 1 and count >= length:
+        inside[:len(whole) - 1] &= ~(whole[:-1] & whole[1:] & (end[:len(whole) - 1] == first[:len(whole) - 1] + length))
+    spans.append((first[inside], end[inside]))
+    at, end = (np.concatenate(c) for c in zip(*spans, strict=True))
     # sums of hash times base to the minus place: any run's is a difference
     up, down = powers(count + 1)
     sums = np.zeros(count + 1, np.uint64)
@@ -81,7 +91,7 @@ def runs(words: np.ndarray, hashes: np.ndarray, length: int = 3, least: int = 10
     return at, end - at, mixed
 
 
-def cut(text: str, removed: list[tuple[int, int]], length: int = 3, least: int = 10, alone: int = 40) -> tuple[str, int, int]:
+def cut(text: str, removed: list[tuple[int, int]], length: int = 3, least: int = 10, alone: int = 16) -> tuple[str, int, int]:
     """The text without the sentences of the runs ``(hash, first sentence)``, its
     sentences, and how many went."""
     bounds, words, hashes = sentences(text)
@@ -104,7 +114,7 @@ def cut(text: str, removed: list[tuple[int, int]], length: int = 3, least: int =
     return kept, len(bounds), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, length: int = 3, least: int = 10, alone: int = 40, id_col: str = "doc_id",
+def remove_repeats(docs: DataFrame, length: int = 3, least: int = 10, alone: int = 16, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_sentences, n_removed`` for every row."""
     common.prepare(docs.sparkSession)

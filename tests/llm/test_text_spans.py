@@ -52,6 +52,45 @@ def test_repeats_equal_brute_force(spark):
     assert substring.remove_repeats(docs_frame(spark, [])).count() == 0
 
 
+def sentence(seed, words):
+    return prose(seed, words).replace(".", "").lower().capitalize()
+
+
+@pytest.mark.parametrize(("lengths", "end"), [((14, 14, 14, 14), "."), ((18, 18, 18), "."), ((14, 14, 14, 14), ".\""), ((18, 18, 18), "!)"),
+                                              ((5, 20, 8, 20), "."), ((12, 9, 9, 9, 12), "?”")])
+def test_passages_planted_in_mid_sentence(spark, lengths, end):
+    """50 to 60 words; the first and last sentence are glued to their neighbours."""
+    said = [sentence(900 + i, n) for i, n in enumerate(lengths)]
+    rows = [(i, f"{prose(400 + i, 12)} {(end + ' ').join(said)} {prose(500 + i, 20)}") for i in range(4)]
+    by = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs_frame(spark, rows)).collect()}
+    assert by[0] == rows[0][1]
+    assert all(s not in by[i] for s in said[1:-1] for i in (1, 2, 3))
+    assert all(prose(400 + i, 8) in by[i] and prose(500 + i, 20)[-40:] in by[i] for i in range(4))
+
+
+def test_left_out_runs_change_nothing():
+    """The sentences of all repeated runs, and those of the hashed ones."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        kinds = rng.integers(0, 5, rng.integers(0, 40))
+        words = np.array([3, 6, 9, 17, 30])[kinds]
+        at, n, h = substring.runs(words, (kinds + 7).astype(np.uint64) ** np.uint64(9))
+        seen, gone = set(), set()
+        for a, k, x in sorted(zip(at.tolist(), n.tolist(), h.tolist(), strict=True)):
+            gone |= set(range(a, a + k)) if x in seen else set()
+            seen.add(x)
+        met, want = set(), set()
+        for a in range(len(kinds)):
+            three = next((k for k in range(3, len(kinds) - a + 1) if words[a:a + k].sum() >= 10), 0)
+            two = a + 2 <= len(kinds) and words[a:a + 2].sum() >= 10
+            for k in (k for k, on in ((1, words[a] >= 16), (2, two), (three, three)) if on):
+                run = tuple(kinds[a:a + k])
+                want |= set(range(a, a + k)) if run in met else set()
+                met.add(run)
+        assert gone == want
+
+
 CONV = "conv_id long, turn long, role string, text string, position long, rendered string"
 
 
