@@ -1,14 +1,17 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
-Each host's page of middling length is its pattern.  Every page's DOM tree is
-aligned with the pattern by simple tree matching; a pattern text whose block
-says the same in almost all differing pages is template, the rest are slots.  A page's text is then what lies in slots, without elements whose role
+Each host's page of middling length is its pattern, and so is that of each
+layout of a host with several: of the pages with the same structural elements,
+classes and ids.  Every page's DOM tree is aligned with its host's pattern and
+its layout's by simple tree matching; a pattern text whose block says the same
+in almost all differing pages that it stands for is template, the rest are slots.
+A page's text is then what no pattern has as template, without elements whose role
 (by tag, class or id) is not the article's; where a page has an ``article`` or
 ``main`` element, only what lies in it.
 
 Defined results: a null html is an empty page and has no text; pages without a
-host share one; a host with fewer than ``least_pages`` differing pages has no
-template; equal pages count once for the template; ``br`` is white space;
+host share one; a host or layout with fewer than ``least_pages`` differing pages has no
+template of its own; equal pages count once for the template; ``br`` is white space;
 headings in the article belong to it; repeated rows are returned once each;
 other columns are ignored.
 """
@@ -20,6 +23,7 @@ import zlib
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +52,7 @@ ROLES = re.compile(
 READERS = re.compile(r"(?:^|[\s_=-])(?:comments?|reply|replies)(?:$|[\s_-])", re.IGNORECASE)
 HEADER = re.compile(r"(?:^| )(?:class|id)=(?:[^=]*[\s_-])?header(?:$|[\s_-])", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
+SKELETON = r"""<(?:header|footer|nav|aside|main|article|section|form)\b|\s(?:class|id)=["']?[A-Za-z_ -]+"""  # for Spark's matcher
 
 
 class Node:
@@ -150,12 +155,50 @@ def alike(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.mark == b.mark
 
 
-def match(a: Node, b: Node, cells: int = 40_000) -> list[tuple[Node, Node]]:
+def long_match(x: list[Node], y: list[Node], size) -> tuple[float, list[tuple[Node, Node]]]:
+    """What the table of ``match`` gives for two child lists, with some of its
+    rows held: the others are computed again on the way back."""
+    kinds: dict = {}
+    code = lambda c: kinds.setdefault((c.tag, c.mark), len(kinds))
+    kind, shape, said = (np.array([f(c) for c in y], np.int64) for f in (code, lambda c: c.shape, lambda c: c.print))
+
+    def after(above, c):
+        weight = np.where(shape == c.shape, float(c.count), -np.inf)
+        for j in np.flatnonzero((kind == code(c)) & (shape != c.shape)).tolist():
+            weight[j] = size(c, y[j])
+        weight += 0.5 * (said == c.print)
+        return np.append(0.0, np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weight)))
+
+    step = max(1, int(len(x) ** 0.5))
+    row, held = np.zeros(len(y) + 1), []
+    for i, c in enumerate(x):
+        if i % step == 0:
+            held.append(row)
+        row = after(row, c)
+    total, picked, j = float(row[-1]), [], len(y)
+    for block in range(len(held) - 1, -1, -1):
+        rows = [held[block]]
+        for c in x[block * step:(block + 1) * step]:
+            rows.append(after(rows[-1], c))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                picked.append((x[block * step + i - 1], y[j - 1]))
+                i, j = i - 1, j - 1
+    return total, picked[::-1]
+
+
+def match(a: Node, b: Node, cells: int = 40_000, remember: int = 500_000) -> list[tuple[Node, Node]]:
     """Simple tree matching: pairs of a largest order-keeping match of two trees
     whose roots are alike.  Children are matched by dynamic programming over the
-    sizes of their own matches; where two child lists are so long that the table
-    would pass ``cells``, the likes are matched in order from the left."""
-    memo: dict[tuple[int, int], int] = {}
+    sizes of their own matches; where the table would pass ``cells`` by rows of
+    numbers, with the same result.  At most about ``remember`` matches are kept,
+    those that are asked for again are found again."""
+    memo: dict[tuple[int, int], float] = {}
     choice: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
 
     def size(a, b):
@@ -166,17 +209,13 @@ def match(a: Node, b: Node, cells: int = 40_000) -> list[tuple[Node, Node]]:
         key = (a.number, b.number)
         if key in memo:
             return memo[key]
+        if len(memo) > remember:
+            memo.clear()
+            choice.clear()
         x, y = a.below, b.below
         if len(x) * len(y) > cells:
-            picked, j = [], 0
-            for c in x:
-                k = j
-                while k < len(y) and k < j + 64 and not alike(c, y[k]):
-                    k += 1
-                if k < len(y) and k < j + 64:
-                    picked.append((c, y[k]))
-                    j = k + 1
-            memo[key], choice[key] = 1 + sum(size(c, d) for c, d in picked), picked
+            total, picked = long_match(x, y, size)
+            memo[key], choice[key] = 1 + total, picked
             return memo[key]
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(1, len(x) + 1):
@@ -207,7 +246,12 @@ def match(a: Node, b: Node, cells: int = 40_000) -> list[tuple[Node, Node]]:
     while stack:
         a, b = pair = stack.pop()
         out.append(pair)
-        stack.extend(zip(a.below, b.below, strict=True) if a.shape == b.shape else choice.get((a.number, b.number), ()))
+        if a.shape == b.shape:
+            stack.extend(zip(a.below, b.below, strict=True))
+        elif a.below and b.below:
+            if (a.number, b.number) not in choice:
+                size(a, b)
+            stack.extend(choice[a.number, b.number])
     return out
 
 
@@ -335,41 +379,65 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def layout_of(html: Column) -> Column:
+    """Names the structural elements, classes and ids (up to a digit) of a page."""
+    found = F.regexp_extract_all(html, F.lit(SKELETON), F.lit(0))
+    return F.xxhash64(F.array_sort(F.array_distinct(found)))
+
+
 def induce(pages: DataFrame, least_pages: int = 5, share: float = 0.9) -> DataFrame:
-    """``host, pattern, constant`` for every host that has any: its pattern page
-    and the numbers of the pattern's template texts.  Texts that an element's
-    role drops anyway are not looked at."""
-    sized = pages.select("host", F.length("html").alias("n"), F.xxhash64("html").alias("k")).where("n > 0").distinct()
-    middle = sized.groupBy("host").agg(F.percentile_approx("n", 0.5).alias("m"), F.count("*").alias("pages"))
-    middle = middle.where(F.col("pages") >= least_pages)
-    chosen = sized.join(middle, "host").groupBy("host").agg(
-        F.min(F.struct(F.abs(F.col("n") - F.col("m")), "k"))["k"].alias("k"))
-    pattern = pages.select("host", F.xxhash64("html").alias("k"), "html").join(chosen, ["host", "k"]).groupBy("host", "k").agg(
-        F.min("html").alias("pattern")).drop("k")
-    pattern = common.staged(pattern, "patterns")
+    """``host, layout, pattern, constant, own, own_constant`` for every host and
+    layout that has any: the pattern page of the host and the numbers of its
+    template texts, and those of the layout where it is not the whole host.
+    Texts that an element's role drops anyway are not looked at."""
+    sized = common.staged(pages.select("host", "layout", F.length("html").alias("n"), F.xxhash64("html").alias("k")).where("n > 0").distinct(), "sizes")
+
+    def chosen(*by):
+        # a table, so that the join is free to split a large host
+        middle = common.staged(sized.groupBy(*by).agg(F.percentile_approx("n", 0.5).alias("m"), F.count("*").alias("pages")).where(
+            F.col("pages") >= least_pages), "middles")
+        return common.staged(sized.join(middle, list(by)).groupBy(*by, "pages").agg(
+            F.min(F.struct(F.abs(F.col("n") - F.col("m")), "k"))["k"].alias("k")), "chosen")
+
+    whole = chosen("host")
+    parts = chosen("host", "layout").join(whole.select("host", F.col("pages").alias("all")), "host").where("pages < all")
+    both = whole.select("host", "k").union(parts.select("host", "k")).distinct()
+    page = common.staged(pages.select("host", F.xxhash64("html").alias("k"), "html").join(both, ["host", "k"]).groupBy("host", "k").agg(
+        F.min("html").alias("html")), "patterns")
+    pattern = whole.join(page, ["host", "k"]).select("host", F.col("html").alias("pattern"))
+    own = parts.join(page, ["host", "k"]).select("host", "layout", F.col("html").alias("own"))
+    pattern = common.staged(sized.select("host", "layout").distinct().join(pattern, "host").join(own, ["host", "layout"], "left"), "layouts")
 
     def align(batch: pa.RecordBatch):
-        found: dict[tuple[str, int], list[int]] = {}
-        for host, html, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "pattern")), strict=True):
-            watched = pattern_texts(model)
-            if watched:
-                for a, b in match(pattern_tree(model), tree(html)):
-                    if a.number in watched:
-                        n = found.setdefault((host, a.number), [0, 0])
-                        n[0] += 1
-                        n[1] += same_line(a, b)
-        rows = [(h, i, n, same) for (h, i), (n, same) in found.items()]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "met", "same"])
+        found: dict[tuple, list[int]] = {}
+        for host, layout, html, *models in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "pattern", "own")), strict=True):
+            root = None
+            for of, model in zip((None, layout), models, strict=True):
+                watched = pattern_texts(model) if model else ()
+                if watched:
+                    root = root or tree(html)
+                    for a, b in match(pattern_tree(model), root):
+                        if a.number in watched:
+                            n = found.setdefault((host, of, a.number), [0, 0])
+                            n[0] += 1
+                            n[1] += same_line(a, b)
+        rows = [(h, of, i, n, same) for (h, of, i), (n, same) in found.items()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "layout", "node", "met", "same"])
 
     # equal pages first, dealt by content; the join is then free to split a large host
-    differing = pages.select("host", "html").dropDuplicates(["html", "host"]).join(pattern, "host")
-    met = common.map_batches(differing.select("host", "html", "pattern"), align, "host string, node int, met long, same long")
-    fixed = met.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).where(
+    differing = pages.select("host", "layout", "html").dropDuplicates(["html", "host"]).join(pattern, ["host", "layout"])
+    met = common.map_batches(differing.select("host", "layout", "html", "pattern", "own"), align,
+                             "host string, layout long, node int, met long, same long")
+    fixed = met.groupBy("host", "layout", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).where(
         (F.col("met") >= least_pages) & (F.col("same") >= share * F.col("met")))
-    constant = fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))  # a pattern's nodes at most
-    return common.staged(pattern.join(constant, "host"), "templates")
+    constant = common.staged(fixed.groupBy("host", "layout").agg(
+        F.sort_array(F.collect_list("node")).alias("constant")), "constants")  # a pattern's nodes at most
+    all_over = constant.where("layout IS NULL").drop("layout")
+    here = constant.where("layout IS NOT NULL").withColumnRenamed("constant", "own_constant")
+    return common.staged(pattern.join(all_over, "host", "left").join(here, ["host", "layout"], "left").where(
+        "constant IS NOT NULL OR own_constant IS NOT NULL"), "templates")
 
 
 def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.9, id_col: str = "page_id",
@@ -378,15 +446,17 @@ def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.9, id_col
     common.prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = rows.withColumn("layout", layout_of(F.col("html")))
     templates = induce(rows, least_pages, share)
 
     def extract(batch: pa.RecordBatch):
         out = []
-        for html, pattern, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "pattern", "constant")), strict=True):
+        for html, pattern, constant, own, own_constant in zip(
+                *(batch.column(c).to_pylist() for c in ("html", "pattern", "constant", "own", "own_constant")), strict=True):
             root = tree(html)
-            out.append(text_of(root, template_of(root, pattern, constant)))
+            out.append(text_of(root, template_of(root, pattern, constant) | template_of(root, own, own_constant)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
             ["page_id", "url", "text", "n_chars"])
 
-    return common.map_batches(rows.join(templates, "host", "left"), extract, "page_id long, url string, text string, n_chars long")
+    return common.map_batches(rows.join(templates, ["host", "layout"], "left"), extract, "page_id long, url string, text string, n_chars long")

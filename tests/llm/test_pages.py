@@ -81,3 +81,38 @@ def test_simple_tree_matching_is_largest():
 def test_given_pages_give_their_articles(spark):
     got = wrappers.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert got and all(r["text"] and "<" not in r["text"][:50] for r in got)
+
+
+def test_long_lists_match_as_short_ones_do():
+    import random
+    rnd = random.Random(8)
+
+    def some(depth):
+        return "".join(rnd.choice([f"<p>{rnd.randint(0, 6)}</p>", f"<p class=a>{rnd.randint(0, 3)}<b>x</b></p>", f"t{rnd.randint(0, 3)}<br>",
+                                   f"<div>{some(depth - 1) if depth else 'e'}</div>"]) for _ in range(rnd.randint(0, 14)))
+
+    for _ in range(60):
+        a, b = wrappers.tree(some(3)), wrappers.tree(some(3))
+        pairs = [[(x.number, y.number) for x, y in wrappers.match(a, b, **how)] for how in ({}, {"cells": 0}, {"cells": 20, "remember": 3})]
+        assert pairs[0] == pairs[1] == pairs[2]
+
+
+def test_constant_ends_of_long_flat_pages_go(spark):
+    rows = [(i, f"http://flat.example/{i}", "<body>" + "".join(f"<p>{prose(1000 * i + k, 6)}</p>" for k in range(210 + 13 * i))
+             + "<p>Read more stories like this</p><p>All rights reserved here</p></body>") for i in range(8)]
+    got = texts(spark, rows)
+    assert all("Read more" not in got[i] and "reserved" not in got[i] and got[i].count("\n") == 209 + 13 * i for i in range(8))
+
+
+def test_every_layout_has_its_template(spark):
+    def other(i):
+        return (f"<html><body><div class=gallery><h1>Show {i}</h1><p>Look closer at the picture</p><p>Seen {prose(i, 9)}</p>"
+                f"<p>Order a print from our shop</p></div></body></html>")
+    rows = [(i, f"http://two.example/{i}", page(i, f"<p>Body {prose(i, 12)}")) for i in range(20)]
+    rows += [(100 + i, f"http://two.example/s{i}", other(i)) for i in range(8)]
+    rows += [(200 + i, None, page(i, f"<p>Body {prose(i, 12)}")) for i in range(7)] + [(300 + i, "no host", other(i)) for i in range(6)]
+    got = texts(spark, rows)
+    for start, n in ((100, 8), (300, 6)):
+        assert all(got[start + i] == f"Show {i}\nSeen {prose(i, 9)}" for i in range(n))
+    for start, n in ((0, 20), (200, 7)):
+        assert all(got[start + i] == f"Head {i}\nBody {prose(i, 12)}" for i in range(n))
