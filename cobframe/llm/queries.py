@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobframe.llm import (ann, chat, common, decontaminate, packing, secret_scan, simhash, substring, token_counts,
-                          toxicity, wrappers)
+from cobframe.llm import (ann, chat, common, decontaminate, exact_dedup, packing, secret_scan, simhash, substring,
+                          token_counts, toxicity, wrappers)
 
 PACKING_VOCABULARY = "word_bpe_49k.json"
 COUNTING_VOCABULARY = "byte_bpe_50k.json"
@@ -66,6 +66,10 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "share", "exact")
 
 
+def op13_bloom_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(common.table(spark, sf, "documents"))
+
+
 CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -89,12 +93,26 @@ FROM placed GROUP BY conv_id
 """
 
 
+EXACT_DEDUP_SQL = """
+WITH rows AS (
+  SELECT doc_id, row_number() OVER () AS place,
+         sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+), told AS (
+  SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place_in_group FROM rows
+  WINDOW w AS (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST, place)
+)
+SELECT doc_id, keep_id, group_size, place_in_group = 1 AS kept, text_sha256 FROM told
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {fn.__name__: fn for fn in (
         op1_hierarchical_kmeans_tree, op2_simhash_golay, op3_wrapper_induction, op4_factorization_machine,
         op5_first_fit_packing, op6_secret_network, op7_sentence_spans, op8_rank_synchronous_counts,
-        op9_prefix_target_chat, op10_template_decontamination)}
+        op9_prefix_target_chat, op10_template_decontamination, op13_bloom_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_prefix_target_chat": CHAT_SQL}
+    return {"op9_prefix_target_chat": CHAT_SQL, "op13_bloom_exact_dedup": EXACT_DEDUP_SQL}
