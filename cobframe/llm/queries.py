@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobframe.llm import (ann, chat, common, decontaminate, exact_dedup, packing, secret_scan, simhash, substring,
+from cobframe.llm import (ann, chat, collocations, common, decontaminate, exact_dedup, packing, secret_scan, simhash, substring,
                           token_counts, toxicity, wrappers)
 
 PACKING_VOCABULARY = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "share", "exact")
 
 
+def op12_phrase_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, sf, "documents"))
+
+
 def op13_bloom_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(common.table(spark, sf, "documents"))
 
@@ -93,6 +97,48 @@ FROM placed GROUP BY conv_id
 """
 
 
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), numbered AS (
+  SELECT lang, row_number() OVER () AS piece_no, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS words FROM pieces
+), placed AS (
+  SELECT lang, piece_no, unnest(words) AS w, generate_subscripts(words, 1) AS word_no FROM numbered
+), runs AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5
+  FROM placed WINDOW p AS (PARTITION BY piece_no ORDER BY word_no)
+), f AS (
+  SELECT lang, [w1] AS g, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2] AS g, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3] AS g, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4] AS g, count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5] AS g, count(*) FROM runs WHERE w5 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, count(*) AS n FROM placed GROUP BY lang
+), cuts AS (
+  SELECT lang, g, f AS a, unnest(range(1, len(g))) AS cut FROM f WHERE len(g) > 1
+), scores AS (
+  SELECT c.lang, c.g, c.a, c.cut, x.f AS l, y.f AS r, n, 1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.cut + 1:]
+  JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, g[i:j] AS g, max(f) AS longer
+  FROM (SELECT lang, g, f, i, unnest(range(i + 1, len(g) + 1)) AS j
+        FROM (SELECT lang, g, f, unnest(range(1, len(g))) AS i FROM f WHERE len(g) > 2))
+  WHERE j - i + 1 < len(g) GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, array_to_string(s.g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.g, ' ')) AS rank
+  FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.g = s.g WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
 EXACT_DEDUP_SQL = """
 WITH rows AS (
   SELECT doc_id, row_number() OVER () AS place,
@@ -111,8 +157,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {fn.__name__: fn for fn in (
         op1_hierarchical_kmeans_tree, op2_simhash_golay, op3_wrapper_induction, op4_factorization_machine,
         op5_first_fit_packing, op6_secret_network, op7_sentence_spans, op8_rank_synchronous_counts,
-        op9_prefix_target_chat, op10_template_decontamination, op13_bloom_exact_dedup)}
+        op9_prefix_target_chat, op10_template_decontamination, op12_phrase_graph, op13_bloom_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_prefix_target_chat": CHAT_SQL, "op13_bloom_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op9_prefix_target_chat": CHAT_SQL, "op12_phrase_graph": COLLOCATION_SQL,
+            "op13_bloom_exact_dedup": EXACT_DEDUP_SQL}
