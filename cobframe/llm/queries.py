@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobframe.llm import (ann, chat, collocations, common, decontaminate, exact_dedup, packing, secret_scan, simhash, substring,
-                          token_counts, toxicity, wrappers)
+from cobframe.llm import (ann, chat, collocations, common, decontaminate, exact_dedup, packing, secret_scan, simhash,
+                          substring, token_alignment, token_counts, toxicity, wrappers)
 
 PACKING_VOCABULARY = "word_bpe_49k.json"
 COUNTING_VOCABULARY = "byte_bpe_50k.json"
+ALIGNED_VOCABULARIES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -66,6 +67,10 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "share", "exact")
 
 
+def op11_fragment_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.alignments(common.table(spark, sf, "documents"), *map(vocabulary, ALIGNED_VOCABULARIES))
+
+
 def op12_phrase_graph(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(common.table(spark, sf, "documents"))
 
@@ -157,7 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {fn.__name__: fn for fn in (
         op1_hierarchical_kmeans_tree, op2_simhash_golay, op3_wrapper_induction, op4_factorization_machine,
         op5_first_fit_packing, op6_secret_network, op7_sentence_spans, op8_rank_synchronous_counts,
-        op9_prefix_target_chat, op10_template_decontamination, op12_phrase_graph, op13_bloom_exact_dedup)}
+        op9_prefix_target_chat, op10_template_decontamination, op11_fragment_alignment, op12_phrase_graph, op13_bloom_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
