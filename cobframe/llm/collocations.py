@@ -9,12 +9,12 @@ shorter: those are the piece-end corrections.
    Each gives a Bloom filter of bounded size.  No phrase of ``least``
    occurrences holds a rarer word or pair, so pieces are cut there; a false
    positive of a filter cuts less and changes no count.
-2. *Edges* of what is left are summed with map-side combine, in the tasks and
-   again before the shuffle; so one passage or pair that fills the corpus is one
-   row a task.
+2. *Edges* of what is left are summed in the tasks, so that a passage or pair
+   that fills the corpus is one entry a task, and dealt to buckets as packed
+   arrays by their first two words (pairs that fill it, by all words).
 3. *Node flow*: a sequence of k words is followed by a word or ends its piece,
-   so its count is the weight of the edges and flows of k + 1 words that begin
-   with it plus the corrections of exactly k words.
+   so its count is the weight of the longer edges that begin with it plus the
+   corrections of exactly k words.
 4. *Unary paths*: a node whose whole flow leaves along one edge, or comes along
    one, is an inner part of that longer sequence and is folded into it; path
    ends and branches stay as phrases.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +43,11 @@ from cobframe.llm import common
 from cobframe.llm.token_counts import Codes
 
 LONGEST = 5
+BUSY = 500                   # a pair with more than one in so many places is spread out
+BUCKET_WORDS = 8_000_000     # words of the corpus to a bucket of edges, at most
 MOST_LANGUAGES = 100_000     # totals of so many languages may go to every task
 BREAK = b"\xff"              # stands for the end of a piece; no byte of UTF-8
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-GRAM = [f"g{k}" for k in range(1, LONGEST + 1)]
 
 
 def byte_table() -> bytes:
@@ -191,18 +193,28 @@ def frequent_words(known: Words, words) -> np.ndarray:
     return out
 
 
-def edges(texts: DataFrame, words, pairs) -> DataFrame:
-    """``lang, g1 .. g5, w``: the longest sequence that begins at each place,
-    up to ``LONGEST`` words, and how often it does (0: no word)."""
+def edges(texts: DataFrame, words, pairs, busy: list[int], buckets: int) -> DataFrame:
+    """The longest sequence that begins at each place, up to ``LONGEST`` words,
+    and how often it does: ``bucket, lang, grams, weights``, the sequences of a
+    unit that go to one bucket packed into arrays (hash 0: no word).
+
+    Sequences are dealt by their first two words, so that all that flows through
+    a node of two words or more meets in one bucket; those that begin with one of
+    the ``busy`` pairs are dealt by all their words."""
+    hot = np.array(busy, np.int64).view(np.uint64)
+
     def run(batches):
-        for lang, codes, known in units(batches):
+        for lang, codes, known in units(batches, hold=8_000_000):
             at, a, b, which = frequent_pairs(codes, known, frequent_words(known, words))
             if not len(at):
                 continue
-            joined = pairs.value.has(pair_hash(lang, known.hashes[a], known.hashes[b]))[which]
+            lead = pair_hash(lang, known.hashes[a], known.hashes[b])
+            joined = pairs.value.has(lead)[which]
             link = np.zeros(len(codes) + LONGEST, bool)
             link[at] = joined
-            at = at[joined]
+            at, which = at[joined], which[joined]
+            if not len(at):
+                continue
             grams = [codes[at]]
             on = np.ones(len(at), bool)
             for k in range(1, LONGEST):
@@ -215,31 +227,59 @@ def edges(texts: DataFrame, words, pairs) -> DataFrame:
             _, first, n = np.unique(number, return_index=True, return_counts=True)
             named = known.hashes.copy()
             named[0] = 0
+            rows = np.stack([named[g[first]] for g in grams], axis=1)
+            deal = lead[which[first]]
+            spread = np.isin(deal, hot)
+            for g in grams[2:]:
+                deal[spread] = pair_hash(lang, deal[spread], named[g[first]][spread])
+            bucket = (deal % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, n, bucket = rows[order], n[order].astype(np.int64), bucket[order]
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+            spans = list(zip(begin, [*begin[1:], len(bucket)], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), *(signed(named[g[first]]) for g in grams), pa.array(n, pa.int64())],
-                ["lang", *GRAM, "w"])
-    schema = "lang string, " + ", ".join(f"{g} long" for g in GRAM) + ", w long"
-    return texts.mapInArrow(run, schema).groupBy("lang", *GRAM).agg(F.sum("w").alias("w"))
+                [pa.array(bucket[begin]), pa.array([lang] * len(begin), pa.string()),
+                 pa.array([rows[i:j].tobytes() for i, j in spans], pa.binary()),
+                 pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())], ["bucket", "lang", "grams", "weights"])
+    return texts.mapInArrow(run, "bucket long, lang string, grams binary, weights binary")
+
+
+def node_flows(rows: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of ``k`` words and what flows through them: all sorted sequences
+    that go on beyond them or end there."""
+    through = rows[:, k - 1] != 0
+    nodes, weights = rows[through, :k], weights[through]
+    first = np.flatnonzero(np.append(True, (nodes[1:] != nodes[:-1]).any(axis=1))[:len(nodes)])
+    return nodes[first], np.add.reduceat(weights, first) if len(first) else weights[:0]
 
 
-def flows(graph: DataFrame, least: int) -> DataFrame:
+def flows(packed: DataFrame, least: int, busy: list[int]) -> DataFrame:
     """``lang, k, g, f``: sequences of 2 to ``LONGEST`` words with ``f >= least``,
-    ``g`` the words' hashes.  Level by level: what begins with a sequence and
-    goes on, plus what ends with it."""
-    level, out = graph, []
-    for k in range(LONGEST, 1, -1):
-        here = level.where(F.col(f"g{k}") != 0)
-        if k < LONGEST:
-            here = common.staged(here.groupBy("lang", *GRAM[:k]).agg(F.sum("w").alias("w")), f"flow{k}")
-        out.append(here.where(F.col("w") >= least)
-                   .select("lang", F.lit(k).alias("k"), F.array(*GRAM[:k]).alias("g"), F.col("w").alias("f")))
-        if k > 2:
-            ends = graph.where((F.col(f"g{k}") == 0) & (F.col(f"g{k - 1}") != 0)).select("lang", *GRAM[:k - 1], "w")
-            level = here.select("lang", *GRAM[:k - 1], "w").unionByName(ends)
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+    ``g`` the words' hashes."""
+    hot = np.array(busy, np.int64).view(np.uint64)
+
+    def reduce(table: pa.Table) -> pa.Table:
+        out = []
+        for lang in table.column("lang").unique().to_pylist():
+            own = table.filter(pc.equal(table.column("lang"), lang))
+            rows = np.frombuffer(b"".join(own.column("grams").to_pylist()), np.uint64).reshape(-1, LONGEST)
+            weights = np.frombuffer(b"".join(own.column("weights").to_pylist()), np.int64)
+            order = np.lexsort(rows.T[::-1])
+            rows, weights = rows[order], weights[order]
+            for k in range(LONGEST, 1, -1):
+                nodes, f = node_flows(rows, weights, k)
+                # only a part of what begins with a busy pair is in this bucket
+                keep = (f >= least) | np.isin(pair_hash(lang, nodes[:, 0], nodes[:, 1]), hot)
+                nodes, f = nodes[keep], f[keep]
+                ends = np.arange(0, k * (len(f) + 1), k, dtype=np.int32)
+                out.append(pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(f), pa.string()), pa.array([k] * len(f), pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(nodes).view(np.int64).ravel())),
+                     pa.array(f)], ["lang", "k", "g", "f"]))
+        return pa.Table.from_batches(out)
+
+    found = packed.groupBy("bucket").applyInArrow(reduce, "lang string, k int, g array<long>, f long")
+    return found.groupBy("lang", "k", "g").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def path_ends(grams: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -292,9 +332,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if totals.count() <= MOST_LANGUAGES:
         totals = F.broadcast(totals)
     frequent = bit_filter(single, "h", filter_bits)
-    joined = bit_filter(common.staged(pair_counts(texts, frequent).where(F.col("f") >= least), "pairs"), "pair", filter_bits)
-    graph = common.staged(edges(texts, frequent, joined), "edges")
-    grams = common.staged(flows(graph, least), "grams")
+    pairs = common.staged(pair_counts(texts, frequent).where(F.col("f") >= least), "pairs")
+    joined = bit_filter(pairs, "pair", filter_bits)
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    # fewer than BUSY pairs have more than one in BUSY places
+    busy = [r["pair"] for r in pairs.where(F.col("f") * BUSY > n).select("pair").collect()]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_WORDS)
+    grams = common.staged(flows(edges(texts, frequent, joined, busy, buckets), least, busy), "grams")
     rows = common.staged(path_ends(grams, scored(grams, single, totals)), "phrases")
     best = [F.col("score").desc(), F.col("a").desc()]
     # the last place's ties are kept until their words are known

@@ -73,6 +73,12 @@ def test_full_filters_change_nothing(spark):
         collocations.collocations(frame, filter_bits=100)
 
 
+def test_busy_pairs_are_spread_out(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BUSY", 40)
+    rows = corpus(5, vocabulary=4)
+    assert result(spark.createDataFrame(rows, SCHEMA), least=3, top=500) == plain(rows, 3, 500)
+
+
 def test_units_in_small_steps(spark, monkeypatch):
     """Words met again after the memory was emptied have the same names."""
     plain_units = collocations.units
