@@ -84,7 +84,7 @@ class Words:
         return out
 
 
-def units(batches: Iterator[pa.RecordBatch], hold: int = 3_000_000,
+def units(batches: Iterator[pa.RecordBatch], hold: int = 2_000_000,
           remember: int = 400_000) -> Iterator[tuple[str, np.ndarray, Words]]:
     """A task's texts as word codes, by language, in units of about ``hold``
     words.  The codes of a unit end in a break and belong to the ``Words`` beside."""
@@ -204,7 +204,7 @@ def edges(texts: DataFrame, words, pairs, busy: list[int], buckets: int) -> Data
     hot = np.array(busy, np.int64).view(np.uint64)
 
     def run(batches):
-        for lang, codes, known in units(batches, hold=8_000_000):
+        for lang, codes, known in units(batches):
             at, a, b, which = frequent_pairs(codes, known, frequent_words(known, words))
             if not len(at):
                 continue
