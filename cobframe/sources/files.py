@@ -40,3 +40,19 @@ def paths_match(spark: SparkSession, pattern: str) -> bool:
     fs, p = file_system(spark, pattern)
     found = fs.globStatus(p)
     return found is not None and len(found) > 0
+
+
+def folder_files(spark: SparkSession, root: str, folders: list[str]) -> set[str]:
+    """``folder/name`` of every file that lies directly in the given folders of ``root``."""
+    base, out = root.rstrip("/"), set()
+    for folder in folders:
+        fs, p = file_system(spark, f"{base}/{folder}")
+        if fs.exists(p):
+            out |= {f"{folder}/{st.getPath().getName()}" for st in fs.listStatus(p) if st.isFile()}
+    return out
+
+
+def delete_tree(spark: SparkSession, path: str) -> None:
+    """Remove a work folder and what is in it."""
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)

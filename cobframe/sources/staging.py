@@ -87,21 +87,32 @@ LANDING = {
 ARRIVAL = ["_file", "_block", "_row"]
 
 
+# The text of a row whose number of fields is not the table's, else NULL.
+MALFORMED = "_malformed"
+
+
 def read_landing(spark: SparkSession, root: str, table: str,
-                 folders: list[str] | None = None) -> DataFrame:
-    """Text columns of one kind of landing file with each row's place.
+                 folders: list[str] | None = None, present: set[str] | None = None) -> DataFrame:
+    """Text columns of one kind of landing file with each row's place, and the
+    whole text of a row that has too few or too many fields (a reader that pads
+    and cuts would give it a missing or a shifted value).
 
-    ``folders``: only these ``{date}/{cp}/{ns}`` folders below ``root``."""
+    ``folders``: only these ``{date}/{cp}/{ns}`` folders below ``root``;
+    ``present``: their files (``folder/name``), where they are known already."""
     file_name, columns = LANDING[table][:2]
     base = root.rstrip("/")
-    paths = [f"{base}/{f}/{file_name}" for f in folders] if folders is not None else [f"{base}/*/*/*/{file_name}"]
-    paths = [p for p in paths if paths_match(spark, p)]
-    schema = landing_csv_schema(columns)
+    if folders is not None and present is not None:
+        paths = [f"{base}/{f}/{file_name}" for f in folders if f"{f}/{file_name}" in present]
+    else:
+        paths = [f"{base}/{f}/{file_name}" for f in folders] if folders is not None else [f"{base}/*/*/*/{file_name}"]
+        paths = [p for p in paths if paths_match(spark, p)]
     if not paths:
-        empty = ", ".join([f"{c} string" for c in columns] + ["_file string", "_block long", "_row long"])
+        empty = ", ".join([f"{c} string" for c in [*columns, MALFORMED]] + ["_file string", "_block long", "_row long"])
         return spark.createDataFrame([], empty)
-    return (spark.read.schema(schema).option("header", True).option("escape", '"').csv(paths)
-            .select(*columns, F.col("_metadata.file_path").alias("_file"),
+    return (spark.read.schema(landing_csv_schema([*columns, MALFORMED])).option("header", True).option("escape", '"')
+            # whole rows are parsed whatever is selected: fields are counted only then
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False).csv(paths)
+            .select(*columns, MALFORMED, F.col("_metadata.file_path").alias("_file"),
                     F.col("_metadata.file_block_start").alias("_block"),
                     F.monotonically_increasing_id().alias("_row")))
 
@@ -135,23 +146,35 @@ def column_is_empty(text: Column) -> Column:
     return F.coalesce(text == "", F.lit(True))
 
 
+def _folder_part(at: int) -> Column:
+    """Date, counterparty or netting set of the folder a file lies in."""
+    return F.nullif(F.regexp_extract("_file", r"([^/]+)/([^/]+)/([^/]+)/[^/]+$", at), F.lit(""))
+
+
 def type_landing(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """Typed rows, and the rows that cannot be typed: key columns as text,
-    ``reject_reason`` (UNPARSEABLE or MISSING_FIELD), ``detail`` (the column
-    and its text).  Only a value that is absent is NULL in a typed row."""
+    ``reject_reason`` (MALFORMED, UNPARSEABLE or MISSING_FIELD), ``detail`` (the
+    whole text of a malformed row, else the column and its text).  The fields of
+    a malformed row may be shifted, so its key is that of its folder.  Only a
+    value that is absent is NULL in a typed row."""
     _, columns, _, required, typed = LANDING[table]
+    if MALFORMED not in raw.columns:
+        raw = raw.withColumn(MALFORMED, F.lit(None).cast("string"))
+    # each text is matched and cast once; the rest reads the values
+    parsed = raw.withColumn("_value", F.struct(*[_parsed(c, typed[c]).alias(c) for c in columns if c in typed]))
     problem = F.lit(None).cast("string")
     for c in reversed(columns):
         if c in typed:
-            bad = _present(c) & _parsed(c, typed[c]).isNull()
+            bad = _present(c) & F.col(f"_value.{c}").isNull()
             problem = F.when(bad, F.concat(F.lit(f"UNPARSEABLE|{c}="), F.col(c))).otherwise(problem)
     for c in reversed(required):
         problem = F.when(~_present(c), F.lit(f"MISSING_FIELD|{c}")).otherwise(problem)
-    marked = raw.withColumn("_problem", problem)
+    malformed = F.col(MALFORMED).isNotNull()
+    marked = parsed.withColumn("_problem", F.when(malformed, F.concat(F.lit("MALFORMED|"), MALFORMED)).otherwise(problem))
 
     def value(c):
         if c in typed:
-            return _parsed(c, typed[c]).alias(c)
+            return F.col(f"_value.{c}").alias(c)
         return (parse_collateral(c) if c == "eligible_collateral" else F.col(c)).alias(c)
 
     good = marked.where(F.col("_problem").isNull()).select(*[value(c) for c in columns], *ARRIVAL)
@@ -159,8 +182,8 @@ def type_landing(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
         good = good.withColumns({"independent_amount": F.lit(0.0), "rounding_amount": F.lit(0.0)})
     if table != "staging_market_data":
         good = good.withColumn("extra", F.lit("{}"))
-    keys = [(F.col(c) if c in columns else F.lit(None).cast("string")).alias(c)
-            for c in ("counterparty_id", "netting_set_id", "cob_date")]
+    keys = [F.when(malformed, _folder_part(at)).otherwise(F.col(c) if c in columns else F.lit(None).cast("string")).alias(c)
+            for c, at in (("counterparty_id", 2), ("netting_set_id", 3), ("cob_date", 1))]
     rejects = marked.where(F.col("_problem").isNotNull()).select(
         F.lit(table).alias("table_name"), *keys,
         F.substring_index("_problem", "|", 1).alias("reject_reason"),
@@ -179,19 +202,19 @@ def _first_per_key(df: DataFrame, key: list[str], existing: DataFrame | None) ->
 def load_landing_csv(spark: SparkSession, root: str, existing_agreements: DataFrame | None = None,
                      existing_trades: DataFrame | None = None,
                      existing_market: DataFrame | None = None,
-                     folders: list[str] | None = None) -> dict[str, DataFrame]:
+                     folders: list[str] | None = None, present: set[str] | None = None) -> dict[str, DataFrame]:
     """Read ``{root}/{date}/{cp}/{ns}/{agreement,trades,market_data}.csv``.
 
     Returns the rows to append to each staging table (typed, keys already in
     the staging tables skipped, first row per primary key kept) and, as
-    ``landing_rejects``, every row with a missing key or a value that does
-    not parse.
+    ``landing_rejects``, every row of a wrong number of fields, with a missing
+    key or with a value that does not parse.
     """
     existing = {"staging_agreements": existing_agreements, "staging_trades": existing_trades,
                 "staging_market_data": existing_market}
     out, rejected = {}, None
     for table, (_, _, key, _, _) in LANDING.items():
-        good, bad = type_landing(read_landing(spark, root, table, folders), table)
+        good, bad = type_landing(read_landing(spark, root, table, folders, present), table)
         first = _first_per_key(good, key, existing[table])
         out[table] = first.drop(*ARRIVAL).withColumn("ingested_at", F.current_timestamp())
         rejected = bad if rejected is None else rejected.unionByName(bad)

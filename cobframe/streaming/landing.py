@@ -16,6 +16,7 @@ batch to the store, whatever checkpoint it runs under.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cobframe.operators.ingest import ingest_batch
 from cobframe.operators.store import append_snapshots
-from cobframe.sources.files import paths_match
+from cobframe.plans.domain import work_stage
+from cobframe.session import ensure_checkpoint_dir
+from cobframe.sources.files import delete_tree, folder_files
 from cobframe.sources.staging import (load_landing_csv, read_staging_agreements,
                                       read_staging_market_data, read_staging_trades)
 from cobframe.sources.stores import read_matrix_manifest, read_snapshots
@@ -42,15 +45,16 @@ def landing_stream(spark: SparkSession, landing_root: str, max_folders: int = 10
                           "modificationTime")
 
 
-def matrix_inputs(spark: SparkSession, landing_root: str, folders: list[str]):
+def matrix_inputs(spark: SparkSession, landing_root: str, folders: list[str], present: set[str] | None = None):
     """The matrix files that have arrived in ready folders (named by their
     store path ``matrices/{date}/{cp}/{ns}/{file}``) and the senders' lists."""
     base = landing_root.rstrip("/")
-    lists = [p for p in (f"{base}/{f}/matrices.csv" for f in folders) if paths_match(spark, p)]
+    present = folder_files(spark, landing_root, folders) if present is None else present
+    lists = [f"{base}/{f}/matrices.csv" for f in folders if f"{f}/matrices.csv" in present]
     if not lists:
         return None, None
     manifest = read_matrix_manifest(spark, lists)
-    files = [p for p in (f"{base}/{f}/*.npy" for f in folders) if paths_match(spark, p)]
+    files = [f"{base}/{p}" for p in sorted(present) if p.endswith(".npy")]
     if files:
         found = spark.read.format("binaryFile").load(files)
     else:
@@ -68,18 +72,27 @@ def ingest_micro_batch(spark: SparkSession, landing_root: str, store_root: str):
             return
         name = hashlib.sha1("\n".join(map("|".join, ready)).encode()).hexdigest()
         folders = sorted({f for f, _ in ready})
-        staged = load_landing_csv(spark, landing_root, folders=folders)
-        files, manifest = matrix_inputs(spark, landing_root, folders)
-        result = ingest_batch(read_staging_agreements(staged["staging_agreements"]),
+        present = folder_files(spark, landing_root, folders)
+        staged = load_landing_csv(spark, landing_root, folders=folders, present=present)
+        files, manifest = matrix_inputs(spark, landing_root, folders, present)
+        # the written intermediates let snapshots, trades and rejects share one reading of the files
+        work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobframe-landing-{uuid.uuid4().hex}"
+        stage = work_stage(spark, work)
+        agreements = stage("staged", staged["staging_agreements"])
+        bounds = agreements.agg(F.min("cob_date").alias("low"), F.max("cob_date").alias("high")).first()
+        result = ingest_batch(read_staging_agreements(agreements),
                               read_staging_trades(staged["staging_trades"]),
                               read_staging_market_data(staged["staging_market_data"]),
                               matrix_files=files, manifest=manifest,
-                              existing_keys=read_snapshots(spark, store_root))
+                              # only the months of the batch's dates are read
+                              existing_keys=read_snapshots(spark, store_root, bounds["low"], bounds["high"])
+                              if bounds["low"] else None, stage=stage)
         unread = staged["landing_rejects"].select(
             "counterparty_id", "netting_set_id", F.col("cob_date").try_cast("date").alias("cob_date"),
             "reject_reason", F.concat_ws(" ", "table_name", "detail").alias("detail"))
         result = result._replace(rejects=result.rejects.unionByName(unread))
         append_snapshots(result, store_root, batch_id=f"stream-{name}")
+        delete_tree(spark, work)
     return run
 
 

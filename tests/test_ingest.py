@@ -282,6 +282,34 @@ def test_landing_rejects_what_does_not_parse(spark):
     assert [m.value for m in out["staging_market_data"].collect()] == [float("inf")]  # V2's to reject
 
 
+def test_landing_rejects_rows_of_a_wrong_shape(spark):
+    """Short, long and shifted rows of real files, with their whole text."""
+    root = tempfile.mkdtemp(prefix="landing-")
+    land(root, "A", "ACME,A,2023-11-06,I,1,1,USD,,\nACME,A,2023-11-06,J,1\n",
+         "ACME,A,2023-11-06,T-1,IRS\n"                                        # five of nine fields
+         "ACME,A,2023-11-06,T-2,IRS,1,USD,PAY,,x,y\n"                          # two too many
+         "ACME,A,2023-11-06,T-3,Swap, fixed,100,USD,PAY,\n"                    # an unquoted comma
+         'ACME,A,2023-11-06,T-4,"Swap, fixed",100,USD,PAY,2025-01-01\n'
+         "ACME,A,2023-11-06,T-5,IRS,,USD,PAY,\n",
+         "2023-11-06,fx_rate,P\n2023-11-06,fx_rate,Q,1.5,7\n2023-11-06,fx_rate,R,2\n")
+    out = load_landing_csv(spark, root)
+    got = sorted((r.table_name, r.counterparty_id, r.netting_set_id, r.cob_date, r.reject_reason, r.detail)
+                 for r in out["landing_rejects"].collect())
+    folder = ("ACME", "A", "2023-11-06", "MALFORMED")
+    assert got == [("staging_agreements", *folder, "ACME,A,2023-11-06,J,1"),
+                   ("staging_market_data", *folder, "2023-11-06,fx_rate,P"), ("staging_market_data", *folder, "2023-11-06,fx_rate,Q,1.5,7"),
+                   ("staging_trades", *folder, "ACME,A,2023-11-06,T-1,IRS"),
+                   ("staging_trades", *folder, "ACME,A,2023-11-06,T-2,IRS,1,USD,PAY,,x,y"),
+                   ("staging_trades", *folder, "ACME,A,2023-11-06,T-3,Swap, fixed,100,USD,PAY,")]
+    assert [a.agreement_id for a in out["staging_agreements"].collect()] == ["I"]
+    trades = sorted((t.trade_id, t.product_type, t.notional, t.currency) for t in out["staging_trades"].collect())
+    assert trades == [("T-4", "Swap, fixed", 100.0, "USD"), ("T-5", "IRS", None, "USD")]
+    assert [(m.key, m.value) for m in out["staging_market_data"].collect()] == [("R", 2.0)]
+    # a narrow read of the typed rows parses whole rows all the same
+    assert out["staging_market_data"].select("key").collect() == [("R",)]
+    assert out["landing_rejects"].where("reject_reason = 'MALFORMED'").count() == 6
+
+
 def test_landing_numbers_keep_their_size(spark):
     root = tempfile.mkdtemp(prefix="landing-")
     land(root, "A", "ACME,A,2023-11-06,I,0.00000000004,1e29,USD,,\n", "ACME,A,2023-11-06,T,IRS,4e-11,USD,PAY,\n")
