@@ -1,13 +1,13 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
-Each host's page of middling length is its pattern, and so is that of each
-layout of a host with several: of the pages with the same structural elements,
-classes and ids.  Every page's DOM tree is aligned with its host's pattern and
-its layout's by simple tree matching; a pattern text whose block says the same
-in almost all differing pages that it stands for is template, the rest are slots.
-A page's text is then what no pattern has as template, without elements whose role
-(by tag, class or id) is not the article's; where a page has an ``article`` or
-``main`` element, only what lies in it.
+The pages of a host with the same structural elements, classes and ids are a
+layout, and its page of middling length is their pattern (small layouts share the
+largest one's).  Every page's DOM tree is aligned with its pattern by simple tree
+matching; a pattern text whose block says the same in almost all differing pages
+that it stands for is template, the rest are slots.  A page's text is then what
+is not template, without elements whose role (by tag, class or id) is not the
+article's; where ``article`` or ``main`` elements hold half of what is left or
+more, only what lies in them.
 
 Defined results: a null html is an empty page and has no text; pages without a
 host share one; a host or layout with fewer than ``least_pages`` differing pages has no
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from cobframe.llm import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
-                   r"|<([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.DOTALL)
+                   # a value in quotes follows a "="; any other quote is a character like others, and nothing is tried twice
+                   r"|<([a-zA-Z][^\s/>]*)((?>[^<>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>?", re.DOTALL)
 MARK = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes".split())
@@ -44,11 +45,17 @@ CLOSES = {  # an opening tag ends these open elements
 SCOPE = frozenset("ul ol dl table html body article section div main aside nav td th".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form iframe svg canvas object button select textarea "
                     "input dialog menu audio video map math".split())
+# Words that name a role when they are a whole class, id or role.
 ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|masthead|footer|"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|masthead|footer|"
     r"comments?|reply|replies|disqus|notice|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|"
-    r"complementary|contentinfo|navigation|skip)(?:$|[\s_-])", re.IGNORECASE)
+    r"complementary|contentinfo|navigation|skip)", re.IGNORECASE)
+# Of these, the ones that name it also as a part of a longer name; the others do
+# (side-by-side, social-history, related-work) only where the element holds no prose.
+CLEAR = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|nav\w*|breadcrumbs?|masthead|footer|comments?|disqus|cookies?|"
+                   r"consent|gdpr|popup|newsletter|signup|pagination|pager|copyright)", re.IGNORECASE)
+PARTS = re.compile(r"[_-]+")
 READERS = re.compile(r"(?:^|[\s_=-])(?:comments?|reply|replies)(?:$|[\s_-])", re.IGNORECASE)
 HEADER = re.compile(r"(?:^| )(?:class|id)=(?:[^=]*[\s_-])?header(?:$|[\s_-])", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
@@ -298,8 +305,30 @@ def dropped(node: Node) -> bool:
         return True
     if node.tag == "article":
         return bool(READERS.search(node.mark))
-    return node.tag not in ("html", "body", "main") and any(
-        ROLES.search(m.split("=", 1)[1]) for m in re.split(r" (?=(?:class|id|role)=)", node.mark) if m.startswith(("class=", "id=", "role=")))
+    if node.tag in ("html", "body", "main"):
+        return False
+    names = [w for m in re.split(r" (?=(?:class|id|role)=)", node.mark) if m.startswith(("class=", "id=", "role="))
+             for w in m.split("=", 1)[1].split()]
+    if any(ROLES.fullmatch(w) for w in names):
+        return True
+    parts = {p for w in names for p in PARTS.split(w)}
+    if any(CLEAR.fullmatch(p) for p in parts):
+        return True
+    return any(ROLES.fullmatch(p) for p in parts) and not prose(node)
+
+
+def prose(node: Node) -> bool:
+    """Whether a heading or a paragraph below holds words outside links."""
+    stack = [(node, False)]
+    while stack:
+        n, held = stack.pop()
+        if n.tag is None:
+            if held and not n.text.isspace():
+                return True
+        elif n.tag != "a":
+            held = held or n.tag in ("p", "h1", "h2", "h3")
+            stack.extend((c, held) for c in n.below)
+    return False
 
 
 def titled(node: Node) -> bool:
@@ -308,15 +337,22 @@ def titled(node: Node) -> bool:
 
 
 def mains(root: Node) -> list[Node]:
-    """The outermost article or main elements outside dropped ones; the root without any."""
-    found, stack = [], [root]
+    """The outermost article or main elements outside dropped ones; the root
+    without any, or if more than half of the text lies outside them."""
+    found, inside, outside, stack = [], 0, 0, [(root, False)]
     while stack:
-        n = stack.pop()
-        if n.tag in ("article", "main") and not dropped(n) or n.mark and re.search(r"(?:^| )role=(?:main|article)(?: |$)", n.mark):
-            found.append(n)
+        n, held = stack.pop()
+        if n.tag is None:
+            size = 0 if n.text.isspace() else len(n.text)
+            inside, outside = inside + size * held, outside + size * (not held)
             continue
-        stack.extend(c for c in reversed(n.below) if c.tag and not dropped(c))
-    return found or [root]
+        if n is not root and dropped(n):
+            continue
+        if not held and (n.tag in ("article", "main") or n.mark and re.search(r"(?:^| )role=(?:main|article)(?: |$)", n.mark)):
+            found.append(n)
+            held = True
+        stack.extend((c, held) for c in reversed(n.below))
+    return found if found and inside >= outside else [root]
 
 
 def text_of(root: Node, template: set[int]) -> str:
@@ -386,10 +422,12 @@ def layout_of(html: Column) -> Column:
 
 
 def induce(pages: DataFrame, least_pages: int = 5, share: float = 0.9) -> DataFrame:
-    """``host, layout, pattern, constant, own, own_constant`` for every host and
-    layout that has any: the pattern page of the host and the numbers of its
-    template texts, and those of the layout where it is not the whole host.
-    Texts that an element's role drops anyway are not looked at."""
+    """``host, layout, pattern, constant``: the pattern page of every layout of
+    a host, and the numbers of its template texts, where it has any.
+
+    A layout of ``least_pages`` pages has its own page of middling length as
+    pattern; a smaller one uses that of the host's largest layout, and where no
+    layout is large enough, the host's page of middling length."""
     sized = common.staged(pages.select("host", "layout", F.length("html").alias("n"), F.xxhash64("html").alias("k")).where("n > 0").distinct(), "sizes")
 
     def chosen(*by):
@@ -399,45 +437,40 @@ def induce(pages: DataFrame, least_pages: int = 5, share: float = 0.9) -> DataFr
         return common.staged(sized.join(middle, list(by)).groupBy(*by, "pages").agg(
             F.min(F.struct(F.abs(F.col("n") - F.col("m")), "k"))["k"].alias("k")), "chosen")
 
-    whole = chosen("host")
-    parts = chosen("host", "layout").join(whole.select("host", F.col("pages").alias("all")), "host").where("pages < all")
-    both = whole.select("host", "k").union(parts.select("host", "k")).distinct()
-    page = common.staged(pages.select("host", F.xxhash64("html").alias("k"), "html").join(both, ["host", "k"]).groupBy("host", "k").agg(
-        F.min("html").alias("html")), "patterns")
-    pattern = whole.join(page, ["host", "k"]).select("host", F.col("html").alias("pattern"))
-    own = parts.join(page, ["host", "k"]).select("host", "layout", F.col("html").alias("own"))
-    pattern = common.staged(sized.select("host", "layout").distinct().join(pattern, "host").join(own, ["host", "layout"], "left"), "layouts")
+    own = chosen("host", "layout")
+    largest = own.groupBy("host").agg(F.max(F.struct("pages", "k"))["k"].alias("large"))
+    whole = chosen("host").select("host", F.col("k").alias("whole"))
+    every = sized.groupBy("host", "layout").agg(F.count("*").alias("n"))
+    names = common.staged(
+        every.join(own.select("host", "layout", "k"), ["host", "layout"], "left").join(largest, "host", "left").join(whole, "host", "left")
+        .select("host", "layout", F.coalesce("k", "large", "whole").alias("k")).where("k IS NOT NULL"), "names")
+    page = common.staged(pages.select("host", F.xxhash64("html").alias("k"), "html").join(names.select("host", "k").distinct(), ["host", "k"])
+                         .groupBy("host", "k").agg(F.min("html").alias("pattern")), "patterns")
+    pattern = common.staged(names.join(page, ["host", "k"]), "layouts")
 
     def align(batch: pa.RecordBatch):
         found: dict[tuple, list[int]] = {}
-        for host, layout, html, *models in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "pattern", "own")), strict=True):
-            root = None
-            for of, model in zip((None, layout), models, strict=True):
-                watched = pattern_texts(model) if model else ()
-                if watched:
-                    root = root or tree(html)
-                    for a, b in match(pattern_tree(model), root):
-                        if a.number in watched:
-                            n = found.setdefault((host, of, a.number), [0, 0])
-                            n[0] += 1
-                            n[1] += same_line(a, b)
-        rows = [(h, of, i, n, same) for (h, of, i), (n, same) in found.items()]
+        for host, k, html, model in zip(*(batch.column(c).to_pylist() for c in ("host", "k", "html", "pattern")), strict=True):
+            watched = pattern_texts(model)
+            if watched:
+                for a, b in match(pattern_tree(model), tree(html)):
+                    if a.number in watched:
+                        n = found.setdefault((host, k, a.number), [0, 0])
+                        n[0] += 1
+                        n[1] += same_line(a, b)
+        rows = [(h, k, i, n, same) for (h, k, i), (n, same) in found.items()]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "layout", "node", "met", "same"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "k", "node", "met", "same"])
 
     # equal pages first, dealt by content; the join is then free to split a large host
     differing = pages.select("host", "layout", "html").dropDuplicates(["html", "host"]).join(pattern, ["host", "layout"])
-    met = common.map_batches(differing.select("host", "layout", "html", "pattern", "own"), align,
-                             "host string, layout long, node int, met long, same long")
-    fixed = met.groupBy("host", "layout", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).where(
+    met = common.map_batches(differing.select("host", "k", "html", "pattern"), align, "host string, k long, node int, met long, same long")
+    fixed = met.groupBy("host", "k", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).where(
         (F.col("met") >= least_pages) & (F.col("same") >= share * F.col("met")))
-    constant = common.staged(fixed.groupBy("host", "layout").agg(
+    constant = common.staged(fixed.groupBy("host", "k").agg(
         F.sort_array(F.collect_list("node")).alias("constant")), "constants")  # a pattern's nodes at most
-    all_over = constant.where("layout IS NULL").drop("layout")
-    here = constant.where("layout IS NOT NULL").withColumnRenamed("constant", "own_constant")
-    return common.staged(pattern.join(all_over, "host", "left").join(here, ["host", "layout"], "left").where(
-        "constant IS NOT NULL OR own_constant IS NOT NULL"), "templates")
+    return common.staged(pattern.join(constant, ["host", "k"]).select("host", "layout", "pattern", "constant"), "templates")
 
 
 def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.9, id_col: str = "page_id",
@@ -451,10 +484,9 @@ def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.9, id_col
 
     def extract(batch: pa.RecordBatch):
         out = []
-        for html, pattern, constant, own, own_constant in zip(
-                *(batch.column(c).to_pylist() for c in ("html", "pattern", "constant", "own", "own_constant")), strict=True):
+        for html, pattern, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "pattern", "constant")), strict=True):
             root = tree(html)
-            out.append(text_of(root, template_of(root, pattern, constant) | template_of(root, own, own_constant)))
+            out.append(text_of(root, template_of(root, pattern, constant)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
             ["page_id", "url", "text", "n_chars"])

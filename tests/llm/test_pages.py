@@ -46,6 +46,36 @@ def test_awkward_html(spark, html, text):
     assert wrappers.text_of(wrappers.tree(html or ""), set()) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div class='social-history'><h1>Clubs</h1><p>Real article text</p></div>", "Clubs\nReal article text"),
+    ("<div class='side-by-side'><p>Two columns</p></div>", "Two columns"),
+    ("<section id='related-work'><h2>Related work</h2><p>They found</p></section>", "Related work\nThey found"),
+    ("<div class=content><p>Main story</p></div><article class=teaser><p>Teaser.", "Main story\nTeaser."),
+    ("<div class='social-links'><a href=x>Follow us</a></div><p>y", "y"), ("<div class=related><p>More</p></div><p>y", "y"),
+    ("<div class='ad-slot'><p>Buy</p></div><p>y", "y"), ("<p>x <a href='cut", "x"), ("<p>x <a b c <i>d</i>", "x d"),
+    ("<p title='a > b' data-x=\"<p>\">x</p>", "x"), ("<p a=\"b\"c='d'e>x</p>", "x"), ("<p ='x>y", "y"), ("it's <b id=q'>ok", "it's ok")])
+def test_roles_and_broken_tags(html, text):
+    assert wrappers.text_of(wrappers.tree(html), set()) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<p>x</p><div " + 'a a="b" ' * 1000, "<a a=\"b\" " * 3000 + " <", "<a b=\"" * 20_000, "<" * 50_000, "<a='" * 20_000 + "\"" * 20_000])
+def test_broken_tags_take_no_time(html):
+    import time
+    start = time.process_time()
+    wrappers.text_of(wrappers.tree(html), set())
+    assert time.process_time() - start < 2
+
+
+def test_induction_alone_changes_texts(spark):
+    """Pages without any telling tag, class or id."""
+    rows = [(i, f"http://plain.example/{i}", f"<html><body><div><div>Daily Herald of the North</div><div><p>{prose(50 + i, 20)}</p>"
+             f"<p>{prose(900 + i, 14)}</p></div><div>Printed in the old town since 1871</div></div></body></html>") for i in range(9)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"{prose(50 + i, 20)}\n{prose(900 + i, 14)}" for i in range(9))
+    assert "Daily Herald" in texts(spark, rows, least_pages=100)[3]
+
+
 def test_edges_of_the_table(spark):
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
     long = "".join(f"<p>{prose(i, 12)}</p>" for i in range(3000))
