@@ -15,9 +15,10 @@ the group between them; the composition is associative, so fragments are reduced
 as a tree, ``FAN`` neighbours at a time.  A range without a common end is all
 open.
 
-*Counts.*  An id pair's count is the number of documents that hold it linked.
-Counts of up to ``most_pairs`` pairs go to every task; more go in blocks of A
-ids, one after the other, over rows that carry their own pairs.
+*Counts.*  A text is tokenized once and leaves a row with its distinct pairs.  An
+id pair's count is the number of documents that hold it linked.  Counts of up to
+``most_pairs`` pairs go to every task; more go in blocks of A ids, one after the
+other.
 
 Defined results: a null or empty text, and one whose tokens do not spell it out,
 has no tokens (zeros, empty hash); repeated rows are documents each; an empty
@@ -35,6 +36,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,13 @@ from cobframe.llm.token_counts import Codes, byte_symbols
 
 # From a blank or newline between two other characters to the next one.
 TILE = re.compile(r"(?:\A\s*|[ \n])\S+(?:(?![ \n]\S)\s+\S*)*|\A\s+\Z")
+# Begins with such a blank or newline and does not end in white space: may follow any other one.
+PLAIN_TILE = re.compile(r"[ \n](?!\s)(?:.*\S)?", re.DOTALL)
 FAN = 8
 LARGE_GROUP = 4096       # links of a group beyond it are counted by distinct ids
-DIGEST_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+ROW_SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, "
+              "codes array<long>, times array<long>")
+ROW_NAMES = [c.split(" ")[0] for c in ROW_SCHEMA.split(", ")]
 FRAGMENT_SCHEMA = ("row long, doc_id long, seq long, bad boolean, cut boolean, before_a array<int>, before_b array<int>, "
                    "after_a array<int>, after_b array<int>, n_a long, n_b long, n_groups long, n_links long, groups string, "
                    "codes array<long>, times array<long>")
@@ -67,7 +73,7 @@ class Vocabularies:
         self.bytes_a = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in vocab.items():
             self.bytes_a[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
-        self.size_b = self.b.get_piece_size()
+        self.size_a, self.size_b = len(self.bytes_a), self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
@@ -77,18 +83,53 @@ class Vocabularies:
         self.width_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def encode(self, tiles: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of every tile by A and by B; none by either where they do not spell it out."""
-        a = [e.ids for e in self.a.encode_batch(tiles, add_special_tokens=False)]
-        # B puts a blank in front; a tile that begins with a newline has none
-        b = self.b.encode([t[1:] if t[0] == " " else t for t in tiles], num_threads=1)
-        for k, tile in enumerate(tiles):
-            if tile[0] != " ":
-                b[k] = b[k][1:] if b[k][:1] == [self.blank_b] else []
-            raw = tile.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a[k])) != raw or b"".join(map(self.bytes_b.__getitem__, b[k])) != raw:
-                a[k] = b[k] = []
-        return a, b
+    def encode(self, tiles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all tiles by A and by B, one after the other, and how many of
+        each tile; none by either where they do not spell it out."""
+        plain = [k for k, t in enumerate(tiles) if PLAIN_TILE.fullmatch(t)]
+        found = self.encode_run([tiles[k] for k in plain])
+        if found is None:  # some tile is not spelt out: each for itself
+            plain = []
+        parts = [(plain, found)] if plain else []
+        parts += [([k], self.encode_run([tiles[k]])) for k in sorted(set(range(len(tiles))) - set(plain))]
+        counts = np.zeros((2, len(tiles)), np.int64)
+        for rows, got in parts:
+            if got is not None:
+                counts[:, rows] = got[1], got[3]
+        out = []
+        for side in (0, 1):
+            n = counts[side]
+            first, flat = np.cumsum(n) - n, np.zeros(int(n.sum()), np.int64)
+            for rows, got in parts:
+                if got is not None:
+                    ids, of = got[2 * side], n[rows]
+                    flat[np.repeat(first[rows] - (np.cumsum(of) - of), of) + np.arange(len(ids))] = ids
+            out += [flat, n]
+        return tuple(out)
+
+    def encode_run(self, tiles: list[str]):
+        """As ``encode``, of tiles that may stand one after the other in a text:
+        they are tokenized as one.  None where that does not spell them out."""
+        if not tiles:
+            return None
+        text = "".join(tiles)
+        raw = text.encode()
+        a = self.a.encode(text, add_special_tokens=False).ids
+        # B puts a blank in front; a text that begins with a newline has none
+        b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+        if text[0] != " ":
+            b = b[1:] if b[:1] == [self.blank_b] else []
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in tiles), np.int64, len(tiles)))
+        out = []
+        for ids, width in ((np.array(a, np.int64), self.width_a), (np.array(b, np.int64), self.width_b)):
+            upto = np.cumsum(width[ids])
+            last = np.searchsorted(upto, ends)
+            if (upto[last] != ends).any():
+                raise ValueError("a token goes across two tiles")
+            out += [ids, np.diff(np.concatenate([[0], last + 1]))]
+        return tuple(out)
 
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -119,13 +160,16 @@ def group_links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
     return codes, times, each
 
 
-def spelled(a: list[int], b: list[int], n_a: list[int], n_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2``: the groups' ids."""
-    out, i, j = [], 0, 0
+def spelled(a: list[int], b: list[int], n_a: list[int], n_b: list[int], upto: list[int]) -> list[str]:
+    """``a1,a2|b1;a3|b2``: the ids of the groups ``upto[0]`` to ``upto[1]``, and so on."""
+    groups, i, j = [], 0, 0
     for x, y in zip(n_a, n_b, strict=True):
-        out.append(",".join(map(str, a[i:i + x])) + "|" + ",".join(map(str, b[j:j + y])))
+        if x == y == 1:
+            groups.append(f"{a[i]}|{b[j]}")
+        else:
+            groups.append(",".join(map(str, a[i:i + x])) + "|" + ",".join(map(str, b[j:j + y])))
         i, j = i + x, j + y
-    return ";".join(out)
+    return [";".join(groups[low:high]) for low, high in zip(upto, upto[1:], strict=False)]
 
 
 def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +202,7 @@ class Tiles:
     """Tokens, groups and links of the tiles a worker has met, up to a number of
     them, after which it starts afresh."""
 
-    def __init__(self, path_a: str, path_b: str, remember: int = 250_000):
+    def __init__(self, path_a: str, path_b: str, remember: int = 300_000):
         self.vocabularies = Vocabularies(path_a, path_b)
         self.remember = remember
         self.clear()
@@ -170,7 +214,6 @@ class Tiles:
         self.bad = np.zeros(0, bool)
         self.n_groups, self.n_links = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.groups: list[str] = []
-        self.count_sum, self.n_best, self.counted = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
     def read(self, texts: list[str]) -> list[np.ndarray]:
         """The tiles of every text, as codes; what they are is learnt first."""
@@ -187,10 +230,7 @@ class Tiles:
 
     def learn(self, tiles: list[str]) -> None:
         voc = self.vocabularies
-        lists_a, lists_b = voc.encode(tiles)
-        len_a, len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (lists_a, lists_b))
-        a = np.fromiter((i for x in lists_a for i in x), np.int64, int(len_a.sum()))
-        b = np.fromiter((i for x in lists_b for i in x), np.int64, int(len_b.sum()))
+        a, len_a, b, len_b = voc.encode(tiles)
         ends_a, ends_b = np.cumsum(voc.width_a[a]), np.cumsum(voc.width_b[b])
         shared = common_ends(ends_a, ends_b)
         n_a = np.bincount(np.searchsorted(shared, ends_a), minlength=len(shared))
@@ -207,22 +247,7 @@ class Tiles:
         self.bad = np.append(self.bad, len_a == 0)
         self.n_groups = np.append(self.n_groups, np.diff(upto))
         self.n_links = np.append(self.n_links, per_tile(n_a * n_b))
-        n_a, n_b = n_a.tolist(), n_b.tolist()
-        self.groups += [spelled(x, y, n_a[i:j], n_b[i:j])
-                        for x, y, i, j in zip(lists_a, lists_b, upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-
-    def count(self, counts: Counts) -> None:
-        """Sums over the links of tiles not yet counted with these counts."""
-        if self.counted is not counts:
-            self.count_sum, self.n_best, self.counted = np.zeros(0, np.int64), np.zeros(0, np.int64), counts
-        done = len(self.count_sum)
-        if done < len(self.bad):
-            begin = self.pairs.start[done]
-            docs, best = counts.look_up(self.pairs.flat[begin:])
-            times = self.times.flat[begin:]
-            upto = np.append(self.pairs.start[done:], len(self.pairs.flat)) - begin
-            for name, x in (("count_sum", docs * times), ("n_best", best * times)):
-                setattr(self, name, np.append(getattr(self, name), np.diff(np.concatenate([[0], np.cumsum(x)])[upto])))
+        self.groups += spelled(a.tolist(), b.tolist(), n_a.tolist(), n_b.tolist(), upto.tolist())
 
 
 def tiles(path_a: str, path_b: str) -> Tiles:
@@ -258,7 +283,7 @@ class Fragment:
 def closed(a: list[int], b: list[int], size_b: int) -> Fragment:
     """One closed group."""
     codes, times, _ = group_links(np.array(a, np.int64), np.array(b, np.int64), np.array([len(a)]), np.array([len(b)]), size_b)
-    return Fragment(False, True, [], [], [], [], len(a), len(b), 1, len(a) * len(b), spelled(a, b, [len(a)], [len(b)]),
+    return Fragment(False, True, [], [], [], [], len(a), len(b), 1, len(a) * len(b), spelled(a, b, [len(a)], [len(b)], [0, 1])[0],
                     *summed(codes, times))
 
 
@@ -274,7 +299,7 @@ def fragment(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarra
     inner_a, inner_b, n_a, n_b = a[n_a[0]:i], b[n_b[0]:j], n_a[1:-1], n_b[1:-1]
     codes, times, _ = group_links(inner_a, inner_b, n_a, n_b, size_b)
     out.n_a, out.n_b, out.n_groups, out.n_links = len(inner_a), len(inner_b), len(n_a), int((n_a * n_b).sum())
-    out.groups = spelled(inner_a.tolist(), inner_b.tolist(), n_a.tolist(), n_b.tolist())
+    out.groups = spelled(inner_a.tolist(), inner_b.tolist(), n_a.tolist(), n_b.tolist(), [0, len(n_a)])[0]
     out.codes, out.times = summed(codes, times)
     return out
 
@@ -425,92 +450,81 @@ class Counts:
         return np.where(hit, self.docs[at], 0), (self.best[at] & hit).astype(np.int64)
 
 
-def short_pairs(texts: DataFrame, path_a: str, path_b: str, hold: int = 4_000_000) -> DataFrame:
-    """``code, docs`` of the pairs in short texts, summed by task."""
-    def run(batches):
-        held, n = [], 0
+def lists(flat: np.ndarray, n: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, kind))
 
-        def flush():
-            codes, docs = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            return codes, docs
 
-        def out(codes, docs):
-            for at in range(0, len(codes), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 200_000]), pa.array(docs[at:at + 200_000])], ["code", "docs"])
-
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                known = tiles(path_a, path_b)
-                for tokens in known.read(spaced(part.column("text").to_pylist())):
-                    if len(tokens) and not known.bad[tokens].any():
-                        held.append((codes := np.unique(known.pairs.take(np.unique(tokens))), np.ones(len(codes), np.int64)))
-                        n += len(codes)
-                    if n > hold:
-                        held = [flush()]
-                        if len(held[0][0]) > hold // 2:
-                            yield from out(*held.pop())
-                        n = sum(len(x) for x, _ in held)
-        if held:
-            yield from out(*flush())
-    return texts.mapInArrow(run, "code long, docs long")
-
-
-def short_digests(texts: DataFrame, path_a: str, path_b: str, counts) -> DataFrame:
+def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Texts that are not cut: their digests, and their distinct pairs with how
+    often each is linked."""
     def run(batch):
-        for part in common.slices(batch, "text"):
+        for part in common.slices(batch, "text", 2_000_000):
             known = tiles(path_a, path_b)
+            span = known.vocabularies.size_a * known.vocabularies.size_b
             read = known.read(spaced(part.column("text").to_pylist()))
-            known.count(counts.value)
-            good = [bool(len(t)) and not known.bad[t].any() for t in read]
-            columns = [pa.array([int(x[t].sum()) if ok else 0 for ok, t in zip(good, read, strict=True)], pa.int64())
-                       for x in (known.ids_a.n, known.ids_b.n, known.n_groups, known.n_links, known.n_best, known.count_sum)]
+            read = [t if len(t) and not known.bad[t].any() else t[:0] for t in read]
+            every, ends = np.concatenate([*read, np.zeros(0, np.int64)]), np.cumsum([len(t) for t in read])
+            of_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.append(0, ends)])
+            sums = [of_text(x[every]) for x in (known.ids_a.n, known.ids_b.n, known.n_groups, known.n_links)]
+            each = of_text(known.pairs.n[every])
+            keys, times = summed(np.repeat(np.arange(len(read)), each) * span + known.pairs.take(every), known.times.take(every))
             look = known.groups.__getitem__
-            shas = [hashlib.sha256(";".join(map(look, t.tolist())).encode()).hexdigest() if ok else ""
-                    for ok, t in zip(good, read, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, pa.array(shas)],
-                                             [c.split(" ")[0] for c in DIGEST_SCHEMA.split(", ")])
-    return common.map_batches(texts, run, DIGEST_SCHEMA)
-
-
-def short_fragments(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Short texts as whole fragments, each with its own pairs."""
-    def run(batch):
-        for part in common.slices(batch, "text", 1_000_000):
-            known = tiles(path_a, path_b)
-            read = known.read(spaced(part.column("text").to_pylist()))
-            out = []
-            for t in read:
-                if not len(t) or known.bad[t].any():
-                    out.append(Fragment())
-                    continue
-                pairs = summed(known.pairs.take(t), known.times.take(t))
-                out.append(Fragment(False, True, [], [], [], [], *(int(x[t].sum()) for x in (
-                    known.ids_a.n, known.ids_b.n, known.n_groups, known.n_links)), ";".join(map(known.groups.__getitem__, t.tolist())), *pairs))
-            yield fragment_batch([(0, i, 0) for i in part.column("doc_id").to_pylist()], out)
-    return common.map_batches(texts, run, FRAGMENT_SCHEMA)
+            shas = [hashlib.sha256(";".join(map(look, t.tolist())).encode()).hexdigest() if len(t) else "" for t in read]
+            zeros = pa.array(np.zeros(len(read), np.int64))
+            distinct = np.bincount(keys // span, minlength=len(read))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), *map(pa.array, sums), zeros, zeros, pa.array(shas, pa.string()),
+                 lists(keys % span, distinct, pa.int64()), lists(times, distinct, pa.int64())], ROW_NAMES)
+    return common.map_batches(texts, run, ROW_SCHEMA)
 
 
 def digested(parts: DataFrame) -> DataFrame:
-    """Whole fragments without their groups' text, ready to be counted."""
-    return parts.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.lit(0).cast("long").alias("n_best"),
-                        F.lit(0).cast("long").alias("count_sum"),
+    """Whole fragments as rows of that form."""
+    none = F.lit(0).cast("long")
+    return parts.select("doc_id", "n_a", "n_b", "n_groups", "n_links", none.alias("n_best"), none.alias("count_sum"),
                         F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "codes", "times")
 
 
+def pair_counts(rows: DataFrame, hold: int = 4_000_000) -> DataFrame:
+    """``code, docs`` over all rows, summed in the tasks first."""
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            codes, docs = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return codes, docs
+
+        def given(codes, docs):
+            for at in range(0, len(codes), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 200_000]), pa.array(docs[at:at + 200_000])], ["code", "docs"])
+
+        for batch in batches:
+            codes = batch.column("codes").flatten().to_numpy()
+            held.append((codes, np.ones(len(codes), np.int64)))
+            n += len(codes)
+            if n > hold:
+                held.append(out())
+                n = len(held[0][0])
+                if n > hold // 2:
+                    yield from given(*held.pop())
+                    n = 0
+        if held:
+            yield from given(*out())
+    return rows.select("codes").mapInArrow(run, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
+
+
 def add_counts(rows: DataFrame, counts) -> DataFrame:
     """Adds what these counts say of the rows' own pairs."""
     def run(batch):
-        n_best, count_sum = [], []
-        for codes, times in zip(batch.column("codes"), batch.column("times"), strict=True):
-            docs, best = counts.value.look_up(codes.values.to_numpy())
-            times = times.values.to_numpy()
-            n_best.append(int((best * times).sum()))
-            count_sum.append(int((docs * times).sum()))
-        batch = batch.set_column(batch.schema.get_field_index("n_best"), "n_best",
-                                 pa.array(np.array(n_best, np.int64) + batch.column("n_best").to_numpy()))
-        yield batch.set_column(batch.schema.get_field_index("count_sum"), "count_sum",
-                               pa.array(np.array(count_sum, np.int64) + batch.column("count_sum").to_numpy()))
-    return common.map_batches(rows, run, DIGEST_SCHEMA + ", codes array<long>, times array<long>")
+        times = batch.column("times").flatten().to_numpy()
+        docs, best = counts.value.look_up(batch.column("codes").flatten().to_numpy())
+        upto = np.append(0, np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy()))
+        for name, x in (("n_best", best), ("count_sum", docs)):
+            more = np.diff(np.concatenate([[0], np.cumsum(x * times)])[upto])
+            batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(batch.column(name).to_numpy() + more))
+        yield batch
+    return common.map_batches(rows, run, ROW_SCHEMA)
 
 
 def blocks(pairs: DataFrame, size_b: int, most_pairs: int) -> Iterator[tuple]:
@@ -525,10 +539,11 @@ def blocks(pairs: DataFrame, size_b: int, most_pairs: int) -> Iterator[tuple]:
             n = 0
         bounds[-1][1] = a
         n += size
-    for low, high in bounds or [[0, 0]]:
+    bounds = bounds or [[0, 0]]
+    for low, high in bounds:
         got = pairs.where((F.col("code") >= low * size_b) & (F.col("code") < (high + 1) * size_b)).toArrow()
         made = Counts(got.column("code").to_numpy(), got.column("docs").to_numpy(), size_b)
-        yield len(bounds) <= 1, pairs.sparkSession.sparkContext.broadcast(made)
+        yield [low, high] == bounds[-1], pairs.sparkSession.sparkContext.broadcast(made)
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
@@ -536,21 +551,13 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``
     of every row.  ``path_a``, ``path_b``: files that every executor has."""
     common.prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    short = rows.where(F.coalesce(F.char_length("text") <= chunk_chars, F.lit(True)))
-    long = common.staged(long_texts(rows, path_a, path_b, chunk_chars), "whole")
-    pairs = (short_pairs(short, path_a, path_b)
-             .unionByName(long.select(F.explode("codes").alias("code"), F.lit(1).cast("long").alias("docs")))
-             .groupBy("code").agg(F.sum("docs").alias("docs")))
-    pairs = common.staged(pairs, "pairs")
-    size_b = Vocabularies(path_a, path_b).size_b
-    of_long, of_short = digested(long), None
-    for only, counts in blocks(pairs, size_b, most_pairs):
-        if only:
-            of_long, of_short = add_counts(of_long, counts), short_digests(short, path_a, path_b, counts)
-            break
-        if of_short is None:
-            of_short = common.staged(digested(short_fragments(short, path_a, path_b)), "short")
-        of_long, of_short = (common.staged(add_counts(x, counts), "counted") for x in (of_long, of_short))
-    names = [c.split(" ")[0] for c in DIGEST_SCHEMA.split(", ")]
-    return of_short.select(names).unionByName(of_long.select(names))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    short = texts.where(F.coalesce(F.char_length("text") <= chunk_chars, F.lit(True)))
+    rows = common.staged(aligned(short, path_a, path_b).unionByName(
+        digested(long_texts(texts, path_a, path_b, chunk_chars))), "aligned")
+    pairs = common.staged(pair_counts(rows), "pairs")
+    for last, counts in blocks(pairs, Vocabularies(path_a, path_b).size_b, most_pairs):
+        rows = add_counts(rows, counts)
+        if not last:
+            rows = common.staged(rows, "counted")
+    return rows.drop("codes", "times")
