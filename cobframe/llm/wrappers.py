@@ -32,7 +32,7 @@ from cobframe.llm import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
                    # a value in quotes follows a "="; any other quote is a character like others, and nothing is tried twice
-                   r"|<([a-zA-Z][^\s/>]*)((?>[^<>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>?", re.DOTALL)
+                   r"|<([a-zA-Z][^\s/>]*)((?>[^<>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>?", re.DOTALL)
 MARK = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes".split())
@@ -58,7 +58,6 @@ CLEAR = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|nav\w*|breadc
 PARTS = re.compile(r"[_-]+")
 READERS = re.compile(r"(?:^|[\s_=-])(?:comments?|reply|replies)(?:$|[\s_-])", re.IGNORECASE)
 HEADER = re.compile(r"(?:^| )(?:class|id)=(?:[^=]*[\s_-])?header(?:$|[\s_-])", re.IGNORECASE)
-SPACE = re.compile(r"\s+")
 SKELETON = r"""<(?:header|footer|nav|aside|main|article|section|form)\b|\s(?:class|id)=["']?[A-Za-z_ -]+"""  # for Spark's matcher
 
 
@@ -122,7 +121,7 @@ def parse(html: str) -> Node:
             elif tag in VOID or m[3].rstrip().endswith("/"):
                 if tag not in VOID:
                     stack.append(node)  # a slash does not close an ordinary element
-    return number(root)
+    return root
 
 
 def number(root: Node) -> Node:
@@ -136,15 +135,16 @@ def number(root: Node) -> Node:
         node.number = len(order)
         order.append(node)
         if node.tag is None:
-            node.home = home
-            home.said += node.text.split()
+            words = node.text.split()
+            node.home, node.print = home, hash(tuple(words))
+            home.said += words
         else:
             if node is root or node.tag in BLOCK:
                 home, node.said = node, []
             stack.extend([(c, home) for c in reversed(node.below)])
     for node in reversed(order):
         if node.tag is None:
-            node.print, node.shape, node.count = hash(tuple(node.text.split())), 1, 1
+            node.shape = node.count = 1
         else:
             own = (node.tag, node.mark)
             node.print = hash((own, *[c.print for c in node.below]))
@@ -360,7 +360,7 @@ def text_of(root: Node, template: set[int]) -> str:
     blocks, line = [], []
 
     def end():
-        said = SPACE.sub(" ", "".join(line)).strip()
+        said = " ".join("".join(line).split())
         line.clear()
         if said:
             blocks.append(said)
