@@ -19,13 +19,15 @@ once blanks outside strings are gone.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cobframe.schema import AGREEMENT_FIELDS, HASH_ROUND_DIGITS, TRADE_FIELDS
 
 DIGITS = 15                    # decimals of so many digits are told apart by a double
-SMALLEST_PLAIN = 10 ** 6       # 1e-4 in units of the last kept decimal: exponents below
+SMALLEST_PLAIN = Decimal("0.0001")   # smaller numbers are written with an exponent
 PLAIN_STRING = r'[ !#-\[\]-~]*'
 INTEGER = r'(?:0|-?[1-9][0-9]*)'
 DECIMAL = r'-?(?!0\.0000[0-9])(?:0|[1-9][0-9]{0,4})\.(?:0|[0-9]{0,9}[1-9])'
@@ -35,24 +37,20 @@ BLANKS = r'("[^"\\]*")|[ \t\r\n]+'
 
 
 def number_text(x: Column) -> Column:
-    spelled = x.cast("string")
+    # few and small terms: they stand once for every number of a document
     exact = F.abs(x).cast("string").try_cast("decimal(38,20)")
     kept = F.round(exact, HASH_ROUND_DIGITS)
-    half_way = (exact != kept) & (F.abs(F.abs(exact - kept).cast("double") - F.lit(5e-11)) <= F.abs(x) * 1e-15 + 1e-20)
-    units = (kept * F.lit(10 ** HASH_ROUND_DIGITS).cast("decimal(11,0)")).cast("decimal(30,0)")
-    k = units.cast("string")
-    n = F.length(k)
-    significant = F.rtrim(k, F.lit("0"))
-    padded = F.when(n > HASH_ROUND_DIGITS, k).otherwise(F.lpad(k, HASH_ROUND_DIGITS + 1, "0"))
-    whole = F.substring(padded, F.lit(1), F.length(padded) - HASH_ROUND_DIGITS)
-    fraction = F.rtrim(F.substring(padded, F.length(padded) - (HASH_ROUND_DIGITS - 1), F.lit(HASH_ROUND_DIGITS)), F.lit("0"))
-    plain = F.concat(whole, F.lit("."), F.when(fraction == "", "0").otherwise(fraction))
-    mantissa = F.concat(F.substring(significant, 1, 1),
-                        F.when(F.length(significant) > 1, F.concat(F.lit("."), F.substring(significant, F.lit(2), n))).otherwise(""))
-    tiny = F.concat(mantissa, F.lit("e-"), F.lpad((HASH_ROUND_DIGITS + 1 - n).cast("string"), 2, "0"))
-    body = F.when((units > 0) & (units < SMALLEST_PLAIN), tiny).otherwise(plain)
-    proven = exact.isNotNull() & ~half_way & (F.length(significant) <= DIGITS) & (F.abs(x) < 1e15)
-    return F.when(x.isNull(), "null").when(proven, F.concat(F.when(spelled.startswith("-"), "-").otherwise(""), body))
+    # from 1e-4 on a decimal is spelled without exponent, with all its places
+    plain = F.regexp_replace(kept.cast("string"), r"(\.[0-9]+?)0*$", "$1")
+    units = (kept * F.lit(10 ** HASH_ROUND_DIGITS)).cast("int").cast("string")
+    tiny = F.concat(F.regexp_replace(F.regexp_replace(units, r"^([0-9])([0-9]*?)0*$", "$1.$2"), r"\.$", ""),
+                    F.lit("e-"), F.lpad((HASH_ROUND_DIGITS + 1 - F.length(units)).cast("string"), 2, "0"))
+    body = F.when(kept >= F.lit(SMALLEST_PLAIN), plain).when(kept == 0, "0.0").otherwise(tiny)
+    rest = F.abs(exact - kept).cast("double")
+    half_way = (rest != 0) & (F.abs(rest - 5e-11) <= F.abs(x) * 1e-15 + 1e-20)
+    proven = ~half_way & (F.abs(x) < 1e15) & (F.length(plain) <= DIGITS + 1)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(x.isNull(), "null").when(proven, F.concat(sign, body))
 
 
 def string_text(s: Column) -> Column:
@@ -114,12 +112,19 @@ def agreement_text(ag: Column) -> Column:
     return F.when(ag.isNull(), "null").otherwise(members([(f, kinds.get(f, string_text)(ag[f])) for f in AGREEMENT_FIELDS]))
 
 
-def header_text() -> Column:
-    """A document up to and including ``"trades":[`` (``trades`` is the last key)."""
+def stored_market_text(md: Column, fx: Column, inflation: Column) -> Column:
+    """As ``market_text``, from the texts of the two rate sets."""
+    return F.when(md.isNull(), "null").otherwise(members([
+        ("fx_rates", fx), ("inflation_rates", inflation), ("price_matrices", map_text(md["price_matrices"], reference_text))]))
+
+
+def header_text(market: Column) -> Column:
+    """A document up to and including ``"trades":[`` (``trades`` is the last
+    key), given its market data's text."""
     return F.concat(F.lit('{"agreement":'), agreement_text(F.col("agreement")),
                     F.lit(',"cob_date":'), date_text(F.col("cob_date")),
                     F.lit(',"counterparty_id":'), string_text(F.col("counterparty_id")),
-                    F.lit(',"market_data":'), market_text(F.col("market_data")),
+                    F.lit(',"market_data":'), market,
                     F.lit(',"netting_set_id":'), string_text(F.col("netting_set_id")), F.lit(',"trades":['))
 
 

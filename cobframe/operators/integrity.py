@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from cobframe.functions.canonical import (TRADE_PART_FIELDS, render_headers, render_trades,
                                            stream_hashes)
-from cobframe.functions.canonical_text import header_text, joined, trade_text
+from cobframe.functions.canonical_text import (header_text, joined, map_text, market_text, number_text,
+                                                stored_market_text, trade_text)
+from cobframe.operators.market_sets import SETS, attach_sets, distinct_sets
 from cobframe.schema import HASH_PREFIX, KEY
 
 _JSON_OPTS = {"ignoreNullFields": "false"}
@@ -56,7 +58,23 @@ def streamed_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
     return ordered.select(*KEY, "part", "text").mapInPandas(stream_hashes, HASH_SCHEMA)
 
 
-def native_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
+def with_head(headers: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """``headers`` with ``_head``, the text of each document before its trades;
+    NULL where it is not proven.  In stored form (``sets`` given) the text of a
+    rate set is made once, not once a snapshot."""
+    md = F.col("market_data")
+    if sets is None:
+        return headers.withColumn("_head", header_text(market_text(md)))
+    texts = distinct_sets(sets).select("digest", map_text(F.col("rates"), number_text).alias("text"))
+    rows = headers
+    for name in SETS.values():
+        rows = (rows.withColumn("_digest", md[name])
+                .join(texts.select(F.col("digest").alias("_digest"), F.col("text").alias(f"_{name}")), "_digest", "left").drop("_digest"))
+    market = stored_market_text(md, F.col("_fx_set"), F.col("_inflation_set"))
+    return rows.withColumn("_head", header_text(market)).drop("_fx_set", "_inflation_set")
+
+
+def native_hashes(headers: DataFrame, trades: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """H2 by expressions alone, for snapshots whose every text they can prove
     and whose trades fit one row (see ``unproven``); NULL where a text is not."""
     position = trades["position"].cast("long") if "position" in trades.columns else F.lit(None).cast("long")
@@ -64,29 +82,31 @@ def native_hashes(headers: DataFrame, trades: DataFrame) -> DataFrame:
               .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("position", "trade_id", "text"))).alias("_trades")))
     texts = F.when(F.col("_trades").isNull(), "").otherwise(joined(F.transform("_trades", lambda t: t["text"])))
     document = F.concat("_head", texts, F.lit("]}"))
-    return (headers.select(*KEY, header_text().alias("_head")).join(listed, KEY, "left")
+    return (with_head(headers, sets).select(*KEY, "_head").join(listed, KEY, "left")
             .select(*KEY, F.concat(F.lit(HASH_PREFIX), F.sha2(document, 256)).alias("data_hash")))
 
 
-def unproven(headers: DataFrame, trades: DataFrame, most_trades: int) -> DataFrame:
+def unproven(headers: DataFrame, trades: DataFrame, most_trades: int, sets: DataFrame | None = None) -> DataFrame:
     """Keys whose document has a text only Python renders, or more than
     ``most_trades`` trades: too many for one row."""
     of_trades = (trades.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.max(trade_text().isNull()).alias("_open"))
                  .where((F.col("_n") > most_trades) | F.col("_open")))
-    return (headers.where(header_text().isNull()).select(*KEY)
+    return (with_head(headers, sets).where(F.col("_head").isNull()).select(*KEY)
             .unionByName(of_trades.select(*KEY)).distinct())
 
 
-def snapshot_hashes(headers: DataFrame, trades: DataFrame, most_trades: int = MOST_TRADES) -> DataFrame:
-    """H2: ``sha256-v1:`` hash per snapshot key.
+def snapshot_hashes(headers: DataFrame, trades: DataFrame, most_trades: int = MOST_TRADES,
+                    sets: DataFrame | None = None) -> DataFrame:
+    """H2: ``sha256-v1:`` hash per snapshot key (``sets`` for headers in stored form).
 
     Nearly all documents are rendered and hashed by expressions.  The keys
     of the others (see ``unproven``; usually none, and then AQE drops the branch)
     go through Python, where a hot netting set's text is one stream.
     """
-    rest = unproven(headers, trades, most_trades)
-    native = native_hashes(headers.join(rest, KEY, "left_anti"), trades.join(rest, KEY, "left_anti"))
-    streamed = streamed_hashes(headers.join(rest, KEY, "left_semi"), trades.join(rest, KEY, "left_semi"))
+    rest = unproven(headers, trades, most_trades, sets)
+    native = native_hashes(headers.join(rest, KEY, "left_anti"), trades.join(rest, KEY, "left_anti"), sets)
+    others = headers.join(rest, KEY, "left_semi")
+    streamed = streamed_hashes(others if sets is None else attach_sets(others, sets), trades.join(rest, KEY, "left_semi"))
     return native.unionByName(streamed)
 
 
@@ -95,19 +115,19 @@ def attach_hash(headers: DataFrame, trades: DataFrame) -> DataFrame:
     return headers.join(snapshot_hashes(headers, trades), KEY)
 
 
-def audit_integrity(snapshots: DataFrame, trades: DataFrame) -> DataFrame:
+def audit_integrity(snapshots: DataFrame, trades: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """H3: recompute every stored hash; one row per snapshot with status
     ``OK`` or ``MISMATCH`` (stored and computed value)."""
-    computed = snapshot_hashes(snapshots.drop("data_hash"), trades)
+    computed = snapshot_hashes(snapshots.drop("data_hash"), trades, sets=sets)
     return (snapshots.select(*KEY, F.col("data_hash").alias("stored_hash"))
             .join(computed.withColumnRenamed("data_hash", "computed_hash"), KEY, "left")
             .withColumn("status", F.when(F.col("stored_hash") == F.col("computed_hash"),
                                          F.lit("OK")).otherwise(F.lit("MISMATCH"))))
 
 
-def verify_on_read(snapshots: DataFrame, trades: DataFrame) -> DataFrame:
+def verify_on_read(snapshots: DataFrame, trades: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """H3 strict form: the snapshots, failing the job on the first mismatch."""
-    audit = audit_integrity(snapshots, trades)
+    audit = audit_integrity(snapshots, trades, sets)
     # the check is a filter predicate: a computed column that is dropped
     # afterwards would be pruned by the optimizer and never evaluated
     failure = F.raise_error(F.concat(F.lit("IntegrityError: stored "), F.col("stored_hash"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cobframe.functions.columns import month_col_of
 from cobframe.operators.assemble import nest_trades
+from cobframe.operators.market_sets import SETS, detach_sets, distinct_sets, is_stored_form
 from cobframe.operators.validate import date_range_filter, key_filter, threshold_filter
 from cobframe.schema import KEY, PORTFOLIO_DEFAULT_TOP
 
@@ -127,50 +128,56 @@ def by_trade_scan(trades: DataFrame, trade_ids=None, from_date=None, to_date=Non
              .orderBy("counterparty_id", "netting_set_id", "cob_date", "trade_id")
 
 
-def _first_market(snapshots: DataFrame, field: str, cob_date=None) -> DataFrame:
-    """Market map of the first snapshot (cp, ns order) of each date.
+def _first_market(snapshots: DataFrame, field: str, cob_date=None, sets: DataFrame | None = None) -> DataFrame:
+    """Rates of the first snapshot (cp, ns order) of each date.
 
     The first key of each date is found on the key columns alone (combined
-    map-side); only that snapshot's map is then read.
+    map-side); only that snapshot's rates are then read: from itself, or in
+    stored form from ``sets`` by the digest.
     """
     s = key_filter(snapshots, cob_date=cob_date)
     first = (s.groupBy("cob_date").agg(F.min(F.struct("counterparty_id", "netting_set_id")).alias("k"))
              .select("cob_date", "k.counterparty_id", "k.netting_set_id"))
-    return s.select(*KEY, F.col(f"market_data.{field}").alias("rates")).join(first, KEY).select("cob_date", "rates")
+    if sets is None:
+        return s.select(*KEY, F.col(f"market_data.{field}").alias("rates")).join(first, KEY).select("cob_date", "rates")
+    named = s.select(*KEY, F.col(f"market_data.{SETS[field]}").alias("digest")).join(first, KEY).select("cob_date", "digest")
+    return named.join(distinct_sets(key_filter(sets, cob_date=cob_date)), "digest").select("cob_date", "rates")
 
 
-def _rate_rows(snapshots: DataFrame, field: str, name: str, cob_date, strict: bool) -> DataFrame:
-    rows = _first_market(snapshots, field, cob_date).select("cob_date", F.explode("rates").alias(name, "rate"))
+def _rate_rows(snapshots: DataFrame, field: str, name: str, cob_date, strict: bool, sets: DataFrame | None) -> DataFrame:
+    rows = _first_market(snapshots, field, cob_date, sets).select("cob_date", F.explode("rates").alias(name, "rate"))
     if not strict:
         return rows
     return require_found(rows, f"snapshot on {cob_date}", of=key_filter(snapshots, cob_date=cob_date))
 
 
-def fx_rates(snapshots: DataFrame, cob_date=None, strict: bool = False) -> DataFrame:
+def fx_rates(snapshots: DataFrame, cob_date=None, strict: bool = False, sets: DataFrame | None = None) -> DataFrame:
     """Q6: (cob_date, pair, rate) read from the first snapshot of each date
-    (``strict``: no snapshot at all fails)."""
-    return _rate_rows(snapshots, "fx_rates", "pair", cob_date, strict)
+    (``strict``: no snapshot at all fails).  Q6-Q9: ``sets`` for snapshots in
+    stored form."""
+    return _rate_rows(snapshots, "fx_rates", "pair", cob_date, strict, sets)
 
 
-def fx_rate_pair(snapshots: DataFrame, pair: str, cob_date=None, strict: bool = False) -> DataFrame:
+def fx_rate_pair(snapshots: DataFrame, pair: str, cob_date=None, strict: bool = False,
+                 sets: DataFrame | None = None) -> DataFrame:
     """Q7: one pair per date; NULL where the date's first snapshot lacks it
     (``strict`` raises instead, like a missing dict key)."""
-    m = _first_market(snapshots, "fx_rates", cob_date)
+    m = _first_market(snapshots, "fx_rates", cob_date, sets)
     val = F.element_at("rates", F.lit(pair)) if not strict else F.coalesce(
         F.element_at("rates", F.lit(pair)),
         F.raise_error(F.lit(f"KeyError: fx pair {pair}")).cast("double"))
     return m.select("cob_date", F.lit(pair).alias("pair"), val.alias("rate"))
 
 
-def inflation_rates(snapshots: DataFrame, cob_date=None, strict: bool = False) -> DataFrame:
+def inflation_rates(snapshots: DataFrame, cob_date=None, strict: bool = False, sets: DataFrame | None = None) -> DataFrame:
     """Q8."""
-    return _rate_rows(snapshots, "inflation_rates", "index_name", cob_date, strict)
+    return _rate_rows(snapshots, "inflation_rates", "index_name", cob_date, strict, sets)
 
 
 def inflation_rate_index(snapshots: DataFrame, index: str, cob_date=None,
-                         strict: bool = False) -> DataFrame:
+                         strict: bool = False, sets: DataFrame | None = None) -> DataFrame:
     """Q9."""
-    m = _first_market(snapshots, "inflation_rates", cob_date)
+    m = _first_market(snapshots, "inflation_rates", cob_date, sets)
     val = F.element_at("rates", F.lit(index)) if not strict else F.coalesce(
         F.element_at("rates", F.lit(index)),
         F.raise_error(F.lit(f"KeyError: inflation index {index}")).cast("double"))
@@ -180,14 +187,14 @@ def inflation_rate_index(snapshots: DataFrame, index: str, cob_date=None,
 def market_consistency(snapshots: DataFrame) -> DataFrame:
     """Audit for the first-snapshot rule of Q6/Q8: per date, how many distinct
     FX and inflation sets the snapshots carry (more than one means the lookup
-    depends on key order).  Sets are compared by the digest of their sorted entries."""
-    def canon(m):
-        return F.md5(F.to_json(F.array_sort(F.map_entries(F.col(m)))))
+    depends on key order).  Sets are compared by their digests, which the stored
+    form holds."""
+    if not is_stored_form(snapshots):
+        snapshots = detach_sets(snapshots)
     return (snapshots.groupBy("cob_date")
             .agg(F.count(F.lit(1)).cast("long").alias("n_snapshots"),
-                 F.count_distinct(canon("market_data.fx_rates")).cast("long").alias("n_fx_sets"),
-                 F.count_distinct(canon("market_data.inflation_rates")).cast("long")
-                 .alias("n_inflation_sets")))
+                 F.count_distinct("market_data.fx_set").cast("long").alias("n_fx_sets"),
+                 F.count_distinct("market_data.inflation_set").cast("long").alias("n_inflation_sets")))
 
 
 def exposure_history(exposure_index: DataFrame, counterparty_id=None, netting_set_id=None,

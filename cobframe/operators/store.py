@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cobframe.functions.columns import as_date
 from cobframe.operators.ingest import IngestResult
+from cobframe.operators.market_sets import detach_sets, market_sets
 from cobframe.schema import AGREEMENT_FIELDS, KEY, TRADE_FIELDS
 from cobframe.sources.stores import (PARTITION_COL, SCHEMAS, begin_attempt, commit_attempt,
                                      is_committed, month_of, read_snapshot_trades, read_snapshots,
@@ -80,7 +81,9 @@ def append_snapshots(result: IngestResult, root: str, batch_id: str | None = Non
         snaps = snaps.withColumn("ingested_at", F.current_timestamp())
     snaps = snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
                          "ingested_at", F.lit(attempt).alias("batch_id"))
-    write_table(snaps, table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
+    write_table(detach_sets(snaps), table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
+    write_table(market_sets(result.snapshots).withColumn("batch_id", F.lit(attempt)), table_path(root, "market_sets"),
+                "append", ["digest"])
     written = read_store_table(spark, root, "snapshots", attempt=attempt)
     trades = result.trades.join(written.select(*KEY), KEY, "left_semi")
     if "position" not in trades.columns:
@@ -153,7 +156,7 @@ def trade_json(trades: DataFrame) -> DataFrame:
 
 
 def export_snapshots_json(snapshots: DataFrame, trades: DataFrame) -> DataFrame:
-    """K5: one JSON document per snapshot (``value`` column), nulls kept,
+    """K5: one JSON document per snapshot in full form (``value`` column), nulls kept,
     ``extra`` embedded as the object text that was stored, trades in stored
     ``position`` order (trade_id where none is stored).  Write with
     ``df.write.text``.

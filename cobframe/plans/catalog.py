@@ -277,7 +277,7 @@ SELECT counterparty_id, netting_set_id, cob_date, 'sha256-v1:' || sha256(doc) AS
 def q_snapshot_hash(spark, sf):
     """H2 over the stored long-form tables (the stored hash column is not read)."""
     st = domain.order_store(spark, sf)
-    return H.snapshot_hashes(st["snapshots"].drop("data_hash"), st["trades"])
+    return H.snapshot_hashes(st["snapshots"].drop("data_hash"), st["trades"], sets=st["market_sets"])
 
 
 def _tampered(snapshots: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def q_integrity_audit(spark, sf):
     """H3 over the store after a tampering: every stored hash is recomputed
     from the altered rows and must flag exactly those rows."""
     st = domain.order_store(spark, sf)
-    return H.audit_integrity(_tampered(st["snapshots"]), st["trades"]).select(
+    return H.audit_integrity(_tampered(st["snapshots"]), st["trades"], st["market_sets"]).select(
         *KEY, "stored_hash", "computed_hash", "status")
 
 
@@ -366,7 +366,7 @@ def q_validate_finite(spark, sf):
                                      .when(whole == 1, F.lit(float("-inf"))).otherwise(F.col("notional")))
     terms = F.col("agreement").withField("threshold_amount", F.when(
         F.floor("exposure_total") % 31 == 0, F.lit(float("inf"))).otherwise(F.col("agreement.threshold_amount")))
-    snaps = st["snapshots"].withColumn("agreement", terms)
+    snaps = st.full_snapshots().withColumn("agreement", terms)
     bad = V.validate_finite(snaps, trades).rejects.select(*KEY, F.lit(False).alias("_bad"))
     return (snaps.select(*KEY).join(bad, KEY, "left")
             .select(*KEY, F.coalesce("_bad", F.lit(True)).alias("finite")))
@@ -644,22 +644,26 @@ FROM md m WHERE m.data_type = '{data_type}' AND m.cob_date IN (SELECT cob_date F
 
 @register("fx_rates", _first_market_sql("fx_rate", "pair"))
 def q_fx_rates(spark, sf):
-    return Q.fx_rates(domain.order_store(spark, sf)["snapshots"])
+    st = domain.order_store(spark, sf)
+    return Q.fx_rates(st["snapshots"], sets=st["market_sets"])
 
 
 @register("fx_rate_pair", _first_market_sql("fx_rate", "pair", "F1"))
 def q_fx_rate_pair(spark, sf):
-    return Q.fx_rate_pair(domain.order_store(spark, sf)["snapshots"], "F1")
+    st = domain.order_store(spark, sf)
+    return Q.fx_rate_pair(st["snapshots"], "F1", sets=st["market_sets"])
 
 
 @register("inflation_rates", _first_market_sql("inflation_rate", "index_name"))
 def q_inflation_rates(spark, sf):
-    return Q.inflation_rates(domain.order_store(spark, sf)["snapshots"])
+    st = domain.order_store(spark, sf)
+    return Q.inflation_rates(st["snapshots"], sets=st["market_sets"])
 
 
 @register("inflation_rate_index", _first_market_sql("inflation_rate", "index_name", "O3"))
 def q_inflation_rate_index(spark, sf):
-    return Q.inflation_rate_index(domain.order_store(spark, sf)["snapshots"], "O3")
+    st = domain.order_store(spark, sf)
+    return Q.inflation_rate_index(st["snapshots"], "O3", sets=st["market_sets"])
 
 
 @register("market_consistency", O.store(with_trades=False, with_market=True) + """
@@ -680,7 +684,7 @@ def q_market_consistency(spark, sf):
     md = md.withField("inflation_rates", F.when(whole % 7 == 0, F.map_concat(
         "market_data.inflation_rates", F.create_map(F.lit("ALTERED"), F.lit(1.0))))
         .otherwise(F.col("market_data.inflation_rates")))
-    return Q.market_consistency(domain.order_store(spark, sf)["snapshots"].withColumn("market_data", md))
+    return Q.market_consistency(domain.order_store(spark, sf).full_snapshots().withColumn("market_data", md))
 
 
 # =========================================================== exposure Q10-Q13
@@ -853,14 +857,14 @@ WHERE a.value IS NULL OR b.value IS NULL OR NOT (abs(a.value - b.value) < 1e-9)"
 @register("diff_fx", _pairs_store(market=True).rstrip() + _rate_changes_sql("fx_rate", "pair"))
 def q_diff_fx(spark, sf):
     st = domain.order_store(spark, sf)
-    return D.fx_rate_changes(D.consecutive_pairs(st["snapshots"]), st["snapshots"])
+    return D.fx_rate_changes(D.consecutive_pairs(st["snapshots"]), st["snapshots"], st["market_sets"])
 
 
 @register("diff_inflation", _pairs_store(market=True).rstrip()
           + _rate_changes_sql("inflation_rate", "index_name"))
 def q_diff_inflation(spark, sf):
     st = domain.order_store(spark, sf)
-    return D.inflation_rate_changes(D.consecutive_pairs(st["snapshots"]), st["snapshots"])
+    return D.inflation_rate_changes(D.consecutive_pairs(st["snapshots"]), st["snapshots"], st["market_sets"])
 
 
 _MATRIX_CHANGES_SQL = """,
@@ -955,7 +959,7 @@ LEFT JOIN c_mx m USING (counterparty_id, netting_set_id, from_date, to_date)"""
 def q_diff_summary(spark, sf):
     st = domain.order_store(spark, sf)
     pairs = D.consecutive_pairs(st["snapshots"])
-    return D.snapshot_diff(pairs, st["snapshots"], st["trades"])
+    return D.snapshot_diff(pairs, st["snapshots"], st["trades"], st["market_sets"])
 
 
 def _change_log_sql() -> str:
@@ -987,7 +991,7 @@ WHERE NOT EXISTS (SELECT 1 FROM tr o WHERE o.counterparty_id = p.counterparty_id
 def q_change_log(spark, sf):
     st = domain.order_store(spark, sf)
     pairs = D.consecutive_pairs(st["snapshots"])
-    return D.change_log(pairs, st["snapshots"], st["trades"])
+    return D.change_log(pairs, st["snapshots"], st["trades"], st["market_sets"])
 
 
 # caller-given pairs: every consecutive pair, its reverse, and a pair that ends a day late
@@ -1132,7 +1136,7 @@ LEFT JOIN ptr t USING (counterparty_id, netting_set_id, cob_date)"""
 @register("export_snapshots_json", _export_sql())
 def q_export_snapshots_json(spark, sf):
     st = domain.order_store(spark, sf)
-    return K.export_snapshots_json(st["snapshots"], st["trades"])
+    return K.export_snapshots_json(st.full_snapshots(), st["trades"])
 
 
 def queries() -> dict[str, QueryFn]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobframe.operators.ingest import IngestResult, ingest_batch
+from cobframe.operators.market_sets import attach_sets
 from cobframe.operators.store import append_snapshots, build_exposure_index, write_table
 from cobframe.session import ensure_checkpoint_dir
 from cobframe.sources import testdata as td
@@ -24,7 +25,7 @@ from cobframe.sources.staging import (read_staging_agreements, read_staging_mark
 
 AGREEMENT_ARRIVAL = ["arrival_seq"]
 TRADE_ARRIVAL = ["arrival"]
-STORE_VERSION = "4"
+STORE_VERSION = "5"
 
 
 def staged(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
@@ -116,7 +117,7 @@ class StoredTables:
     """Lazy access to the written tables (a table is listed only when used)."""
     NAMES = {"snapshots": "snapshots", "trades": "snapshot_trades",
              "snapshot_trades": "snapshot_trades", "exposure_index": "exposure_index",
-             "trade_index": "trade_index", "rejects": "rejects"}
+             "trade_index": "trade_index", "rejects": "rejects", "market_sets": "market_sets"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -124,6 +125,10 @@ class StoredTables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.read(name)
 
+    def full_snapshots(self) -> DataFrame:
+        """The snapshots with their rates in place of the digests."""
+        return attach_sets(self["snapshots"], self["market_sets"])
+
     def read(self, name: str, from_date=None, to_date=None) -> DataFrame:
         """A stored table; date bounds prune month directories and row groups."""
         return read_store_table(self.spark, self.root, self.NAMES[name], from_date, to_date).drop("batch_id")

@@ -4,7 +4,9 @@ A close-of-business (COB) snapshot is keyed by
 (counterparty_id, netting_set_id, cob_date).  Storage is long form:
 
 * ``snapshots``        one row per snapshot: agreement terms (struct), market
-                       data (struct of bounded maps), exposure, hash, times
+                       data (digests of the rate sets, matrix refs), exposure,
+                       hash, times
+* ``market_sets``      the rate sets of a date, each once, by digest
 * ``snapshot_trades``  one row per trade of a snapshot (never an array column,
                        so a netting set with very many trades is spread over
                        many tasks)
@@ -72,6 +74,13 @@ MARKET_DATA = T.StructType([
     T.StructField("price_matrices", T.MapType(T.StringType(), MATRIX_REF)),
 ])
 
+# What the store keeps of it: rate sets by their digest (``operators.market_sets``).
+STORED_MARKET_DATA = T.StructType([
+    T.StructField("fx_set", T.StringType()),
+    T.StructField("inflation_set", T.StringType()),
+    T.StructField("price_matrices", T.MapType(T.StringType(), MATRIX_REF)),
+])
+
 # Column lists of the landing CSV files (one directory per date/cp/ns).
 # The agreement file carries no independent_amount, rounding_amount or extra;
 # those take the staging defaults 0, 0 and {}.

@@ -65,6 +65,7 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
     audit them with ``integrity.audit_integrity`` after the move).  Trades
     keep their document ``position`` so recomputed hashes follow the stored
     order."""
+    from cobframe.operators.market_sets import detach_sets, market_sets
     from cobframe.operators.store import write_table, build_exposure_index, build_trade_index
     from cobframe.sources.stores import (begin_attempt, commit_attempt, is_committed,
                                          read_store_table, table_path)
@@ -77,9 +78,10 @@ def migrate_json_layout(spark: SparkSession, data_dir: str, root: str) -> str:
     snaps = (src["snapshots"].join(exposure, KEY, "left")
              .withColumn("exposure_total", F.coalesce("exposure_total", F.lit(0.0)))
              .withColumn("batch_id", F.lit(attempt)))
-    write_table(snaps.select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
-                        "ingested_at", "batch_id"),
+    write_table(detach_sets(snaps).select(*KEY, "agreement", "market_data", "exposure_total", "data_hash",
+                                          "ingested_at", "batch_id"),
            table_path(root, "snapshots"), "append", ["counterparty_id", "netting_set_id"])
+    write_table(market_sets(snaps).withColumn("batch_id", F.lit(attempt)), table_path(root, "market_sets"), "append", ["digest"])
     write_table(src["trades"].withColumn("position", F.col("position").cast("long"))
            .withColumn("batch_id", F.lit(attempt)),
            table_path(root, "snapshot_trades"), "append",

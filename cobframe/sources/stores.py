@@ -6,6 +6,7 @@ month directories (partition filter derived from the date bounds) and
 row groups (min/max of ``cob_date``):
 
     {root}/snapshots/cob_month=YYYY-MM-01/part-*.parquet
+    {root}/market_sets/cob_month=.../
     {root}/snapshot_trades/cob_month=.../
     {root}/exposure_index/cob_month=.../
     {root}/trade_index/cob_month=.../
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cobframe.functions.columns import date_range
-from cobframe.schema import AGREEMENT, MARKET_DATA, TRADE
+from cobframe.schema import AGREEMENT, STORED_MARKET_DATA, TRADE
 from cobframe.sources.files import file_system, path_exists, write_text
 
 PARTITION_COL = "cob_month"
@@ -37,9 +38,12 @@ _TAIL = [T.StructField("batch_id", T.StringType()), T.StructField(PARTITION_COL,
 # without trades on a fresh store) is an empty table, not an error.
 SCHEMAS = {
     "snapshots": T.StructType(_KEY_FIELDS + [
-        T.StructField("agreement", AGREEMENT), T.StructField("market_data", MARKET_DATA),
+        T.StructField("agreement", AGREEMENT), T.StructField("market_data", STORED_MARKET_DATA),
         T.StructField("exposure_total", T.DoubleType()), T.StructField("data_hash", T.StringType()),
         T.StructField("ingested_at", T.TimestampType())] + _TAIL),
+    "market_sets": T.StructType([
+        T.StructField("cob_date", T.DateType()), T.StructField("digest", T.StringType()),
+        T.StructField("rates", T.MapType(T.StringType(), T.DoubleType()))] + _TAIL),
     "snapshot_trades": T.StructType(_KEY_FIELDS + list(TRADE.fields)
                                     + [T.StructField("position", T.LongType())] + _TAIL),
     "exposure_index": T.StructType(_KEY_FIELDS + [
@@ -129,6 +133,10 @@ def read_snapshots(spark, root, from_date=None, to_date=None) -> DataFrame:
     return read_store_table(spark, root, "snapshots", from_date, to_date)
 
 
+def read_market_sets(spark, root, from_date=None, to_date=None) -> DataFrame:
+    return read_store_table(spark, root, "market_sets", from_date, to_date)
+
+
 def read_snapshot_trades(spark, root, from_date=None, to_date=None) -> DataFrame:
     return read_store_table(spark, root, "snapshot_trades", from_date, to_date)
 

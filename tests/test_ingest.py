@@ -350,9 +350,10 @@ def test_store_round_trip_rebuild_and_export(spark):
     K.rebuild_indexes(spark, root, MON, MON)
     assert read_exposure_index(spark, root).count() == 2
     # K5 export: documents carry extra as an object; hash recomputes from the JSON
-    from cobframe.sources.stores import read_snapshot_trades
+    from cobframe.operators.market_sets import attach_sets
+    from cobframe.sources.stores import read_market_sets, read_snapshot_trades
     docs = [json.loads(x.value) for x in
-            K.export_snapshots_json(snaps, read_snapshot_trades(spark, root)).collect()]
+            K.export_snapshots_json(attach_sets(snaps, read_market_sets(spark, root)), read_snapshot_trades(spark, root)).collect()]
     doc = [d for d in docs if d["netting_set_id"] == "RATES-USD"][0]
     assert doc["trades"][1]["extra"] == {"x": 1.5}
     assert whole_hash(doc) == doc["data_hash"]

@@ -39,7 +39,7 @@ def ingest(spark, root, shift=0):
 
 
 @pytest.mark.parametrize("earlier", [False, True])
-@pytest.mark.parametrize("last", [0, 1, 2, 3, 4])
+@pytest.mark.parametrize("last", [0, 1, 2, 3, 4, 5])
 def test_crash_after_any_write_then_replay(spark, monkeypatch, last, earlier):
     root = tempfile.mkdtemp(prefix="store-")
     if earlier:
