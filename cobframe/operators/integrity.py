@@ -18,6 +18,7 @@ from cobframe.functions.canonical_text import (header_text, joined, map_text, ma
                                                 stored_market_text, trade_text)
 from cobframe.operators.market_sets import SETS, attach_sets, distinct_sets
 from cobframe.schema import HASH_PREFIX, KEY
+from cobframe.session import written
 
 _JSON_OPTS = {"ignoreNullFields": "false"}
 MOST_TRADES = 5_000      # trades of a document that is put together in one row
@@ -76,7 +77,7 @@ def with_head(headers: DataFrame, sets: DataFrame | None = None) -> DataFrame:
 
 def native_hashes(headers: DataFrame, trades: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """H2 by expressions alone, for snapshots whose every text they can prove
-    and whose trades fit one row (see ``unproven``); NULL where a text is not."""
+    and whose trades fit one row; NULL where a text is not proven."""
     position = trades["position"].cast("long") if "position" in trades.columns else F.lit(None).cast("long")
     listed = (trades.select(*KEY, position.alias("position"), "trade_id", trade_text().alias("text"))
               .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("position", "trade_id", "text"))).alias("_trades")))
@@ -86,28 +87,29 @@ def native_hashes(headers: DataFrame, trades: DataFrame, sets: DataFrame | None
             .select(*KEY, F.concat(F.lit(HASH_PREFIX), F.sha2(document, 256)).alias("data_hash")))
 
 
-def unproven(headers: DataFrame, trades: DataFrame, most_trades: int, sets: DataFrame | None = None) -> DataFrame:
-    """Keys whose document has a text only Python renders, or more than
-    ``most_trades`` trades: too many for one row."""
-    of_trades = (trades.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.max(trade_text().isNull()).alias("_open"))
-                 .where((F.col("_n") > most_trades) | F.col("_open")))
-    return (with_head(headers, sets).where(F.col("_head").isNull()).select(*KEY)
-            .unionByName(of_trades.select(*KEY)).distinct())
-
-
 def snapshot_hashes(headers: DataFrame, trades: DataFrame, most_trades: int = MOST_TRADES,
                     sets: DataFrame | None = None) -> DataFrame:
     """H2: ``sha256-v1:`` hash per snapshot key (``sets`` for headers in stored form).
 
-    Nearly all documents are rendered and hashed by expressions.  The keys
-    of the others (see ``unproven``; usually none, and then AQE drops the branch)
-    go through Python, where a hot netting set's text is one stream.
+    Nearly all documents are rendered and hashed by expressions, once, into a
+    written table.  Those with a text that is not proven, and those of more than
+    ``most_trades`` trades (too many for one row), go through Python, where a hot
+    netting set's text is one stream; where there are none, nothing of it is planned.
     """
-    rest = unproven(headers, trades, most_trades, sets)
-    native = native_hashes(headers.join(rest, KEY, "left_anti"), trades.join(rest, KEY, "left_anti"), sets)
+    large = written(trades.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_trades).select(*KEY), "large")
+    if large.isEmpty():
+        native = native_hashes(headers, trades, sets)
+    else:
+        native = (native_hashes(headers, trades.join(large, KEY, "left_anti"), sets)
+                  .join(large.withColumn("_large", F.lit(True)), KEY, "left")
+                  .select(*KEY, F.when(F.col("_large").isNull(), F.col("data_hash")).alias("data_hash")))
+    native = written(native, "hashes")
+    rest = native.where(F.col("data_hash").isNull()).select(*KEY)
+    if rest.isEmpty():
+        return native
     others = headers.join(rest, KEY, "left_semi")
     streamed = streamed_hashes(others if sets is None else attach_sets(others, sets), trades.join(rest, KEY, "left_semi"))
-    return native.unionByName(streamed)
+    return native.where(F.col("data_hash").isNotNull()).unionByName(streamed)
 
 
 def attach_hash(headers: DataFrame, trades: DataFrame) -> DataFrame:
