@@ -202,7 +202,7 @@ class Tiles:
     """Tokens, groups and links of the tiles a worker has met, up to a number of
     them, after which it starts afresh."""
 
-    def __init__(self, path_a: str, path_b: str, remember: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, remember: int = 200_000):
         self.vocabularies = Vocabularies(path_a, path_b)
         self.remember = remember
         self.clear()
@@ -458,7 +458,7 @@ def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Texts that are not cut: their digests, and their distinct pairs with how
     often each is linked."""
     def run(batch):
-        for part in common.slices(batch, "text", 2_000_000):
+        for part in common.slices(batch, "text", 1_000_000):
             known = tiles(path_a, path_b)
             span = known.vocabularies.size_a * known.vocabularies.size_b
             read = known.read(spaced(part.column("text").to_pylist()))
