@@ -17,6 +17,7 @@ from cobframe.operators.assemble import nest_trades
 from cobframe.operators.market_sets import SETS, detach_sets, distinct_sets, is_stored_form
 from cobframe.operators.validate import date_range_filter, key_filter, threshold_filter
 from cobframe.schema import KEY, PORTFOLIO_DEFAULT_TOP
+from cobframe.session import written
 
 TRADE_COLUMNS = ["trade_id", "product_type", "notional", "currency", "direction", "maturity_date"]
 
@@ -219,8 +220,8 @@ def portfolio(exposure_index: DataFrame, cob_date=None, threshold: float | None
     One date: ``orderBy(..).limit(n)`` (TakeOrderedAndProject, top-k kept per
     task).  All dates: ``row_number() <= n`` per date, which Spark plans as a
     partial WindowGroupLimit before the shuffle, so no date ships more than
-    n rows per task.  Without ``top_n`` the result is the ranking order itself
-    (sorted by date, then rank order) with no rank column.
+    n rows per task.  Without ``top_n`` every row has its rank, without a window
+    over a whole date (see ``ranked``).
     """
     if top_n is not None and top_n < 1:
         raise ValueError("top_n must be >= 1")
@@ -231,12 +232,33 @@ def portfolio(exposure_index: DataFrame, cob_date=None, threshold: float | None
         w = Window.partitionBy("cob_date").orderBy(*rank_order())
         return top.withColumn("rank", F.row_number().over(w)).select(*cols, "rank")
     if top_n is None:
-        # the full ranking of a date is its sort order: a global range-partitioned
-        # sort splits a very large date over many tasks (no per-date window)
-        return e.select(*cols, "ingested_at").orderBy("cob_date", *rank_order()).select(*cols)
+        return ranked(e.select(*cols, "ingested_at")).select(*cols, "rank")
     w = Window.partitionBy("cob_date").orderBy(*rank_order())
-    ranked = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    return ranked.select(*cols, "rank")
+    first = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return first.select(*cols, "rank")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rank`` within their date, however many rows a date has.
+
+    A range-partitioned sort, written once, deals the ranking order over tasks:
+    a date lies in consecutive partitions.  A row's rank is its place in its
+    partition, counted from the date's first row there, plus the date's rows in
+    the partitions before; of those there is one count per (date, partition)."""
+    order = ["cob_date", *rank_order()]
+    places = written(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                     .withColumn("_id", F.monotonically_increasing_id()), "ranking")
+    # the id holds the partition above its lower 33 bits and the row's place in them
+    places = places.withColumn("_part", F.shiftright("_id", 33))
+    counts = places.groupBy("cob_date", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    per_date = counts.groupBy("cob_date").agg(F.array_sort(F.collect_list(F.struct("_part", "_n", "_first"))).alias("_parts"))
+    starts = per_date.select("cob_date", F.explode(F.transform("_parts", lambda p: F.struct(
+        p["_part"].alias("_part"), p["_first"].alias("_first"),
+        F.aggregate(F.filter("_parts", lambda q: q["_part"] < p["_part"]), F.lit(0).cast("long"),
+                    lambda n, q: n + q["_n"]).alias("_before")))).alias("s")).select("cob_date", "s.*")
+    return (places.join(starts, ["cob_date", "_part"])
+            .withColumn("rank", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int"))
+            .drop("_id", "_part", "_first", "_before"))
 
 
 def who_matters(exposure_index: DataFrame, cob_date=None, threshold: float | None = None,

@@ -44,14 +44,24 @@ def build_trade_index(trades: DataFrame) -> DataFrame:
     return trades.select("trade_id", *KEY, *batch).distinct()
 
 
+# Every row group's range of trade ids spans most of them, so a lookup by id is
+# told by Bloom filters (or, where few ids repeat, by the column's dictionary).
+LOOKED_UP = ("trade_id",)
+
+
 def write_table(df: DataFrame, path: str, mode: str, sort_cols: list[str]) -> None:
     """Month-partitioned, date/key-sorted parquet (see ``sources.stores``).
 
     The rebalance shuffle deals rows by month and lets AQE cut a large month
     into tasks (and files) of the advisory size, and join small ones."""
-    (df.withColumn(PARTITION_COL, month_of(F.col("cob_date")))
-       .hint("rebalance", PARTITION_COL).sortWithinPartitions(PARTITION_COL, "cob_date", *sort_cols)
-       .write.mode(mode).partitionBy(PARTITION_COL).parquet(path))
+    writer = (df.withColumn(PARTITION_COL, month_of(F.col("cob_date")))
+              .hint("rebalance", PARTITION_COL).sortWithinPartitions(PARTITION_COL, "cob_date", *sort_cols)
+              .write.mode(mode).partitionBy(PARTITION_COL))
+    for c in LOOKED_UP:
+        if c in df.columns:
+            writer = (writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+                      .option("parquet.bloom.filter.adaptive.enabled", "true"))
+    writer.parquet(path)
 
 
 def append_snapshots(result: IngestResult, root: str, batch_id: str | None = None) -> str:
@@ -122,7 +132,7 @@ def rebuild_indexes(spark: SparkSession, root: str, from_date=None, to_date=None
         tmp = table_path(root, f"_rebuild_{name}_{uuid.uuid4().hex}")
         write_table(df, tmp, "overwrite", sort)
         fresh = spark.read.schema(SCHEMAS[name]).parquet(tmp)
-        (fresh.write.mode("overwrite").partitionBy(PARTITION_COL)
+        (fresh.write.mode("overwrite").options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP if c in fresh.columns}).partitionBy(PARTITION_COL)
          .option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name)))
 
 

@@ -409,7 +409,7 @@ def q_null_numeric_counts(spark, sf):
 
 
 def _raw_ingest(spark, sf):
-    return domain.ingest_orders(spark, sf, clean_ids=False)
+    return domain.raw_ingest(spark, sf)
 
 
 @register("rejects_by_reason", "WITH " + O.agreements_raw(clean=False) + """,
@@ -483,7 +483,7 @@ SELECT counterparty_id, netting_set_id, cob_date, n_expected, n_missing,
        CASE WHEN n_missing > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status
 FROM completeness""")
 def q_completeness_check(spark, sf):
-    return domain.ingest_orders(spark, sf).completeness
+    return domain.completeness(spark, sf)
 
 
 def _raw_outcomes_sql() -> str:
@@ -531,8 +531,7 @@ UNION ALL
 SELECT NULL, CAST(sum(posted) AS BIGINT), CAST(sum(skipped) AS BIGINT),
        CAST(sum(incomplete) AS BIGINT), CAST(sum(errors) AS BIGINT) FROM per""")
 def q_backfill_counts(spark, sf):
-    result = domain.ingest_orders(spark, sf, clean_ids=False, from_date=BACKFILL_FROM, to_date=BACKFILL_TO)
-    return I.backfill_counts(result, BACKFILL_FROM, BACKFILL_TO)
+    return I.backfill_counts(_raw_ingest(spark, sf), BACKFILL_FROM, BACKFILL_TO)
 
 
 @register("ingest_status", "WITH " + O.agreements_raw(clean=False) + ",\n" + O.agreements_good()
@@ -724,9 +723,7 @@ def q_portfolio_topn(spark, sf):
     return Q.portfolio(domain.event_index(spark, sf), top_n=PORTFOLIO_TOP)
 
 
-@register("portfolio_threshold", "WITH " + O.feed() + f"""
-SELECT cob_date, counterparty_id, netting_set_id, exposure_total FROM feed
-WHERE exposure_total >= {PORTFOLIO_THRESHOLD}""")
+@register("portfolio_threshold", "WITH " + O.feed() + _rank_sql("feed", f"WHERE exposure_total >= {PORTFOLIO_THRESHOLD}"))
 def q_portfolio_threshold(spark, sf):
     return Q.portfolio(domain.event_index(spark, sf), threshold=PORTFOLIO_THRESHOLD)
 

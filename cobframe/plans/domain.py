@@ -13,12 +13,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobframe.operators.ingest import IngestResult, ingest_batch
+from cobframe.operators.ingest import IngestResult, completeness_check, ingest_batch
+from cobframe.operators.integrity import hash_matrices, verify_matrices
 from cobframe.operators.market_sets import attach_sets
 from cobframe.operators.store import append_snapshots, build_exposure_index, write_table
+from cobframe.operators.validate import mark_agreements
 from cobframe.session import ensure_checkpoint_dir
 from cobframe.sources import testdata as td
-from cobframe.sources.files import path_exists, read_text, write_text
+from cobframe.sources.files import path_exists, read_text, signature, write_text
 from cobframe.sources.stores import begin_attempt, commit_attempt, read_store_table, table_path
 from cobframe.sources.staging import (read_staging_agreements, read_staging_market_data,
                                       read_staging_trades)
@@ -52,6 +54,33 @@ def ingest_orders(spark: SparkSession, sf_dir: str, clean_ids: bool = True,
                         arrival=AGREEMENT_ARRIVAL, trade_arrival=TRADE_ARRIVAL, stage=stage)
 
 
+SOURCES = ("orders", "lineitem", "part", "documents")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    return signature(spark, [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in SOURCES])
+
+
+_RAW: dict[tuple[str, str], IngestResult] = {}
+
+
+def raw_ingest(spark: SparkSession, sf_dir: str) -> IngestResult:
+    """The ingest job over ids as they come, once per application and state of
+    the source files: its written intermediates serve all that is asked of it."""
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir))
+    if key not in _RAW:
+        _RAW[key] = ingest_orders(spark, sf_dir, clean_ids=False)
+    return _RAW[key]
+
+
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 over the staged agreements and the matrix files, all that it needs of the ingest."""
+    s = staged(spark, sf_dir)
+    marked = mark_agreements(s["agreements"], AGREEMENT_ARRIVAL)
+    good = marked.where(F.col("reject_reason").isNull())
+    return completeness_check(good, verify_matrices(hash_matrices(s["files"]), s["manifest"]))
+
+
 def work_stage(spark: SparkSession, folder: str):
     """``stage`` callback writing each intermediate to ``folder/name`` and
     reading it back: the written table cuts the lineage (and survives the
@@ -80,8 +109,9 @@ CODE_VERSION = _code_version()
 
 
 def store_root(spark: SparkSession, sf_dir: str, rounding_noise: bool = False) -> str:
-    """Folder of the mapping-A store inside the session's shared checkpoint folder."""
-    tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{rounding_noise}|{CODE_VERSION}".encode())
+    """Folder of the mapping-A store inside the session's shared checkpoint
+    folder, of its own for every state of the source files."""
+    tag = hashlib.sha1(f"{source_state(spark, sf_dir)}|{rounding_noise}|{CODE_VERSION}".encode())
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobframe-store-{tag.hexdigest()[:16]}"
 
 

@@ -42,6 +42,18 @@ def paths_match(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def signature(spark: SparkSession, paths: list[str]) -> str:
+    """Names, lengths and times of the files at the given paths (a folder's own
+    files): the same as long as nothing was written there."""
+    seen = []
+    for path in paths:
+        fs, p = file_system(spark, path)
+        if fs.exists(p):
+            seen += sorted(f"{st.getPath().getName()}|{st.getLen()}|{st.getModificationTime()}" for st in fs.listStatus(p))
+        seen.append(path)
+    return "\n".join(seen)
+
+
 def folder_files(spark: SparkSession, root: str, folders: list[str]) -> set[str]:
     """``folder/name`` of every file that lies directly in the given folders of ``root``."""
     base, out = root.rstrip("/"), set()

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cobframe.operators import query as Q
 from tests.conftest import MON, TRADE_SCHEMA, TUE, trade
@@ -94,7 +96,8 @@ def test_exposure_history(store):
 
 def test_portfolio_ranking(store):
     e = store["exposure_index"]
-    rows = Q.portfolio(e, MON).collect()
+    rows = sorted(Q.portfolio(e, MON).collect(), key=lambda r: r.rank)
+    assert [r.rank for r in rows] == [1, 2, 3]
     assert [r.counterparty_id for r in rows] == ["ZEPHYR", "NORDBANK", "NORDBANK"]
     assert [r.exposure_total for r in rows] == [820000.0, 310000.0, 90000.0]
     assert Q.portfolio(e, MON, threshold=310000.0).count() == 2
@@ -104,6 +107,21 @@ def test_portfolio_ranking(store):
         Q.portfolio(e, MON, top_n=0)
 
 
+def test_every_row_of_a_date_has_its_rank(spark):
+    """A date over many tasks, dates that share a task, ties, a null exposure."""
+    rows = spark.range(6000).select(
+        F.expr("date_add(date'2024-01-01', cast(CASE WHEN id < 4000 THEN 0 ELSE id % 9 END AS int))").alias("cob_date"),
+        F.concat(F.lit("CP-"), F.col("id")).alias("counterparty_id"), F.lit("N").alias("netting_set_id"),
+        F.expr("CASE WHEN id % 977 = 0 THEN NULL ELSE cast(pmod(xxhash64(id), 300) AS double) END").alias("exposure_total"),
+        F.expr("timestamp'2024-02-01' + make_interval(0, 0, 0, cast(id % 3 AS int))").alias("ingested_at")).repartition(6)
+    got = Q.portfolio(rows, threshold=None)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = Window.partitionBy("cob_date").orderBy(*Q.rank_order())
+    want = rows.withColumn("rank", F.row_number().over(plain)).select(*got.columns)
+    assert got.count() == 6000 and got.exceptAll(want).count() == 0
+    assert got.where("cob_date = date'2024-01-01'").agg(F.max("rank")).first()[0] > 4000
+
+
 def test_portfolio_all_dates_uses_group_limit(store):
     df = Q.portfolio(store["exposure_index"], top_n=2)
     assert {(r.cob_date, r.rank) for r in df.collect()} == {(MON, 1), (MON, 2), (TUE, 1), (TUE, 2)}
@@ -140,7 +158,6 @@ def test_notionals_are_summed_as_stored(spark):
 
 
 def test_index_staleness(spark, store):
-    from pyspark.sql import functions as F
     idx = store["exposure_index"].where(F.col("cob_date") == MON)
     rows = {r.cob_date: r for r in Q.index_staleness(store["snapshots"], idx).collect()}
     assert rows[MON].stale is False and rows[TUE].stale is True

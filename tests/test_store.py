@@ -132,3 +132,29 @@ def test_dry_run_writes_nothing(spark):
     result = ingest(spark, root)
     assert result.snapshots.count() == 2 and result.rejects.count() == 3
     assert os.listdir(root) == []
+
+
+def scanned(df):
+    """Rows that the scan of a filtered table hands on, after row groups were left out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_lookups_by_trade_id_skip_row_groups(spark):
+    """An id that no row group holds is read from none of them, though it lies
+    between their smallest and largest."""
+    root = tempfile.mkdtemp(prefix="bloom-")
+    rows = spark.range(40_000).select(
+        F.concat(F.lit("T-"), F.lpad((F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)) * 2).cast("string"), 14, "0")).alias("trade_id"),
+        F.lit("CP").alias("counterparty_id"), F.col("id").cast("string").alias("netting_set_id"),
+        F.lit(MON).alias("cob_date"), F.lit("b").alias("batch_id"))
+    for part in range(4):
+        K.write_table(rows.where(F.col("netting_set_id").cast("long") % 4 == part), root, "append", ["counterparty_id", "netting_set_id"])
+    table = spark.read.schema(S.SCHEMAS["trade_index"]).parquet(root)
+    assert table.count() == 40_000
+    some = rows.orderBy("trade_id").limit(3).collect()[2]["trade_id"]
+    odd = some[:-1] + str(int(some[-1]) + 1)
+    assert scanned(table.where(F.col("trade_id") == odd)) == 0
+    assert scanned(table.where(F.col("trade_id") == some)) == 10_000  # one file of four
+    assert table.where(F.col("trade_id") == some).count() == 1
