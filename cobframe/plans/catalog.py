@@ -148,7 +148,7 @@ def q_assemble_snapshots(spark, sf):
     stats = (st["trades"].groupBy(*KEY)
              .agg(F.count(F.lit(1)).alias("n"),
                   F.sum("notional").alias("s")))
-    h = st["snapshots"].join(stats, KEY, "left")
+    h = st.full_snapshots().join(stats, KEY, "left")
     return h.select(*KEY, "agreement.agreement_id", "agreement.currency",
                     "agreement.threshold_amount",
                     F.array_join("agreement.eligible_collateral", ",").alias("eligible_collateral"),
