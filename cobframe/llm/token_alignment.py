@@ -202,7 +202,7 @@ class Tiles:
     """Tokens, groups and links of the tiles a worker has met, up to a number of
     them, after which it starts afresh."""
 
-    def __init__(self, path_a: str, path_b: str, remember: int = 200_000):
+    def __init__(self, path_a: str, path_b: str, remember: int = 150_000):
         self.vocabularies = Vocabularies(path_a, path_b)
         self.remember = remember
         self.clear()
@@ -254,6 +254,18 @@ def tiles(path_a: str, path_b: str) -> Tiles:
     return common.remembered(("tiles", path_a, path_b), lambda: Tiles(path_a, path_b))
 
 
+def by_task(df: DataFrame, fn, schema: str, path_a: str, path_b: str) -> DataFrame:
+    """``map_batches`` whose worker keeps the tokenizers, but forgets the tiles
+    when a task ends: workers that wait for a next one hold little."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from fn(batch)
+                pa.default_memory_pool().release_unused()
+        tiles(path_a, path_b).clear()
+    return df.mapInArrow(run, schema)
+
+
 def spaced(texts: list[str | None]) -> list[str]:
     """What is tokenized: a blank and the text; nothing for an empty one."""
     return [" " + t if t else "" for t in texts]
@@ -415,7 +427,7 @@ def long_texts(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int) -> D
     chunks = common.staged(common.map_batches(rows, split, "row long, doc_id long, seq long, cover string, skip long, size long"),
                            "chunks")
     # from here on the ranges of one text lie in as many tasks as there are
-    parts = common.staged(common.map_batches(chunks.repartition(F.xxhash64("row", "seq")), leaves, FRAGMENT_SCHEMA), "fragments")
+    parts = common.staged(by_task(chunks.repartition(F.xxhash64("row", "seq")), leaves, FRAGMENT_SCHEMA, path_a, path_b), "fragments")
     most = parts.agg(F.max("seq")).first()[0] or 0
     while most:
         parts = common.staged(parts.groupBy("row", F.floor(F.col("seq") / FAN)).applyInArrow(join, FRAGMENT_SCHEMA), "fragments")
@@ -475,7 +487,7 @@ def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *map(pa.array, sums), zeros, zeros, pa.array(shas, pa.string()),
                  lists(keys % span, distinct, pa.int64()), lists(times, distinct, pa.int64())], ROW_NAMES)
-    return common.map_batches(texts, run, ROW_SCHEMA)
+    return by_task(texts, run, ROW_SCHEMA, path_a, path_b)
 
 
 def digested(parts: DataFrame) -> DataFrame:
