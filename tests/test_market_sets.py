@@ -124,3 +124,23 @@ def test_store_keeps_digests_and_audits_them(spark):
     audit = audit_integrity(stored, S.read_snapshot_trades(spark, root), sets).collect()
     assert len(audit) == 4 and {r.status for r in audit} == {"OK"}
     assert attach_sets(stored, sets).where(F.col("cob_date") == MON).first().market_data.fx_rates == {"USD/GBP": 0.79}
+
+
+def test_ingest_names_its_rates_by_digest_and_makes_each_text_once_a_date(spark):
+    ag, tr, md = staging(spark)
+    staged = {}
+
+    def stage(name, df):
+        staged[name] = df
+        return df
+    r = ingest_batch(ag, tr, md, stage=stage)
+    # no rates travel with a snapshot, and the rates of a date are one row
+    assert is_stored_form(staged["snapshots"]) and is_stored_form(r.stored)
+    assert staged["rates"].count() == staged["rates"].select("cob_date").distinct().count()
+    assert "map<string,double>" not in dict(staged["snapshots"].dtypes)["market_data"]
+    # both forms say the same
+    assert sorted(map(repr, attach_sets(r.stored, r.sets).collect())) == sorted(map(repr, r.snapshots.collect()))
+    assert sorted(map(repr, detach_sets(r.snapshots).collect())) == sorted(map(repr, r.stored.collect()))
+    assert sorted(map(repr, market_sets(r.snapshots).collect())) == sorted(map(repr, r.sets.collect()))
+    full = {x.netting_set_id: x.data_hash for x in r.hashed().collect()}
+    assert full == {x.netting_set_id: x.data_hash for x in r.hashed_stored().collect()}
