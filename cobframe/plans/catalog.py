@@ -26,7 +26,7 @@ from cobframe.plans import oracle as O
 from cobframe.schema import KEY
 from cobframe.sources import testdata as td
 from cobframe.sources.staging import (dedupe_first, read_staging_agreements,
-                                      read_staging_market_data, read_staging_trades, type_landing)
+                                      landing_rows, read_staging_market_data, read_staging_trades)
 from cobframe.sources.stores import read_store_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -115,12 +115,12 @@ SELECT counterparty_id, netting_set_id, cob_date, coalesce(split_part(p, '|', 1)
 FROM marked GROUP BY ALL""")
 def q_landing_rejects(spark, sf):
     raw = td.landing_trade_texts(spark, sf)
-    good, bad = type_landing(raw, "staging_trades")
-    typed = good.select("counterparty_id", "netting_set_id", F.col("cob_date").cast("string").alias("cob_date"),
-                        F.lit("OK").alias("status"), F.lit(None).cast("string").alias("detail"), "notional")
-    spoilt = bad.select("counterparty_id", "netting_set_id", "cob_date", F.col("reject_reason").alias("status"),
-                        "detail", F.lit(None).cast("double").alias("notional"))
-    return (typed.unionByName(spoilt).groupBy("counterparty_id", "netting_set_id", "cob_date", "status", "detail")
+    typed = F.col("reject_reason").isNull()
+    # typed rows and rejects from one reading of the texts
+    rows = landing_rows(raw, "staging_trades").select(
+        *[F.when(typed, F.col(c).cast("string")).otherwise(F.col("_key")[c]).alias(c) for c in KEY],
+        F.coalesce("reject_reason", F.lit("OK")).alias("status"), "detail", F.when(typed, F.col("notional")).alias("notional"))
+    return (rows.groupBy("counterparty_id", "netting_set_id", "cob_date", "status", "detail")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("notional"), 6).alias("total_notional")))
 
 

@@ -42,3 +42,28 @@ def test_projection_is_pruned_to_needed_columns(spark):
     read_schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "extra" not in read_schema and "maturity_date" not in read_schema
     assert "notional" in read_schema and "product_type" in read_schema
+
+
+def test_landed_rows_are_read_once_for_typed_rows_and_rejects(spark):
+    from cobframe.plans import catalog
+    plan = catalog.queries()["landing_rejects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 3  # lineitem, orders and part, each once
+
+
+def test_a_first_row_carries_each_column_once(spark):
+    from cobframe.sources.staging import dedupe_first
+    df = spark.createDataFrame([("k", 2, 5.0, "late"), ("k", 1, 7.0, "first"), ("n", None, -0.0, None)],
+                               "id string, at int, amount double, note string")
+    first = dedupe_first(df, ["id"], ["at"])
+    assert first.columns == df.columns and sorted(map(tuple, first.collect())) == [("k", 1, 7.0, "first"), ("n", None, -0.0, None)]
+    assert "min_by" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert dedupe_first(df, ["id"], ["at"], keep=["note"]).columns == ["id", "note"]
+
+
+def test_marked_rows_keep_the_sign_of_zero(spark):
+    from cobframe.operators.validate import reject_duplicates
+    rows = [("C", "N", -0.0, {"a": 1}, 1), ("C", "N", 3.0, {"b": 2}, 2), ("D", "N", -0.0, None, None)]
+    df = spark.createDataFrame(rows, "counterparty_id string, netting_set_id string, amount double, more map<string,int>, at int")
+    df = df.selectExpr("counterparty_id", "netting_set_id", "DATE'2024-01-01' AS cob_date", "amount", "more", "at")
+    good = {r.counterparty_id: r for r in reject_duplicates(df, ["at"]).good.collect()}
+    assert str(good["C"].amount) == str(good["D"].amount) == "-0.0" and good["C"].more == {"a": 1}
