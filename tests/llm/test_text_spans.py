@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from cobframe.llm import chat, decontaminate, substring
 from tests.llm.helpers import AWKWARD, docs_frame, prose
@@ -137,6 +138,24 @@ def test_every_reply_is_an_example_of_its_own(spark):
     assert not texts
 
 
+def test_loss_columns_are_read_from_the_expanded_examples(spark):
+    turns = chat.format_turns(conversations(spark, TURNS))
+    rows = chat.expand(turns).collect()
+    texts = {}
+    for r in rows:
+        if r["rendered"] is None:
+            context = texts.get(r["conv_id"], "")
+            assert (r["context_end"], r["context_sha256"]) == (len(context), hashlib.sha256(context.encode()).hexdigest())
+            assert r["loss_end"] <= len(context + r["completion"])
+        else:
+            texts[r["conv_id"]] = texts.get(r["conv_id"], "") + r["rendered"]
+    assert sum(r["rendered"] is None for r in rows) == sum(t[2] == "assistant" for t in TURNS)
+    # an example whose context is not its conversation's prefix is an error
+    moved = turns.withColumn("start", F.when(F.col("target"), F.col("start") + 1).otherwise(F.col("start")))
+    with pytest.raises(Exception, match="not its prefix"):
+        chat.digests(moved).collect()
+
+
 def test_chat_without_rows(spark):
     assert chat.digests(chat.format_turns(conversations(spark, []))).count() == 0
 
