@@ -124,5 +124,5 @@ def test_whole_numbers_of_up_to_fifteen_digits_are_proven(spark):
     values = [0.0, -0.0, 1.0, -7.0, 50000.0, 1e6, 123456789012345.0, -999999999999999.0, 0.5, None]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", canonical_text.number_text(F.col("x")).alias("t")).collect()
     assert [r.t for r in rows] == [json.dumps(r.x) for r in rows]
-    big = spark.createDataFrame([(1e15,), (float("nan"),), (float("inf"),)], "x double").select(number_text(F.col("x")).alias("t"))
+    big = spark.createDataFrame([(1e15,), (float("nan"),), (float("inf"),)], "x double").select(canonical_text.number_text(F.col("x")).alias("t"))
     assert [r.t for r in big.collect()] == [None] * 3
