@@ -205,3 +205,27 @@ def test_given_secrets_are_found(spark):
     got = secret_scan.find_secrets(docs).agg(F.sum("n_assign"), F.sum("n_access"), F.sum("n_hex")).collect()[0]
     spans = [s for r in docs.collect() for s in plain_spans(r["text"] or "")]
     assert tuple(got) == tuple(sum(k == kind for k, _, _ in spans) for kind in PLAIN)
+
+
+def many_texts(n=700):
+    rnd = random.Random(8)
+    for i in range(n):
+        word = "".join(rnd.choices("0123456789abcdef", k=24)) if i % 5 == 0 else "".join(rnd.choices("ghijklmnopqrstuvwxyz", k=rnd.randint(13, 20)))
+        yield f"{prose(i, 6)} key {word} {prose(i + 1, 5)}"
+
+
+def test_every_window_is_learnt_from(spark, monkeypatch):
+    """More findings than fit in one go: none is left out, neither of training nor of the threshold."""
+    texts = list(many_texts())
+    made = {(secret_scan.window(t, a, b), int(secret_scan.overlaps(a, b, secret_scan.base_spans(t)))) for t in texts for _, _, a, b in secret_scan.candidates(t)}
+    seen = {}
+    whole = secret_scan.fit_all
+    monkeypatch.setattr(secret_scan, "fit_all", lambda found, counts, *rest: (seen.update(rows=found.collect(), counts=counts), whole(found, counts, *rest))[1])
+    net = secret_scan.train(docs_frame(spark, list(enumerate(texts * 2))), at_once=50)
+    assert {(bytes(r["w"]), r["y"]) for r in seen["rows"]} == made and len(seen["rows"]) == len(made)
+    assert seen["counts"][1] == 140 and sum(seen["counts"].values()) == len(made) and 0 < sum(r["back"] for r in seen["rows"]) < len(made) / 2
+    kept = [r for r in seen["rows"] if r["back"]]
+    p = net.probability([bytes(r["w"]) for r in kept])
+    known = np.array([r["y"] for r in kept]) == 1
+    assert net.recall >= 0.98 and np.isclose(np.mean(p[known] >= net.threshold - 1e-9), net.recall)
+    assert net.precision >= 0.9
