@@ -21,6 +21,7 @@ patterns stand alone; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from dataclasses import dataclass
 
@@ -42,6 +43,7 @@ RUN = re.compile(r"[!-~]{12,}")
 BEFORE, HEAD, TAIL, AFTER = 32, 40, 24, 16
 BODY = HEAD + TAIL
 WINDOW = BEFORE + BODY + AFTER
+INSIDE = np.repeat([0.0, 1.0, 0.0], [BEFORE, BODY, AFTER])
 LEAST = 8                # findings of each sort, so that a network is trained
 MOST_STEPS = 10_000      # of scores, either way
 WINDOWS_A_FILE = 20_000  # of those learnt from
@@ -157,19 +159,25 @@ class Network:
         hid = np.maximum(pooled @ self.hidden + self.hidden_bias, 0)
         return hid @ self.out + self.out_bias, (cols, pre, (at_in, at_out), pooled, hid)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The convolution's weights by place; what a class adds at each of its places, two
+        classes at two neighbouring ones, and a window's place itself."""
+        width, filters = self.WIDTH, self.conv.shape[1]
+        by_place = self.conv.reshape(width, -1, filters)
+        single = self.embed @ by_place[:, :-1]
+        pairs = (single[:-1:2, :, None] + single[1::2, None]).reshape(-1, CLASSES * CLASSES, filters)
+        count = WINDOW - width + 1
+        bias = sum(INSIDE[k:count + k, None] * by_place[k, -1] for k in range(width)) + self.conv_bias
+        return by_place, single, pairs, bias
+
     def probability(self, windows: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(windows) + self.shift, -35, 35)))
 
     def scores(self, windows: list[bytes]) -> np.ndarray:
         # what forward() does, by sums over tables: classes in pairs, and the places inside
-        width, filters = self.WIDTH, self.conv.shape[1]
-        by_place = self.conv.reshape(width, -1, filters)
-        single = [(self.embed @ by_place[k, :-1]).astype(np.float32) for k in range(width)]
-        pairs = [(single[k][:, None] + single[k + 1][None]).reshape(-1, filters) for k in range(0, width - 1, 2)]
-        flag = np.zeros(WINDOW)
-        flag[BEFORE:BEFORE + BODY] = 1
+        width = self.WIDTH
         count = WINDOW - width + 1
-        bias = (sum(flag[k:count + k, None] * by_place[k, -1] for k in range(width)) + self.conv_bias).astype(np.float32)
+        single, pairs, bias = (t.astype(np.float32) for t in self.tables()[1:])
         mid = slice(BEFORE, BEFORE + BODY - width + 1)
         got = [np.zeros(0)]
         for at in range(0, len(windows), 256):
@@ -184,6 +192,12 @@ class Network:
         return np.concatenate(got)
 
 
+# places of the convolution inside the candidate, then the others
+PLACES = np.arange(WINDOW - Network.WIDTH + 1)
+N_MID = BODY - Network.WIDTH + 1
+PLACES = np.concatenate([PLACES[BEFORE:BEFORE + N_MID], PLACES[:BEFORE], PLACES[BEFORE + N_MID:]])
+LAST_OF = PLACES + Network.WIDTH - 1
+
 PARTS = ("embed", "conv", "conv_bias", "hidden", "hidden_bias", "out", "out_bias")
 
 
@@ -192,51 +206,69 @@ class Descent:
 
     def __init__(self, rng: np.random.Generator, filters: int):
         dim = 8
-        self.net = Network(rng.normal(0, 0.3, (CLASSES, dim)), rng.normal(0, 0.15, (Network.WIDTH * (dim + 1), filters)),
-                           np.zeros(filters), rng.normal(0, 0.2, (2 * filters, 16)), np.zeros(16), rng.normal(0, 0.2, 16), 0.0)
-        self.mean = {n: np.zeros_like(getattr(self.net, n)) for n in PARTS}
-        self.var = {n: np.zeros_like(getattr(self.net, n)) for n in PARTS}
-        self.turn = 0.0
+        net = Network(rng.normal(0, 0.3, (CLASSES, dim)), rng.normal(0, 0.15, (Network.WIDTH * (dim + 1), filters)),
+                      np.zeros(filters), rng.normal(0, 0.2, (2 * filters, 16)), np.zeros(16), rng.normal(0, 0.2, 16), 0.0)
+        self.net = net
+        self.shapes = [np.shape(getattr(net, n)) for n in PARTS]
+        weights = np.concatenate([np.ravel(getattr(net, n)) for n in PARTS])
+        self.take(np.concatenate([weights, np.zeros(2 * len(weights) + 1)]))
+        self.room = np.zeros((2, 0))
 
     def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> None:
-        net, dim, filters = self.net, self.net.embed.shape[1], self.net.conv.shape[1]
-        logit, (cols, pre, places, pooled, hid) = net.forward(x)
+        # forward by sums over tables, as ``Network.scores``; back only from the places
+        # of the maxima, since no other one has a gradient
+        net, width, filters = self.net, Network.WIDTH, self.net.conv.shape[1]
+        by_place, single, pairs, bias = net.tables()
+        x = np.asarray(x, np.intp)
+        two = x[:, :-1] * CLASSES + x[:, 1:]
+        if self.room.shape[1:] != (len(x), len(PLACES), filters):
+            self.room = np.empty((2, len(x), len(PLACES), filters))
+        pre, more = self.room  # no index is out of range, but "raise" would copy
+        single[-1].take(x[:, LAST_OF], axis=0, out=pre, mode="clip")
+        pre += bias[PLACES]
+        for k, table in enumerate(pairs):
+            pre += table.take(two[:, PLACES + 2 * k], axis=0, out=more, mode="clip")
+        pre = np.ascontiguousarray(pre.transpose(0, 2, 1))
+        at = np.concatenate([pre[:, :, :N_MID].argmax(2), pre[:, :, N_MID:].argmax(2) + N_MID], axis=1)
+        of_filter = np.tile(np.arange(filters), 2)
+        pooled = np.maximum(pre[np.arange(len(x))[:, None], of_filter, at], 0)
+        hid = np.maximum(pooled @ net.hidden + net.hidden_bias, 0)
+        logit = hid @ net.out + net.out_bias
+
         g = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - y) * weight / len(x)
         grad = {"out": hid.T @ g, "out_bias": g.sum()}
         dh = np.outer(g, net.out) * (hid > 0)
         grad |= {"hidden": pooled.T @ dh, "hidden_bias": dh.sum(0)}
-        dp = dh @ net.hidden.T
-        dpre = np.zeros_like(pre)
-        for half, a in enumerate(places):
-            piece = dp[:, half * filters:(half + 1) * filters]
-            np.put_along_axis(dpre, a[:, None, :], np.take_along_axis(dpre, a[:, None, :], 1) + piece[:, None, :], 1)
-        dpre *= pre > 0
-        grad |= {"conv": np.tensordot(cols, dpre, axes=([0, 1], [0, 1])), "conv_bias": dpre.sum((0, 1))}
-        dcols = (dpre @ net.conv.T).reshape(len(x), pre.shape[1], Network.WIDTH, dim + 1)[..., :dim]
-        of = np.concatenate([x[:, k:k + pre.shape[1]].ravel() for k in range(Network.WIDTH)])
-        back = dcols.transpose(2, 0, 1, 3).reshape(-1, dim)
-        grad["embed"] = np.stack([np.bincount(of, back[:, d], CLASSES) for d in range(dim)], axis=1)
+        dp = dh @ net.hidden.T * (pooled > 0)
+        seen = PLACES[at][:, :, None] + np.arange(width)  # of each maximum: where its characters stand
+        cell = (np.arange(width) * CLASSES + x[np.arange(len(x))[:, None, None], seen]) * filters + of_filter[:, None]
+        moved = np.repeat(dp.ravel(), width)
+        by_class = np.bincount(cell.ravel(), moved, width * CLASSES * filters).reshape(width, CLASSES, filters)
+        flagged = (dp[:, :, None] * INSIDE[seen]).sum(0).reshape(2, filters, width).sum(0).T[:, None]
+        grad["conv"] = np.concatenate([net.embed.T @ by_class, flagged], axis=1).reshape(net.conv.shape)
+        grad["conv_bias"] = dp.sum(0).reshape(2, filters).sum(0)
+        grad["embed"] = (by_class @ by_place[:, :-1].transpose(0, 2, 1)).sum(0)
         self.turn += 1
-        for n in PARTS:
-            self.mean[n] = 0.9 * self.mean[n] + 0.1 * grad[n]
-            self.var[n] = 0.999 * self.var[n] + 0.001 * grad[n] ** 2
-            move = 0.01 * (self.mean[n] / (1 - 0.9 ** self.turn)) / (np.sqrt(self.var[n] / (1 - 0.999 ** self.turn)) + 1e-8)
-            setattr(net, n, getattr(net, n) - move)
+        slope = np.concatenate([np.ravel(grad[n]) for n in PARTS])
+        self.mean = 0.9 * self.mean + 0.1 * slope
+        self.var = 0.999 * self.var + 0.001 * slope ** 2
+        self.set(self.weights - 0.01 * (self.mean / (1 - 0.9 ** self.turn)) / (np.sqrt(self.var / (1 - 0.999 ** self.turn)) + 1e-8))
+
+    def set(self, weights: np.ndarray) -> None:
+        self.weights, at = weights, 0
+        for n, shape in zip(PARTS, self.shapes, strict=True):
+            size = math.prod(shape)
+            setattr(self.net, n, weights[at:at + size].reshape(shape) if shape else float(weights[at]))
+            at += size
 
     def numbers(self) -> np.ndarray:
         """All that training changes, in one row."""
-        held = [[getattr(self.net, n) for n in PARTS], *([d[n] for n in PARTS] for d in (self.mean, self.var))]
-        return np.concatenate([np.ravel(v) for part in held for v in part] + [[self.turn]])
+        return np.concatenate([self.weights, self.mean, self.var, [self.turn]])
 
     def take(self, numbers: np.ndarray) -> None:
-        at = 0
-        for put in (lambda n, v: setattr(self.net, n, v), self.mean.__setitem__, self.var.__setitem__):
-            for n in PARTS:
-                shape = np.shape(getattr(self.net, n))
-                size = int(np.prod(shape))
-                put(n, numbers[at:at + size].reshape(shape).copy() if shape else float(numbers[at]))
-                at += size
-        self.turn = float(numbers[at])
+        weights, self.mean, self.var = np.split(numbers[:-1].copy(), 3)
+        self.turn = float(numbers[-1])
+        self.set(weights)
 
 
 def matrix(windows: list[bytes]) -> np.ndarray:

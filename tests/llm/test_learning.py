@@ -229,3 +229,34 @@ def test_every_window_is_learnt_from(spark, monkeypatch):
     known = np.array([r["y"] for r in kept]) == 1
     assert net.recall >= 0.98 and np.isclose(np.mean(p[known] >= net.threshold - 1e-9), net.recall)
     assert net.precision >= 0.9
+
+
+def test_secret_network_step_follows_the_gradient_and_holds_no_patches():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, secret_scan.CLASSES, (64, secret_scan.WINDOW)).astype(np.uint8), rng.integers(0, 2, 64)
+    weight = np.where(y == 1, 1.5, 0.5)
+    descent = secret_scan.Descent(np.random.default_rng(7), 16)
+    state = descent.numbers()
+
+    def loss(at=None, by=0.0):
+        moved = state.copy()
+        if at is not None:
+            moved[at] += by
+        descent.take(moved)
+        logit = descent.net.forward(x)[0]
+        return float((weight * (np.logaddexp(0, logit) - y * logit)).mean())
+
+    n = (len(state) - 1) // 3
+    some = rng.choice(n, 60, replace=False)
+    want = np.array([(loss(at, 1e-6) - loss(at, -1e-6)) / 2e-6 for at in some])
+    descent.take(state)
+    descent.step(x, y, weight)
+    got = descent.numbers()[n:2 * n][some] / 0.1  # the mean after one step is a tenth of the gradient
+    assert np.allclose(got, want, atol=1e-6)
+    tracemalloc.start()
+    descent.step(x, y, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 64 x 108 places x 16 filters are 0.9 MB; with the patches of all places it was 7.7 MB
+    assert peak < 4_000_000
