@@ -82,6 +82,7 @@ class Vocabularies:
         self.blank_b = pieces.index("▁")
         self.width_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
 
     def encode(self, tiles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all tiles by A and by B, one after the other, and how many of
@@ -90,6 +91,8 @@ class Vocabularies:
         found = self.encode_run([tiles[k] for k in plain])
         if found is None:  # some tile is not spelt out: each for itself
             plain = []
+        if found is not None and len(plain) == len(tiles):
+            return found
         parts = [(plain, found)] if plain else []
         parts += [([k], self.encode_run([tiles[k]])) for k in sorted(set(range(len(tiles))) - set(plain))]
         counts = np.zeros((2, len(tiles)), np.int64)
@@ -107,23 +110,29 @@ class Vocabularies:
             out += [flat, n]
         return tuple(out)
 
-    def encode_run(self, tiles: list[str]):
+    def encode_run(self, tiles: list[str], run: int = 300):
         """As ``encode``, of tiles that may stand one after the other in a text:
-        they are tokenized as one.  None where that does not spell them out."""
+        ``run`` of them are tokenized as one (more at once take longer, each).
+        None where that does not spell them out."""
         if not tiles:
             return None
-        text = "".join(tiles)
-        raw = text.encode()
-        a = self.a.encode(text, add_special_tokens=False).ids
-        # B puts a blank in front; a text that begins with a newline has none
-        b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
-        if text[0] != " ":
-            b = b[1:] if b[:1] == [self.blank_b] else []
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return None
-        ends = np.cumsum(np.fromiter((len(t.encode()) for t in tiles), np.int64, len(tiles)))
+        a, b = [], []
+        for at in range(0, len(tiles), run):
+            text = "".join(tiles[at:at + run])
+            some_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            # B puts a blank in front; a text that begins with a newline has none
+            some_b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+            if text[0] != " ":
+                some_b = some_b[1:] if some_b[:1] == [self.blank_b] else []
+            a += some_a
+            b += some_b
+        raw, a, b = np.frombuffer("".join(tiles).encode(), np.uint8), np.array(a, np.int64), np.array(b, np.int64)
+        for ids, width, flat in ((a, self.width_a, self.flat_a), (b, self.width_b, self.flat_b)):
+            if not np.array_equal(runs(flat, (np.cumsum(width) - width)[ids], width[ids]), raw):
+                return None
+        ends = np.cumsum(pc.binary_length(pa.array(tiles, pa.large_string())).to_numpy())
         out = []
-        for ids, width in ((np.array(a, np.int64), self.width_a), (np.array(b, np.int64), self.width_b)):
+        for ids, width in ((a, self.width_a), (b, self.width_b)):
             upto = np.cumsum(width[ids])
             last = np.searchsorted(upto, ends)
             if (upto[last] != ends).any():
@@ -160,16 +169,11 @@ def group_links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
     return codes, times, each
 
 
-def spelled(a: list[int], b: list[int], n_a: list[int], n_b: list[int], upto: list[int]) -> list[str]:
+def spelled(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, upto: np.ndarray) -> list[str]:
     """``a1,a2|b1;a3|b2``: the ids of the groups ``upto[0]`` to ``upto[1]``, and so on."""
-    groups, i, j = [], 0, 0
-    for x, y in zip(n_a, n_b, strict=True):
-        if x == y == 1:
-            groups.append(f"{a[i]}|{b[j]}")
-        else:
-            groups.append(",".join(map(str, a[i:i + x])) + "|" + ",".join(map(str, b[j:j + y])))
-        i, j = i + x, j + y
-    return [";".join(groups[low:high]) for low, high in zip(upto, upto[1:], strict=False)]
+    sides = [pc.binary_join(lists(ids, n, pa.int64(), pa.string()), ",") for ids, n in ((a, n_a), (b, n_b))]
+    groups = pc.binary_join_element_wise(*sides, "|")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), groups), ";").to_pylist()
 
 
 def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +186,11 @@ def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # --------------------------------------------------------------------- tiles
 
+def runs(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``n`` values from each start, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 class Ragged:
     """Rows of different length, appended to."""
 
@@ -193,9 +202,7 @@ class Ragged:
         self.start = np.cumsum(self.n) - self.n
 
     def take(self, rows: np.ndarray) -> np.ndarray:
-        n = self.n[rows]
-        first = np.cumsum(n) - n
-        return self.flat[np.repeat(self.start[rows] - first, n) + np.arange(int(n.sum()))]
+        return runs(self.flat, self.start[rows], self.n[rows])
 
 
 class Tiles:
@@ -219,10 +226,10 @@ class Tiles:
         """The tiles of every text, as codes; what they are is learnt first."""
         if len(self.codes) > self.remember:
             self.clear()
-        out = []
-        for text in texts:
-            tiles = TILE.findall(text)
-            out.append(np.fromiter(map(self.codes.__getitem__, tiles), np.int64, len(tiles)))
+        found = [TILE.findall(text) for text in texts]
+        met = pa.array([t for tiles in found for t in tiles], pa.large_string()).dictionary_encode()
+        codes = np.fromiter(map(self.codes.__getitem__, met.dictionary.to_pylist()), np.int64, len(met.dictionary))
+        out = np.split(codes[met.indices.to_numpy()], np.cumsum([len(tiles) for tiles in found])[:-1]) if texts else []
         fresh = self.codes.take()
         for at in range(0, len(fresh), 20_000):
             self.learn(fresh[at:at + 20_000])
@@ -247,7 +254,7 @@ class Tiles:
         self.bad = np.append(self.bad, len_a == 0)
         self.n_groups = np.append(self.n_groups, np.diff(upto))
         self.n_links = np.append(self.n_links, per_tile(n_a * n_b))
-        self.groups += spelled(a.tolist(), b.tolist(), n_a.tolist(), n_b.tolist(), upto.tolist())
+        self.groups += spelled(a, b, n_a, n_b, upto)
 
 
 def tiles(path_a: str, path_b: str) -> Tiles:
@@ -311,7 +318,7 @@ def fragment(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarra
     inner_a, inner_b, n_a, n_b = a[n_a[0]:i], b[n_b[0]:j], n_a[1:-1], n_b[1:-1]
     codes, times, _ = group_links(inner_a, inner_b, n_a, n_b, size_b)
     out.n_a, out.n_b, out.n_groups, out.n_links = len(inner_a), len(inner_b), len(n_a), int((n_a * n_b).sum())
-    out.groups = spelled(inner_a.tolist(), inner_b.tolist(), n_a.tolist(), n_b.tolist(), [0, len(n_a)])[0]
+    out.groups = spelled(inner_a, inner_b, n_a, n_b, [0, len(n_a)])[0]
     out.codes, out.times = summed(codes, times)
     return out
 
@@ -462,8 +469,10 @@ class Counts:
         return np.where(hit, self.docs[at], 0), (self.best[at] & hit).astype(np.int64)
 
 
-def lists(flat: np.ndarray, n: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, kind))
+def lists(flat: np.ndarray, n: np.ndarray, kind, shown=None) -> pa.Array:
+    """Lists of ``n`` values each, as values of ``shown``."""
+    values = pa.array(flat, kind)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), values if shown is None else values.cast(shown))
 
 
 def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:

@@ -152,3 +152,22 @@ def test_vocabulary_files_are_what_tiles_need():
         spec = json.load(f)
     assert spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
     T.Vocabularies(A, B)
+
+
+def test_tiles_are_tokenized_in_short_runs(libraries):
+    voc = T.Vocabularies(A, B)
+    longest = []
+
+    class Spy:
+        def encode(self, text, **kw):
+            longest.append(len(text))
+            return libraries[1].encode(text, **kw)
+
+    voc.b = Spy()
+    tiles = [f" word{i * 7919}, {'<|endoftext|>' if i % 50 == 0 else ''}".rstrip() for i in range(5000)]
+    a, n_a, b, n_b = voc.encode(tiles)
+    assert max(longest) < 20_000  # it was one text of all tiles
+    ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+    for k in range(0, 5000, 25):
+        assert a[ends_a[k] - n_a[k]:ends_a[k]].tolist() == libraries[0].encode(tiles[k], add_special_tokens=False).ids
+        assert b[ends_b[k] - n_b[k]:ends_b[k]].tolist() == libraries[1].encode(tiles[k][1:])
