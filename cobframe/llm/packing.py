@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,16 @@ PACKED_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_toke
 class Encoder:
     """Ids of whole texts.  A word's ids do not depend on its neighbours, so each
     distinct word goes through the tokenizer library once; a text with characters
-    outside the safe set goes through the library as it is."""
+    outside the safe set goes through the library as it is.  No word goes across
+    white space: texts are split there, and each distinct part is split into words once."""
 
     def __init__(self, path: str, remember: int = 600_000):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.library, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # lower-cased safe words are as the normalizer and the pattern leave them: blanks alone part them
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.remember = remember
         self.clear()
 
@@ -50,13 +56,16 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
+        self.parts = pa.array([], pa.large_string())
+        self.part_flat = np.zeros(0, np.uint32)
+        self.part_lengths, self.part_starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[str], run: int = 2000) -> None:
+    def learn(self, words: list[str], run: int = 500) -> None:
         """Many words as one text: between blanks, each is one pre-token."""
         flat, lengths = [self.flat], [self.lengths]
         for at in range(0, len(words), run):
             part = words[at:at + run]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            e = self.of_words.encode(" ".join(part), add_special_tokens=False)
             flat.append(np.array(e.ids, np.uint32))
             lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
             if len(lengths[-1]) != len(part):
@@ -64,27 +73,46 @@ class Encoder:
         self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of distinct parts stand; those not met before are learnt."""
+        known = pc.index_in(parts, value_set=self.parts)
+        fresh = parts.filter(pc.is_null(known))
+        words = [WORDS.findall(p) for p in fresh.to_pylist()]
+        n_words, look = np.fromiter(map(len, words), np.int64, len(words)), self.seen.__getitem__
+        codes = np.fromiter((look(w) for of in words for w in of), np.int64, int(n_words.sum()))
+        self.learn(self.seen.take())
+        at = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.parts) + np.arange(len(fresh))
+        self.parts = pa.concat_arrays([self.parts, fresh])
+        self.part_flat = np.append(self.part_flat, joined(self.flat, self.starts[codes], self.lengths[codes]))
+        self.part_lengths = np.append(self.part_lengths, summed_runs(self.lengths[codes], n_words))
+        self.part_starts = np.cumsum(self.part_lengths) - self.part_lengths
+        return at
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > self.remember:
+        if max(len(self.seen), len(self.parts) // 2) > self.remember:
             self.clear()
-        look = self.seen.__getitem__
-        coded = []
-        for t in texts:
-            if "<|" not in t and SAFE.fullmatch(t):
-                words = WORDS.findall(t.lower())
-                coded.append(np.fromiter(map(look, words), np.int64, len(words)))
-            else:
-                coded.append(None)
-        self.learn(self.seen.take())
-        out = []
-        for text, codes in zip(texts, coded, strict=True):
-            if codes is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            n = self.lengths[codes]
-            first = np.cumsum(n) - n
-            out.append(self.flat[np.repeat(self.starts[codes] - first, n) + np.arange(int(n.sum()))])
-        return out
+        safe = ["<|" not in t and SAFE.fullmatch(t) is not None for t in texts]
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t, s in zip(texts, safe, strict=True) if s], pa.large_string()))
+        parts = split.flatten().dictionary_encode()
+        at = self.places(parts.dictionary)[parts.indices.to_numpy()]
+        n_of = self.part_lengths[at]
+        ids = joined(self.part_flat, self.part_starts[at], n_of)
+        ends = np.cumsum(summed_runs(n_of, pc.list_value_length(split).to_numpy()))
+        known = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+        return [next(known) if s else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
+                for t, s in zip(texts, safe, strict=True)]
+
+
+def joined(flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, one after the other."""
+    first = np.cumsum(n) - n
+    return flat[np.repeat(starts - first, n) + np.arange(int(n.sum()))]
+
+
+def summed_runs(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``n[0]``, then ``n[1]``, ... values."""
+    return np.diff(np.append(0, np.cumsum(x))[np.append(0, np.cumsum(n))])
 
 
 def encoder(path: str) -> Encoder:

@@ -119,3 +119,20 @@ def test_packing_wastes_little(spark, libraries):
 
 def test_empty_table_packs_to_nothing(spark):
     assert packing.pack(docs_frame(spark, []), PACKING).count() == 0
+
+
+def test_equal_parts_of_texts_are_split_into_words_once(libraries, monkeypatch):
+    read = []
+
+    class Spy:
+        def findall(self, text):
+            read.append(len(text))
+            return words.findall(text)
+
+    words = packing.WORDS
+    monkeypatch.setattr(packing, "WORDS", Spy())
+    coder = packing.Encoder(PACKING)
+    texts = ["Alpha beta, it's\n7x " * 1000, "", "  beta, ALPHA\tgamma "]
+    for part in (texts[:1], texts):
+        assert [x.tolist() for x in coder.encode(part)] == [libraries[1].encode(t, add_special_tokens=False).ids for t in part]
+    assert sum(read) < 50  # it was every character of every text
