@@ -375,3 +375,28 @@ def test_assemble_without_market_or_trades(spark):
     rows = asm.headers.collect()
     assert len(rows) == 2 and all(x.market_data.fx_rates == {} for x in rows)
     assert asm.trades.count() == 0
+
+
+def test_independent_steps_of_the_ingest_run_side_by_side(spark):
+    import threading
+    ag, tr, md = staging(spark)
+    met = threading.Barrier(3, timeout=60)  # broken where one waits for another's end
+
+    def stage(name, df):
+        if name in ("agreements", "rates", "trades"):
+            met.wait()
+        return df
+    r = ingest_batch(ag, tr, md, stage=stage)
+    assert {x.netting_set_id for x in r.snapshots.collect()} == {"RATES-USD", "EMPTY"}
+
+
+def test_together_raises_the_failure_of_a_step(spark):
+    import pytest
+
+    from cobframe.session import together
+
+    def bad():
+        raise ValueError("no")
+    assert together(spark, lambda: spark.range(3).count(), lambda: 7) == [3, 7]
+    with pytest.raises(ValueError, match="no"):
+        together(spark, lambda: spark.range(3).count(), bad)
